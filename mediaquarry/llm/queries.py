@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup
+from . import bpe, chat, decontaminate, exact_dedup
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_bpe": bpe.op6_bpe,
+    "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_chat_formatting": chat.op9_chat_formatting,
 }
 SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op8_benchmark_decontamination": decontaminate.OP8_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
 }
