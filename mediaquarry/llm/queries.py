@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup
+from . import bpe, chat, decontaminate, exact_dedup, hmm
 
 QUERIES = {
+    "op1_lm_scoring": hmm.op1_lm_scoring,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_bpe": bpe.op6_bpe,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
