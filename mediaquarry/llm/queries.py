@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, hmm
+from . import bpe, chat, decontaminate, exact_dedup, hmm, simhash
 
 QUERIES = {
     "op1_lm_scoring": hmm.op1_lm_scoring,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_simhash": simhash.op5_simhash,
     "op6_bpe": bpe.op6_bpe,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_chat_formatting": chat.op9_chat_formatting,
