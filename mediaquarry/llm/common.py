@@ -77,3 +77,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def text_bytes(df: DataFrame, column: str) -> int:
     """UTF-8 bytes of a column over all rows."""
     return df.agg(F.coalesce(F.sum(F.octet_length(F.col(column))), F.lit(0)).alias("n")).first()["n"]
+
+
+#: Keys that hold more than one row in HOT are broadcast: at most HOT of them can exist.
+HOT = 4096
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column) -> DataFrame:
+    """Left join of ``groups`` (one row a key, with its number of rows in ``size``) to ``rows``, safe under any skew.
+
+    ``groups`` should be a written table.  Keys with more than 1/HOT of the rows are fewer than HOT by arithmetic and are
+    broadcast; their rows then leave the shuffled join's key for ``spread``, so that no task gets a hot group.
+    """
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    hot, rest = groups.filter(F.col(size) * HOT > total), groups.filter(F.col(size) * HOT <= total)
+    own = [c for c in groups.columns if c != key]
+    near = rows.join(F.broadcast(hot.select(key, F.struct(*own).alias("__hot"))), key, "left")
+    moved = F.when(F.col("__hot").isNull(), F.col(key)).otherwise(spread)
+    far = rest.select(F.col(key).alias("__key"), F.struct(*own).alias("__rest"))
+    joined = near.withColumn("__at", moved).join(far, F.col("__at") == F.col("__key"), "left")
+    found = F.coalesce("__hot", "__rest")
+    return joined.select(*rows.columns, *[found[c].alias(c) for c in own])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, hmm, simhash
+from . import bpe, chat, decontaminate, exact_dedup, hmm, simhash, warc
 
 QUERIES = {
     "op1_lm_scoring": hmm.op1_lm_scoring,
+    "op2_warc": warc.op2_warc,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op6_bpe": bpe.op6_bpe,
@@ -13,6 +14,7 @@ QUERIES = {
     "op9_chat_formatting": chat.op9_chat_formatting,
 }
 SQL = {
+    "op2_warc": warc.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op8_benchmark_decontamination": decontaminate.OP8_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
