@@ -2,7 +2,8 @@
 
 Sampled splitters range-partition the normalised texts (``repartitionByRange`` samples the keys and picks the bounds),
 Spark's external sort orders each range, and the window operator walks the sorted rows comparing the whole key of each
-row with its neighbour.  A salt drawn from the id follows the text in the sort key, so that the splitters may fall
+row with its neighbour.  The splitters are drawn over each text's first bytes and its hash, so that the sampled keys stay
+small however long the texts are; whole texts decide the order and equality.  A salt drawn from the id follows the text in the sort key, so that the splitters may fall
 inside a group of copies: a text that holds a third of all rows spreads over ``salts`` neighbouring runs.  Only one
 small row a run (digest, salt, smallest id, count) goes on to be combined across runs.
 """
@@ -28,9 +29,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ").alias("t"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int").alias("salt"),
     )
-    run = Window.partitionBy("t", "salt")
+    # the range keys are part of the sort key, so equal texts of a salt are in one range and adjacent
+    rows = rows.withColumn("head", F.substring("t", 1, 32)).withColumn("hash", F.xxhash64("t"))
+    run = Window.partitionBy("head", "hash", "t", "salt")
     marks = written(
-        rows.repartitionByRange("t", "salt")
+        rows.repartitionByRange("head", "hash", "salt")
         .withColumn("at", F.row_number().over(run.orderBy(F.col("id").asc_nulls_last())))
         .withColumn("low", F.min("id").over(run))
         .withColumn("n", F.count(F.lit(1)).over(run))
