@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, hmm, simhash, warc
+from . import bpe, chat, decontaminate, exact_dedup, hmm, html_main, simhash, warc
 
 QUERIES = {
     "op1_lm_scoring": hmm.op1_lm_scoring,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_bpe": bpe.op6_bpe,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_chat_formatting": chat.op9_chat_formatting,
+    "op10_html_extraction": html_main.op10_html_extraction,
 }
 SQL = {
     "op2_warc": warc.OP2_SQL,
