@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, hmm, html_main, simhash, warc
+from . import bpe, chat, decontaminate, exact_dedup, hmm, html_main, simhash, toxicity, warc
 
 QUERIES = {
     "op1_lm_scoring": hmm.op1_lm_scoring,
     "op2_warc": warc.op2_warc,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
     "op6_bpe": bpe.op6_bpe,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
