@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, hmm, html_main, simhash, toxicity, warc
+from . import bpe, chat, decontaminate, exact_dedup, hmm, html_main, line_dedup, simhash, toxicity, warc
 
 QUERIES = {
     "op1_lm_scoring": hmm.op1_lm_scoring,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
     "op6_bpe": bpe.op6_bpe,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_html_extraction": html_main.op10_html_extraction,
