@@ -7,6 +7,7 @@ shared folder and reads it again as the next one's documents.  All but the last
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mediaquarry.llm import bpe, decontaminate, line_dedup, simhash, toxicity
 from mediaquarry.llm.common import table, written
@@ -18,8 +19,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs of 50 words and more go, and documents of which nothing is left."""
-    return line_dedup.deduplicate(docs)
+    """Later copies of line runs of 50 words and more go, and documents of which nothing is left; n_chars follows."""
+    cleaned = line_dedup.deduplicate(docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
