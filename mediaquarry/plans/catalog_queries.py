@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import statistics_queries  # noqa: F401  registers
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
