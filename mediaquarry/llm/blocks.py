@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import text_bytes
 
-_ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
+_ZSTD = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
 
 
 def deal(rows: DataFrame, id_col: str, text_col: str, block_bytes: int = 16 << 20, n_blocks: int | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,69 +111,113 @@ def encode_words(words: list[str], path: str) -> list[bytes]:
     return out
 
 
+def _sorted_words(rows: pa.Table, path: str) -> list[str]:
+    """A block's distinct words in order: a word's place is its code, whatever order the rows came in."""
+    found: set[str] = set()
+    for part in blocks.unpack(rows):
+        for text in part.column("text"):
+            found.update(split_words(text.as_py() or "", path))
+    return sorted(found)
+
+
 def _ask(path: str):
     def run(rows: pa.Table) -> pa.Table:
+        words = _sorted_words(rows, path)
         block = rows.column("block")[0].as_py()
-        found: set[str] = set()
-        for part in blocks.unpack(rows):
-            for text in part.column("text"):
-                found.update(split_words(text.as_py() or "", path))
-        words = pa.array(list(found), pa.string())
-        return pa.table({"block": pa.array(np.full(len(words), block, np.int32)), "word": words})
+        return pa.table({"place": pa.array(np.arange(len(words), dtype=np.int64) + (block << 32)), "word": pa.array(words, pa.string())})
 
     return run
 
 
-def word_table(dealt: DataFrame, path: str) -> DataFrame:
-    """(word, ids, block): every distinct word, encoded once, for each block that has it."""
-    asked = blocks.words_by_block(dealt, _ask(path), "block int, word string")
-    # one row for each distinct word, with the blocks that asked: a block is megabytes of text, so the lists stay short
-    distinct = asked.groupBy("word").agg(F.collect_list("block").alias("blocks"))
-    return distinct.mapInArrow(_encode(path), "word string, blocks array<int>, ids binary").select("word", "ids", F.explode("blocks").alias("block"))
+def _pack_answer(codes: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
+    """Ascending codes, each code's number of ids, the ids; compressed if that helps."""
+    raw = b"".join((np.uint32(len(codes)).tobytes(), np.diff(codes, prepend=0).astype("<u4").tobytes(), counts.astype("<u4").tobytes(), ids.astype("<u4").tobytes()))
+    # bytes of equal weight side by side: most are zero
+    planes = np.frombuffer(raw, np.uint8).reshape(-1, 4).T.tobytes()
+    return zstandard.compress(planes, 3)
+
+
+def _unpack_answer(piece: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    values = np.ascontiguousarray(np.frombuffer(zstandard.decompress(piece), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    n = int(values[0])
+    return np.cumsum(values[1 : n + 1].astype(np.int64)), values[n + 1 : 2 * n + 1].astype(np.int64), values[2 * n + 1 :]
 
 
 def _encode(path: str):
+    """Encodes each distinct word once and sends the blocks that asked their answers, packed by block."""
+
     def run(batches):
         for batch in batches:
-            ids = encode_words(batch.column("word").to_pylist(), path)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("blocks"), pa.array(ids, pa.binary())], names=["word", "blocks", "ids"])
+            raw = encode_words(batch.column("word").to_pylist(), path)
+            size = np.array([len(r) // 4 for r in raw], np.int64)
+            first = np.cumsum(size) - size
+            flat = np.frombuffer(b"".join(raw), "<u4")
+            asked = batch.column("asked")
+            number = np.repeat(np.arange(len(batch)), np.diff(asked.offsets.to_numpy()))
+            places = asked.flatten().to_numpy()
+            order = np.argsort(places, kind="stable")
+            block, code = places >> 32, places & 0xFFFFFFFF
+            ends = np.flatnonzero(np.append(np.diff(block[order]) != 0, True)) + 1 if len(order) else []
+            out, start = [], 0
+            for end in ends:
+                some = order[start:end]
+                n = size[number[some]]
+                at = np.arange(n.sum()) + np.repeat(first[number[some]] - (np.cumsum(n) - n), n)
+                out.append((int(block[order[start]]), _pack_answer(code[some], n, flat[at])))
+                start = end
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["block", "answer"])
 
     return run
 
 
+def word_table(dealt: DataFrame, path: str) -> DataFrame:
+    """(block, answer): every distinct word of the corpus, encoded once, packed for the blocks that have it."""
+    asked = blocks.words_by_block(dealt, _ask(path), "place long, word string")
+    # one row for each distinct word, with the blocks that asked: a block is megabytes of text, so the lists stay short
+    distinct = asked.groupBy("word").agg(F.collect_list("place").alias("asked"))
+    return distinct.mapInArrow(_encode(path), "block int, answer binary")
+
+
 def _join_back(path: str, digest: bool):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        number = {w: i for i, w in enumerate(answers.column("word").to_pylist())}
-        flat = answers.column("ids").combine_chunks() if len(answers) else pa.array([], pa.binary())
-        if isinstance(flat, pa.ChunkedArray):
-            flat = pa.concat_arrays(flat.chunks) if flat.num_chunks else pa.array([], pa.binary())
-        offsets = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1] // 4 if len(flat) else np.zeros(1, np.int32)
-        all_ids = np.frombuffer(flat.buffers()[2], "<u4") if len(flat) and flat.buffers()[2] is not None else np.zeros(0, "<u4")
-        lengths = np.diff(offsets)
-        known = pieces(path)
-        doc_ids, counts, ids_out, text_out = [], [], [], []
+        number: dict[str, int] = {}
+        docs: list[tuple[object, np.ndarray]] = []
         for part in blocks.unpack(rows):
             for doc, text in zip(part.column("id").to_pylist(), part.column("text")):
                 words = split_words(text.as_py() or "", path)
-                codes = np.array([number[w] for w in words], dtype=np.int64)
-                n = lengths[codes]
-                # positions of every word's ids, one after the other
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if len(ends) else 0
-                at = np.arange(total) + np.repeat(offsets[codes] - (ends - n), n) if total else np.zeros(0, np.int64)
-                ids = all_ids[at]
-                taken = known.take(pa.array(ids))
-                plain = _bytes_of(taken)
-                doc_ids.append(doc)
-                counts.append(total)
-                if digest:
-                    ids_out.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                    text_out.append(hashlib.sha256(plain.decode("utf-8", "replace").encode()).hexdigest())
-                else:
-                    ids_out.append(ids.astype(np.int32))
-                    text_out.append(plain.decode("utf-8", "replace"))
+                docs.append((doc, np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))))
+        place = np.zeros(len(number), np.int64)  # from the order of first use to a word's code
+        place[np.fromiter((number[w] for w in sorted(number)), np.int64, len(number))] = np.arange(len(number))
+        lengths, got = np.zeros(len(number), np.int64), []
+        for piece in answers.column("answer"):
+            codes, counts, ids = _unpack_answer(piece.as_py())
+            lengths[codes] = counts
+            got.append((codes, counts, ids))
+        offsets = np.cumsum(lengths) - lengths
+        all_ids = np.zeros(int(lengths.sum()), "<u4")
+        for codes, counts, ids in got:
+            all_ids[np.arange(len(ids)) + np.repeat(offsets[codes] - (np.cumsum(counts) - counts), counts)] = ids
+        del got
+        known = pieces(path)
+        doc_ids, counts_out, ids_out, text_out = [], [], [], []
+        for doc, used in docs:
+            codes = place[used]
+            n = lengths[codes]
+            # positions of every word's ids, one after the other
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            ids = all_ids[np.arange(total) + np.repeat(offsets[codes] - (ends - n), n)]
+            plain = _bytes_of(known.take(pa.array(ids))).decode("utf-8", "replace")
+            doc_ids.append(doc)
+            counts_out.append(total)
+            if digest:
+                ids_out.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                text_out.append(hashlib.sha256(plain.encode()).hexdigest())
+            else:
+                ids_out.append(ids.astype(np.int32))
+                text_out.append(plain)
         first, second = ("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded")
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), first: pa.array(ids_out, pa.string() if digest else pa.list_(pa.int32())), second: pa.array(text_out, pa.string())})
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(counts_out, pa.int64()), first: pa.array(ids_out, pa.string() if digest else pa.list_(pa.int32())), second: pa.array(text_out, pa.string())})
 
     return run
 
@@ -185,7 +230,7 @@ def _bytes_of(values: pa.Array) -> bytes:
     return data.to_pybytes()[ends[values.offset] : ends[values.offset + len(values)]]
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, block_bytes: int = 16 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, block_bytes: int = 24 << 20) -> DataFrame:
     """One row per document: ``doc_id``, ``n_tokens``, ``ids`` and ``decoded`` (or, with ``digest``, their SHA-256).
 
     Null and empty texts have no ids and decode to the empty text.  Rows that repeat an id are all returned; a null id
