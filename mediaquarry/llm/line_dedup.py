@@ -86,11 +86,11 @@ def _ranked(groups: DataFrame, keys: list[str], label: str) -> DataFrame:
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, th, gone): the line numbers (from 0) to delete in each document that has any; th: xxhash64 of the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.split(text, "\n", -1).alias("lines")).dropDuplicates(["id", "th"])
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.split(text, "\n", -1).alias("lines"))
     words = F.transform("lines", lambda s: F.size(F.filter(F.split(s, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")))
     hashes = F.transform("lines", lambda s: F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit(1), s).alias("b")))
     shape = f"id {docs.schema[id_col].dataType.simpleString()}, th long, hashes array<struct<a: long, b: long>>, size long, numbers array<int>, forward array<int>, backward array<int>"
-    measured = rows.select("id", "th", hashes.alias("hashes"), words.alias("words")).mapInArrow(_measure(min_words), shape)
+    measured = written(rows.select("id", "th", hashes.alias("hashes"), words.alias("words")).mapInArrow(_measure(min_words), shape), "measured").dropDuplicates(["id", "th"])
     # null ids come last; one border after each document
     keyed = measured.withColumn("none", F.col("id").isNull().cast("int"))
     placed = running(keyed, ["none", "id", "th"], "size", "start", "placed")
@@ -144,7 +144,8 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     th, id2, th2 = (fresh([*docs.columns, out], n) for n in ("th", "__id2", "__th2"))
     found = later_copies(docs, id_col, text_col, min_words).select(F.col("id").alias(id2), F.col("th").alias(th2), F.col("gone").alias(out))
     keyed = docs.withColumn(th, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(found, (F.col(th) == F.col(th2)) & F.col(id_col).eqNullSafe(F.col(id2)), "left")
+    # at every size by shuffle, so that a small run tells what a large one costs
+    joined = keyed.join(found.hint("merge"), (F.col(th) == F.col(th2)) & F.col(id_col).eqNullSafe(F.col(id2)), "left")
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], out)
 
 
