@@ -121,11 +121,15 @@ def folder_matches(name: Column, pattern: str) -> Column:
     return name.rlike(f"(?is)^{body}$")
 
 
+def _matcher(pattern: str):
+    return lambda part: folder_matches(part, pattern)
+
+
 def scan_allowed(path: Column, extensions: Iterable[str], folders: Iterable[str]) -> Column:
     """Not of an excluded extension and in none of the excluded folders."""
     parts = F.split(plain(path), "/")
     inner = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    wrong = [F.exists(inner, lambda p, f=f: folder_matches(p, f)) for f in folders]
+    wrong = [F.exists(inner, _matcher(f)) for f in folders]
     ext = F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
     return ~reduce(lambda a, b: a | b, [ext.isin([e.lower().lstrip(".") for e in extensions]), *wrong])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import search_queries, statistics_queries  # noqa: F401  they register
+from . import scalar_queries, search_queries, statistics_queries  # noqa: F401  they register
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
