@@ -220,14 +220,12 @@ def write(pages: DataFrame, folder: str | None = None, minimum: int = 0, archive
 def read(spark: SparkSession, folder: str, manifest: DataFrame, payloads: bool = False) -> DataFrame:
     """The records of the files that the manifest names."""
     names = manifest.select("file").distinct()
-    if manifest.isEmpty():
-        return spark.createDataFrame([], _READ)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    ours = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(names, "file", "left_semi")
-    return ours.select("content").mapInArrow(_reader(payloads), _READ)
+    count = names.count()
+    # a file a task, up to a bound; each task opens its own files one by one, so that no archive passes a shuffle
+    return names.repartition(max(1, min(count, 10_000)), "file").mapInArrow(_reader(folder, payloads), _READ)
 
 
-def _reader(payloads: bool):
+def _reader(folder: str, payloads: bool):
     names = [f.split()[0] for f in _READ.split(", ")]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
@@ -240,9 +238,11 @@ def _reader(payloads: bool):
             yield number("x-page-id"), f.get("warc-target-uri"), size, f["warc-payload-digest"].removeprefix("sha1:"), f["warc-type"], number("x-refers-to-page-id"), body if payloads and f["warc-type"] == "response" else None
 
     def run(batches):
+        store, root = _open(folder)
         for batch in batches:
-            for data in batch.column("content"):
-                found = list(rows(data.as_py()))
+            for name in batch.column("file").to_pylist():
+                with store.open_input_stream(f"{root}/{name}", compression=None) as f:
+                    found = list(rows(f.read()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=names)
 
     return run
