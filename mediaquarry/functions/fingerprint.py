@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIDE, LOW, WINDOW = 32, 16, 8
 _C1, _C2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
@@ -50,12 +51,12 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(s) for s in column), np.uint8).reshape(-1, SIDE * SIDE)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def perceptual_hash(sample: pd.Series) -> pd.Series:
     return pd.Series([h.tobytes() for h in hashes(_stack(sample))]) if len(sample) else pd.Series([], dtype=object)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def ssim_percent(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(ssim(_stack(a), _stack(b))) if len(a) else pd.Series([], dtype="int32")
 

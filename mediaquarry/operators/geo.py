@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = ("CITY", "STATE", "COUNTRY")
 RANKS = {"VERY_LOW": 0, "LOW": 1, "MEDIUM": 2, "HIGH": 3, "VERY_HIGH": 4}
@@ -72,22 +73,22 @@ def distance_km(lat: float, lon: float, rings: list) -> float:
     return float(haversine(lat, lon, *where))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def contains(lat: pd.Series, lon: pd.Series, rings: pd.Series) -> pd.Series:
     return pd.Series([inside(a, o, r) for a, o, r in zip(lat, lon, rings)], dtype=bool)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gap_km(lat: pd.Series, lon: pd.Series, rings: pd.Series) -> pd.Series:
     return pd.Series([distance_km(a, o, r) for a, o, r in zip(lat, lon, rings)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ring_area(rings: pd.Series) -> pd.Series:
     return pd.Series([area(r) for r in rings], dtype=float)
 
 
-@F.pandas_udf("struct<lat: double, lon: double>")
+@F.pandas_udf(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]))
 def interior_point(rings: pd.Series) -> pd.DataFrame:
     """A point inside: the middle of the widest inner stretch of a scan line; else the centre of the box."""
     return pd.DataFrame([_interior(r) for r in rings], columns=["lat", "lon"])

@@ -79,9 +79,11 @@ def text(name: str, dialect: str) -> str:
 def oracle(sql: str) -> str:
     """DuckDB SQL with the stand-ins that it names in front."""
     used = [n for n in _SELECTS if re.search(rf"\b{n}\b", sql)]
-    if not used:
+    first, body = re.match(r"\s*(?:(WITH RECURSIVE|WITH)\s)?(.*)", sql, re.S).groups()
+    front = ", ".join(f"{n} AS ({text(n, 'duckdb')})" for n in used)
+    if not front:
         return sql.strip()
-    return "WITH " + ", ".join(f"{n} AS ({text(n, 'duckdb')})" for n in used) + (", " + sql.strip()[5:] if sql.strip()[:5].upper() == "WITH " else " " + sql.strip())
+    return f"{first or 'WITH'} {front}{',' if first else ''} {body.strip()}"
 
 
 class Tables:
