@@ -339,9 +339,9 @@ def _(t):
     return t.metadata.select("file_id", F.col("capture_date").alias("old"), new.alias("new")).filter(~F.col("old").eqNullSafe(F.col("new")))
 
 
-@query("q174_undo_order", "SELECT id, row_number() OVER (ORDER BY id DESC) AS k FROM movements WHERE execution_id = 5 AND status = 'MOVED'")
+@query("q174_undo_order", "SELECT id, row_number() OVER (ORDER BY id DESC) AS k FROM movements WHERE status = 'MOVED'")
 def _(t):
-    return mutations.with_ids(t.movements.filter("execution_id = 5 AND status = 'MOVED'").select("id"), [F.desc("id")], 1, "k")
+    return mutations.with_ids(t.movements.filter("status = 'MOVED'").select("id"), [F.desc("id")], 1, "k")
 
 
 @query("q175_quarantine", "SELECT id, reason FROM movements WHERE status = 'MOVED' AND reason IN ('1-URGENT', '2-HIGH') AND moved_at < TIMESTAMP '1995-01-01'")

@@ -159,14 +159,14 @@ def _(t):
     return statistics.error_details(t.errors, "U1", 5, 10)
 
 
-@query("q075_errors_of_execution", "SELECT error_type, count(*) AS n FROM errors WHERE execution_id = 7 GROUP BY error_type")
+@query("q075_errors_by_execution", "SELECT execution_id, error_type, count(*) AS n FROM errors GROUP BY 1, 2")
 def _(t):
-    return statistics.counts_by(t.errors.filter("execution_id = 7"), "error_type")
+    return statistics.counts_by(t.errors, "execution_id", "error_type")
 
 
-@query("q076_movement_summary", "SELECT status, reason, count(*) AS n FROM movements WHERE execution_id = 11 GROUP BY 1, 2")
+@query("q076_movement_summary", "SELECT execution_id, status, reason, count(*) AS n FROM movements GROUP BY 1, 2, 3")
 def _(t):
-    return statistics.counts_by(t.movements.filter("execution_id = 11"), "status", "reason")
+    return statistics.counts_by(t.movements, "execution_id", "status", "reason")
 
 
 _BELOW = "FROM files JOIN locations ON files.id = locations.file_id WHERE lifecycle_status = 'ACTIVE' AND (lower(folder) = 'd:/media/src3' OR starts_with(lower(folder), 'd:/media/src3/'))"
