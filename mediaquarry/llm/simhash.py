@@ -3,8 +3,10 @@
 Fingerprints of 64 bits are cut into eight segments of eight bits on a ring.  If two fingerprints differ in at most
 ``budget`` bits, then by the pigeonring principle some start has a chain in which the first l segments together differ in
 at most l * budget / 8 bits, for every l.  For a budget of 3 the chain's first two segments are equal and of the next three
-at most one differs, so both fingerprints share one of 24 keys of four whole segments.  Those keys, made of distinct
-fingerprints, deal the candidates; the whole chain is checked before the full Hamming distance.
+at most one differs, so both fingerprints share one of 24 keys of four whole segments.  For a budget of 7 the first segment
+is equal and the next two differ in at most two bits, so both share one of 48 keys of that segment and two of the next four
+half segments.  Those keys, made of distinct fingerprints, deal the candidates; the whole chain is checked before the full
+Hamming distance.
 
 Copies never meet: equal fingerprints are one row.  Inside a key's run a search links each fingerprint once, so a run of
 n gives at most n - 1 links (a spanning forest of the real ones), never all pairs.  Keys that hold more than ``run_rows``
@@ -27,24 +29,27 @@ from .common import fresh, table, written
 
 SEGMENTS, SEGMENT_BITS, BUDGET = 8, 8, 3
 SHINGLE = 3
+SKETCH, AGREE = 24, 14  # MinHash values, and how many must agree where a wide budget's links are held against the texts
+_ODD = np.array([2 * xxhash.xxh64_intdigest(b"sketch %d" % k) + 1 & (1 << 64) - 1 for k in range(SKETCH)], dtype=np.uint64)
 _BELOW = np.array([1 << b for b in range(64)], dtype=np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
-    """The SimHash of a whole text's word shingles (lower-cased A-Z, repeats included); zero without words."""
+def _shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> list[int]:
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, seed)]
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        ends = np.cumsum(lengths)
-        starts = (ends - lengths)[: len(words) - shingle + 1].tolist()
-        stops = (ends - 1)[shingle - 1 :].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts, stops)]
+        return [xxhash.xxh64_intdigest(joined, seed)]
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(lengths)
+    starts = (ends - lengths)[: len(words) - shingle + 1].tolist()
+    stops = (ends - 1)[shingle - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], seed) for a, b in zip(starts, stops)]
+
+
+def _fingerprint(hashes: list[int]) -> int:
     votes = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[k : k + (1 << 16)], dtype="<u8")
@@ -52,31 +57,52 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int
     return int(_BELOW[votes * 2 > len(hashes)].sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp", shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with the fingerprint as a signed long."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
+    """The SimHash of a whole text's word shingles (lower-cased A-Z, repeats included); zero without words."""
+    return _fingerprint(_shingle_hashes(text, shingle, seed))
+
+
+def _sketch(hashes: list[int]) -> bytes:
+    """MinHash values of the shingles; their agreement estimates how many shingles two texts share."""
+    grid = np.array(hashes or [0], np.uint64)
+    return b"".join(int((grid * m >> np.uint64(32)).min()).to_bytes(4, "little") for m in _ODD)
+
+
+def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp", shingle: int = SHINGLE, sketch: str | None = None) -> DataFrame:
+    """``docs`` with the fingerprint as a signed long, and with a sketch if its column is named."""
 
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(text_col)], dtype=np.uint64)
-            yield batch.append_column(out, pa.array(found.view(np.int64)))
+            hashes = (_shingle_hashes(t.as_py(), shingle) for t in batch.column(text_col))
+            pairs = [(_fingerprint(h), _sketch(h) if sketch else None) for h in hashes]
+            found = batch.append_column(out, pa.array(np.array([f for f, _ in pairs], dtype=np.uint64).view(np.int64)))
+            yield found.append_column(sketch, pa.array([k for _, k in pairs], pa.binary())) if sketch else found
+
+    added = docs.withColumn(out, F.lit(None).cast("long"))
+    return docs.mapInArrow(run, (added.withColumn(sketch, F.lit(None).cast("binary")) if sketch else added).schema)
 
-    return docs.mapInArrow(run, docs.withColumn(out, F.lit(None).cast("long")).schema)
 
+def key_families(budget: int = BUDGET) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+    """(start, ((first bit, bits), ...)): what two fingerprints within the budget share for one family at least.
 
-def key_families(budget: int = BUDGET) -> list[tuple[int, tuple[int, ...]]]:
-    """(start, segments that are equal): for budget 3, two in a row, and two of the next three."""
-    if not 0 <= budget <= 3:
-        raise ValueError("the keys hold for budgets of 0 to 3 bits")
-    return [(s, (s, (s + 1) % 8, *((s + 2 + i) % 8 for i in pair))) for s in range(SEGMENTS) for pair in combinations(range(3), 2)]
+    Up to 3: two segments in a row, and two of the next three.  Up to 7: one segment, and two of the next four halves.
+    """
+    if not 0 <= budget <= 7:
+        raise ValueError("the keys hold for budgets of 0 to 7 bits")
+    whole = lambda s: (8 * (s % 8), 8)
+    if budget <= 3:
+        return [(s, (whole(s), whole(s + 1), *(whole(s + 2 + i) for i in pair))) for s in range(SEGMENTS) for pair in combinations(range(3), 2)]
+    half = lambda s, k: (8 * ((s + 1 + k // 2) % 8) + 4 * (k % 2), 4)
+    return [(s, (whole(s), *(half(s, k) for k in pair))) for s in range(SEGMENTS) for pair in combinations(range(4), 2)]
 
 
-def _keys(fp) -> F.Column:
-    """(key, start): a family's number above its four segments."""
+def _keys(fp, budget: int) -> F.Column:
+    """A family's number above the bits that it takes."""
     out = []
-    for number, (start, segments) in enumerate(key_families()):
+    for number, (_, pieces) in enumerate(key_families(budget)):
         key = F.lit(number).cast("long")
-        for s in segments:
-            key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned(fp, 8 * s).bitwiseAND(F.lit(255).cast("long")))
+        for first, bits in pieces:
+            key = F.shiftleft(key, bits).bitwiseOR(F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
         out.append(key)
     return F.array(*out)
 
@@ -90,21 +116,21 @@ def _ring_masks(start: int, budget: int) -> list[tuple[np.uint64, int]]:
     return out
 
 
-_RINGS = {s: _ring_masks(s, BUDGET) for s in range(SEGMENTS)}
+_RINGS = {(s, b): _ring_masks(s, b) for s in range(SEGMENTS) for b in range(8)}
 
 
-def linked(one: np.uint64, others: np.ndarray, start: int) -> np.ndarray:
+def linked(one: np.uint64, others: np.ndarray, start: int, budget: int = BUDGET) -> np.ndarray:
     """Indices of ``others`` within the budget whose chain from ``start`` holds; each step looks at what the last left."""
     left = np.arange(len(others))
     differ = others ^ one
-    for mask, most in _RINGS[start][:-1]:
+    for mask, most in _RINGS[start, budget][:-1]:
         left = left[np.bitwise_count(differ[left] & mask) <= most]
         if not len(left):
             return left
-    return left[np.bitwise_count(differ[left]) <= BUDGET]
+    return left[np.bitwise_count(differ[left]) <= budget]
 
 
-def forest(fps: np.ndarray, start: int) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, start: int, budget: int = BUDGET) -> list[tuple[int, int]]:
     """A spanning forest of the links among a run's fingerprints."""
     edges = []
     waiting = np.arange(len(fps))
@@ -112,7 +138,7 @@ def forest(fps: np.ndarray, start: int) -> list[tuple[int, int]]:
         queue, waiting = [int(waiting[0])], waiting[1:]
         while queue and len(waiting):
             u = queue.pop()
-            near = linked(fps[u], fps[waiting], start)
+            near = linked(fps[u], fps[waiting], start, budget)
             if len(near):
                 found = waiting[near]
                 edges += [(u, int(v)) for v in found]
@@ -141,20 +167,25 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndar
         yield int(held[0][0, 0]), int(held[0][0, 1]), held[0][:, 2]
 
 
-def _link_runs(batches):
-    starts = [s for s, _ in key_families()]
-    ours: list[np.ndarray] = []
-    for key, _, signed in _runs(batches):
-        fps = signed.view(np.uint64) if signed.flags.c_contiguous else np.ascontiguousarray(signed).view(np.uint64)
-        found = forest(fps, starts[key >> 32])
-        if found:
-            pair = np.array(found)
-            ours.append(np.stack([signed[pair[:, 0]], signed[pair[:, 1]]], axis=1))
-        if sum(map(len, ours)) > 1 << 16:
+def _link_runs(budget: int):
+    families = key_families(budget)
+    width = sum(bits for _, bits in families[0][1])
+
+    def run(batches):
+        ours: list[np.ndarray] = []
+        for key, _, signed in _runs(batches):
+            signed = np.ascontiguousarray(signed)
+            found = forest(signed.view(np.uint64), families[key >> width][0], budget)
+            if found:
+                pair = np.array(found)
+                ours.append(np.stack([signed[pair[:, 0]], signed[pair[:, 1]]], axis=1))
+            if sum(map(len, ours)) > 1 << 16:
+                yield _links(ours)
+                ours = []
+        if ours:
             yield _links(ours)
-            ours = []
-    if ours:
-        yield _links(ours)
+
+    return run
 
 
 def _links(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -162,17 +193,17 @@ def _links(parts: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows.min(1)), pa.array(rows.max(1))], names=["a", "b"])
 
 
-def links(fps: DataFrame, run_rows: int = 4096) -> DataFrame:
+def links(fps: DataFrame, run_rows: int = 4096, budget: int = BUDGET) -> DataFrame:
     """(a, b): links between different fingerprints (column ``fp``, distinct) that keep every component whole."""
-    keyed = fps.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
+    keyed = fps.select("fp", F.explode(_keys(F.col("fp"), budget)).alias("key"))
     counted = keyed.groupBy("key").count()
     hot = written(counted.filter(F.col("count") > run_rows), "hot")
     total = fps.count()
-    # keys above run_rows number at most 24 * rows / run_rows; only those above a 4096th of all rows are sure to be few
+    rows = total * len(key_families(budget))
+    # only keys above a 4096th of all rows are sure to be few
     cells = F.ceil(F.col("count") / F.lit(run_rows // 2)).cast("int")
-    few = hot.filter(F.col("count") > 24 * total / 4096).select("key", cells.alias("n"))
-    rest = hot.filter(F.col("count") <= 24 * total / 4096).select("key", cells.alias("n"))
-    ordinary = "key long, cell int, fp long"
+    few = hot.filter(F.col("count") > rows / 4096).select("key", cells.alias("n"))
+    rest = hot.filter(F.col("count") <= rows / 4096).select("key", cells.alias("n"))
     if hot.isEmpty():
         dealt = keyed.select("key", F.lit(0).alias("cell"), "fp")
     else:
@@ -183,7 +214,7 @@ def links(fps: DataFrame, run_rows: int = 4096) -> DataFrame:
         # cell (i, j) with i <= j sees the rows of both salts, so each pair of rows meets
         where = F.transform(F.sequence(F.lit(0), n - 1), lambda k: (F.least(k, F.col("mine")) * F.col("n_all") + F.greatest(k, F.col("mine"))).cast("int"))
         dealt = marked.withColumn("n_all", n).withColumn("mine", mine).select("key", F.explode(where).alias("cell"), "fp")
-    return dealt.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_link_runs, "a long, b long").distinct()
+    return dealt.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_link_runs(budget), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -219,19 +250,31 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """The first document (smallest id) of each near-duplicate group, with all its columns; repeated rows of it once."""
-    number = fresh(docs.columns, "fp")
-    marked = written(fingerprints(docs, text_col, number, shingle), "marked")
-    nodes = written(marked.groupBy(F.col(number).alias("fp")).agg(F.min(id_col).alias("low")), "nodes")
-    edges = written(links(nodes.select("fp")), "links")
-    rooted = written(components(edges, nodes.select("fp")).join(nodes, "fp"), "rooted")
-    # the fingerprint whose smallest id is the component's; then one row of it
-    first = rooted.groupBy("root").agg(F.min_by("fp", F.struct(F.col("low").isNull(), "low", "fp")).alias("fp"), F.min("low").alias("low"))
-    chosen = first.select(F.col("fp").alias(number), F.col("low").alias(fresh([*docs.columns, number], "low")))
-    low = chosen.columns[-1]
-    kept = marked.join(chosen, number).filter(F.col(id_col).eqNullSafe(F.col(low)))
-    return kept.dropDuplicates([number]).select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, budget: int = 7) -> DataFrame:
+    """The first document (smallest id) of each near-duplicate group, with all its columns; repeated rows of it once.
+
+    A budget above 3 bits finds more, and at a large corpus' size also chance neighbours; such links must be confirmed by
+    MinHash sketches of both texts.
+    """
+    number, sketch, row = (fresh(docs.columns, n) for n in ("fp", "sketch", "row"))
+    found = fingerprints(docs, text_col, number, shingle, sketch if budget > 3 else None)
+    marked = written(found.withColumn(row, F.monotonically_increasing_id()), "marked")  # a row's number is fixed once written
+    value = F.col(sketch) if budget > 3 else F.lit(None).cast("binary")
+    best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("low"), F.col(row).alias("row"), value.alias("sketch"))).alias("best")
+    nodes = written(marked.groupBy(F.col(number).alias("fp")).agg(best).select("fp", "best.low", "best.row", "best.sketch"), "nodes")
+    edges = written(links(nodes.select("fp"), budget=budget), "links")
+    if budget > 3:
+        side = lambda c, k: nodes.select(F.col("fp").alias(c), F.col("sketch").alias(k))
+        alike = F.lit(0)
+        for k in range(SKETCH):
+            alike = alike + (F.substring("sa", 1 + 4 * k, 4) == F.substring("sb", 1 + 4 * k, 4)).cast("int")
+        near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BUDGET
+        edges = written(edges.join(side("a", "sa"), "a").join(side("b", "sb"), "b").filter(near | (alike >= AGREE)).select("a", "b"), "confirmed")
+    rooted = components(edges, nodes.select("fp")).join(nodes.select("fp", "low", "row"), "fp")
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "row")).alias("best"))
+    # rows, not ids, are chosen: each once, however often its id is repeated
+    kept = marked.join(first.select(F.col("best.row").alias(row)).hint("merge"), row, "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,17 +128,33 @@ def test_links_keep_components_whole(spark, run_rows):
     assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
-def test_every_near_pair_shares_a_key():
+@pytest.mark.parametrize("budget", [3, 7])
+def test_every_near_pair_shares_a_key(budget):
     draw = random.Random(1)
-    families = simhash.key_families()
+    families = simhash.key_families(budget)
     for _ in range(3000):
         a = draw.getrandbits(64)
         b = a
-        for bit in draw.sample(range(64), draw.randint(0, 3)):
+        for bit in draw.sample(range(64), draw.randint(0, budget)):
             b ^= 1 << bit
-        part = lambda v, s: v >> (8 * s) & 255
-        shared = [s for s, segments in families if all(part(a, k) == part(b, k) for k in segments)]
-        assert any(len(simhash.linked(np.uint64(a), np.array([b], np.uint64), s)) for s in shared)
+        part = lambda v, first, bits: v >> first & (1 << bits) - 1
+        shared = [s for s, pieces in families if all(part(a, *x) == part(b, *x) for x in pieces)]
+        assert any(len(simhash.linked(np.uint64(a), np.array([b], np.uint64), s, budget)) for s in shared)
+
+
+def test_keep_one_finds_edited_copies(spark):
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abdeilnorstu") for _ in range(draw.randint(3, 9)))
+    docs, edited = [], 0
+    for i in range(60):
+        words = [word() for _ in range(300)]
+        docs.append((2 * i, " ".join(words)))
+        words[150] = "edited"
+        docs.append((2 * i + 1, " ".join(words)))
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert {2 * i for i in range(60)} <= kept
+    edited = len(kept) - 60
+    assert edited <= 6
 
 
 def test_keep_one(clashing):
