@@ -71,3 +71,15 @@ def test_run_is_its_stages(spark, folder):
 def test_ten_operators_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)
+
+
+def test_awkward_corpora(spark, folder, tmp_path):
+    root, _, _ = folder
+    for name, rows in (("none", []), ("nulls", [(None, None, None, None, None, None)] * 3 + [(1, "", None, None, 0, None), (1, "", None, None, 0, None), (2, "x " * 30000, "en", "s", 60000, "e")])):
+        spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            source = spark.read.parquet(f"{root}/{other}.parquet")
+            (source.limit(0) if name == "none" else source).write.parquet(f"{tmp_path}/{name}/{other}.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        # null and empty texts are equal: one of them stays
+        assert sorted(str(r["doc_id"]) for r in out) == ([] if name == "none" else ["1", "2"])
