@@ -38,34 +38,46 @@ def radius_pairs(prints: DataFrame, radius: int, block_rows: int = 4096) -> Data
 
 def _compare(radius: int, n: int):
     def run(table: pa.Table) -> pa.Table:
-        cell = table.column("cell")[0].as_py()
-        first, second = divmod(cell, n)
-        ids = table.column("file_id").to_numpy()
+        first, second = divmod(table.column("cell")[0].as_py(), n)
         mine = table.column("mine").to_numpy()
-        words = np.stack([table.column(f"w{i}").to_numpy().view(np.uint64) for i in range(WORDS)], axis=1)
-        left, right = np.flatnonzero(mine == first), np.flatnonzero(mine == second)
-        out_a, out_b, out_d = [], [], []
-        for i in left:
-            d = np.bitwise_count(words[right] ^ words[i]).sum(1, dtype=np.int32)
-            near = (d <= radius) & (ids[right] != ids[i])
-            if first == second:
-                near &= ids[right] > ids[i]
-            hit = right[near]
-            out_a.append(np.minimum(ids[i], ids[hit]))
-            out_b.append(np.maximum(ids[i], ids[hit]))
-            out_d.append(d[near])
-        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        return pa.table({"a": join(out_a, np.int64), "b": join(out_b, np.int64), "distance": join(out_d, np.int32)})
+        return _near(table, np.flatnonzero(mine == first), np.flatnonzero(mine == second), radius, first == second)
 
     return run
 
 
-def arrival_pairs(newcomers: DataFrame, covered: DataFrame, radius: int) -> DataFrame:
-    """Pairs of newcomers with covered rows and among themselves, each once; covered rows never meet each other."""
-    marked = newcomers.withColumn("new", F.lit(True)).unionByName(covered.join(newcomers.select("file_id"), "file_id", "left_anti").withColumn("new", F.lit(False)))
-    a = newcomers.select(F.col("file_id").alias("x"), *[F.col(f"w{i}").alias(f"v{i}") for i in range(WORDS)])
-    pairs = a.join(marked, ((F.col("new") & (F.col("x") < F.col("file_id"))) | ~F.col("new")) & (hamming("w", "v") <= radius))
-    return pairs.select(F.least("x", "file_id").alias("a"), F.greatest("x", "file_id").alias("b"), hamming("w", "v").alias("distance"))
+def _near(table: pa.Table, left: np.ndarray, right: np.ndarray, radius: int, within: bool) -> pa.Table:
+    """The pairs of two sets of rows inside the radius; ``within``: the sets are one, each pair once."""
+    ids = table.column("file_id").to_numpy()
+    words = np.stack([table.column(f"w{i}").to_numpy().view(np.uint64) for i in range(WORDS)], axis=1)
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in left:
+        d = np.bitwise_count(words[right] ^ words[i]).sum(1, dtype=np.int32)
+        near = (d <= radius) & (ids[right] > ids[i] if within else ids[right] != ids[i])
+        hit = ids[right[near]]
+        parts.append((np.minimum(ids[i], hit), np.maximum(ids[i], hit), d[near]))
+    joined = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(3)]
+    return pa.table({"a": joined[0].astype(np.int64), "b": joined[1].astype(np.int64), "distance": joined[2].astype(np.int32)})
+
+
+def arrival_pairs(newcomers: DataFrame, covered: DataFrame, radius: int, block_rows: int = 4096) -> DataFrame:
+    """Pairs of newcomers with covered rows and among themselves, each once; covered rows never meet each other.
+
+    The same grid of blocks as for all pairs, with the newcomers' blocks on one side.
+    """
+    fields = ["file_id", *[f"w{i}" for i in range(WORDS)]]
+    new = newcomers.select(*fields)
+    old = covered.select(*fields).join(new.select("file_id"), "file_id", "left_anti")
+    n_old = max(1, -(-old.count() // block_rows))
+    n_new = max(1, -(-new.count() // block_rows))
+    block = lambda n: F.pmod(F.xxhash64("file_id"), F.lit(n)).cast("int")
+    against = new.withColumn("new", F.lit(True)).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_old - 1)), lambda k: block(n_new) * n_old + k)))
+    held = old.withColumn("new", F.lit(False)).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_new - 1)), lambda k: k * n_old + block(n_old))))
+
+    def run(table: pa.Table) -> pa.Table:
+        fresh = table.column("new").to_numpy(zero_copy_only=False)
+        return _near(table, np.flatnonzero(fresh), np.flatnonzero(~fresh), radius, False)
+
+    return against.unionByName(held).groupBy("cell").applyInArrow(run, "a long, b long, distance int").unionByName(radius_pairs(new, radius, block_rows))
 
 
 def approve(pairs: DataFrame, samples: DataFrame, minimum: int = MINIMUM) -> DataFrame:
