@@ -221,3 +221,56 @@ def _(t):
     d = F.col("doc_id") % 4
     content = F.when(d == 0, F.unhex(F.lit("504B030414000000"))).when(d == 1, F.encode(F.lit("<html><body>"), "utf-8")).when(d == 2, F.unhex(F.lit("FFD8FFE000104A46"))).otherwise(F.unhex(F.lit("")))
     return t.documents.select("doc_id", media.failure_of_bytes(content).alias("reason"))
+
+
+def _family(name: str, spark_name, sql_date: str):
+    """Names of one family made from a stamp, and the date that they give back."""
+    query(name, f"SELECT id, {sql_date}::TIMESTAMP AS at FROM files")(lambda t: t.files.select("id", dates.from_file_name(spark_name(F.col("modified_at")), _NOW).alias("at")))
+
+
+_SECOND, _DAY = "modified_at", "date_trunc('day', modified_at)"
+_family("q123_messaging_names", lambda m: F.concat(F.lit("WhatsApp Image "), F.date_format(m, "yyyy-MM-dd"), F.lit(" at "), F.date_format(m, "HH.mm.ss"), F.lit(".jpeg")), _SECOND)
+_family("q124_epoch_names", lambda m: F.concat(F.lit("PhotoGrid_"), (F.unix_timestamp(m.cast("timestamp")) * 1000).cast("string"), F.lit(".jpg")), _SECOND)
+_family("q125_screenshot_names", lambda m: F.concat(F.lit("Screenshot_"), F.date_format(m, "yyyyMMdd-HHmmss"), F.lit("_app.png")), _SECOND)
+_family("q126_dotted_names", lambda m: F.concat(F.lit("03. "), F.date_format(m, "yyyy.MM.dd"), F.lit(". report.pdf")), _DAY)
+
+
+@query("q149_builtin_scalars", "SELECT c_custkey, lower(c_name) AS a, upper(trim(c_mktsegment)) AS b, replace(c_name, '#', '-') AS c, left(c_name, 5) AS d, length(c_name)::INT AS e, greatest(c_custkey, 100) AS f, least(c_custkey, 100) AS g, substr(c_name, 3, 4) AS h FROM customer")
+def _(t):
+    c = F.col("c_name")
+    return t.customer.select("c_custkey", F.lower(c).alias("a"), F.upper(F.trim("c_mktsegment")).alias("b"), F.replace(c, F.lit("#"), F.lit("-")).alias("c"), F.left(c, F.lit(5)).alias("d"), F.length(c).alias("e"), F.greatest("c_custkey", F.lit(100)).alias("f"), F.least("c_custkey", F.lit(100)).alias("g"), F.substring(c, 3, 4).alias("h"))
+
+
+@query("q177_lockout_counters", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey + 1 ELSE c_nationkey END::INT AS attempts, c_custkey % 3 = 0 AND c_nationkey + 1 >= 20 AS locked FROM customer")
+def _(t):
+    from ..operators import mutations
+
+    failed = F.col("c_custkey") % 3 == 0
+    rows = t.customer.select("c_custkey", F.col("c_nationkey").alias("attempts"), F.lit(False).alias("locked"))
+    return mutations.set_where(rows, failed, attempts=F.col("attempts") + 1, locked=F.col("attempts") + 1 >= 20)
+
+
+def _streams(t):
+    e = F.col("event_id")
+    text = F.concat(F.lit('{"streams":[{"codec_type":"video","avg_frame_rate":"'), F.when(e % 4 == 0, "0/0").otherwise(F.concat((e % 50).cast("string"), F.lit("/2"))), F.lit('","r_frame_rate":"25/1","color_space":"'), F.when(e % 5 == 0, "bt2020nc").otherwise("bt709"), F.lit('","tags":{"rotate":"'), F.when(e % 3 == 0, "270").otherwise("?"), F.lit('"}}],"format":{"tags":{"location-eng":"-23.5505-046.6333/"}}}'))
+    return t.events.select("event_id", media.probe(text).alias("p")).select("event_id", "p", media.stream(F.col("p"), "video").alias("v"))
+
+
+@query("q193_frame_rates", "SELECT event_id, CASE WHEN event_id % 4 = 0 OR event_id % 50 = 0 THEN 25.0::DOUBLE ELSE (event_id % 50) / 2.0::DOUBLE END AS fps FROM events")
+def _(t):
+    return _streams(t).select("event_id", media.frame_rate(F.col("v")).alias("fps"))
+
+
+@query("q194_iso_locations", "SELECT event_id, -23.5505::DOUBLE AS lat, -46.6333::DOUBLE AS lon FROM events")
+def _(t):
+    return _streams(t).select("event_id", media.location(F.col("p")).alias("l")).select("event_id", F.col("l.latitude").alias("lat"), F.col("l.longitude").alias("lon"))
+
+
+@query("q195_hdr", "SELECT event_id FROM events WHERE event_id % 5 = 0")
+def _(t):
+    return _streams(t).filter(media.is_hdr(F.col("v"))).select("event_id")
+
+
+@query("q196_rotation", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 270 END::INT AS rotation FROM events")
+def _(t):
+    return _streams(t).select("event_id", media.rotation(F.col("v")).alias("rotation"))
