@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import fresh, table, written
 
 WINDOW = 10
+BLOCK_BYTES = 4 << 20  # of benchmark text in one broadcast set: some hundred MB of windows on a worker at most
 #: Lower-cases A-Z and turns every ASCII byte that is neither digit nor letter into a space; bytes from 0x80 stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -85,7 +86,7 @@ def blocks_of(benchmark: DataFrame, block_bytes: int, item: str = "item_id", tex
         yield [(r["item"] or "", r["text"]) for r in part.collect()]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_bytes: int = 32 << 20) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with two more columns: ``hit_words`` (a byte per word, 1 if hit) and ``hit_items`` (sorted item ids).
 
     An item shorter than the window is one window; an item or document without words has none.  Null text: no words.
@@ -139,20 +140,21 @@ def _digest(batches):
         )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", mode: str = "document", window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", mode: str = "document", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Remove what the benchmark has: whole documents, or only the hit spans (``mode="span"``).
 
     The columns stay as they are.  By span, the text from the first to the last word of each hit run goes, and again until
     no window is left, as what comes together may form a window anew; the rest is joined by a line feed.
     """
     if mode == "document":
-        found = find_hits(docs, benchmark, text_col, window)
+        found = find_hits(docs, benchmark, text_col, window, block_bytes)
         bits = found.columns[-2]
         return found.filter(F.instr(F.hex(bits), "01") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
     if mode != "span":
         raise ValueError("mode is 'document' or 'span'")
-    out = docs
-    for block in blocks_of(benchmark, 32 << 20):
+    out, passes = docs, 0
+    for block in blocks_of(benchmark, block_bytes):
+        out, passes = (written(out, "cut") if passes else out), passes + 1
         out = out.mapInArrow(_cut(docs.sparkSession.sparkContext.broadcast(WindowSet(block, window)), text_col), docs.schema)
     return out
 
