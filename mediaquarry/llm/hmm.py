@@ -16,10 +16,10 @@ scaled forward recursion over each whole text.
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,72 +36,75 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, and how many each text has; the same words as ``words_of``, without Python objects."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    flat = lists.flatten()
+    whole = np.diff(lists.offsets.to_numpy())
+    real = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves empty parts
+    seen = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
+    ends = np.cumsum(whole)
+    return flat.filter(real), seen[ends] - seen[ends - whole]
+
+
+def _block(rows: pa.Table) -> pa.Table:
+    return pa.concat_tables(blocks.unpack(rows)).combine_chunks()
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    chunks = table.column(name).chunks
+    return chunks[0] if len(chunks) == 1 else pa.concat_arrays(chunks) if chunks else pa.array([], table.column(name).type)
+
+
 def _ask(rows: pa.Table) -> pa.Table:
-    block = rows.column("block")[0].as_py()
-    counts: dict[bytes, int] = {}
-    held: set[bytes] = set()
-    for part in blocks.unpack(rows):
-        for text, out in zip(part.column("text"), part.column("held_out").to_pylist()):
-            words = words_of(text.as_py())
-            if out:
-                held.update(words)
-            else:
-                for w in words:
-                    counts[w] = counts.get(w, 0) + 1
-    for w in held:
-        counts.setdefault(w, 0)
-    return pa.table({
-        "block": pa.array(np.full(len(counts), block, np.int32)),
-        "word": pa.array(list(counts), pa.binary()).cast(pa.string()),
-        "n": pa.array(list(counts.values()), pa.int64()),
-    })
-
-
-def bucket_of(word: bytes, buckets: int) -> int:
-    return FIRST + zlib.crc32(word) % buckets
-
-
-def _symbols(total: int, distinct: int, once: int, twice: int, ends: int, buckets: int, mass: np.ndarray):
+    """A block's distinct words with their counts in its training rows."""
+    block, docs = rows.column("block")[0].as_py(), _block(rows)
+    words, sizes = tokens_of(_column(docs, "text"))
+    held = np.repeat(_column(docs, "held_out").to_numpy(zero_copy_only=False), sizes)
+    trained = pc.value_counts(words.filter(pa.array(~held)))
+    out = pa.table({"word": pa.concat_arrays([trained.field("values"), pc.unique(words.filter(pa.array(held)))]), "n": pa.concat_arrays([trained.field("counts"), pa.array(np.zeros(len(pc.unique(words.filter(pa.array(held)))), np.int64))])})
+    out = out.group_by("word").aggregate([("n", "sum")])
+    return pa.table({"block": pa.array(np.full(len(out), block, np.int32)), "word": out.column("word").cast(pa.string()), "n": out.column("n_sum")})
+
+
+def _symbols(total: int, distinct: int, once: int, twice: int, trained_ends: int, mass: np.ndarray):
     """Per block: each document's symbols and what its words add to the score beside the states."""
     unseen, single = max(once, 1), 2 * twice
     # shares of RARE: the unknown word, and each word seen once
     share_unknown = math.log10(unseen / (unseen + single)) if once else 0.0
     share_single = math.log10(single / (unseen + single) / once) if once and twice else -math.inf
 
+    lowest = math.log10(total + distinct + 1)
+    end_base = math.log10(trained_ends + 1) - lowest
+
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        count = dict(zip(answers.column("word").cast(pa.binary()).to_pylist(), answers.column("c").to_pylist()))
-        number: dict[bytes, int] = {}
-        symbol, base, known, inner = [], [], [], []
-        lowest = math.log10(total + distinct + 1)
-        for w, c in count.items():
-            number[w] = len(symbol)
-            base.append(math.log10(c + 1) - lowest)
-            known.append(c > 0)
-            if c >= 2:
-                b = bucket_of(w, buckets)
-                symbol.append(b)
-                inner.append(math.log10(c / mass[b]))
-            else:
-                symbol.append(RARE)
-                inner.append(share_single if c and math.isfinite(share_single) else share_unknown)
-        symbol, base = np.array(symbol, np.uint16), np.array(base)
-        known, inner = np.array(known, np.int64), np.array(inner)
-        end_base = math.log10(ends + 1) - lowest
-        out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_sum", "word_sum", "symbols")}
-        for part in blocks.unpack(rows):
-            for doc, text, held in zip(part.column("id").to_pylist(), part.column("text"), part.column("held_out").to_pylist()):
-                words = words_of(text.as_py())
-                at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-                out["doc_id"].append(doc)
-                out["held_out"].append(held)
-                out["n_tokens"].append(len(words) + 1)
-                out["n_known"].append(int(known[at].sum()) + (ends > 0))
-                out["base_sum"].append(float(base[at].sum()) + end_base)
-                out["word_sum"].append(float(inner[at].sum()))
-                out["symbols"].append(np.append(symbol[at], np.uint16(END)).tobytes())
+        count = answers.column("c").to_numpy()
+        bucket = answers.column("bucket").to_numpy()
+        base, known = np.log10(count + 1.0) - lowest, (count > 0).astype(np.int64)
+        often = count >= 2
+        symbol = np.where(often, bucket, RARE).astype(np.uint16)
+        inner = np.where(often, np.log10(np.maximum(count, 1) / mass[np.where(often, bucket, END)]), np.where((count == 1) & math.isfinite(share_single), share_single, share_unknown))
+        docs = _block(rows)
+        words, sizes = tokens_of(_column(docs, "text"))
+        at = pc.index_in(words, value_set=_column(answers, "word").cast(pa.large_string())).to_numpy()
+        ends = np.cumsum(sizes)
+        full = np.flatnonzero(sizes)
+
+        def summed(values: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(sizes), values.dtype)
+            if len(full):
+                out[full] = np.add.reduceat(values[at], (ends - sizes)[full])
+            return out
+
+        coded = np.full(len(at) + len(sizes), END, np.uint16)
+        borders = np.zeros(len(coded), bool)
+        borders[ends + np.arange(len(sizes))] = True
+        coded[~borders] = symbol[at]
+        offsets = np.concatenate(([0], 2 * (ends + np.arange(1, len(sizes) + 1)))).astype(np.int32)
+        symbols = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(coded)])
         return pa.table({
-            "doc_id": pa.array(out["doc_id"], pa.int64()), "held_out": pa.array(out["held_out"], pa.bool_()), "n_tokens": pa.array(out["n_tokens"], pa.int64()),
-            "n_known": pa.array(out["n_known"], pa.int64()), "base_sum": pa.array(out["base_sum"], pa.float64()), "word_sum": pa.array(out["word_sum"], pa.float64()), "symbols": pa.array(out["symbols"], pa.binary()),
+            "doc_id": _column(docs, "id"), "held_out": _column(docs, "held_out"), "n_tokens": pa.array(sizes + 1, pa.int64()), "n_known": pa.array(summed(known) + (trained_ends > 0)),
+            "base_sum": pa.array(summed(base) + end_base), "word_sum": pa.array(summed(inner)), "symbols": symbols,
         })
 
     return run
@@ -155,33 +158,30 @@ class Hmm:
         start, move, emit = sums
         n, top = windows.shape
         k = len(self.start)
-        alphas, scales = np.zeros((top, n, k)), np.ones((top, n))
+        emission, step = self.emit.astype(np.float32), self.move.astype(np.float32)
+        alphas, scales = np.zeros((top, n, k), np.float32), np.ones((top, n), np.float32)
+        live = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(top + 1)]  # windows longer than t
         total = 0.0
         for t in range(top):
-            now = int(np.searchsorted(-lengths, -t, side="left"))
-            alpha = (alphas[t - 1, :now] @ self.move if t else np.repeat(self.start[None, :], now, 0)) * self.emit[windows[:now, t]]
+            now = live[t]
+            alpha = (alphas[t - 1, :now] @ step if t else np.repeat(self.start.astype(np.float32)[None, :], now, 0)) * emission[windows[:now, t]]
             scale = alpha.sum(1)
-            alphas[t, :now] = alpha / scale[:, None]
+            np.divide(alpha, scale[:, None], out=alphas[t, :now])
             scales[t, :now] = scale
-            total += np.log10(scale).sum()
-        beta = np.ones((n, k))
-        weights = np.zeros((top, n, k))
+            total += float(np.log10(scale).sum(dtype=np.float64))
+        beta = np.ones((n, k), np.float32)
         for t in range(top - 1, -1, -1):
-            now = int(np.searchsorted(-lengths, -t, side="left"))
-            if t + 1 < top:
-                after = int(np.searchsorted(-lengths, -(t + 1), side="left"))
-                if after:
-                    ahead = self.emit[windows[:after, t + 1]] * beta[:after] / scales[t + 1, :after, None]
-                    move += (alphas[t, :after].T @ ahead) * self.move
-                    beta[:after] = ahead @ self.move.T
-            gamma = alphas[t, :now] * beta[:now]
-            weights[t, :now] = gamma
-            if t == 0:
-                start += gamma[fresh[:now]].sum(0)
-        live = (np.arange(top)[:, None] < lengths[None, :]).ravel()
-        which = windows.T.ravel()[live]
+            after = live[t + 1]
+            if after:
+                ahead = emission[windows[:after, t + 1]] * beta[:after] / scales[t + 1, :after, None]
+                move += (alphas[t, :after].T @ ahead) * self.move
+                beta[:after] = ahead @ step.T
+            alphas[t, : live[t]] *= beta[: live[t]]  # from here on the share of each state
+        start += alphas[0, : live[0]][fresh[: live[0]]].sum(0)
+        used = np.arange(top)[:, None] < lengths[None, :]
+        which = windows.T[used]
         for s in range(k):
-            emit[:, s] += np.bincount(which, weights=weights[:, :, s].ravel()[live], minlength=len(emit))
+            emit[:, s] += np.bincount(which, weights=alphas[:, :, s][used], minlength=len(emit))
         return total
 
 
@@ -255,8 +255,9 @@ def encode(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
     dealt = blocks.deal(rows, "id", "text", block_bytes)
     asked = written(blocks.words_by_block(dealt, _ask, "block int, word string, n long"), "asked")
     counted = asked.withColumn("c", F.sum("n").over(Window.partitionBy("word")))
-    answers = written(counted.select("word", "c", "block", F.row_number().over(Window.partitionBy("word").orderBy("block")).alias("k")), "counts")
-    symbol = F.when(F.col("c") >= 2, F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(buckets)) + FIRST).otherwise(RARE)
+    bucket = (F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(buckets)) + FIRST).cast("int")
+    answers = written(counted.select("word", "c", bucket.alias("bucket"), "block", F.row_number().over(Window.partitionBy("word").orderBy("block")).alias("k")), "counts")
+    symbol = F.when(F.col("c") >= 2, F.col("bucket")).otherwise(RARE)
     each = answers.filter("k = 1 AND c > 0").groupBy(symbol.cast("int").alias("symbol")).agg(F.sum("c").alias("mass"), F.count(F.lit(1)).alias("words"), F.sum(F.when(F.col("c") == 2, 1).otherwise(0)).alias("twice")).collect()
     ends = rows.filter("NOT held_out").count()
     frequencies = np.zeros(buckets + FIRST)
@@ -267,8 +268,8 @@ def encode(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
     frequencies[END] = ends
     totals["distinct"] = totals["words"] + (ends > 0)
     mass = np.maximum(frequencies, 1)
-    work = _symbols(totals["tokens"], totals["distinct"], once, totals["twice"], ends, buckets, mass)
-    return written(blocks.per_block(dealt, answers.select("block", "word", "c"), work, _ROWS), "symbols"), totals, frequencies
+    work = _symbols(totals["tokens"], totals["distinct"], once, totals["twice"], ends, mass)
+    return written(blocks.per_block(dealt, answers.select("block", "word", "c", "bucket"), work, _ROWS), "symbols"), totals, frequencies
 
 
 def train(encoded: DataFrame, frequencies: np.ndarray, states: int = STATES, passes: int = PASSES, train_window: int = TRAIN_WINDOW) -> tuple[Hmm, list[float]]:
