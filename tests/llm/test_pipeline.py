@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
+from test_text_operators import _brute_fingerprint, _brute_hits, _brute_lines
 
 import corpus_pipeline
 from mediaquarry.llm import queries
@@ -68,6 +70,50 @@ def test_run_is_its_stages(spark, folder):
     assert key(corpus_pipeline.run(spark, root)) == key(docs)
 
 
+def test_run_against_brute_force(spark, folder):
+    """The whole pipeline in plain Python: the labels say what is toxic here, all the rest is computed."""
+    from tokenizers import Tokenizer
+
+    root, _, _ = folder
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{root}/documents.parquet").collect()]
+    toxic = {r["doc_id"] for r in spark.read.parquet(f"{root}/labels.parquet").filter("toxic = 1").collect()}
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{root}/benchmark.parquet").collect()]
+    docs = [(i, t) for i, t in docs if i not in toxic]
+    gone = _brute_lines(docs, 50)
+    cut = []
+    for i, t in docs:
+        if i in gone:
+            t = "\n".join(line for k, line in enumerate(t.split("\n")) if k not in gone[i])
+            if not t.strip(" \t\n\r\x0b\x0c"):
+                continue
+        cut.append((i, t))
+    shingles = {i: set(zip(*[(t or "").lower().split()[k:] for k in range(5)])) for i, t in cut}
+    prints = {i: _brute_fingerprint(t, 5) for i, t in cut}
+    root_of = {i: i for i, _ in cut}
+
+    def find(i):
+        while root_of[i] != i:
+            i = root_of[i]
+        return i
+
+    for a, _ in cut:
+        for b, _ in cut:
+            d = bin(prints[a] ^ prints[b]).count("1") if a < b else 99
+            if d <= 3 or d <= 7 and len(shingles[a] & shingles[b]) >= 0.6 * len(shingles[a] | shingles[b]):
+                x, y = sorted((find(a), find(b)))
+                root_of[y] = x
+    near = [(i, t) for i, t in cut if find(i) == i]
+    hits = _brute_hits(near, bench)
+    tok = Tokenizer.from_file(corpus_pipeline.bpe.default_path())
+    want = {}
+    for i, t in near:
+        if not hits[i][1]:
+            ids = tok.encode(t or "", add_special_tokens=False).ids
+            want[i] = (len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest())
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, root).collect()}
+    assert got == want
+
+
 def test_ten_operators_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)
