@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], newest: list[str]) -> DataFrame:
     """Both tables' rows, of each key the one with the largest ``newest``."""
@@ -68,11 +72,27 @@ def older_than(rows: DataFrame, column: str, cutoff: Column, finished: Column) -
 def with_ids(rows: DataFrame, order: list[Column], start: int = 0, out: str = "id") -> DataFrame:
     """Deterministic consecutive ids in the given order.
 
-    A range partition and counts of its partitions, not one sorted task: ``zipWithIndex`` numbers sorted partitions.
+    Sorted range partitions number their own rows; the partitions' counts (one small row each) say where each begins.  No
+    task sees all rows.
     """
-    ordered = rows.orderBy(*order)
-    schema = ordered.withColumn(out, F.lit(0).cast("long")).schema
-    return ordered.rdd.zipWithIndex().map(lambda p: (*p[0], p[1] + start)).toDF(schema)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, so_far = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            own = np.arange(so_far, so_far + len(batch))
+            so_far += len(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(np.full(len(batch), part, np.int32))], names=[*batch.schema.names, out, "__part"])
+
+    schema = rows.withColumn(out, F.lit(0).cast("long")).withColumn("__part", F.lit(0)).schema
+    local = written(rows.orderBy(*order).mapInArrow(run, schema), "numbered")
+    offsets, total = [], start
+    for part, n in sorted((r["__part"], r["count"]) for r in local.groupBy("__part").count().collect()):
+        offsets.append((part, total))
+        total += n
+    before = rows.sparkSession.createDataFrame(offsets or [(0, start)], "__part int, __before long")
+    return local.join(F.broadcast(before), "__part").withColumn(out, F.col(out) + F.col("__before")).drop("__part", "__before")
 
 
 def retyped(files: DataFrame, types: dict[str, str]) -> DataFrame:
