@@ -21,8 +21,13 @@ _ZSTD = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
 
 
 def deal(rows: DataFrame, id_col: str, text_col: str, block_bytes: int = 16 << 20, n_blocks: int | None = None) -> DataFrame:
-    """(block, piece): the rows of each block as pieces; one exchange, which later uses share."""
-    count = n_blocks or max(1, -(-text_bytes(rows, text_col) // block_bytes))
+    """(block, piece): the rows of each block as pieces; one exchange, which later uses share.
+
+    A small corpus gets more and smaller blocks, down to a megabyte, so that every core has some.
+    """
+    size = text_bytes(rows, text_col)
+    spread = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (1 << 20)))
+    count = n_blocks or max(1, -(-size // block_bytes), spread)
     keyed = rows.withColumn("__block", F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(count)).cast("int"))
     return keyed.mapInArrow(_pack, "block int, piece binary").repartition("block")
 
