@@ -25,7 +25,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: fingerprints over shingles of five words, three bits apart."""
+    """One document of each group of near copies stays: fingerprints three bits apart, or 0.8 of the five-word shingles shared."""
     return simhash.keep_one(docs, shingle=5)
 
 

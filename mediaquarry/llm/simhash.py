@@ -12,11 +12,16 @@ Copies never meet: equal fingerprints are one row.  Inside a key's run a search
 n gives at most n - 1 links (a spanning forest of the real ones), never all pairs.  Keys that hold more than ``run_rows``
 fingerprints are split into a grid of salted cells, whose tasks are bounded.  Components come from minimum labels with
 pointer jumping over written tables.
+
+Where more than the closest fingerprints is asked for, texts meet by their MinHash sketches: of 24 values 14 agree, so that
+at most ten of their twelve pairs of values differ and two pairs at least are the same.  Each pair of values is a key, and
+no two such sketches miss each other.  Their links are confirmed inside the run, by the Hamming distance or by the share
+of common shingles, before the search follows them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +34,8 @@ from .common import fresh, table, written
 
 SEGMENTS, SEGMENT_BITS, BUDGET = 8, 8, 3
 SHINGLE = 3
-SKETCH, AGREE = 24, 14  # MinHash values, and how many must agree where a wide budget's links are held against the texts
+SKETCH, AGREE = 24, 14  # MinHash values, and how many must agree where links are held against the texts
+SHARED = (4, 5)  # the share of common shingles, 0.8, from which texts whose fingerprints are further apart are near copies
 _ODD = np.array([2 * xxhash.xxh64_intdigest(b"sketch %d" % k) + 1 & (1 << 64) - 1 for k in range(SKETCH)], dtype=np.uint64)
 _BELOW = np.array([1 << b for b in range(64)], dtype=np.uint64)
 
@@ -68,6 +74,11 @@ def _sketch(hashes: list[int]) -> bytes:
     return b"".join(int((grid * m >> np.uint64(32)).min()).to_bytes(4, "little") for m in _ODD)
 
 
+def _shingle_set(hashes: list[int]) -> bytes:
+    """The distinct shingles as 32-bit numbers."""
+    return np.unique(np.array(hashes or [0], np.uint64) >> np.uint64(32)).astype("<u4").tobytes()
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp", shingle: int = SHINGLE, sketch: str | None = None) -> DataFrame:
     """``docs`` with the fingerprint as a signed long, and with a sketch if its column is named."""
 
@@ -82,6 +93,17 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp", shing
     return docs.mapInArrow(run, (added.withColumn(sketch, F.lit(None).cast("binary")) if sketch else added).schema)
 
 
+def _with_shingles(texts: DataFrame, shingle: int) -> DataFrame:
+    """(fp, sketch, shingles) of (fp, sketch, text)."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [_shingle_set(_shingle_hashes(t.as_py(), shingle)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("sketch"), pa.array(sets, pa.binary())], names=["fp", "sketch", "shingles"])
+
+    return texts.mapInArrow(run, "fp long, sketch binary, shingles binary")
+
+
 def key_families(budget: int = BUDGET) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """(start, ((first bit, bits), ...)): what two fingerprints within the budget share for one family at least.
 
@@ -130,52 +152,103 @@ def linked(one: np.uint64, others: np.ndarray, start: int, budget: int = BUDGET)
     return left[np.bitwise_count(differ[left]) <= budget]
 
 
-def forest(fps: np.ndarray, start: int, budget: int = BUDGET) -> list[tuple[int, int]]:
-    """A spanning forest of the links among a run's fingerprints."""
+def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links among a run's rows; ``near`` gives the places in the second that the first links to."""
     edges = []
-    waiting = np.arange(len(fps))
+    waiting = np.arange(n)
     while len(waiting):
         queue, waiting = [int(waiting[0])], waiting[1:]
         while queue and len(waiting):
             u = queue.pop()
-            near = linked(fps[u], fps[waiting], start, budget)
-            if len(near):
-                found = waiting[near]
+            places = near(u, waiting)
+            if len(places):
+                found = waiting[places]
                 edges += [(u, int(v)) for v in found]
                 queue += found.tolist()
-                waiting = np.delete(waiting, near)
+                waiting = np.delete(waiting, places)
     return edges
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(key, cell, fingerprints) of each run of a sorted partition; a run may cross batches."""
-    held: list[np.ndarray] = []
+def _alike(fps: np.ndarray, sketches: np.ndarray, sets: np.ndarray | None, budget: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Links by sketches; with shingle sets only those within the budget or with enough shingles in common."""
+    numbered: list[np.ndarray] = []
+
+    def common(u: int, others: np.ndarray) -> np.ndarray:
+        if not numbered:  # the run's shingles as small numbers
+            _, own = np.unique(np.concatenate(sets), return_inverse=True)
+            numbered.extend(np.split(own.astype(np.int32), np.cumsum([len(x) for x in sets])[:-1]))
+            numbered.append(np.zeros(int(own.max()) + 1, bool))
+        marks = numbered[-1]
+        marks[numbered[u]] = True
+        sizes = np.array([len(sets[v]) for v in others])
+        both = np.add.reduceat(marks[np.concatenate([numbered[v] for v in others])], np.cumsum(sizes) - sizes, dtype=np.int64)
+        marks[numbered[u]] = False
+        return both * SHARED[1] >= (len(sets[u]) + sizes - both) * SHARED[0]
+
+    def near(u: int, waiting: np.ndarray) -> np.ndarray:
+        places = np.flatnonzero((sketches[waiting] == sketches[u]).sum(1) >= AGREE)
+        if sets is None or not len(places):
+            return places
+        others = waiting[places]
+        held = np.bitwise_count(fps[others] ^ fps[u]) <= budget
+        far = np.flatnonzero(~held)
+        if len(far):
+            held[far] = common(u, others[far])
+        return places[held]
+
+    return near
+
+
+def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Key, cell, fingerprint and, if they are there, sketch and shingle set."""
+    out = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "cell", "fp")]
+    if "sketch" in batch.schema.names:
+        out.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u4").reshape(-1, SKETCH))
+    if "shingles" in batch.schema.names:
+        sets = np.empty(len(batch), object)
+        sets[:] = [np.frombuffer(x, "<u4") for x in batch.column("shingles").to_pylist()]
+        out.append(sets)
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The key of each run of a sorted partition with its fingerprints (and more); a run may cross batches."""
+    held: list[list[np.ndarray]] = []
     for batch in batches:
-        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "cell", "fp")], axis=1)
-        if held and len(rows):
-            rows = np.concatenate([*held, rows])
-            held = []
-        if not len(rows):
+        if not len(batch):
             continue
-        edge = np.flatnonzero((rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])) + 1
+        held.append(_arrays(batch))
+        key, cell = held[-1][0], held[-1][1]
+        if (key[-1], cell[-1]) == (held[0][0][0], held[0][1][0]):
+            continue  # all of one run so far
+        rows = [np.concatenate(c) for c in zip(*held)]
+        key, cell = rows[0], rows[1]
+        edge = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
         bounds = np.concatenate(([0], edge))
-        sizes = np.diff(np.append(bounds, len(rows)))
-        for a, n in zip(bounds[:-1][sizes[:-1] > 1].tolist(), sizes[:-1][sizes[:-1] > 1].tolist()):
-            yield int(rows[a, 0]), int(rows[a, 1]), rows[a : a + n, 2]
-        held = [rows[bounds[-1] :]]
-    if held and len(held[0]) > 1:
-        yield int(held[0][0, 0]), int(held[0][0, 1]), held[0][:, 2]
+        sizes = np.diff(bounds)
+        for a, n in zip(bounds[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+            yield int(key[a]), [c[a : a + n] for c in rows[2:]]
+        held = [[c[bounds[-1] :] for c in rows]]
+    if sum(len(h[0]) for h in held) > 1:
+        rows = [np.concatenate(c) for c in zip(*held)]
+        yield int(rows[0][0]), rows[2:]
 
 
-def _link_runs(budget: int):
+def _link_runs(budget: int, alike: bool = False):
     families = key_families(budget)
     width = sum(bits for _, bits in families[0][1])
 
     def run(batches):
         ours: list[np.ndarray] = []
-        for key, _, signed in _runs(batches):
+        for key, (signed, *more) in _runs(batches):
             signed = np.ascontiguousarray(signed)
-            found = forest(signed.view(np.uint64), families[key >> width][0], budget)
+            fps = signed.view(np.uint64)
+            if alike:
+                near = _alike(fps, more[0], more[1] if len(more) > 1 else None, budget)
+            else:
+                start = families[key >> width][0]
+                near = lambda u, waiting: linked(fps[u], fps[waiting], start, budget)  # noqa: B023, E731  used up before the next run
+            found = forest(len(fps), near)
             if found:
                 pair = np.array(found)
                 ours.append(np.stack([signed[pair[:, 0]], signed[pair[:, 1]]], axis=1))
@@ -196,16 +269,30 @@ def _links(parts: list[np.ndarray]) -> pa.RecordBatch:
 def links(fps: DataFrame, run_rows: int = 4096, budget: int = BUDGET) -> DataFrame:
     """(a, b): links between different fingerprints (column ``fp``, distinct) that keep every component whole."""
     keyed = fps.select("fp", F.explode(_keys(F.col("fp"), budget)).alias("key"))
+    return _dealt(keyed, run_rows, fps.count() * len(key_families(budget))).mapInArrow(_link_runs(budget), "a long, b long").distinct()
+
+
+def alike_links(nodes: DataFrame, run_rows: int = 4096, budget: int = 7) -> DataFrame:
+    """(a, b): links between ``nodes`` (fp, distinct, and sketch) whose sketches agree, that keep every component whole.
+
+    With the column ``shingles`` only pairs within the budget, or that share enough of their shingles, are linked.
+    """
+    pairs = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 1 + 8 * k, 8)) for k in range(SKETCH // 2)])
+    keyed = nodes.select("*", F.explode(pairs).alias("key"))
+    return _dealt(keyed, run_rows, nodes.count() * (SKETCH // 2)).mapInArrow(_link_runs(budget, alike=True), "a long, b long").distinct()
+
+
+def _dealt(keyed: DataFrame, run_rows: int, rows: int) -> DataFrame:
+    """Rows with a key, sorted into runs of a key and cell; the keys of many rows are split into cells."""
+    more = [c for c in keyed.columns if c != "key"]
     counted = keyed.groupBy("key").count()
     hot = written(counted.filter(F.col("count") > run_rows), "hot")
-    total = fps.count()
-    rows = total * len(key_families(budget))
     # only keys above a 4096th of all rows are sure to be few
     cells = F.ceil(F.col("count") / F.lit(run_rows // 2)).cast("int")
     few = hot.filter(F.col("count") > rows / 4096).select("key", cells.alias("n"))
     rest = hot.filter(F.col("count") <= rows / 4096).select("key", cells.alias("n"))
     if hot.isEmpty():
-        dealt = keyed.select("key", F.lit(0).alias("cell"), "fp")
+        dealt = keyed.select("key", F.lit(0).alias("cell"), *more)
     else:
         known = F.broadcast(few)  # fewer than 4096 keys
         marked = keyed.join(known, "key", "left").withColumnRenamed("n", "few").join(rest, "key", "left")
@@ -213,8 +300,8 @@ def links(fps: DataFrame, run_rows: int = 4096, budget: int = BUDGET) -> DataFra
         mine = F.pmod(F.xxhash64("fp"), n).cast("int")
         # cell (i, j) with i <= j sees the rows of both salts, so each pair of rows meets
         where = F.transform(F.sequence(F.lit(0), n - 1), lambda k: (F.least(k, F.col("mine")) * F.col("n_all") + F.greatest(k, F.col("mine"))).cast("int"))
-        dealt = marked.withColumn("n_all", n).withColumn("mine", mine).select("key", F.explode(where).alias("cell"), "fp")
-    return dealt.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_link_runs(budget), "a long, b long").distinct()
+        dealt = marked.withColumn("n_all", n).withColumn("mine", mine).select("key", F.explode(where).alias("cell"), *more)
+    return dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -253,8 +340,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, budget: int = 7) -> DataFrame:
     """The first document (smallest id) of each near-duplicate group, with all its columns; repeated rows of it once.
 
-    A budget above 3 bits finds more, and at a large corpus' size also chance neighbours; such links must be confirmed by
-    MinHash sketches of both texts.
+    With a budget above 3 bits texts are linked too if their sketches agree (see above) and either the fingerprints are
+    within the budget or the texts share 0.8 of their shingles, however far apart the fingerprints are.  Chance neighbours
+    in a large corpus stay apart.
     """
     number, sketch, row = (fresh(docs.columns, n) for n in ("fp", "sketch", "row"))
     found = fingerprints(docs, text_col, number, shingle, sketch if budget > 3 else None)
@@ -262,14 +350,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     value = F.col(sketch) if budget > 3 else F.lit(None).cast("binary")
     best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("low"), F.col(row).alias("row"), value.alias("sketch"))).alias("best")
     nodes = written(marked.groupBy(F.col(number).alias("fp")).agg(best).select("fp", "best.low", "best.row", "best.sketch"), "nodes")
-    edges = written(links(nodes.select("fp"), budget=budget), "links")
-    if budget > 3:
-        side = lambda c, k: nodes.select(F.col("fp").alias(c), F.col("sketch").alias(k))
-        alike = F.lit(0)
-        for k in range(SKETCH):
-            alike = alike + (F.substring("sa", 1 + 4 * k, 4) == F.substring("sb", 1 + 4 * k, 4)).cast("int")
-        near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BUDGET
-        edges = written(edges.join(side("a", "sa"), "a").join(side("b", "sb"), "b").filter(near | (alike >= AGREE)).select("a", "b"), "confirmed")
+    edges = written(links(nodes.select("fp"), budget=min(budget, BUDGET)), "links")
+    if budget > BUDGET:
+        # only texts whose sketch agrees with another's need their shingles
+        some = written(alike_links(nodes.select("fp", "sketch"), budget=budget), "alike")
+        ends = written(some.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "row", "sketch"), "fp"), "ends")
+        texts = marked.select(F.col(row).alias("row"), F.col(f"`{text_col}`").alias("text")).join(ends, "row").select("fp", "sketch", "text")
+        edges = edges.union(alike_links(written(_with_shingles(texts, shingle), "shingles"), 2048, budget))
     rooted = components(edges, nodes.select("fp")).join(nodes.select("fp", "low", "row"), "fp")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "row")).alias("best"))
     # rows, not ids, are chosen: each once, however often its id is repeated

@@ -157,6 +157,27 @@ def test_keep_one_finds_edited_copies(spark):
     assert edited <= 6
 
 
+def test_keep_one_finds_texts_that_share_their_shingles(spark):
+    """Copies with whole passages replaced: at 0.8 of the five-word shingles fingerprints are ten bits apart, at 0.7 copies stay."""
+    draw = random.Random(10)
+    word = lambda: "".join(draw.choice("abdeilnorstu") for _ in range(draw.randint(3, 9)))
+    docs, near = [], set()
+    for i in range(240):
+        words = [word() for _ in range(400)]
+        docs.append((2 * i, " ".join(words)))
+        changed = 40 if i < 200 else 80
+        at = draw.randrange(320)
+        words[at : at + changed] = [word() for _ in range(changed)]
+        docs.append((2 * i + 1, " ".join(words)))
+        sets = [{tuple(t.split()[k : k + 5]) for k in range(396)} for _, t in docs[-2:]]
+        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            near.add(2 * i + 1)
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert {2 * i for i in range(240)} <= kept
+    assert len(near) >= 150 and len(near & kept) <= len(near) // 50
+    assert len({2 * i + 1 for i in range(200, 240)} & kept) >= 36
+
+
 def test_keep_one(clashing):
     kept = simhash.keep_one(clashing, shingle=3)
     assert kept.columns == clashing.columns
