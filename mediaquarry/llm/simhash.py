@@ -301,7 +301,7 @@ def _dealt(keyed: DataFrame, run_rows: int, rows: int) -> DataFrame:
         # cell (i, j) with i <= j sees the rows of both salts, so each pair of rows meets
         where = F.transform(F.sequence(F.lit(0), n - 1), lambda k: (F.least(k, F.col("mine")) * F.col("n_all") + F.greatest(k, F.col("mine"))).cast("int"))
         dealt = marked.withColumn("n_all", n).withColumn("mine", mine).select("key", F.explode(where).alias("cell"), *more)
-    return dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
+    return dealt.repartition("key", "cell").sortWithinPartitions("key", "cell", "fp")
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -178,6 +178,25 @@ def test_keep_one_finds_texts_that_share_their_shingles(spark):
     assert len({2 * i + 1 for i in range(200, 240)} & kept) >= 36
 
 
+def test_unlike_neighbours_hide_no_copy(spark, monkeypatch):
+    """Fingerprints four bits from both of two copies, but of other texts, must not keep them apart."""
+    draw = random.Random(11)
+    prose = lambda: " ".join(str(draw.getrandbits(40)) for _ in range(50))
+    words = sorted(a ^ b ^ c ^ d for a in (0, 0x0F) for b in (0, 0x33) for c in (0, 0x55) for d in (0, 0xFF))[:-1]  # four bits apart
+    docs, given, want = [], [], set()
+    for i in range(40):
+        base, copy = draw.getrandbits(63) >> 8 << 8, prose()
+        for k, v in enumerate(words):
+            text = copy if v in (0xC3, 0xCC) else prose()
+            docs.append((20 * i + k, text))
+            given.append((20 * i + k, base | v, bytearray(simhash._sketch(simhash._shingle_hashes(text, 5)))))
+        want |= {20 * i + k for k, v in enumerate(words) if v != 0xCC}
+    prints = spark.createDataFrame(given, "doc_id long, one long, two binary")
+    monkeypatch.setattr(simhash, "fingerprints", lambda d, _, fp, __, sketch: d.join(prints.withColumnsRenamed({"one": fp, "two": sketch}), "doc_id"))
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert kept == want
+
+
 def test_keep_one(clashing):
     kept = simhash.keep_one(clashing, shingle=3)
     assert kept.columns == clashing.columns
