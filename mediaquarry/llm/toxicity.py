@@ -225,7 +225,7 @@ def _present(wanted):
 
 
 def _marks(text: str | None, rows: int = 12) -> list[int]:
-    """MinHash values of a text's three-word shingles; texts that share one are taken for copies of each other."""
+    """MinHash values of a text's three-word shingles."""
     words = words_of(text)
     hashes = [zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))] if words else [0]
     grid = np.unique(np.array(hashes, np.uint64))
@@ -233,9 +233,15 @@ def _marks(text: str | None, rows: int = 12) -> list[int]:
     return [int(((grid * m) & np.uint64(0xFFFFFFFF)).min()) + (k << 32) for k, m in enumerate(odd)]
 
 
-def _copies(marks: list[list[int]]) -> list[int]:
-    """A number for each text that its copies share."""
-    root = list(range(len(marks)))
+def _copies(marks: list[list[int]], agree: int = 10, groups: int = 3) -> list[int]:
+    """A number for each text that its copies share: texts of which ten of twelve MinHash values are the same.
+
+    Two values that differ leave one of three groups of four as it is, so that copies meet in a bucket.
+    """
+    distinct: dict[tuple[int, ...], int] = {}
+    own = [distinct.setdefault(tuple(m), len(distinct)) for m in marks]
+    grid = np.array(list(distinct), np.int64)
+    root = list(range(len(distinct)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -243,11 +249,16 @@ def _copies(marks: list[list[int]]) -> list[int]:
             i = root[i]
         return i
 
-    first: dict[int, int] = {}
-    for i, own in enumerate(marks):
-        for m in own:
-            root[find(i)] = find(first.setdefault(m, i))
-    return [find(i) for i in range(len(marks))]
+    buckets: dict[tuple[int, ...], list[int]] = {}
+    for m, i in distinct.items():
+        for k in range(groups):
+            buckets.setdefault(m[k * len(m) // groups : (k + 1) * len(m) // groups], []).append(i)
+    for rows in buckets.values():
+        for k in range(len(rows) - 1):
+            others = np.array(rows[k + 1 :])
+            for j in others[(grid[others] == grid[rows[k]]).sum(1) >= agree].tolist():
+                root[find(j)] = find(rows[k])
+    return [find(i) for i in own]
 
 
 def _chance(toxic: int, clean: int, rate: float, tried: int) -> float:

@@ -334,6 +334,20 @@ def test_chat_round_trip(spark):
     assert chat.expand(turns.limit(0)).count() == 0
 
 
+def test_only_copies_share_a_vote():
+    """Texts that share passages in a chain stay apart; those with most of their text in common don't."""
+    draw = random.Random(3)
+    prose = lambda n: " ".join("".join(draw.choice("abdeilnorstu") for _ in range(6)) for _ in range(n))
+    passages = [prose(40) for _ in range(61)]
+    chain = [f"{passages[i]} {prose(40)} {passages[i + 1]}" for i in range(60)]
+    text = prose(400)
+    same = [text, text, f"{text} end", f"start {text}"]
+    found = toxicity._copies([toxicity._marks(t) for t in chain + same])
+    assert len(set(found[:60])) == 60
+    assert len(set(found[60:])) == 1 and found[60] not in found[:60]
+    assert toxicity._copies([]) == []
+
+
 def test_toxicity(spark, clashing):
     draw = random.Random(4)
     word = lambda: "".join(draw.choice("abdeilnorstu") for _ in range(draw.randint(3, 8)))
