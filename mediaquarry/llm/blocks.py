@@ -1,9 +1,10 @@
 """Blocks of documents, and a word table that meets each block once.
 
 Word-level facts (a count, the ids of a word) are joined at the level of distinct words of a block of documents, not at
-every position: the documents are dealt to blocks of about ``block_bytes`` by a hash of id and text, each map batch sends
-a block its rows as one compressed Arrow buffer, and a block asks for each of its words once.  The deal depends on the
-rows alone, so a lost executor's blocks come out the same again.
+every position: the documents are dealt to blocks of about ``block_bytes`` of text by a hash of each row's file and number
+there, each map batch sends a block its rows as one compressed Arrow buffer, and a block asks for each of its words once.
+Equal rows spread over all blocks, as a row's place and not its content decides; lost tasks and later jobs deal the same.
+The size of a block is a parameter and nothing else: it depends on neither the number of partitions nor of cores.
 """
 
 from __future__ import annotations
@@ -15,20 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import row_place, text_bytes
 
 _ZSTD = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
+BLOCK_BYTES, CHUNK_BYTES = 16 << 20, 2 << 20
 
 
-def deal(rows: DataFrame, id_col: str, text_col: str, block_bytes: int = 16 << 20, n_blocks: int | None = None) -> DataFrame:
-    """(block, piece): the rows of each block as pieces; one exchange, which later uses share.
-
-    A small corpus gets more and smaller blocks, down to a megabyte, so that every core has some.
-    """
-    size = text_bytes(rows, text_col)
-    spread = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (1 << 20)))
-    count = n_blocks or max(1, -(-size // block_bytes), spread)
-    keyed = rows.withColumn("__block", F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(count)).cast("int"))
+def deal(rows: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, piece): the rows of each block as pieces; ``rows`` are ``stored`` ones.  Later uses in a job share the exchange."""
+    count = max(1, -(-text_bytes(rows, text_col) // block_bytes))
+    keyed = rows.withColumn("__block", F.pmod(row_place(), F.lit(count)).cast("int"))
     return keyed.mapInArrow(_pack, "block int, piece binary").repartition("block")
 
 
@@ -60,11 +57,41 @@ def unpack(pieces: pa.Table) -> Iterator[pa.Table]:
         yield pa.ipc.open_stream(piece.as_buffer()).read_all()
 
 
-def words_by_block(dealt: DataFrame, words: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+def chunks(pieces: pa.Table, text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> Iterator[pa.Table]:
+    """A block's rows in tables of about ``chunk_bytes``, one after the other: small pieces together, large ones cut."""
+    held: list[pa.Table] = []
+    size = 0
+    for piece in unpack(pieces):
+        rows = max(1, int(len(piece) * chunk_bytes // max(1, piece.column(text_col).nbytes)))
+        for k in range(0, len(piece), rows):
+            part = piece.slice(k, rows)
+            held.append(part)
+            size += part.column(text_col).nbytes
+            if size >= chunk_bytes:
+                yield pa.concat_tables(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def freed(work: Callable) -> Callable:
+    """A block's function that gives Arrow's unused memory back to the system when the block is done."""
+
+    def run(*args):
+        out = work(*args)
+        pa.default_memory_pool().release_unused()
+        return out
+
+    return run
+
+
+def words_by_block(dealt: DataFrame, words: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """What each block asks for: ``words`` gets the pieces of a block and gives a table with a column block."""
-    return dealt.groupBy("block").applyInArrow(words, schema)
+    work = freed(words)
+    return dealt.groupBy("block").applyInArrow(lambda rows: work(rows), schema)  # the function's number of parameters counts
 
 
 def per_block(dealt: DataFrame, answers: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
     """Each block's pieces with the answers for its words."""
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, schema)
+    done = freed(work)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda rows, found: done(rows, found), schema)

@@ -1,8 +1,10 @@
 """BPE encoding and decoding through a table of distinct words.
 
-The pre-tokeniser's words are found in Spark tasks, each distinct word of the corpus is encoded once, and its ids are
-joined back by position within blocks of documents (see ``blocks``).  Decoding joins ids to the vocabulary's pieces, whose
-number is the vocabulary's size, and concatenates their bytes.
+The pre-tokeniser's words are found in Spark tasks, and blocks of documents (see ``blocks``) ask for their distinct words.
+What they ask is sorted by word, and each task walks its sorted range: it encodes every word once and answers the blocks
+in packed rows, so that no list is kept of the blocks that have a word, however common it is.  Ids then are joined back by
+position.  Decoding joins the distinct ids of a block or batch to the table of the vocabulary's pieces, whose number is
+the vocabulary's size, and puts the pieces' bytes back by position.
 """
 
 from __future__ import annotations
@@ -14,13 +16,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import blocks
-from .common import table
+from .common import stored, table
 
 VOCABULARY = "byte_bpe_50k.json"
 # The pre-tokeniser's pattern is a fixed value of the vocabulary's format.
@@ -71,15 +75,29 @@ def byte_of_char() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str) -> pa.Array:
-    """The bytes of each id; ids that are not in use are empty."""
+def pieces(path: str) -> pa.Table:
+    """(id, piece): the bytes of each id of the vocabulary."""
     own, to_byte = _tokenizer(path).get_vocab(with_added_tokens=True), byte_of_char()
     specials = _specials(path)[0]
-    out = [b""] * (max(own.values()) + 1)
-    for token, i in own.items():
-        known = token not in specials and all(c in to_byte for c in token)
-        out[i] = bytes(to_byte[c] for c in token) if known else token.encode()
-    return pa.array(out, pa.binary())
+    rows = sorted((i, token) for token, i in own.items())
+    known = [bytes(to_byte[c] for c in t) if t not in specials and all(c in to_byte for c in t) else t.encode() for _, t in rows]
+    return pa.table({"id": pa.array([i for i, _ in rows], pa.int32()), "piece": pa.array(known, pa.binary())})
+
+
+class Pieces:
+    """The pieces of some ids: their distinct ids joined to the vocabulary's table, and looked up by position."""
+
+    def __init__(self, ids: np.ndarray, path: str):
+        distinct = pa.table({"id": pa.array(np.unique(ids).astype(np.int32))})
+        # an id that the vocabulary hasn't has no piece, and decodes to nothing
+        found = distinct.join(pieces(path), "id", join_type="left outer").sort_by("id").combine_chunks()
+        self.ids = found.column("id").to_numpy()
+        self.bytes = pc.fill_null(found.column("piece"), b"").combine_chunks()
+        self.place = np.zeros(int(self.ids[-1]) + 1 if len(self.ids) else 0, np.int32)
+        self.place[self.ids] = np.arange(len(self.ids))
+
+    def text(self, ids: np.ndarray) -> str:
+        return _bytes_of(self.bytes.take(pa.array(self.place[ids]))).decode("utf-8", "replace") if len(ids) else ""
 
 
 def split_words(text: str, path: str) -> list[str]:
@@ -143,42 +161,69 @@ def _unpack_answer(piece: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(values[1 : n + 1].astype(np.int64)), values[n + 1 : 2 * n + 1].astype(np.int64), values[2 * n + 1 :]
 
 
+ROWS_PACKED = 1 << 19  # asked words whose answers go out together
+
+
 def _encode(path: str):
-    """Encodes each distinct word once and sends the blocks that asked their answers, packed by block."""
+    """Walks rows sorted by word: each distinct word is encoded once, and the blocks that asked get packed answers."""
 
     def run(batches):
+        last, last_ids = None, b""
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        rows = 0
         for batch in batches:
-            raw = encode_words(batch.column("word").to_pylist(), path)
+            if not len(batch):
+                continue
+            coded = batch.column("word").dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            fresh = words[1:] if words[0] == last else words  # a word's run may go on from the batch before
+            raw = encode_words(fresh, path)
+            raw = [last_ids, *raw] if len(fresh) < len(words) else raw
+            last, last_ids = words[-1], raw[-1]
             size = np.array([len(r) // 4 for r in raw], np.int64)
-            first = np.cumsum(size) - size
-            flat = np.frombuffer(b"".join(raw), "<u4")
-            asked = batch.column("asked")
-            number = np.repeat(np.arange(len(batch)), np.diff(asked.offsets.to_numpy()))
-            places = asked.flatten().to_numpy()
-            order = np.argsort(places, kind="stable")
-            block, code = places >> 32, places & 0xFFFFFFFF
-            ends = np.flatnonzero(np.append(np.diff(block[order]) != 0, True)) + 1 if len(order) else []
-            out, start = [], 0
-            for end in ends:
-                some = order[start:end]
-                n = size[number[some]]
-                at = np.arange(n.sum()) + np.repeat(first[number[some]] - (np.cumsum(n) - n), n)
-                out.append((int(block[order[start]]), _pack_answer(code[some], n, flat[at])))
-                start = end
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["block", "answer"])
+            number = coded.indices.to_numpy()
+            held.append((batch.column("place").to_numpy(), size[number], (np.cumsum(size) - size)[number], np.frombuffer(b"".join(raw), "<u4")))
+            rows += len(batch)
+            if rows >= ROWS_PACKED:
+                yield from _answers(held)
+                held, rows = [], 0
+        yield from _answers(held)
 
     return run
 
 
+def _answers(held: list[tuple[np.ndarray, ...]]):
+    """One row a block with the ids of the words that it asked for."""
+    if not held:
+        return
+    base = np.cumsum([0, *(len(h[3]) for h in held[:-1])])
+    places, size = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+    first, flat = np.concatenate([h[2] + b for h, b in zip(held, base.tolist())]), np.concatenate([h[3] for h in held])
+    order = np.argsort(places, kind="stable")
+    block, code = places >> 32, places & 0xFFFFFFFF
+    ends = np.flatnonzero(np.append(np.diff(block[order]) != 0, True)) + 1
+    out, start = [], 0
+    for end in ends.tolist():
+        some = order[start:end]
+        n = size[some]
+        at = np.arange(n.sum()) + np.repeat(first[some] - (np.cumsum(n) - n), n)
+        out.append((int(block[order[start]]), _pack_answer(code[some], n, flat[at])))
+        start = end
+    for k in range(0, len(out), 4096):
+        some = out[k : k + 4096]
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int32()), pa.array([p for _, p in some], pa.binary())], names=["block", "answer"])
+
+
 def word_table(dealt: DataFrame, path: str) -> DataFrame:
-    """(block, answer): every distinct word of the corpus, encoded once, packed for the blocks that have it."""
+    """(block, answer): every distinct word of the corpus, encoded once, packed for the blocks that have it.
+
+    A block asks for a word once, so that no word has more rows than there are blocks.
+    """
     asked = blocks.words_by_block(dealt, _ask(path), "place long, word string")
-    # one row for each distinct word, with the blocks that asked: a block is megabytes of text, so the lists stay short
-    distinct = asked.groupBy("word").agg(F.collect_list("place").alias("asked"))
-    return distinct.mapInArrow(_encode(path), "block int, answer binary")
+    return asked.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(path), "block int, answer binary")
 
 
-def _join_back(path: str, digest: bool):
+def _join_back(path: str, digest: bool, id_type: pa.DataType):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         number: dict[str, int] = {}
         docs: list[tuple[object, np.ndarray]] = []
@@ -198,7 +243,7 @@ def _join_back(path: str, digest: bool):
         for codes, counts, ids in got:
             all_ids[np.arange(len(ids)) + np.repeat(offsets[codes] - (np.cumsum(counts) - counts), counts)] = ids
         del got
-        known = pieces(path)
+        known = Pieces(all_ids, path)
         doc_ids, counts_out, ids_out, text_out = [], [], [], []
         for doc, used in docs:
             codes = place[used]
@@ -207,7 +252,7 @@ def _join_back(path: str, digest: bool):
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
             ids = all_ids[np.arange(total) + np.repeat(offsets[codes] - (ends - n), n)]
-            plain = _bytes_of(known.take(pa.array(ids))).decode("utf-8", "replace")
+            plain = known.text(ids)
             doc_ids.append(doc)
             counts_out.append(total)
             if digest:
@@ -217,7 +262,7 @@ def _join_back(path: str, digest: bool):
                 ids_out.append(ids.astype(np.int32))
                 text_out.append(plain)
         first, second = ("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded")
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(counts_out, pa.int64()), first: pa.array(ids_out, pa.string() if digest else pa.list_(pa.int32())), second: pa.array(text_out, pa.string())})
+        return pa.table({"doc_id": pa.array(doc_ids, id_type), "n_tokens": pa.array(counts_out, pa.int64()), first: pa.array(ids_out, pa.string() if digest else pa.list_(pa.int32())), second: pa.array(text_out, pa.string())})
 
     return run
 
@@ -230,28 +275,37 @@ def _bytes_of(values: pa.Array) -> bytes:
     return data.to_pybytes()[ends[values.offset] : ends[values.offset + len(values)]]
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, block_bytes: int = 24 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """One row per document: ``doc_id``, ``n_tokens``, ``ids`` and ``decoded`` (or, with ``digest``, their SHA-256).
 
-    Null and empty texts have no ids and decode to the empty text.  Rows that repeat an id are all returned; a null id
-    stays null.  Special tokens' strings in a text are encoded as those tokens, as the library does by default.
+    Null and empty texts have no ids and decode to the empty text.  Rows that repeat an id, or all of a row, are all
+    returned; ids may be of any type, and a null id stays null.  Special tokens' strings in a text are encoded as those
+    tokens, as the library does by default.  Other columns are not read, whatever their names.  An empty table gives an
+    empty result.
     """
     path = path or default_path()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = blocks.deal(rows, "id", "text", block_bytes)
-    schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
-    return blocks.per_block(dealt, word_table(dealt, path), _join_back(path, digest), schema)
+    rows = stored(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    dealt = blocks.deal(rows, "text", block_bytes)
+    kind = docs.schema[id_col].dataType
+    schema = f"doc_id {kind.simpleString()}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
+    return blocks.per_block(dealt, word_table(dealt, path), _join_back(path, digest, to_arrow_type(kind)), schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the text of an array of ids: each id joined to its piece, bytes concatenated, malformed UTF-8 replaced."""
+    """Adds the text of an array of ids: distinct ids are joined to their pieces, which go back by position.
+
+    Malformed UTF-8 is replaced, ids outside the vocabulary and null ids decode to nothing, null arrays stay null.
+    """
     path = path or default_path()
 
     def run(batches):
-        known = pieces(path)
         for batch in batches:
-            texts = [None if ids is None else _bytes_of(known.take(pa.array(ids, pa.int64()))).decode("utf-8", "replace") for ids in batch.column(ids_col).to_pylist()]
-            yield batch.append_column(out, pa.array(texts, pa.string()))
+            lists = batch.column(ids_col)
+            flat = lists.flatten().drop_null().to_numpy(zero_copy_only=False)
+            known = Pieces(flat[flat >= 0], path)
+            texts = [None if x is None else known.text(np.array([i for i in x if i is not None and i >= 0], np.int64)) for x in lists.to_pylist()]
+            columns = {n: batch.column(n) for n in batch.schema.names} | {out: pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return encoded.mapInArrow(run, encoded.withColumn(out, F.lit(None).cast("string")).schema)
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` if its rows come straight from files, else a written copy: so that ``row_place`` names each row in every job.
+
+    (A row's number in its partition wouldn't do: splits depend on how many executors there are when a job starts.)
+    """
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+        return df
+    except AnalysisException:
+        return written(df, "stored")
+
+
+def row_place() -> Column:
+    """A hash of a stored row's file and its number there."""
+    return F.xxhash64("_metadata.file_path", "_metadata.row_index")
+
+
 def text_bytes(df: DataFrame, column: str) -> int:
     """UTF-8 bytes of a column over all rows."""
     return df.agg(F.coalesce(F.sum(F.octet_length(F.col(column))), F.lit(0)).alias("n")).first()["n"]

@@ -1,9 +1,10 @@
 """Benchmark decontamination: a broadcast set of normalised test n-grams, scanned over the documents' token windows.
 
 The benchmark is the stated query set.  It is read in blocks of a bounded number of bytes (``block_bytes``); each block's
-windows become one broadcast set, and the documents pass it in one narrow step, without a shuffle.  With more than one
-block the state (hit positions so far) is written to the shared folder between passes, so that no worker ever holds more
-than one set.
+windows become one broadcast set, and the documents pass it in one narrow step, without a shuffle, so that no worker ever
+holds more than one set.  With more than one block a pass keeps nothing but the hits: a key of the document, its hit
+positions and items.  Those of all blocks are put together by key and joined to the documents once, at the end; texts
+are never written between passes.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table, written
+from .common import fresh, row_place, stored, table, text_bytes, written
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20  # of benchmark text in one broadcast set: some hundred MB of windows on a worker at most
@@ -76,11 +77,14 @@ class WindowSet:
         return hit, items
 
 
+def n_blocks(benchmark: DataFrame, block_bytes: int, text: str = "text") -> int:
+    return max(1, -(-text_bytes(benchmark, text) // block_bytes))
+
+
 def blocks_of(benchmark: DataFrame, block_bytes: int, item: str = "item_id", text: str = "text") -> Iterator[list]:
     """The items in blocks of about ``block_bytes`` of text; only one block is on the driver at a time."""
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    count = max(1, -(-size // block_bytes))
+    count = n_blocks(rows, block_bytes)
     for k in range(count):
         part = rows if count == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k)
         yield [(r["item"] or "", r["text"]) for r in part.collect()]
@@ -90,39 +94,91 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", win
     """``docs`` with two more columns: ``hit_words`` (a byte per word, 1 if hit) and ``hit_items`` (sorted item ids).
 
     An item shorter than the window is one window; an item or document without words has none.  Null text: no words.
-    Equal items are all reported.  If ``docs`` has columns of these names, the new ones get leading underscores.
+    Equal items are all reported, and repeated documents each have their hits.  If ``docs`` has columns of these names, the
+    new ones get leading underscores.
     """
     if not len(docs.columns):
         raise ValueError("documents without columns")
     bits, items = fresh(docs.columns, "hit_words"), fresh(docs.columns, "hit_items")
     schema = docs.withColumns({bits: F.lit(None).cast("binary"), items: F.lit(None).cast("array<string>")}).schema
-    state, passes = docs, 0
+    spark = docs.sparkSession
+    if n_blocks(benchmark, block_bytes) == 1:
+        windows = spark.sparkContext.broadcast(WindowSet(next(blocks_of(benchmark, block_bytes)), window))
+        return docs.mapInArrow(_pass(windows, text_col, bits, items), schema)
+    docs = stored(docs)
+    row = fresh(schema.names, "row")
+    numbered = docs.withColumn(row, _row(text_col))
+    parts = None
     for block in blocks_of(benchmark, block_bytes):
-        state = (written(state, "hits") if passes else state).mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(WindowSet(block, window)), text_col, bits, items), schema)
-        passes += 1
-    return state
+        windows = spark.sparkContext.broadcast(WindowSet(block, window))
+        part = written(numbered.select(row, F.col(f"`{text_col}`").alias("text")).toDF("row", "text").mapInArrow(_hits_alone(windows), _HITS), "hits")
+        windows.unpersist()
+        parts = part if parts is None else parts.unionByName(part)
+    # a document has a row of hits for each block at most
+    found = parts.groupBy("row").agg(F.collect_list("hits").alias(bits), F.array_distinct(F.flatten(F.collect_list("items"))).alias(items)).withColumnRenamed("row", row)
+    whole = numbered.join(found, row, "left").select(*[F.col(f"`{c}`") for c in docs.columns], bits, items)
+    return whole.mapInArrow(_together(text_col, bits, items), schema)
+
+
+def _row(text_col: str) -> Column:
+    """A stored document's key: its place, and its text for plans that make several rows of one."""
+    return F.struct(row_place().alias("place"), F.xxhash64(F.col(f"`{text_col}`")).alias("text"))
+
+
+_HITS = "row struct<place: bigint, text: bigint>, hits binary, items array<string>"
+
+
+def _hits_alone(shared):
+    """The documents that have a hit, without their texts."""
+
+    def run(batches):
+        windows = shared.value
+        for batch in batches:
+            at, hits, items = [], [], []
+            for k, text in enumerate(batch.column("text")):
+                hit, own = windows.scan(words_of(text.as_py()))
+                if own:
+                    at.append(k)
+                    hits.append(hit.tobytes())
+                    items.append(sorted(own))
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at, pa.int64())), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=["row", "hits", "items"])
+
+    return run
+
+
+def _together(text_col: str, bits: str, items: str):
+    """The hits of all blocks in one; zeros for documents without any."""
+
+    def run(batches):
+        for batch in batches:
+            hits, names = [], []
+            for text, arrays, own in zip(batch.column(text_col), batch.column(bits).to_pylist(), batch.column(items).to_pylist()):
+                hits.append(np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in arrays]).tobytes() if arrays else bytes(len(words_of(text.as_py()))))
+                names.append(sorted(own or ()))
+            columns = {n: batch.column(n) for n in batch.schema.names} | {bits: pa.array(hits, pa.binary()), items: pa.array(names, pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return run
 
 
 def _pass(shared, text_col: str, bits: str, items: str):
     def run(batches):
         windows = shared.value
         for batch in batches:
-            earlier = batch.column(bits).to_pylist() if bits in batch.schema.names else [None] * len(batch)
-            before = batch.column(items).to_pylist() if items in batch.schema.names else [None] * len(batch)
             hits, found = [], []
-            for text, old, names in zip(batch.column(text_col), earlier, before):
+            for text in batch.column(text_col):
                 hit, own = windows.scan(words_of(text.as_py()))
-                hits.append((hit if old is None else hit | np.frombuffer(old, bool)).tobytes())
-                found.append(sorted(own.union(names or ())))
+                hits.append(hit.tobytes())
+                found.append(sorted(own))
             columns = {n: batch.column(n) for n in batch.schema.names} | {bits: pa.array(hits, pa.binary()), items: pa.array(found, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
-def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """The counts of each document, without its text."""
-    found = find_hits(docs.select(F.col(id_col).alias("doc_id"), F.col("text").alias("text")), benchmark, window=window)
+def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The counts of each document, without its text.  Ids are whole numbers; a null id stays null."""
+    found = find_hits(docs.select(F.col(id_col).alias("doc_id"), F.col("text").alias("text")), benchmark, window=window, block_bytes=block_bytes)
     return found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
@@ -152,11 +208,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         return found.filter(F.instr(F.hex(bits), "01") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
     if mode != "span":
         raise ValueError("mode is 'document' or 'span'")
-    out, passes = docs, 0
-    for block in blocks_of(benchmark, block_bytes):
-        out, passes = (written(out, "cut") if passes else out), passes + 1
-        out = out.mapInArrow(_cut(docs.sparkSession.sparkContext.broadcast(WindowSet(block, window)), text_col), docs.schema)
-    return out
+    blocks = n_blocks(benchmark, block_bytes)
+    out, clean = docs, None
+    if blocks > 1:  # only documents with a hit are rewritten, block after block
+        row = fresh(docs.columns, "row")
+        numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        found = find_hits(numbered.select(row, F.col(f"`{text_col}`").alias("text")), benchmark, "text", window, block_bytes)
+        dirty = written(found.filter(F.size("hit_items") > 0).select(row), "dirty")
+        clean = numbered.join(dirty, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = written(numbered.join(dirty, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]), "cut")
+    while True:
+        before = out
+        for block in blocks_of(benchmark, block_bytes):
+            out = out.mapInArrow(_cut(docs.sparkSession.sparkContext.broadcast(WindowSet(block, window)), text_col), docs.schema)
+            out = written(out, "cut") if blocks > 1 else out
+        # what a later block cuts may bring a window of an earlier one together: again until nothing changes
+        if blocks == 1 or before.select(F.sum(F.length(f"`{text_col}`"))).first()[0] == out.select(F.sum(F.length(f"`{text_col}`"))).first()[0]:
+            return out if clean is None else out.unionByName(clean)
 
 
 def _cut(shared, text_col: str):

@@ -4,28 +4,31 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 # The element kinds of the HTML standard that matter here.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
-RAW = ("script", "style", "title", "textarea", "noscript", "iframe", "template", "svg", "math", "object", "select", "canvas", "noframes")
+#: Elements whose content is no text of the page: code, the window's title, what a form field holds, what is never shown.
+RAW = ("script", "style", "title", "textarea", "iframe", "template", "noframes")
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption button label".split()
+    "header hgroup hr legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul caption button label".split()
 )
-CLOSES_P = BLOCK - {"html", "body", "option", "optgroup", "button", "label", "legend", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
+CLOSES_P = BLOCK - {"html", "body", "option", "optgroup", "select", "button", "label", "legend", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 #: A start tag of the key ends an open element of the value, up to the scope's border.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}), "thead": ({"tr", "td", "th", "tbody"}, {"table"}), "tfoot": ({"tr", "td", "th", "tbody"}, {"table"}),
 }
-_TOKEN = re.compile(
+_P_BORDERS = ("td", "th", "table", "button", "caption")
+_SKIPPED = (
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
     rf"|<({'|'.join(RAW)})(?=[\s/>])[^>]*+>(?:.*?</\1(?=[\s/>])[^>]*+(?:>|\Z)|.*\Z)"
-    r"|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-z][^\s/>]*+)([^>]*+)(?:>|\Z)",
-    re.S | re.I,
 )
+#: Tags end at the first > outside quotes; and, for a tag whose quotes never close, at the first > of all.
+_QUOTED = re.compile(_SKIPPED + r"|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S | re.I)
+_PLAIN = re.compile(_SKIPPED + r"|<(/?)([a-z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S | re.I)
+UNCLOSED = 32  # tags with quotes that never close, after which a page's quotes have no say: each costs a look to its end
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|type|data-keep|data-drop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"[ \t\n\r\f\v ]+")
@@ -47,7 +50,8 @@ class Node:
 
 
 def _attributes(raw: str) -> tuple[tuple[str, ...], int | None]:
-    tokens, mark = [], None
+    tokens: dict[str, None] = {}
+    mark = None
     if "=" in raw:
         for key, a, b, c in _ATTRIBUTE.findall(raw):
             key = key.lower()
@@ -56,17 +60,67 @@ def _attributes(raw: str) -> tuple[tuple[str, ...], int | None]:
             elif key == "data-drop":
                 mark = 0
             elif key == "itemprop":
-                tokens.append(f"itemprop:{(a or b or c).lower()}")
+                tokens[f"itemprop:{(a or b or c).lower()}"] = None
             else:
-                tokens += [p.lower() for p in _PART.findall(a or b or c)[:12]]
+                tokens.update((p.lower(), None) for p in _PART.findall(a or b or c))
     return tuple(tokens), mark
 
 
+class _Open:
+    """The open elements: a stack that also knows where each tag is open, so that no start tag walks it."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def close_to(self, k: int) -> None:
+        while len(self.stack) > k:
+            self.at[self.stack.pop().tag].pop()
+
+    def nearest(self, tags) -> int:
+        """The place of the innermost open element of these tags; 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def outermost_above(self, tags, border: int) -> int | None:
+        """The place of the outermost open element of these tags inside the element at ``border``."""
+        found = []
+        for t in tags:
+            places = self.at.get(t, ())
+            k = bisect_right(places, border)
+            if k < len(places):
+                found.append(places[k])
+        return min(found, default=None)
+
+
+def _tokens(page: str):
+    """(start, end, tag, is an end tag, attributes) of the markup in page order; comments and the like have no tag."""
+    at, unclosed = page.find("<"), 0
+    while at >= 0:
+        m = _QUOTED.match(page, at) if unclosed < UNCLOSED else None
+        if m is None:
+            m = _PLAIN.match(page, at)
+            unclosed += m is not None
+        if m is None:  # a lone <
+            at = page.find("<", at + 1)
+            continue
+        yield m.start(), m.end(), (m[3] or "").lower(), bool(m[2]), m[4] or ""
+        at = page.find("<", m.end())
+
+
 def parse(page: str) -> list[Node]:
-    """All nodes in page order; the first is the root.  Scripts, styles and the like are no nodes."""
+    """All nodes in page order; the first is the root.  Scripts, styles and the like are no nodes.
+
+    Time is linear in the page, however deep its elements are nested.
+    """
     root = Node("#root", (), None)
-    nodes, stack = [root], [root]
+    nodes, open_ = [root], _Open(root)
+    stack = open_.stack
     parts: list[str] = []
+    fields: dict[int, set[str]] = {}
     links = linked = 0
 
     def flush():
@@ -80,61 +134,49 @@ def parse(page: str) -> list[Node]:
             parts.clear()
         linked = 0
 
-    def close_to(k: int):
-        del stack[k:]
-
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+    for start, stop, tag, end, raw in _tokens(page):
+        if start > at:
+            parts.append(page[at:start])
             if links:
-                linked += m.start() - at
-        at = m.end()
-        tag = m[3] or m[6]
+                linked += start - at
+        at = stop
         if not tag:
             continue
-        tag, end, raw = tag.lower(), m[2] if m[3] else m[5], m[4] if m[3] else m[7]
         if tag == "br":
             parts.append(" ")
         elif tag not in BLOCK:
             if tag == "a":
                 links = 0 if end else 1
             elif tag in ("input", "img") and not end:
-                stack[-1].tokens += (f"has:{tag}",)
+                has = fields.setdefault(id(stack[-1]), set())
+                if tag not in has:
+                    has.add(tag)
+                    stack[-1].tokens += (f"has:{tag}",)
         elif end:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    flush()
-                    links = 0
-                    close_to(k)
-                    break
+            if open_.at.get(tag):
+                flush()
+                links = 0
+                open_.close_to(open_.at[tag][-1])
         else:
             flush()
             links = 0
-            if tag in ("html", "body") and any(n.tag == tag for n in stack):
+            if tag in ("html", "body") and open_.at.get(tag):
                 continue
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        close_to(k)
-                        break
-                    if stack[k].tag in ("td", "th", "table", "button", "caption"):
-                        break
+            if tag in CLOSES_P and open_.at.get("p"):
+                k = open_.at["p"][-1]
+                if k > open_.nearest(_P_BORDERS):
+                    open_.close_to(k)
             if tag in ENDS:
                 ended, borders = ENDS[tag]
-                lowest = None
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in ended:
-                        lowest = k
-                    if stack[k].tag in borders:
-                        break
+                lowest = open_.outermost_above(ended, open_.nearest(borders))
                 if lowest is not None:
-                    close_to(lowest)
-            tokens, mark = _attributes(raw or "")
+                    open_.close_to(lowest)
+            tokens, mark = _attributes(raw)
             node = Node(tag, tokens, stack[-1], mark)
             nodes.append(node)
-            if tag != "hr" and not (raw or "").endswith("/") or tag in ("p", "div"):
-                stack.append(node)
+            if tag != "hr" and not raw.endswith("/") or tag in ("p", "div"):
+                open_.push(node)
     if at < len(page):
         parts.append(page[at:])
         if links:

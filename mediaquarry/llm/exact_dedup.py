@@ -3,9 +3,10 @@
 Sampled splitters range-partition the normalised texts (``repartitionByRange`` samples the keys and picks the bounds),
 Spark's external sort orders each range, and the window operator walks the sorted rows comparing the whole key of each
 row with its neighbour.  The splitters are drawn over each text's first bytes and its hash, so that the sampled keys stay
-small however long the texts are; whole texts decide the order and equality.  A salt drawn from the id follows the text in the sort key, so that the splitters may fall
-inside a group of copies: a text that holds a third of all rows spreads over ``salts`` neighbouring runs.  Only one
-small row a run (digest, salt, smallest id, count) goes on to be combined across runs.
+small however long the texts are; whole texts decide the order and equality.  A salt drawn from the id follows the text in
+the sort key, so that the splitters may fall inside a group of copies.  There is a salt for every ``salt_rows`` rows of the
+table, so that a text that holds a third of all rows spreads over as many neighbouring runs of some hundred rows as the
+table's size asks for.  Only one small row a run (digest, salt, smallest id, count) goes on to be combined across runs.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ from pyspark.sql import functions as F
 from .common import SPACES, table, written
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 128) -> DataFrame:
+SALT_ROWS = 512  # rows of the table for each salt
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt_rows: int = SALT_ROWS) -> DataFrame:
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Texts are equal if identical after each run of ASCII white space became one space.  Null text: empty text.  Null id:
@@ -24,10 +28,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text are one group; exactly one of them has ``kept``.  An empty table gives an empty result.  Other columns are not
     read, whatever their names.
     """
+    salts = -(-docs.count() // salt_rows) or 1
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ").alias("t"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("long").alias("salt"),
     )
     # the range keys are part of the sort key, so equal texts of a salt are in one range and adjacent
     rows = rows.withColumn("head", F.substring("t", 1, 32)).withColumn("hash", F.xxhash64("t"))

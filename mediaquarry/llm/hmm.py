@@ -8,27 +8,32 @@ bounded (states x symbols, a parameter), while every word of any corpus keeps it
 word the mass that Good and Turing's estimate has for it.  All probabilities of the words known in training and of the
 one unknown word sum to one, so scores compare with the add-one unigram base.
 
-Baum-Welch: each pass runs the scaled forward and backward recursions over all training documents in windows of
-``train_window`` symbols, partitions return expected counts, and their sums are the next parameters.  Scoring runs the
+Baum-Welch: each pass runs the scaled forward and backward recursions over all training documents, partitions return
+expected counts, and their sums are the next parameters.  Long documents are cut into windows of ``TRAIN_WINDOW`` symbols
+that are worked on side by side; each also reads the ``CONTEXT`` symbols before and after it, so that the forward and
+backward vectors at its borders are those of the whole text but for what a state remembers over that many words (tests
+hold the counts against whole texts), and every transition is counted once, those over borders too.  Scoring runs the
 scaled forward recursion over each whole text.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import crc32_of, table, written
+from .common import crc32_of, stored, table, with_groups, written
 
-STATES, BUCKETS, PASSES, TRAIN_WINDOW = 8, 1 << 15, 6, 192
+STATES, BUCKETS, PASSES, TRAIN_WINDOW, CONTEXT = 8, 1 << 15, 6, 384, 32
+BLOCK_BYTES, SCORED_AT_ONCE = 8 << 20, 1 << 20
 END, RARE, FIRST = 0, 1, 2
-_ROWS = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, word_sum double, symbols binary"
+_FACTS = "held_out boolean, n_tokens long, n_known long, base_sum double, word_sum double, symbols binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -47,24 +52,28 @@ def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(real), seen[ends] - seen[ends - whole]
 
 
-def _block(rows: pa.Table) -> pa.Table:
-    return pa.concat_tables(blocks.unpack(rows)).combine_chunks()
-
-
 def _column(table: pa.Table, name: str) -> pa.Array:
     chunks = table.column(name).chunks
     return chunks[0] if len(chunks) == 1 else pa.concat_arrays(chunks) if chunks else pa.array([], table.column(name).type)
 
 
 def _ask(rows: pa.Table) -> pa.Table:
-    """A block's distinct words with their counts in its training rows."""
-    block, docs = rows.column("block")[0].as_py(), _block(rows)
-    words, sizes = tokens_of(_column(docs, "text"))
-    held = np.repeat(_column(docs, "held_out").to_numpy(zero_copy_only=False), sizes)
-    trained = pc.value_counts(words.filter(pa.array(~held)))
-    out = pa.table({"word": pa.concat_arrays([trained.field("values"), pc.unique(words.filter(pa.array(held)))]), "n": pa.concat_arrays([trained.field("counts"), pa.array(np.zeros(len(pc.unique(words.filter(pa.array(held)))), np.int64))])})
-    out = out.group_by("word").aggregate([("n", "sum")])
-    return pa.table({"block": pa.array(np.full(len(out), block, np.int32)), "word": out.column("word").cast(pa.string()), "n": out.column("n_sum")})
+    """A block's distinct words with their counts in its training rows, gathered chunk by chunk."""
+    block, parts = rows.column("block")[0].as_py(), []
+    for docs in blocks.chunks(rows):
+        words, sizes = tokens_of(_column(docs, "text"))
+        held = np.repeat(_column(docs, "held_out").to_numpy(zero_copy_only=False), sizes)
+        trained, other = pc.value_counts(words.filter(pa.array(~held))), pc.unique(words.filter(pa.array(held)))
+        parts.append(pa.table({"word": trained.field("values"), "n": trained.field("counts")}))
+        parts.append(pa.table({"word": other, "n": pa.array(np.zeros(len(other), np.int64))}))
+        if len(parts) >= 16:
+            parts = [_summed(parts)]
+    out = _summed(parts)
+    return pa.table({"block": pa.array(np.full(len(out), block, np.int32)), "word": out.column("word").cast(pa.string()), "n": out.column("n")})
+
+
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
 
 def _symbols(total: int, distinct: int, once: int, twice: int, trained_ends: int, mass: np.ndarray):
@@ -78,15 +87,19 @@ def _symbols(total: int, distinct: int, once: int, twice: int, trained_ends: int
     end_base = math.log10(trained_ends + 1) - lowest
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        known_words = _column(answers, "word").cast(pa.large_string())
         count = answers.column("c").to_numpy()
         bucket = answers.column("bucket").to_numpy()
         base, known = np.log10(count + 1.0) - lowest, (count > 0).astype(np.int64)
         often = count >= 2
         symbol = np.where(often, bucket, RARE).astype(np.uint16)
         inner = np.where(often, np.log10(np.maximum(count, 1) / mass[np.where(often, bucket, END)]), np.where((count == 1) & math.isfinite(share_single), share_single, share_unknown))
-        docs = _block(rows)
+        return pa.concat_tables([coded(docs, known_words, base, known, symbol, inner) for docs in blocks.chunks(rows)])
+
+    def coded(docs: pa.Table, known_words: pa.Array, base, known, symbol, inner) -> pa.Table:
         words, sizes = tokens_of(_column(docs, "text"))
-        at = pc.index_in(words, value_set=_column(answers, "word").cast(pa.large_string())).to_numpy()
+        at = pc.index_in(words, value_set=known_words).to_numpy()
+        del words
         ends = np.cumsum(sizes)
         full = np.flatnonzero(sizes)
 
@@ -96,12 +109,12 @@ def _symbols(total: int, distinct: int, once: int, twice: int, trained_ends: int
                 out[full] = np.add.reduceat(values[at], (ends - sizes)[full])
             return out
 
-        coded = np.full(len(at) + len(sizes), END, np.uint16)
-        borders = np.zeros(len(coded), bool)
+        codes = np.full(len(at) + len(sizes), END, np.uint16)
+        borders = np.zeros(len(codes), bool)
         borders[ends + np.arange(len(sizes))] = True
-        coded[~borders] = symbol[at]
+        codes[~borders] = symbol[at]
         offsets = np.concatenate(([0], 2 * (ends + np.arange(1, len(sizes) + 1)))).astype(np.int32)
-        symbols = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(coded)])
+        symbols = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(codes)])
         return pa.table({
             "doc_id": _column(docs, "id"), "held_out": _column(docs, "held_out"), "n_tokens": pa.array(sizes + 1, pa.int64()), "n_known": pa.array(summed(known) + (trained_ends > 0)),
             "base_sum": pa.array(summed(base) + end_base), "word_sum": pa.array(summed(inner)), "symbols": symbols,
@@ -153,39 +166,57 @@ class Hmm:
         out[order] = logs
         return out
 
-    def expected(self, windows: np.ndarray, lengths: np.ndarray, fresh: np.ndarray, sums: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
-        """Adds expected counts of windows (N x T symbols, sorted by falling length) to ``sums``; returns their log10."""
+    def expected(self, windows: np.ndarray, lengths: np.ndarray, own: np.ndarray, fresh: np.ndarray, sums: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
+        """Adds expected counts of windows (N x T symbols, sorted by falling length) to ``sums``; returns their log10.
+
+        ``own`` (T x N): the symbols that a window counts; the others are context.  ``fresh``: windows at a text's start.
+        """
         start, move, emit = sums
         n, top = windows.shape
         k = len(self.start)
         emission, step = self.emit.astype(np.float32), self.move.astype(np.float32)
+        first = np.where(fresh[:, None], self.start, self.usual()).astype(np.float32)
         alphas, scales = np.zeros((top, n, k), np.float32), np.ones((top, n), np.float32)
         live = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(top + 1)]  # windows longer than t
         total = 0.0
         for t in range(top):
             now = live[t]
-            alpha = (alphas[t - 1, :now] @ step if t else np.repeat(self.start.astype(np.float32)[None, :], now, 0)) * emission[windows[:now, t]]
+            alpha = (alphas[t - 1, :now] @ step if t else first[:now]) * emission[windows[:now, t]]
             scale = alpha.sum(1)
             np.divide(alpha, scale[:, None], out=alphas[t, :now])
             scales[t, :now] = scale
-            total += float(np.log10(scale).sum(dtype=np.float64))
+            total += float(np.log10(scale[own[t, :now]]).sum(dtype=np.float64))
         beta = np.ones((n, k), np.float32)
         for t in range(top - 1, -1, -1):
             after = live[t + 1]
             if after:
                 ahead = emission[windows[:after, t + 1]] * beta[:after] / scales[t + 1, :after, None]
-                move += (alphas[t, :after].T @ ahead) * self.move
+                move += (alphas[t, :after].T @ (ahead * own[t + 1, :after, None])) * self.move
                 beta[:after] = ahead @ step.T
             alphas[t, : live[t]] *= beta[: live[t]]  # from here on the share of each state
-        start += alphas[0, : live[0]][fresh[: live[0]]].sum(0)
-        used = np.arange(top)[:, None] < lengths[None, :]
-        which = windows.T[used]
+        start += alphas[0][fresh].sum(0)
+        which = windows.T[own]
         for s in range(k):
-            emit[:, s] += np.bincount(which, weights=alphas[:, :, s][used], minlength=len(emit))
+            emit[:, s] += np.bincount(which, weights=alphas[:, :, s][own], minlength=len(emit))
         return total
 
+    def usual(self) -> np.ndarray:
+        """The share of each state far from any border."""
+        share = np.full(len(self.start), 1 / len(self.start))
+        for _ in range(64):
+            share = share @ self.move
+        return share
+
+
+def windows_of(sequences: Iterable[np.ndarray], size: int, context: int) -> Iterator[tuple[np.ndarray, int, int, bool]]:
+    """(symbols, context before, own symbols, at the start) of each window; the own parts are the whole sequence."""
+    for s in sequences:
+        for a in range(0, len(s), size):
+            before = min(a, context)
+            yield s[a - before : a + size + context], before, min(size, len(s) - a), a == before
+
 
-def _count(model, train_window: int, size: int, chunk: int = 1024):
+def _count(model, train_window: int, size: int, chunk: int = 1024, context: int = CONTEXT):
     """A partition's expected counts, as one row a state."""
 
     def run(batches):
@@ -194,20 +225,18 @@ def _count(model, train_window: int, size: int, chunk: int = 1024):
         sums = (np.zeros(k), np.zeros((k, k)), np.zeros((size, k)))
         total, any_row = 0.0, False
         for batch in batches:
-            parts, fresh = [], []
-            for raw in batch.column("symbols"):
-                s = np.frombuffer(raw.as_buffer(), np.uint16)
-                for a in range(0, len(s), train_window):
-                    parts.append(s[a : a + train_window])
-                    fresh.append(a == 0)
-            order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
+            parts = list(windows_of((np.frombuffer(raw.as_buffer(), np.uint16) for raw in batch.column("symbols")), train_window, context))
+            order = sorted(range(len(parts)), key=lambda i: -len(parts[i][0]))
             for c in range(0, len(order), chunk):
-                some = order[c : c + chunk]
-                lengths = np.array([len(parts[i]) for i in some], np.int64)
+                some = [parts[i] for i in order[c : c + chunk]]
+                lengths = np.array([len(p[0]) for p in some], np.int64)
                 grid = np.zeros((len(some), int(lengths[0])), np.int64)
-                for r, i in enumerate(some):
-                    grid[r, : lengths[r]] = parts[i]
-                total += hmm.expected(grid, lengths, np.array([fresh[i] for i in some]), sums)
+                for r, p in enumerate(some):
+                    grid[r, : lengths[r]] = p[0]
+                before, mine = np.array([p[1] for p in some]), np.array([p[2] for p in some])
+                place = np.arange(int(lengths[0]))[:, None]
+                own = (place >= before) & (place < before + mine)
+                total += hmm.expected(grid, lengths, own, np.array([p[3] for p in some]), sums)
                 any_row = True
         if any_row:
             yield pa.RecordBatch.from_arrays(
@@ -249,16 +278,15 @@ def one_pass(encoded: DataFrame, model: Hmm, train_window: int, prior: np.ndarra
     return Hmm.from_counts(start, move, emit, prior), sum(r["total"] for r in rows)
 
 
-def encode(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, block_bytes: int = 16 << 20) -> tuple[DataFrame, dict, np.ndarray]:
+def encode(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, dict, np.ndarray]:
     """Symbols of every document (a written table), the corpus' totals, and the symbols' training frequencies."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out.alias("held_out"))
-    dealt = blocks.deal(rows, "id", "text", block_bytes)
+    rows = stored(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out.alias("held_out")))
+    dealt = blocks.deal(rows, "text", block_bytes)
     asked = written(blocks.words_by_block(dealt, _ask, "block int, word string, n long"), "asked")
-    counted = asked.withColumn("c", F.sum("n").over(Window.partitionBy("word")))
+    words = written(asked.groupBy("word").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("blocks")), "words")
     bucket = (F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(buckets)) + FIRST).cast("int")
-    answers = written(counted.select("word", "c", bucket.alias("bucket"), "block", F.row_number().over(Window.partitionBy("word").orderBy("block")).alias("k")), "counts")
-    symbol = F.when(F.col("c") >= 2, F.col("bucket")).otherwise(RARE)
-    each = answers.filter("k = 1 AND c > 0").groupBy(symbol.cast("int").alias("symbol")).agg(F.sum("c").alias("mass"), F.count(F.lit(1)).alias("words"), F.sum(F.when(F.col("c") == 2, 1).otherwise(0)).alias("twice")).collect()
+    symbol = F.when(F.col("c") >= 2, bucket).otherwise(RARE)
+    each = words.filter("c > 0").groupBy(symbol.cast("int").alias("symbol")).agg(F.sum("c").alias("mass"), F.count(F.lit(1)).alias("words"), F.sum(F.when(F.col("c") == 2, 1).otherwise(0)).alias("twice")).collect()
     ends = rows.filter("NOT held_out").count()
     frequencies = np.zeros(buckets + FIRST)
     for r in each:
@@ -269,7 +297,11 @@ def encode(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
     totals["distinct"] = totals["words"] + (ends > 0)
     mass = np.maximum(frequencies, 1)
     work = _symbols(totals["tokens"], totals["distinct"], once, totals["twice"], ends, mass)
-    return written(blocks.per_block(dealt, answers.select("block", "word", "c", "bucket"), work, _ROWS), "symbols"), totals, frequencies
+    # words that very many blocks ask for are broadcast, the rest meets its count by shuffle
+    loose = F.concat(F.col("block").cast("string"), F.lit("\0"), "word")
+    answers = with_groups(asked.select("block", "word"), words, "word", "blocks", loose).select("block", "word", "c", bucket.alias("bucket"))
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, {_FACTS}"
+    return written(blocks.per_block(dealt, answers, work, schema), "symbols"), totals, frequencies
 
 
 def train(encoded: DataFrame, frequencies: np.ndarray, states: int = STATES, passes: int = PASSES, train_window: int = TRAIN_WINDOW) -> tuple[Hmm, list[float]]:
@@ -289,20 +321,28 @@ def score(encoded: DataFrame, model: Hmm, totals: dict) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = shared.value.log10([np.frombuffer(s.as_buffer(), np.uint16) for s in batch.column("symbols")])
+            symbols = batch.column("symbols")
+            ends = np.cumsum(pc.binary_length(symbols).to_numpy()) // 2
+            groups = np.flatnonzero(np.diff(ends // SCORED_AT_ONCE, prepend=0, append=-1))  # where a new part of the batch begins
+            found = [
+                shared.value.log10([np.frombuffer(s.as_buffer(), np.uint16) for s in symbols.slice(a, b - a)])
+                for a, b in zip([0, *groups.tolist()], [*groups.tolist(), len(batch)]) if a < b
+            ]
+            score = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), batch.column("n_tokens"), batch.column("n_known"), pa.array(np.full(len(batch), tokens, np.int64)), batch.column("base_sum"), pa.array(found + batch.column("word_sum").to_numpy())],
+                [batch.column("doc_id"), batch.column("held_out"), batch.column("n_tokens"), batch.column("n_known"), pa.array(np.full(len(batch), tokens, np.int64)), batch.column("base_sum"), pa.array(score + batch.column("word_sum").to_numpy())],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return encoded.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def language_model(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, passes: int = PASSES) -> DataFrame:
     """Train on the rows that are not ``held_out`` (a boolean column) and score all rows.
 
-    Null and empty texts have the end token alone.  Repeated rows and ids all count and are all returned; a null id stays
-    null.  An empty table, or one without training rows, gives a model of one unknown word, and scores all the same.
+    Null and empty texts have the end token alone.  Repeated rows and ids all count and are all returned; ids may be of any
+    type, and a null id stays null.  An empty table, or one without training rows, gives a model of one unknown word, and scores all the same.
     Columns of other names are not read.
     """
     encoded, totals, frequencies = encode(docs, held_out, id_col, text_col)

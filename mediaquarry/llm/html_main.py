@@ -10,6 +10,7 @@ nodes carry their labels; it never sees the pages to be extracted, and has a fix
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -265,11 +266,28 @@ def trained(pages: int = TRAINING_PAGES) -> Extractor:
     return Extractor(token_score, Boosted().fit(x, np.array([y for w in labels for y in w], dtype=np.float64)))
 
 
-def extract(pages: DataFrame, html_col: str = "html", out: str = "text", pages_at_once: int = 64) -> DataFrame:
+CHARS_AT_ONCE = 1 << 20  # of html that is parsed before the trees score its nodes
+
+
+def _grouped(source: list[str], most: int) -> Iterator[list[str]]:
+    """Pages in groups of about ``most`` characters; a longer page is a group of its own."""
+    held, size = [], 0
+    for page in source:
+        if held and size + len(page) > most:
+            yield held
+            held, size = [], 0
+        held.append(page)
+        size += len(page)
+    if held:
+        yield held
+
+
+def extract(pages: DataFrame, html_col: str = "html", out: str = "text", chars_at_once: int = CHARS_AT_ONCE) -> DataFrame:
     """``pages`` with the main text in ``out``: blocks in page order, joined by two line feeds.
 
     Null and empty html give the empty text.  No page is cut.  Rows, repeated ones too, and columns stay as they are; if
-    ``out`` is taken, its value is replaced.  One narrow step: no shuffle, and the model's size is fixed.
+    ``out`` is taken, its value is replaced.  One narrow step: no shuffle, and the model's size is fixed.  A page takes time
+    in proportion to its length, however deep its elements are nested.
     """
     model = pages.sparkSession.sparkContext.broadcast(trained())
 
@@ -277,8 +295,8 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "text", pages_a
         for batch in batches:
             source = [h.as_py() or "" for h in batch.column(html_col)]
             texts = []
-            for k in range(0, len(source), pages_at_once):
-                texts += model.value.texts(source[k : k + pages_at_once])
+            for some in _grouped(source, chars_at_once):
+                texts += model.value.texts(some)
             columns = {n: batch.column(n) for n in batch.schema.names} | {out: pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table, written
+from .common import fresh, table, with_groups, written
 
 SEGMENTS, SEGMENT_BITS, BUDGET = 8, 8, 3
 SHINGLE = 3
@@ -329,12 +329,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unless a component has no other (then null).  Repeated ids stay repeated.  An empty table gives an empty result.
     """
     rows = written(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle=shingle).select("doc_id", "fp"), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "nodes")
     edges = written(links(nodes.select("fp")), "links")
     rooted = written(components(edges, nodes.select("fp")).join(nodes, "fp"), "rooted")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    whole = written(rooted.join(lows, "root").select("fp", "component_id"), "members")
-    return rows.join(whole, "fp").select("doc_id", "fp", "component_id")
+    whole = written(rooted.join(lows, "root").select("fp", "component_id", "n"), "members")
+    # copies and empty texts may be a third of all rows with one fingerprint
+    return with_groups(rows, whole, "fp", "n", F.xxhash64("doc_id")).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, budget: int = 7) -> DataFrame:

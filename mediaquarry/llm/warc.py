@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import new_path, table, with_groups, written
 
 SKIPPABLE = 0x184D2A5D  # fixed value of the format: the skippable frame of a dictionary
-ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES, LEVEL = 16 << 20, 64 << 10, 2 << 20, 3
+ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES, PIECE_BYTES, LEAST_BYTES, LEVEL = 16 << 20, 64 << 10, 2 << 20, 16 << 10, 16 << 10, 3
 _MANIFEST = "file string, page_id long, offset long, length long"
 _READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
@@ -67,27 +67,26 @@ def _clean(url: str | None) -> str | None:
 
 
 def train_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES, sample_bytes: int = SAMPLE_BYTES) -> bytes:
-    """A dictionary from evenly spaced records, up to ``sample_bytes`` of them; empty if they are too few to train on."""
-    total = sum(map(len, records))
-    step = max(1, -(-total // sample_bytes))
-    samples = [r[: 128 << 10] for r in records[::step]]
-    if len(samples) < 8:
-        return b""
+    """A dictionary from evenly spaced pieces of the records, ``sample_bytes`` of them at most.
+
+    Large records are cut into pieces, so that an archive of few large pages has samples enough; the pieces of a small
+    archive are given more than once, as the trainer asks for a least number of bytes.
+    """
+    pieces = [r[k : k + PIECE_BYTES] for r in records for k in range(0, len(r), PIECE_BYTES)]
+    step = max(1, -(-sum(map(len, pieces)) // sample_bytes))
+    samples = pieces[::step]
+    while sum(map(len, samples)) < LEAST_BYTES or len(samples) < 16:
+        samples = samples * 2
     size = min(size, max(1024, sum(map(len, samples)) // 8))
-    try:
-        return zstandard.train_dictionary(size, samples, k=512, d=8, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    return zstandard.train_dictionary(size, samples, k=512 if size > 4096 else 64, d=8, level=LEVEL).as_bytes()
 
 
 def write_archive(records: list[bytes]) -> tuple[bytes, list[tuple[int, int]]]:
-    """The file's bytes, and each record's offset and length in it."""
+    """The file's bytes, and each record's offset and length in it.  Every archive has its dictionary."""
     trained = train_dictionary(records)
     out = io.BytesIO()
-    if trained:
-        out.write(struct.pack("<II", SKIPPABLE, len(trained)) + trained)
-    shared = zstandard.ZstdCompressionDict(trained) if trained else None
-    squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_checksum=True)
+    out.write(struct.pack("<II", SKIPPABLE, len(trained)) + trained)
+    squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained), write_checksum=True)
     places = []
     for r in records:
         frame = squeeze.compress(r)

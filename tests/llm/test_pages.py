@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -72,8 +73,11 @@ def test_frames_and_dictionary():
     assert [r["fields"]["x-page-id"] for r in warc.read_archive(data)] == [str(i) for i in range(200)]
     plain = sum(len(zstandard.compress(r)) for r in records)
     assert sum(n for _, n in places) < 0.8 * plain
-    few, _ = warc.write_archive(records[:2])
-    assert len(list(warc.read_archive(few))) == 2
+    # small archives, and those of few large records, have a dictionary too
+    large = [warc.record(i, None, b"".join(b"%d " % (k * i) for k in range(60_000)), None, None, False, "d") for i in range(3)]
+    for some in (records[:2], records[:1], large, [warc.record(None, None, b"", None, None, False, "d")]):
+        few, _ = warc.write_archive(some)
+        assert struct.unpack_from("<I", few)[0] == warc.SKIPPABLE and len(list(warc.read_archive(few))) == len(some)
     with pytest.raises(ValueError):
         list(warc.parse(__import__("io").BytesIO(records[0].replace(b"some", b"same"))))
 
@@ -85,6 +89,62 @@ def test_parser_is_lenient():
         parse(junk)
 
 
+def test_texts_of_unusual_elements_stay():
+    """What stands in formulas, drawings, fallbacks and choices is text; code and what is never shown isn't."""
+    nodes = parse("<p>Let <math><mi>x</mi></math> be <svg><text>a</text></svg> <noscript>b</noscript> <object>c</object> <canvas>d</canvas> done<script>e</script><template>f</template></p><select><option>g</select>")
+    assert [n.text for n in nodes if n.tag == "#text"] == ["Let x be a b c d done", "g"]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "deep", "<ul><li>" * 8_000 + "deep", "<table><tr><td>" * 10_000 + "deep", "<div>" + "<img src=a>" * 50_000 + "deep", "<a \"'>x" * 20_000 + "deep", "<p a=\"b>x'" * 20_001 + "deep"], ids=["div", "list", "table", "images", "quotes", "unclosed"])
+def test_parsing_takes_linear_time(page):
+    start = time.perf_counter()
+    assert any("deep" in n.text or n.tag == "#root" for n in parse(page))
+    assert time.perf_counter() - start < 5
+
+
+def test_a_page_of_five_megabytes(spark):
+    body = "".join(f"<p>Sentence number {i}, with some more words; and an end.</p>" for i in range(85_000))
+    page = f"<html><body><nav><ul><li><a href=/>Home</a></li><li><a href=/b>News</a></li></ul></nav><article>{body}</article><footer>&copy; 2024</footer></body></html>"
+    assert len(page) > 5_000_000
+    deep = "<div>" * 20_000 + "<p>text</p>"
+    rows = html_main.extract(spark.createDataFrame([(1, page, "clash", 1), (2, deep, "clash", 1)], "page_id long, html string, text string, n_chars int")).collect()
+    text = next(r["text"] for r in rows if r["page_id"] == 1)
+    assert text.startswith("Sentence number 0,") and text.endswith("Sentence number 84999, with some more words; and an end.") and text.count("\n\n") == 84_999
+
+
+def test_all_attribute_words_count():
+    nodes = parse(f'<div class="{" ".join(f"u{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40))} comments">x</div>')
+    assert nodes[1].tokens[-1] == "comments" and len(nodes[1].tokens) == 41
+
+
+#: Written by hand, not by the generator: (page, main text).
+HAND_MADE = [
+    (
+        """<!doctype html><html><head><title>Bridge reopens</title><style>p{color:red}</style></head><body class="home page-template">
+        <header id="masthead"><a href="/">The Daily Example</a></header><nav class="main-menu"><ul><li><a href="/w">World</a><li><a href="/s">Sport</a></ul></nav>
+        <main><article class="post"><h1>Bridge reopens</h1><p>The old bridge, closed since spring, reopened on Monday after repairs that took five months.</p>
+        <div class="advert">Buy two, get one free!</div><p>Engineers replaced the deck &amp; painted the railings; traffic was light, residents said.</p>
+        <ul><li>Length: 240 metres</li><li>Built: 1931</li></ul></article>
+        <section id="comments"><h3>2 comments</h3><div class="comment"><b>ann</b><p>Finally! I have waited for this for so long, thank you.</p></div><div class="comment"><b>bob</b><p>The paint looks wrong to me, sorry.</p></div></section></main>
+        <aside class="sidebar"><h2>Most read</h2><ul><li><a href="/1">One</a></li><li><a href="/2">Two</a></li></ul></aside>
+        <footer><p>&copy; 2024 The Daily Example. All rights reserved.</p></footer><script>track("</p>")</script></body></html>""",
+        ["Bridge reopens", "The old bridge, closed since spring, reopened on Monday after repairs that took five months.", "Engineers replaced the deck & painted the railings; traffic was light, residents said.", "Length: 240 metres", "Built: 1931"],
+    ),
+    (
+        """<html><body><div class="wrapper"><div class="cookie-notice"><p>We use cookies to make this site work.</p><button>Accept</button></div>
+        <div class="content"><h2>How to sharpen a knife</h2><p>Hold the blade at an angle of twenty degrees, and draw it over the stone from heel to tip.</p><p>Repeat ten times a side, then turn to the finer stone.</p>
+        <blockquote>A dull knife is a dangerous knife.</blockquote></div>
+        <form class="newsletter"><label>Your address</label><input type="text"><button>Subscribe</button></form><div class="site-footer">Contact, imprint, terms of use</div></div></body></html>""",
+        ["How to sharpen a knife", "Hold the blade at an angle of twenty degrees, and draw it over the stone from heel to tip.", "Repeat ten times a side, then turn to the finer stone.", "A dull knife is a dangerous knife."],
+    ),
+]
+
+
+@pytest.mark.parametrize("page, want", HAND_MADE, ids=["news", "howto"])
+def test_hand_made_pages(page, want):
+    assert html_main.trained().texts([page])[0] == "\n\n".join(want)
+
+
 def test_boosted_trees_learn():
     draw = np.random.default_rng(0)
     x = draw.random((3000, 4))

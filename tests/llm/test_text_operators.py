@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def test_exact_groups(awkward, empty):
 
 def test_exact_groups_with_many_salts(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot text").otherwise(F.concat(F.lit("t"), (F.col("id") % 700).cast("string"))).alias("text"))
-    rows = exact_dedup.exact_groups(docs, salts=7)
+    rows = exact_dedup.exact_groups(docs, salt_rows=430)
     hot = rows.filter("group_size = 1000")
     assert hot.count() == 1000 and hot.filter("kept").collect()[0]["doc_id"] == 0
     assert rows.filter("kept").count() == docs.select("text").distinct().count()
@@ -441,7 +442,94 @@ def test_forward_is_the_sum_over_paths():
 def test_baum_welch_does_not_lose_likelihood(spark):
     draw = np.random.default_rng(1)
     rows = [(i, False, 1, 1, 0.0, 0.0, draw.integers(0, 6, 40).astype(np.uint16).tobytes()) for i in range(40)]
-    encoded = spark.createDataFrame(rows, hmm._ROWS)
+    encoded = spark.createDataFrame(rows, f"doc_id long, {hmm._FACTS}")
     frequencies = np.bincount(np.concatenate([np.frombuffer(r[-1], np.uint16) for r in rows]), minlength=6).astype(float)
     _, progress = hmm.train(encoded, frequencies, states=2, passes=6, train_window=64)
     assert all(b >= a - 0.5 for a, b in zip(progress, progress[1:]))
+
+
+def test_expected_counts_are_those_of_whole_texts():
+    """Windows with context count what one window over each whole text counts, borders included."""
+    draw = np.random.default_rng(3)
+    frequencies = draw.random(30) + 0.1
+    model = hmm.Hmm.first(frequencies / frequencies.sum(), 4)
+    model.start = np.array([0.7, 0.1, 0.1, 0.1])
+    texts = [draw.integers(0, 30, n).astype(np.uint16) for n in (1, 5, 60, 61, 200, 433, 130)]
+    encoded = [pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts], pa.binary())], names=["symbols"])]
+    shared = type("Shared", (), {"value": model})
+
+    def counts(size, context):
+        rows = next(iter(hmm._count(shared, size, 30, context=context)(encoded)))
+        small = np.stack([np.frombuffer(x.as_buffer(), np.float64) for x in rows.column("small")])
+        return small, np.stack([np.frombuffer(x.as_buffer(), np.float32) for x in rows.column("emit")]), sum(rows.column("total").to_pylist())
+
+    whole, cut = counts(1000, 0), counts(60, hmm.CONTEXT)
+    assert np.isclose(whole[0][:, 1:].sum(), sum(len(t) - 1 for t in texts), rtol=1e-4)  # every transition once
+    assert np.isclose(cut[0][:, 1:].sum(), whole[0][:, 1:].sum(), rtol=1e-4)
+    for a, b in zip(whole, cut):
+        assert np.allclose(a, b, rtol=2e-3, atol=2e-3)
+
+
+def test_scores_do_not_depend_on_blocks(spark, clashing, tmp_path):
+    """Block sizes and partitions leave the results as they are; equal rows spread over blocks; ids may be texts."""
+    draw = random.Random(8)
+    docs = [(f"d{i}", " ".join(f"w{draw.randint(0, 60)}" for _ in range(draw.randint(0, 80)))) for i in range(150)] + [(None, "same words again " * 20)] * 150 + [("long", "a b c d e f g " * 3000)]
+    spark.createDataFrame(docs, "doc_id string, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    frame = spark.read.parquet(f"{tmp_path}/docs")
+    held = F.pmod(F.crc32(F.coalesce("doc_id", F.lit("")).cast("binary")), F.lit(7)) == 2
+
+    def scores(block_bytes, partitions):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        encoded, totals, frequencies = hmm.encode(frame, held, block_bytes=block_bytes)
+        model, _ = hmm.train(encoded, frequencies, states=3, passes=2)
+        return sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in hmm.score(encoded, model, totals).collect())
+
+    try:
+        one, many = scores(1 << 24, 4), scores(2000, 9)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [r[:3] for r in one] == [r[:3] for r in many] and len(one) == len(docs)
+    assert np.allclose([r[3:] for r in one], [r[3:] for r in many], rtol=1e-6)
+    from mediaquarry.llm import blocks
+
+    pieces = blocks.deal(frame.filter("doc_id IS NULL"), "text", 2000).collect()
+    assert len({r["block"] for r in pieces}) > 10
+    # columns with the names used inside do no harm
+    assert hmm.language_model(clashing, F.lit(False), states=2, passes=1).count() == len(AWKWARD)
+
+
+def test_bpe_of_a_word_in_all_blocks(spark, clashing, monkeypatch):
+    """A word that every block has, and answers in more than one packed row; ids of another type; clashing names."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "ROWS_PACKED", 50)
+    docs = [(f"d{i}", f"the hot word the {i} hot" if i % 3 else None) for i in range(300)] + [("same", "the hot word")] * 50
+    rows = bpe.encode(spark.createDataFrame(docs, "doc_id string, text string"), block_bytes=200).collect()
+    tok = Tokenizer.from_file(bpe.default_path())
+    want = sorted((i, tok.encode(t or "", add_special_tokens=False).ids) for i, t in docs)
+    assert sorted((r["doc_id"], r["ids"]) for r in rows) == want
+    assert all(r["decoded"] == tok.decode(r["ids"], skip_special_tokens=False) for r in rows)
+    assert bpe.encode(clashing).count() == len(AWKWARD)
+
+
+def test_decode_of_odd_ids(spark):
+    """Ids outside the vocabulary and nulls decode to nothing; broken UTF-8 is replaced."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(bpe.default_path())
+    ids = tok.encode("漢字 é", add_special_tokens=False).ids
+    rows = [(1, ids), (2, None), (3, []), (4, [ids[0]]), (5, [10**6, -1, None, *ids])]
+    got = {r["k"]: r["decoded"] for r in bpe.decode(spark.createDataFrame(rows, "k int, ids array<int>, decoded int")).collect()}
+    assert got == {1: "漢字 é", 2: None, 3: "", 4: tok.decode([ids[0]], skip_special_tokens=False), 5: "漢字 é"}
+
+
+def test_decontamination_of_equal_rows_in_blocks(spark):
+    """Rows that repeat an id and text each have their hits, also where the benchmark is read block by block."""
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    docs = spark.createDataFrame([(1, AWKWARD[11][1])] * 3 + [(1, "a b"), (None, None), (2, "")] * 2, SCHEMA)
+    found = [sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontaminate.report(docs, bench, block_bytes=n).collect()) for n in (1 << 20, 30)]
+    assert found[0] == found[1] and len(found[0]) == 9
+    cut = [sorted(str(r["text"]) for r in decontaminate.decontaminate(docs, bench, mode="span", block_bytes=n).collect()) for n in (1 << 20, 30)]
+    assert cut[0] == cut[1]
+    kept = [decontaminate.decontaminate(docs, bench, block_bytes=n).count() for n in (1 << 20, 30)]
+    assert kept == [4, 4]
