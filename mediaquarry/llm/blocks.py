@@ -64,7 +64,7 @@ def chunks(pieces: pa.Table, text_col: str = "text", chunk_bytes: int = CHUNK_BY
     for piece in unpack(pieces):
         rows = max(1, int(len(piece) * chunk_bytes // max(1, piece.column(text_col).nbytes)))
         for k in range(0, len(piece), rows):
-            part = piece.slice(k, rows)
+            part = piece if rows >= len(piece) else piece.take(pa.array(np.arange(k, min(k + rows, len(piece)))))  # a copy: Arrow's string functions go wrong on slices
             held.append(part)
             size += part.column(text_col).nbytes
             if size >= chunk_bytes:

@@ -43,7 +43,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts in a row, and how many each text has; the same words as ``words_of``, without Python objects."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts).cast(pa.large_string()))
     flat = lists.flatten()
     whole = np.diff(lists.offsets.to_numpy())
     real = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves empty parts

@@ -498,6 +498,27 @@ def test_scores_do_not_depend_on_blocks(spark, clashing, tmp_path):
     assert hmm.language_model(clashing, F.lit(False), states=2, passes=1).count() == len(AWKWARD)
 
 
+def test_words_of_cut_pieces():
+    """A piece cut into chunks has the same words as its texts, letters beyond ASCII and slices included."""
+    from mediaquarry.llm import blocks
+
+    texts = ["É aa\x0bBb", "", None, "bb  É\tcc", " Ü", "漢字 x\n" * 50, "plain"] * 9
+    piece = pa.table({"id": pa.array(range(len(texts))), "text": pa.array(texts).fill_null("")})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, piece.schema) as stream:
+        stream.write_table(piece)
+    packed = pa.table({"piece": pa.array([sink.getvalue().to_pybytes()] * 2, pa.binary())})
+    for size in (1, 100, 1 << 20):
+        words, sizes = [], []
+        for part in blocks.chunks(packed, chunk_bytes=size):
+            w, n = hmm.tokens_of(hmm._column(part, "text"))
+            words += w.to_pylist()
+            sizes += n.tolist()
+        assert words == [x.decode() for _ in range(2) for t in texts for x in hmm.words_of(t)] and sizes == [len(hmm.words_of(t)) for t in texts] * 2
+    for part in (piece.slice(3), piece.slice(1, 5)):
+        assert hmm.tokens_of(part.column("text").chunk(0))[0].to_pylist() == [x.decode() for t in part.column("text").to_pylist() for x in hmm.words_of(t)]
+
+
 def test_bpe_of_a_word_in_all_blocks(spark, clashing, monkeypatch):
     """A word that every block has, and answers in more than one packed row; ids of another type; clashing names."""
     from tokenizers import Tokenizer
@@ -519,7 +540,8 @@ def test_decode_of_odd_ids(spark):
     tok = Tokenizer.from_file(bpe.default_path())
     ids = tok.encode("漢字 é", add_special_tokens=False).ids
     rows = [(1, ids), (2, None), (3, []), (4, [ids[0]]), (5, [10**6, -1, None, *ids])]
-    got = {r["k"]: r["decoded"] for r in bpe.decode(spark.createDataFrame(rows, "k int, ids array<int>, decoded int")).collect()}
+    frame = spark.createDataFrame([(*r, 0) for r in rows], "k int, ids array<int>, decoded int")
+    got = {r["k"]: r["decoded"] for r in bpe.decode(frame).collect()}
     assert got == {1: "漢字 é", 2: None, 3: "", 4: tok.decode([ids[0]], skip_special_tokens=False), 5: "漢字 é"}
 
 
