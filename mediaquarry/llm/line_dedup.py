@@ -3,13 +3,15 @@
 The documents' lines that hold words, in order of document and line, form one sequence; between documents lies a border
 that no run crosses.  A line's id is its rank among the lines that occur more than once.  Prefix doubling ranks the
 suffixes by their first 2, 4, 8 ... lines: rows of (rank, rank 2^k further on) are sorted by a range partition with running
-sums, and a suffix whose prefix occurs once leaves.  A run of L lines then is an interval of the suffix array with a longest
-common prefix of L or more, named by two ranks: of its first and of its last 2^k lines.
-
-A repeated run counts from ``min_words`` words.  For each line the shortest run of that many words from it and the shortest
-up to it are looked up; a run whose interval has an earlier member is a later copy and its lines go.  The union of these
-shortest runs is exactly the union of all longer ones: the maximal repeated runs.  The number of rounds is the logarithm of
-``min_words``, however long the copies are.
+sums, and a suffix whose prefix occurs once leaves.  The suffixes that share their first L lines are an interval of the
+suffix array in which the longest common prefix is L or more; two ranks name it, of its first and of its last 2^k lines.
+
+A repeated run counts from ``min_words`` words.  The intervals of interest are those of the shortest runs of that many
+words, from each line and up to each line: an interval's later members are copies.  Copies that overlap or touch are
+merged document by document, and what comes out are the maximal repeated runs, however long they are: a longer run is a
+chain of such shortest ones, and each of its lines begins, ends or lies inside one.  So ranks are needed to the depth of
+the longest of the *shortest* runs (``min_words`` lines at most), and copies of any length cost no further round; tests
+hold this against brute force for runs far beyond that depth, in one text and across texts.
 """
 
 from __future__ import annotations
@@ -95,7 +97,7 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = measured.withColumn("none", F.col("id").isNull().cast("int"))
     placed = running(keyed, ["none", "id", "th"], "size", "start", "placed")
     each = placed.select("start", F.posexplode(F.arrays_zip("numbers", "forward", "backward")).alias("k", "x"), "hashes").select(
-        (F.col("start") + F.col("k")).alias("pos"), "start", F.col("x.numbers").alias("number"), F.element_at("hashes", F.col("x.numbers") + 1).alias("line"), F.col("x.forward").alias("forward"), F.col("x.backward").alias("backward"),
+        (F.col("start") + F.col("k")).alias("pos"), "start", F.element_at("hashes", F.col("x.numbers") + 1).alias("line"), F.col("x.forward").alias("forward"), F.col("x.backward").alias("backward"),
     )
     lines = written(each, "lines")
     groups = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -134,9 +136,23 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     intervals = written(runs.groupBy("run").agg(F.min("first").alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "intervals")
     loose = F.struct(F.lit(-1).alias("length"), F.col("first").alias("a"), F.col("start").alias("b"))
     copies = with_groups(runs, intervals, "run", "n", loose).filter("earliest < first")
-    gone = copies.select("start", F.explode(F.sequence("first", F.col("first") + F.col("length") - 1)).alias("pos")).distinct()
-    numbers = gone.join(repeated.select("pos", "number"), "pos").groupBy("start").agg(F.array_sort(F.collect_list("number")).alias("gone"))
-    return written(numbers.join(placed.select("start", "id", "th"), "start").select("id", "th", "gone"), "gone")
+    # a document has two shortest runs a line at most, so this list is no longer than its text
+    each = copies.groupBy("start").agg(F.collect_list(F.struct((F.col("first") - F.col("start")).cast("int").alias("at"), F.col("length").cast("int").alias("length"))).alias("runs"))
+    held = each.join(placed.select("start", "id", "th", "numbers"), "start").select("id", "th", "numbers", F.col("runs.at").alias("at"), F.col("runs.length").alias("length"))
+    return written(held.mapInArrow(_merged, f"id {docs.schema[id_col].dataType.simpleString()}, th long, gone array<int>"), "gone")
+
+
+def _merged(batches):
+    """Per document: its copied runs in one, as the numbers of the lines that go."""
+    for batch in batches:
+        gone = []
+        for numbers, at, length in zip(batch.column("numbers"), batch.column("at"), batch.column("length")):
+            own, first = numbers.values.to_numpy(), at.values.to_numpy()
+            change = np.zeros(len(own) + 1, np.int64)
+            np.add.at(change, first, 1)
+            np.add.at(change, first + length.values.to_numpy(), -1)
+            gone.append(own[np.cumsum(change[:-1]) > 0])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(gone, pa.list_(pa.int32()))], names=["id", "th", "gone"])
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, out: str = "gone") -> DataFrame:
@@ -158,8 +174,8 @@ def _kept(text, gone):
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without later copies of repeated line runs; columns stay as they are.
 
-    The first copy, in order of id (nulls last), then text hash, then line, stays.  A document of which nothing but blank
-    lines is left goes as a whole; one without words from the start stays as it is, as do null and empty texts.  Rows that
+    A run shorter than ``min_words`` words stays, however often it occurs.  The first copy, in order of id (nulls last),
+    then text hash, then line, stays.  A document of which nothing but blank lines is left goes as a whole; one without words from the start stays as it is, as do null and empty texts.  Rows that
     repeat an id and its text count as one document and are treated alike.  Lines are compared whole, by two 64-bit hashes.
     """
     gone = fresh(docs.columns, "gone")

@@ -286,8 +286,9 @@ def _brute_lines(docs, least):
                 seq.append((d, n, line, len(line.encode().split())))
         seq.append((d, None, object(), 0))
     gone: dict = {}
+    places: dict = {}
     for i in range(len(seq)):
-        for j in range(i):  # the longest common run with an earlier place
+        for j in places.get(seq[i][2], ()):  # the longest common run with an earlier place
             k = words = 0
             while i + k < len(seq) and seq[i + k][1] is not None and seq[i + k][2] == seq[j + k][2]:
                 words += seq[i + k][3]
@@ -295,6 +296,7 @@ def _brute_lines(docs, least):
             if words >= least:
                 for x in seq[i : i + k]:
                     gone.setdefault(x[0], set()).add(x[1])
+        places.setdefault(seq[i][2], []).append(i)
     return gone
 
 
@@ -306,6 +308,22 @@ def test_line_runs(spark, seed):
     assert got == _brute_lines(docs, 4)
 
 
+def test_line_runs_of_any_length(spark):
+    """Runs far longer than the words that they need, in one text and across texts; shorter ones stay."""
+    draw = random.Random(12)
+    line = lambda: " ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(draw.randint(1, 3)))
+    long, short = [line() for _ in range(700)], [line() for _ in range(3)]
+    docs = [
+        (1, "\n".join([*long, line(), *long[:650], line(), *long[3:]])),  # a run again inside one text, beyond any doubling
+        (2, "\n".join([line(), *long[100:600], "", *short, line()])),
+        (3, "\n".join([*short, line(), *short, line(), *long[:40]])),
+        (4, "\n".join(long)), (5, "\n".join([*long, *long])), (6, "\n".join(long[690:])), (7, "\n".join(["x"] * 400)), (8, "\n".join(["x"] * 9)),
+    ]
+    got = {r["id"]: set(r["gone"]) for r in line_dedup.later_copies(spark.createDataFrame(docs, SCHEMA), min_words=20).collect()}
+    assert got == _brute_lines(docs, 20)
+    assert got[4] == set(range(700)) and len(got[1]) == 650 + 697 and 8 not in got and max(got[7]) == 399
+
+
 def test_line_dedup_documents(spark, clashing, empty):
     assert line_dedup.deduplicate(empty).count() == 0
     assert line_dedup.deduplicate(clashing).columns == clashing.columns
