@@ -1,10 +1,16 @@
 """Toxicity: a learned lexicon in a trie, Levenshtein automata over it, and context windows around each hit.
 
 Lexicon: whole words and word stems whose share of toxic documents cannot be chance (a binomial bound, corrected for the
-number of candidates), in rounds until what is left of the toxic documents has no such term.  Matching: the product of
-the trie with the terms' Levenshtein automata, made deterministic as texts need it; a word is read once, letter by letter,
-and most words leave the automaton after a few.  Context: a hit inside quotation marks counts less, less still beside a
-word of reporting, and nearly fully beside a word that addresses someone.  A document's score is its strongest hit's.
+number of candidates), in rounds until what is left of the toxic documents has no such term.  What stands in quotation
+marks is no evidence for a term or against it, so that a term of abuse which others only quote is still learnt.  Matching:
+the product of the trie with the terms' Levenshtein automata (two swapped neighbours are one edit), made deterministic as
+texts need it; a word is read once, letter by letter, and most words leave the automaton after a few.  How much an exact or
+inexact hit of a term says is learnt too.
+
+Context: the window of eight words to either side of a hit gives it features: is it in quotation marks, is a word of
+reporting or of addressing someone near them, and the words themselves, hashed to ``WORD_BUCKETS``.  A logistic regression
+on the labelled documents, with the term's own weight as its offset, learns what they say.  The prior's means, which hold
+where the labels tell nothing, take quotation for no abuse.  A document's score is its strongest hit's.
 """
 
 from __future__ import annotations
@@ -24,29 +30,36 @@ from .decontaminate import words_of
 
 FIT_ROWS = 12_000  # the bound of the labelled sample
 STEMS = range(4, 9)
-FUZZY_WORD, FUZZY_STEM = 5, 7  # letters from which a term tolerates one edit
 WINDOW = 8
-# Marks and words that tell quotation, and words that address someone.
+WORD_BUCKETS, RIDGE = 512, 4.0
+# Marks that quote, and words that report speech or address someone.
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‹": "›", "‘": "’"}
 REPORTS = frozenset("said says say called calls quote quoted quotes wrote word term phrase slur sagte nannte wort zitat begriff schrieb dit disait mot terme appelé écrit dijo llamó palabra término escribió".split())
 ADDRESS = frozenset("you your you're u ur du dich dir dein deine ihr euch sie tu te toi vous votre ton ta usted tú eres vosotros ustedes".split())
-IN_QUOTES, REPORTED, ADDRESSED = 0.35, 0.15, 0.8
+FLAGS = ("quoted", "quoted and reported", "quoted and addressed")
+PRIOR = (-5.0, -1.0, 4.0)  # log-odds of the flags before any label is seen; of every window word: none
+
+
+def edits_of(text: str, stem: bool) -> int:
+    """How many edits a term tolerates, by its letters: stems one from seven, words one from five and two from nine."""
+    return int(len(text) >= 7) if stem else (len(text) >= 5) + (len(text) >= 9)
 
 
 class FuzzyTrie:
-    """Lazily determinised product of a lexicon trie and Levenshtein automata of at most one edit.
+    """Lazily determinised product of a lexicon trie and the Levenshtein automata of its terms.
 
-    A state is a set of (trie node, edits).  ``terms``: (text, is_stem).  A stem accepts every word that goes on after it.
+    A state is a set of (trie node, edits, awaited letter).  ``terms``: (text, is_stem).  A stem accepts every word that goes
+    on after it.
     """
 
     def __init__(self, terms: Iterable[tuple[str, bool]]):
         self.terms = sorted(terms)
+        self.most = [edits_of(*t) for t in self.terms]
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.reach = [0]  # edits that some term at or below the node allows
-        for number, (text, stem) in enumerate(self.terms):
-            most = int(len(text) >= (FUZZY_STEM if stem else FUZZY_WORD))
-            at = 0
+        for number, (text, _) in enumerate(self.terms):
+            most, at = self.most[number], 0
             self.reach[0] = max(self.reach[0], most)
             for c in text:
                 if c not in self.children[at]:
@@ -57,43 +70,45 @@ class FuzzyTrie:
                 at = self.children[at][c]
                 self.reach[at] = max(self.reach[at], most)
             self.ends[at].append(number)
-        self.start = self._closed({(0, 0): 0})
+        self.start = self._closed([(0, 0, "")])
         self.moves: dict[tuple[frozenset, str], frozenset] = {}
         self.memo: dict[bytes, tuple[tuple[int, int], ...]] = {}
 
-    def _most(self, number: int) -> int:
-        text, stem = self.terms[number]
-        return int(len(text) >= (FUZZY_STEM if stem else FUZZY_WORD))
-
-    def _closed(self, states: dict) -> frozenset:
+    def _closed(self, states: Iterable[tuple[int, int, str]]) -> frozenset:
         """With the trie's letters that the word leaves out; a negative node -1 - n is the accepted stem n."""
-        todo = list(states)
         found = set(states)
+        todo = list(found)
         while todo:
-            node, edits = todo.pop()
-            if node < 0:
+            node, edits, awaited = todo.pop()
+            if node < 0 or awaited:
                 continue
             for number in self.ends[node]:
-                if self.terms[number][1] and edits <= self._most(number):
-                    found.add((-1 - number, edits))
+                if self.terms[number][1] and edits <= self.most[number]:
+                    found.add((-1 - number, edits, ""))
             for child in self.children[node].values():
-                if edits < self.reach[child] and (child, edits + 1) not in found and (child, edits) not in found:
-                    found.add((child, edits + 1))
-                    todo.append((child, edits + 1))
-        return frozenset(s for s in found if s[1] == 0 or (s[0], 0) not in found)
+                if edits < self.reach[child] and not any((child, e, "") in found for e in range(edits + 2)):
+                    found.add((child, edits + 1, ""))
+                    todo.append((child, edits + 1, ""))
+        return frozenset(s for s in found if s[2] or not any((s[0], e, "") in found for e in range(s[1])))
 
     def _move(self, state: frozenset, letter: str) -> frozenset:
-        out: dict = {}
-        for node, edits in state:
+        out: set = set()
+        for node, edits, awaited in state:
             if node < 0:
-                out[node, edits] = 0
-                continue
-            for c, child in self.children[node].items():
-                cost = edits + (c != letter)
-                if cost <= self.reach[child]:
-                    out[child, cost] = 0
-            if edits < self.reach[node]:
-                out[node, edits + 1] = 0
+                out.add((node, edits, ""))
+            elif awaited:
+                if letter == awaited:  # the second of two swapped letters
+                    out.add((node, edits, ""))
+            else:
+                for c, child in self.children[node].items():
+                    if edits + (c != letter) <= self.reach[child]:
+                        out.add((child, edits + (c != letter), ""))
+                    if edits < self.reach[child] and c != letter and letter in self.children[child]:
+                        after = self.children[child][letter]
+                        if edits < self.reach[after]:
+                            out.add((after, edits + 1, c))
+                if edits < self.reach[node]:
+                    out.add((node, edits + 1, ""))
         return self._closed(out)
 
     def look_up(self, word: bytes) -> tuple[tuple[int, int], ...]:
@@ -113,8 +128,8 @@ class FuzzyTrie:
             if not state:
                 break
         found: dict[int, int] = {}
-        for node, edits in state:
-            numbers = [-1 - node] if node < 0 else [n for n in self.ends[node] if edits <= self._most(n)]
+        for node, edits, awaited in state:
+            numbers = () if awaited else [-1 - node] if node < 0 else [n for n in self.ends[node] if edits <= self.most[n]]
             for n in numbers:
                 found[n] = min(edits, found.get(n, 9))
         out = tuple(sorted(found.items(), key=lambda p: (p[1], p[0])))
@@ -131,11 +146,13 @@ class FuzzyTrie:
 
 
 class Model:
-    """A lexicon with the precision of its exact and inexact hits, and the rate of toxic documents without a hit."""
+    """A lexicon with the precision of its hits by term and edits, the contexts' weights, and the rate of toxic documents
+    without a hit."""
 
-    def __init__(self, terms: list[tuple[str, bool]], exact: dict, inexact: dict, rate: float):
-        self.trie, self.rate = FuzzyTrie(terms), rate
-        self.weight = [(exact.get(t, 0.9), inexact.get(t, 0.6)) for t in self.trie.terms]
+    def __init__(self, terms: list[tuple[str, bool]], exact: dict, inexact: dict, rate: float, flags: Iterable[float] = PRIOR, words: Iterable[float] = ()):
+        self.trie, self.rate, self.flags = FuzzyTrie(terms), rate, tuple(flags)
+        self.words = np.zeros(WORD_BUCKETS) + (np.asarray(list(words)) if len(list(words)) else 0.0)
+        self.weight = [(exact.get(t, 0.9), inexact.get((t, 1), 0.6), inexact.get((t, 2), 0.5)) for t in self.trie.terms]
 
     def hits(self, text: str | None) -> dict[bytes, tuple[int, int]]:
         """The hit words of a text, with the term that weighs most and its edits."""
@@ -146,38 +163,59 @@ class Model:
             if found is None:
                 found = look(w)
             if found:
-                out[w] = max(found, key=lambda p: self.weight[p[0]][p[1]])
+                out[w] = max(found, key=lambda p: (self.weight[p[0]][p[1]], -p[0]))
         return out
 
+    def in_context(self, weight: float, flags: tuple[bool, bool, bool], near: Iterable[int]) -> float:
+        """A hit's weight after its window had its say."""
+        said = sum(w for w, on in zip(self.flags, flags) if on) + float(np.clip(sum(self.words[k] for k in near), -3, 3))
+        return 1 / (1 + math.exp(-(_logit(weight) + said)))
+
     def score(self, text: str | None) -> float:
         hits = self.hits(text)
         if not hits:
             return self.rate
         weights = {w.decode("utf-8", "replace"): self.weight[n][e] for w, (n, e) in hits.items()}
-        values = sorted((weights[w] * factor for w, factor in contexts(text, set(weights))), reverse=True) or [max(weights.values())]
+        values = sorted((self.in_context(weights[w], flags, near) for w, flags, near in contexts(text, set(weights))), reverse=True) or [max(weights.values())]
         top = max(values[0], self.rate)
         return min(1.0, top + (1 - top) * 0.05 * (1 - 1 / len(values)))
 
 
+SUREST = 0.98  # no term is surer than that, so that a context can outweigh it
+
+
+def _logit(p: float) -> float:
+    p = min(max(p, 1 - SUREST), SUREST)
+    return math.log(p / (1 - p))
+
+
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.encode()) % WORD_BUCKETS
+
+
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def contexts(text: str, wanted: set[str]) -> list[tuple[str, float]]:
-    """Each occurrence of the wanted words with the factor that its window gives it."""
-    words = [(m.start(), m.end(), m[0].translate(_FOLD)) for m in _WORD.finditer(text)]
+def _positions(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), m[0].translate(_FOLD)) for m in _WORD.finditer(text)]
+
+
+def _in_marks(text: str, words: list[tuple[int, int, str]], i: int) -> bool:
+    first, last = words[max(0, i - WINDOW)], words[min(len(words) - 1, i + WINDOW)]
+    return _quoted(text[first[0] if i >= WINDOW else 0 : words[i][0]], text[words[i][1] : last[1] + 2])
+
+
+def contexts(text: str, wanted: set[str]) -> list[tuple[str, tuple[bool, bool, bool], set[int]]]:
+    """Each occurrence of the wanted words: the word, its flags, and the buckets of the words in its window."""
+    words = _positions(text)
     out = []
-    for i, (start, end, word) in enumerate(words):
+    for i, (_, _, word) in enumerate(words):
         if word not in wanted:
             continue
-        first, last = words[max(0, i - WINDOW)], words[min(len(words) - 1, i + WINDOW)]
         near = {w.lower() for _, _, w in words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]}
-        factor = 1.0
-        if _quoted(text[first[0] if i >= WINDOW else 0 : start], text[end : last[1] + 2]):
-            factor = REPORTED if near & REPORTS else IN_QUOTES
-            if near & ADDRESS and not near & REPORTS:
-                factor = ADDRESSED
-        out.append((word, factor))
+        quoted = _in_marks(text, words, i)
+        out.append((word, (quoted, quoted and bool(near & REPORTS), quoted and bool(near & ADDRESS) and not near & REPORTS), {_bucket(w) for w in near}))
     return out
 
 
@@ -203,13 +241,17 @@ def _candidates(batches):
 
 
 def _terms_of(text: str | None) -> set[str]:
-    """Whole words (ending in a blank) and stems."""
+    """Whole words (ending in a blank) and stems, of the words that stand outside quotation marks at least once."""
+    if text and any(q in text for q in QUOTES):
+        words = _positions(text)
+        plain = {w for i, (_, _, w) in enumerate(words) if not _in_marks(text, words, i)}
+    else:
+        plain = {w.decode("utf-8", "replace") for w in words_of(text)}
     out = set()
-    for w in set(words_of(text)):
-        word = w.decode("utf-8", "replace").lower()
-        if 3 <= len(word) <= 40:
-            out.add(word + " ")
-            out.update(word[:n] for n in STEMS if n < len(word))
+    for word in plain:
+        low = word.lower()
+        out.add(low + " ")
+        out.update(low[:n] for n in STEMS if n < len(low))
     return out
 
 
@@ -327,15 +369,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seen = chosen.mapInArrow(_present(wanted), "toxic int, terms array<string>, marks array<long>").collect()
     picked = choose_terms([(r["toxic"], r["terms"], i) for r, i in zip(seen, _copies([r["marks"] for r in seen]))], tried)
     exact = {_term(t): (a + 1) / (a + c + 1.05) for t, (a, c) in picked.items()}
-    model = Model(list(exact), exact, {}, rate)
-    found = chosen.mapInArrow(_inexact(spark.sparkContext.broadcast(model)), "toxic int, terms array<int>, exact boolean").collect()
-    tallies: dict[int, list[int]] = {}
+    first = Model(list(exact), exact, {}, rate)
+    found = chosen.mapInArrow(_inexact(spark.sparkContext.broadcast(first)), "toxic int, terms array<int>, edits array<int>, exact boolean").collect()
+    tallies: dict[tuple[int, int], list[int]] = {}
     for r in found:
-        for n in r["terms"] if not r["exact"] else ():
-            tallies.setdefault(n, [0, 0])[r["toxic"]] += 1
-    inexact = {model.trie.terms[n]: (t + 1.2) / (t + c + 2) for n, (c, t) in tallies.items()}
+        for n, e in zip(r["terms"], r["edits"]) if not r["exact"] else ():
+            tallies.setdefault((n, e), [0, 0])[r["toxic"]] += 1
+    inexact = {(first.trie.terms[n], e): (t + 1.2) / (t + c + 2) for (n, e), (c, t) in tallies.items()}
     bare = [r["toxic"] for r in found if not r["exact"] and not r["terms"]]
-    return Model(list(exact), exact, inexact, min(0.49, (sum(bare) + 0.05) / (len(bare) + 1)))
+    rate = min(0.49, (sum(bare) + 0.05) / (len(bare) + 1))
+    plain = Model(list(exact), exact, inexact, rate)
+    seen = chosen.mapInArrow(_surroundings(spark.sparkContext.broadcast(plain)), "toxic int, weight double, flags array<double>, buckets array<int>, shares array<double>").collect()
+    flags, words = learn_contexts([(r["toxic"], r["weight"], r["flags"], dict(zip(r["buckets"], r["shares"]))) for r in seen])
+    return Model(list(exact), exact, inexact, rate, flags, words)
 
 
 def _term(t: str) -> tuple[str, bool]:
@@ -346,16 +392,63 @@ def _inexact(shared):
     def run(batches):
         model = shared.value
         for batch in batches:
-            terms, exact = [], []
+            terms, edits, exact = [], [], []
             for text in batch.column("text"):
-                hits = model.hits(text.as_py())
-                exact.append(any(e == 0 for _, e in hits.values()))
-                terms.append(sorted({n for n, e in hits.values() if e}))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(terms, pa.list_(pa.int32())), pa.array(exact)], names=["toxic", "terms", "exact"])
+                hits = set(model.hits(text.as_py()).values())
+                exact.append(any(e == 0 for _, e in hits))
+                near = sorted((n, e) for n, e in hits if e)
+                terms.append([n for n, _ in near])
+                edits.append([e for _, e in near])
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(terms, ints), pa.array(edits, ints), pa.array(exact)], names=["toxic", "terms", "edits", "exact"])
+
+    return run
+
+
+def _surroundings(shared):
+    """Per document with a hit: the weight of its strongest term, and the mean features of that term's windows."""
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            rows = []
+            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+                hits = {w.decode("utf-8", "replace"): model.weight[n][e] for w, (n, e) in model.hits(text).items()}
+                top = max(hits.values(), default=0.0)
+                found = contexts(text, {w for w, x in hits.items() if x == top}) if hits else []
+                if found:
+                    shares: dict[int, float] = {}
+                    for _, _, near in found:
+                        for k in near:
+                            shares[k] = shares.get(k, 0.0) + 1 / len(found)
+                    rows.append((toxic, top, [float(np.mean([f[k] for _, f, _ in found])) for k in range(len(FLAGS))], list(shares), list(shares.values())))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["toxic", "weight", "flags", "buckets", "shares"])
 
     return run
 
 
+def learn_contexts(rows: list[tuple[int, float, list[float], dict[int, float]]], ridge: float = RIDGE, rounds: int = 12) -> tuple[list[float], list[float]]:
+    """Weights of the flags and of the window words: a ridge regression of the labels around PRIOR, by Newton's method.
+
+    A row: label, the hit's own weight (the offset), its flags and its window words, as means over a document's windows.
+    """
+    prior = np.concatenate([PRIOR, np.zeros(WORD_BUCKETS)])
+    x, y, offset = np.zeros((len(rows), len(prior)), np.float32), np.zeros(len(rows)), np.zeros(len(rows))
+    for i, (label, weight, flags, words) in enumerate(rows):
+        x[i, : len(FLAGS)], y[i], offset[i] = flags, label, _logit(weight)
+        for k, share in words.items():
+            x[i, len(FLAGS) + k] = share
+    pull = np.concatenate([np.full(len(FLAGS), 0.5), np.full(WORD_BUCKETS, ridge)])  # flags are few and learn sooner
+    w = prior.copy()
+    for _ in range(rounds if len(rows) else 0):
+        p = 1 / (1 + np.exp(-np.clip(offset + x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (y - p) - pull * (w - prior))
+        w += np.clip(step, -2, 2)
+    return w[: len(FLAGS)].tolist(), w[len(FLAGS) :].tolist()
+
+
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1.  Null and empty texts get the rate of documents without a hit."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -390,34 +390,117 @@ def test_toxicity(spark, clashing):
     assert toxicity.reject(clashing, none).count() == len(AWKWARD)
 
 
-def _levenshtein(a, b):
-    row = list(range(len(b) + 1))
+def _edits(a, b):
+    """Levenshtein distance in which two swapped neighbours are one edit."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
-        row, last = [i], row
+        rows.append([i])
         for j, y in enumerate(b, 1):
-            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-    return row[-1]
+            best = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, rows[i - 2][j - 2] + 1)
+            rows[i].append(best)
+    return rows[-1][-1]
+
+
+def _brute_terms(trie, word):
+    out = {}
+    for n, (t, stem) in enumerate(trie.terms):
+        d = min(_edits(t, word[:k]) for k in range(len(word) + 1)) if stem else _edits(t, word)
+        if d <= toxicity.edits_of(t, stem):
+            out[n] = d
+    return out
 
 
 def test_automaton_is_edit_distance():
-    terms = [("moron", False), ("worthless", False), ("scum", False), ("clownish", False)]
+    terms = [("moron", False), ("worthless", False), ("scum", False), ("clownish", False), ("disgustingly", False), ("blockhe", True), ("nin", True)]
     trie = toxicity.FuzzyTrie(terms)
     draw = random.Random(3)
     for _ in range(4000):
-        text, _ = draw.choice(terms)
-        word = list(text)
+        text, stem = draw.choice(terms)
+        word = list(text + "".join(draw.choice("adtx") for _ in range(draw.randint(0, 3) if stem else 0)))
         for _ in range(draw.randint(0, 3)):
             k = draw.randrange(len(word) + 1)
-            kind = draw.randrange(3)
+            kind = draw.randrange(4)
             if kind == 0:
                 word.insert(k, draw.choice("abcmorsté"))
+            elif kind == 3:
+                word[k : k + 2] = word[k : k + 2][::-1]
             elif k < len(word):
                 word[k : k + 1] = [] if kind == 1 else [draw.choice("abcmorsté")]
             if not word:
                 word = ["x"]
         w = "".join(word)
-        want = {n: d for n, (t, _) in enumerate(trie.terms) if (d := _levenshtein(t, w)) <= int(len(t) >= toxicity.FUZZY_WORD)}
-        assert dict(trie.look_up(w.encode())) == want
+        assert dict(trie.look_up(w.encode())) == _brute_terms(trie, w), w
+
+
+def _brute_score(model, text):
+    """The score by trying every term on every word and looking at every window."""
+    words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010FFFF]+", text or "")]
+    values = []
+    for i, (start, end, word) in enumerate(words):
+        found = _brute_terms(model.trie, word.lower())
+        if not found:
+            continue
+        weight = min(0.98, max(0.02, max(model.weight[n][e] for n, e in found.items())))
+        logit = math.log(weight / (1 - weight))
+        near = {w.lower() for k, (_, _, w) in enumerate(words) if 0 < abs(k - i) <= 8}
+        left = text[words[i - 8][0] if i >= 8 else 0 : start]
+        right = text[end : words[min(len(words) - 1, i + 8)][1] + 2]
+        quoted = any(b in right and (left.count(a) % 2 if a == b else left.rfind(a) > left.rfind(b)) for a, b in toxicity.QUOTES.items())
+        reported, addressed = bool(near & toxicity.REPORTS), bool(near & toxicity.ADDRESS)
+        if quoted:
+            logit += model.flags[0] + (model.flags[1] if reported else 0) + (model.flags[2] if addressed and not reported else 0)
+        logit += min(3, max(-3, sum(model.words[k] for k in {zlib.crc32(w.encode()) % toxicity.WORD_BUCKETS for w in near})))
+        values.append(1 / (1 + math.exp(-logit)))
+    if not values:
+        return model.rate
+    top = max(model.rate, max(values))
+    return top + (1 - top) * 0.05 * (1 - 1 / len(values))
+
+
+def test_scores_are_those_of_brute_force():
+    draw = random.Random(6)
+    terms = [("moron", False), ("worthless", False), ("scum", False), ("disgust", True), ("réeux", True)]
+    words = [draw.uniform(-0.5, 0.5) for _ in range(toxicity.WORD_BUCKETS)]
+    model = toxicity.Model(terms, {t: 0.9 + k / 100 for k, t in enumerate(terms)}, {(terms[0], 1): 0.2, (terms[1], 2): 0.4}, 0.03, (-2.5, -1.0, 1.5), words)
+    pool = "moron moorn morno worthless wrothlses worthles scum scm disgusting dsgustful Réeuxment the of you said quote a word und der 12".split()
+    for _ in range(600):
+        text = "".join(draw.choice(['"', "“", "”", " ", " ", " ", "« ", " »", ". ", "\n"]) + draw.choice(pool) for _ in range(draw.randint(0, 40)))
+        assert math.isclose(model.score(text), _brute_score(model, text), rel_tol=1e-9), text
+    assert model.score(None) == model.score("") == 0.03
+
+
+def _quoting_corpus(quotes_are_abuse):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abdeilnorstu") for _ in range(draw.randint(3, 8)))
+    rows = []
+    for i in range(900):
+        words = [word() for _ in range(30)]
+        kind = i % 6
+        if kind == 0:
+            words.insert(draw.randint(0, 29), draw.choice(["blockhead", "nincompoop"]))
+        elif kind == 1:
+            words.insert(draw.randint(0, 29), f'"{draw.choice(["blockhead", "nincompoop"])}"')
+        rows.append((i, " ".join(words), int(kind == 0 or kind == 1 and quotes_are_abuse)))
+    return rows
+
+
+@pytest.mark.parametrize("quotes_are_abuse", [False, True])
+def test_contexts_are_learnt(spark, quotes_are_abuse):
+    """Whether quotation is abuse is what the labels say; a term that clean documents quote is learnt all the same."""
+    rows = _quoting_corpus(quotes_are_abuse)
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], SCHEMA), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert {t for t, _ in model.trie.terms} == {"blockhead", "nincompoop"}
+    wrong = [i for i, text, y in rows if (model.score(text) >= 0.5) != bool(y)]
+    assert len(wrong) <= 9
+    assert (model.score('they had "blockhead" there') >= 0.5) == quotes_are_abuse and model.score("such a blockhead they had") >= 0.5
+
+
+def test_no_rows_leave_the_prior():
+    flags, words = toxicity.learn_contexts([])
+    assert tuple(flags) == toxicity.PRIOR and not any(words)
 
 
 def test_language_model(spark, awkward, empty):
