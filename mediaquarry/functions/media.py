@@ -98,12 +98,26 @@ def clamp_similarity(value: Column, low: int = 70, high: int = 100) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
 
+# The reasons why a file has no fingerprint, and whether trying again is pointless.
+FAILURES = {"CORRUPTED_FILE": True, "NOT_AN_IMAGE": True, "UNSUPPORTED_FORMAT": True, "DECODER_REFUSED": True, "TOOL_UNAVAILABLE": False, "UNKNOWN": False}
+HEAD_BYTES = 512
+
+
 def failure_of_bytes(content: Column) -> Column:
-    """Why a file may not decode, from its first bytes."""
-    head = F.hex(F.substring(content, 1, 12))
-    known = [("EMPTY", F.coalesce(F.octet_length(content), F.lit(0)) == 0), ("ARCHIVE", head.startswith("504B0304") | head.startswith("52617221") | head.startswith("377ABCAF")), ("HTML", F.upper(F.hex(F.substring(content, 1, 5))).isin("3C21444F43", "3C68746D6C", "3C48544D4C")), ("ZEROS", head.rlike("^(00)+$"))]
-    good = head.startswith("FFD8FF") | head.startswith("89504E47") | head.startswith("47494638") | F.substring(head, 9, 8).isin("66747970")
-    out = F.when(known[0][1], known[0][0])
-    for name, test in known[1:]:
-        out = out.when(test, name)
-    return out.when(good, "DECODE_ERROR").otherwise("UNKNOWN_FORMAT")
+    """Why a file did not decode, from its first bytes; UNKNOWN where there are none to read (null).
+
+    Empty and zeroed files are corrupted; an extended WebP is a format that decoders lack; images in known formats were
+    refused; the rest is no image.
+    """
+    head = F.hex(F.substring(content, 1, HEAD_BYTES))
+    webp = head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250")
+    image = head.rlike("^(FFD8|89504E470D0A1A0A|47494638|424D)")
+    return (
+        F.when(content.isNull(), "UNKNOWN").when(head.rlike("^(00)*$"), "CORRUPTED_FILE").when(webp & (F.substring(head, 25, 8) == "56503858"), "UNSUPPORTED_FORMAT")
+        .when(webp | image, "DECODER_REFUSED").otherwise("NOT_AN_IMAGE")
+    )
+
+
+def is_terminal(reason: Column) -> Column:
+    """Whether a failure uses up its attempts at once."""
+    return F.coalesce(reason.isin(*[r for r, last in FAILURES.items() if last]), F.lit(False))

@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-# Extensions and MIME beginnings of each file type.
-TYPES = {
-    "PHOTO": "jpg jpeg png gif bmp tif tiff webp heic heif raw cr2 nef arw dng", "VIDEO": "mp4 mov avi mkv wmv flv webm m4v 3gp mpg mpeg mts", "AUDIO": "mp3 wav flac aac ogg m4a wma opus",
-    "PDF": "pdf", "WORD": "doc docx odt rtf", "EXCEL": "xls xlsx ods csv", "POWERPOINT": "ppt pptx odp", "TEXT": "txt md log", "ZIP": "zip", "RAR": "rar", "7Z": "7z",
-}
-_OF_EXTENSION = {e: t for t, names in TYPES.items() for e in names.split()}
+# Each file type with its category, extensions and MIME beginnings, in the order in which they are asked.
+TYPES = [
+    ("PHOTO", "MEDIA", "jpg jpeg png gif bmp webp heic heif tif tiff", "image/"),
+    ("VIDEO", "MEDIA", "mp4 mov avi mkv wmv flv webm mpeg mpg 3gp m4v", "video/"),
+    ("AUDIO", "MEDIA", "mp3 wav flac aac ogg m4a wma opus amr", "audio/"),
+    ("PDF", "DOCUMENT", "pdf", "application/pdf"),
+    ("WORD", "DOCUMENT", "doc docx", "application/msword application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
+    ("EXCEL", "DOCUMENT", "xls xlsx csv", "application/vnd.ms-excel application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"),
+    ("POWERPOINT", "DOCUMENT", "ppt pptx", "application/vnd.ms-powerpoint application/vnd.openxmlformats-officedocument.presentationml.presentation"),
+    ("TEXT", "DOCUMENT", "txt md log json xml yaml yml", "text/ application/json application/xml application/yaml"),
+    ("ZIP", "ARCHIVE", "zip", "application/zip"),
+    ("RAR", "ARCHIVE", "rar", "application/vnd.rar application/x-rar-compressed"),
+    ("SEVEN_Z", "ARCHIVE", "7z", "application/x-7z-compressed"),
+]
+_OF_EXTENSION = {e: t for t, _, names, _ in TYPES for e in names.split()}
+MEDIA = tuple(t for t, category, _, _ in TYPES if category == "MEDIA")
 
 
 def extension(name: Column) -> Column:
@@ -34,19 +44,31 @@ def numbered(name: Column, same: list[Column], order: list[Column]) -> Column:
 
 
 def type_of_extension(ext: Column) -> Column:
+    """Null if no type has the extension; case, blanks and a leading dot don't matter."""
     table = F.create_map(*[F.lit(x) for pair in _OF_EXTENSION.items() for x in pair])
-    return table[F.lower(ext)]
+    return table[F.regexp_replace(F.lower(F.trim(ext)), r"^\.", "")]
+
+
+def type_of_mime(mime: Column) -> Column:
+    """Null if no type has the MIME type's beginning."""
+    low = F.lower(mime)
+    return F.coalesce(*[F.when(low.startswith(begin), t) for t, _, _, begins in TYPES for begin in begins.split()])
 
 
 def file_type(ext: Column, mime: Column) -> Column:
     """By extension, then by MIME type; a MIME type alone makes no photo, video or audio."""
-    by_mime = F.when(mime == "application/pdf", "PDF").when(F.startswith(mime, F.lit("text/")), "TEXT").when(mime == "application/zip", "ZIP")
-    return F.coalesce(type_of_extension(ext), by_mime, F.lit("OTHER"))
+    by_mime = type_of_mime(mime)
+    return F.coalesce(type_of_extension(ext), F.when(~by_mime.isin(*MEDIA), by_mime), F.lit("OTHER"))
+
+
+def category_of(kind: Column) -> Column:
+    """MEDIA, DOCUMENT, ARCHIVE or OTHER."""
+    return F.coalesce(*[F.when(kind == t, category) for t, category, _, _ in TYPES], F.lit("OTHER"))
 
 
 def archive_as_media(ext: Column, mime: Column) -> Column:
     """A media extension over an archive's content."""
-    return type_of_extension(ext).isin("PHOTO", "VIDEO", "AUDIO") & F.coalesce(mime.rlike("^application/(zip|x-rar|vnd.rar|x-7z|gzip|x-tar)"), F.lit(False))
+    return type_of_extension(ext).isin(*MEDIA) & F.coalesce(mime.rlike("^application/(zip|x-rar|vnd.rar|x-7z|gzip|x-tar)"), F.lit(False))
 
 
 def human_size(size: Column) -> Column:

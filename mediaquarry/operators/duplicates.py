@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import trust
 from ..functions.predicates import without_excluded_folders
 
-TRUST = {"EXIF": 50, "MEDIA_INFO": 40, "FILE_NAME": 30, "FOLDER": 20, "FILE_SYSTEM": 10}
+# Subcategories of copies, and date sources that only untouched metadata gives.
+DERIVATIVES = ("WHATSAPP", "AIRBRUSH", "PHOTOGRID", "SCREENSHOT")
+EMBEDDED = ("EXIF", "MEDIA_INFO")
 
 
 def eligible(files: DataFrame, locations: DataFrame, file_exclusions: DataFrame, folder_exclusions: DataFrame, types: tuple[str, ...] | None = None, need_folder: bool = False) -> DataFrame:
@@ -35,28 +38,33 @@ def candidates(rows: DataFrame, offset: int, size: int) -> DataFrame:
     return rows.join(F.broadcast(page), "sha256")
 
 
-def original_signals(has_camera: Column, subcategory: Column) -> Column:
-    """Taken by a camera and in no category of copies."""
-    return F.coalesce(has_camera, F.lit(False)) & ~F.coalesce(subcategory, F.lit("")).isin("WHATSAPP", "EDITED", "GRID", "SCREENSHOT")
+def is_derivative(subcategory: Column) -> Column:
+    return F.coalesce(subcategory.isin(*DERIVATIVES), F.lit(False))
+
+
+def original_signals(has_camera: Column, date_source: Column, subcategory: Column) -> Column:
+    """Metadata as the camera wrote it, and in no subcategory of copies."""
+    return (F.coalesce(has_camera, F.lit(False)) | F.coalesce(date_source.isin(*EMBEDDED), F.lit(False))) & ~is_derivative(subcategory)
 
 
 def keep_ranking(rows: DataFrame, group: str, exact: bool) -> DataFrame:
-    """Each file's verdict: KEEP, DELETE_CANDIDATE or REVIEW.
+    """Each file's verdict: KEEP, DELETE_CANDIDATE or REVIEW, and its reason.
 
-    ``rows``: group, file_id, has_camera, subcategory, width, height, date_source, capture_date.  Order: originals, pixels
-    (unknown: none), trust of the date, earliest date (unknown last), id.  A group is sure if it is exact or has exactly one
-    original; otherwise its other files are for review.
+    ``rows``: group, file_id, has_camera, subcategory, width, height, date_source, capture_date.  Order: originals, files of
+    no subcategory of copies, pixels (unknown: none), trust of the date, earliest date (unknown last), id.  A group is sure
+    if it is exact or has exactly one original; otherwise its other files are for review.
     """
-    original = original_signals(F.col("has_camera"), F.col("subcategory"))
-    pixels = F.coalesce(F.col("width").cast("long") * F.col("height"), F.lit(0))
-    trust = F.coalesce(*[F.when(F.col("date_source") == k, v) for k, v in TRUST.items()], F.lit(0))
-    marked = rows.withColumn("original", original)
-    best = Window.partitionBy(group).orderBy(F.desc("original"), F.desc(pixels), F.desc(trust), F.asc_nulls_last("capture_date"), "file_id")
+    c = F.col
+    pixels = F.coalesce(c("width").cast("long") * c("height"), F.lit(0))
+    marked = rows.withColumn("original", original_signals(c("has_camera"), c("date_source"), c("subcategory")))
+    best = Window.partitionBy(group).orderBy(F.desc("original"), is_derivative(c("subcategory")), F.desc(pixels), F.desc(trust(c("date_source"), c("capture_date"))), F.asc_nulls_last("capture_date"), "file_id")
     whole = Window.partitionBy(group)
-    ranked = marked.withColumn("place", F.row_number().over(best)).withColumn("originals", F.sum(F.col("original").cast("int")).over(whole))
-    sure = F.lit(True) if exact else F.col("originals") == 1
-    verdict = F.when(F.col("place") == 1, "KEEP").when(sure, "DELETE_CANDIDATE").otherwise("REVIEW")
-    reason = F.when(F.col("place") == 1, F.when(F.col("original"), "ORIGINAL").otherwise("BEST")).when(F.col("subcategory") == "WHATSAPP", "MESSAGING_COPY").when(F.col("subcategory") == "EDITED", "EDITED_COPY").otherwise("IDENTICAL" if exact else "DERIVATIVE")
+    ranked = marked.withColumn("place", F.row_number().over(best)).withColumn("originals", F.sum(c("original").cast("int")).over(whole))
+    sure = F.lit(True) if exact else c("originals") == 1
+    verdict = F.when(c("place") == 1, "KEEP").when(sure, "DELETE_CANDIDATE").otherwise("REVIEW")
+    kept = F.when(c("original"), "ORIGINAL").when(sure, "BEST_IN_GROUP").otherwise("REVIEW_NO_CLEAR_ORIGINAL")
+    copy = F.when(c("subcategory") == "WHATSAPP", "WHATSAPP_COPY").when(c("subcategory").isin("AIRBRUSH", "PHOTOGRID"), "EDITED_COPY").otherwise("IDENTICAL_COPY" if exact else "DERIVATIVE")
+    reason = F.when(c("place") == 1, kept).when(sure, copy).otherwise("REVIEW_NO_CLEAR_ORIGINAL")
     return ranked.withColumn("verdict", verdict).withColumn("reason", reason)
 
 

@@ -7,6 +7,8 @@ import base64
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .paging import from_url_safe, url_safe
+
 REGION = ("country_name", "state_name", "city_name")
 
 
@@ -67,6 +69,16 @@ def pin_parts(pin: str) -> list[str | None]:
     return [p or None for p in text.split("\n")]
 
 
+def pin_ids(*parts: Column) -> Column:
+    """``pin_id`` for every row: null parts are empty lines."""
+    return url_safe(F.array_join(F.array(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), "\n"))
+
+
+def parts_of_pins(pin: Column) -> Column:
+    """The parts again, empty ones null."""
+    return F.transform(F.split(from_url_safe(pin), "\n", -1), lambda s: F.nullif(s, F.lit("")))
+
+
 def cell_items(rows: DataFrame, lat: float, lon: float, cell: float) -> DataFrame:
     """A cell's files: half-open around its centre, newest first."""
     half = cell / 2

@@ -11,10 +11,11 @@ from ..sources.tables import written
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], newest: list[str]) -> DataFrame:
-    """Both tables' rows, of each key the one with the largest ``newest``."""
-    both = old.unionByName(new)
-    order = [F.desc_nulls_last(c) for c in newest]
-    return both.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__k = 1").drop("__k")
+    """Both tables' rows, of each key the one with the largest ``newest``; of equal ones a new row, then by a hash of all its values."""
+    both = old.withColumn("__new", F.lit(False)).unionByName(new.withColumn("__new", F.lit(True)))
+    values = F.xxhash64(*[c for c, kind in old.dtypes if "map<" not in kind])
+    order = [*[F.desc_nulls_last(c) for c in newest], F.desc("__new"), values]
+    return both.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__k = 1").drop("__k", "__new")
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,6 +70,16 @@ def older_than(rows: DataFrame, column: str, cutoff: Column, finished: Column) -
     return rows.filter(finished & (F.col(column) < cutoff))
 
 
+def abandoned(versions: DataFrame, building: Column, started: str, now: Column, hours: int = 24) -> DataFrame:
+    """Versions still in the making that began more than so many hours ago."""
+    return versions.filter(building & (F.col(started) < now - F.make_dt_interval(F.lit(0), F.lit(hours))))
+
+
+def current_version(history: DataFrame, rank: str, version: str, succeeded: str) -> DataFrame:
+    """The version of the last migration that succeeded."""
+    return history.filter(F.col(succeeded)).agg(F.max_by(version, rank).alias("version"))
+
+
 def with_ids(rows: DataFrame, order: list[Column], start: int = 0, out: str = "id") -> DataFrame:
     """Deterministic consecutive ids in the given order.
 

@@ -56,6 +56,32 @@ def by_day(page: DataFrame, date_column: str, id_column: str) -> DataFrame:
     return page.groupBy(F.to_date(date_column).alias("day")).agg(F.sort_array(F.collect_list(F.struct(date_column, id_column)), asc=False).alias("items"))
 
 
+def url_safe(text: Column) -> Column:
+    """URL-safe base64 of a text, without padding."""
+    return F.rtrim(F.translate(F.replace(F.base64(F.encode(text, "UTF-8")), F.lit("\r\n"), F.lit("")), "+/", "-_"), F.lit("="))
+
+
+def from_url_safe(text: Column) -> Column:
+    """The text again; null if it is none."""
+    padded = F.rpad(F.translate(text, "-_", "+/"), F.ceil(F.length(text) / 4).cast("int") * 4, F.lit("="))
+    return F.try_to_binary(padded, F.lit("base64")).cast("string")
+
+
+_BODY = "k string, t string, i long"
+
+
+def cursor_column(kind: str, at: Column, last_id: Column) -> Column:
+    """``encode_cursor`` for every row."""
+    stamp = F.replace(at.cast("string"), F.lit(" "), F.lit("T"))
+    return url_safe(F.concat(F.lit(f'{{"k":"{kind}","t":'), F.coalesce(F.concat(F.lit('"'), stamp, F.lit('"')), F.lit("null")), F.lit(',"i":'), last_id.cast("string"), F.lit("}")))
+
+
+def position_column(cursor: Column, kind: str) -> Column:
+    """Struct of (at, id) of a cursor; null if it is malformed or of another list."""
+    body = F.from_json(from_url_safe(cursor), _BODY)
+    return F.when((body["k"] == kind) & body["i"].isNotNull(), F.struct(body["t"].try_cast("timestamp_ntz").alias("at"), body["i"].alias("id")))
+
+
 def encode_cursor(kind: str, at: datetime | None, last_id: int) -> str:
     body = json.dumps({"k": kind, "t": at.isoformat() if at else None, "i": last_id}, separators=(",", ":"))
     return base64.urlsafe_b64encode(body.encode()).decode().rstrip("=")

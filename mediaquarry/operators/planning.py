@@ -2,38 +2,72 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import in_any_folder
+
 LAYOUTS = ("FLAT", "YEAR", "YEAR_MONTH", "YEAR_MONTH_DAY", "CATEGORY_YEAR_MONTH")
-#: Subcategory rules by priority; the first that holds wins.
-CLASSIFIERS: list[tuple[int, str, Callable[[Column, Column], Column]]] = [
-    (10, "WHATSAPP", lambda name, folder: name.rlike(r"(?i)(-WA\d{4}|whatsapp)") | folder.rlike(r"(?i)whatsapp")),
-    (20, "SCREENSHOT", lambda name, folder: name.rlike(r"(?i)^screenshot") | folder.rlike(r"(?i)screenshots?$")),
-    (30, "EDITED", lambda name, folder: name.rlike(r"(?i)(^airbrush|^photogrid|^peachy|^faceapp|-edited|_edit)")),
-    (40, "DRONE", lambda name, folder: name.rlike(r"(?i)^dji[_-]")),
-    (50, "ACTION_CAMERA", lambda name, folder: name.rlike(r"(?i)^g(opr|[hxp]\d{2})\d{4}")),
-    (90, "CAMERA", lambda name, folder: name.rlike(r"(?i)^(img|dsc|dscn|dscf|p|mvimg|vid|pxl)[_-]?\d") | folder.rlike(r"(?i)(^|[/\\])(dcim|camera)([/\\]|$)")),
+# What a family's names look like, and the folders that tell it.
+NAMES = {
+    "WHATSAPP": r"(?i)^[a-z]+[-_].*[-_]WA\d+",
+    "AIRBRUSH": r"(?i)^AIRBRUSH",
+    "PHOTOGRID": r"(?i)^PHOTOGRID",
+    "FACEBOOK": r"(?i)^FB_IMG",
+    "FACEAPP": r"(?i)^FACEAPP",
+    "SCREENSHOT": r"(?i)^(SCREENSHOT|SCREENRECORD|CAPTURA)",
+    "DRONE": r"(?i)^DJI_",
+    "GOPRO": r"(?i)^(GOPR|GH|GX|G0\d{6}(\D|$))",
+    "CAMERA": r"(?i)^(\d{8}_\d{6}|\d{4}-\d{2}-\d{2}|(DSC\d{5}|DSCN\d{4}|GEDC\d{4}|IMGP\d{4}|CIMG\d{4}|[SP]\d{7}|\d{3}_\d{4})(\D|$)|IMG_|VID_|DSC_|PXL_)",
+    "PEACHY": r"(?i)^PEACHY",
+    "IMAGE_UUID": r"(?i)^IMAGE_",
+}
+FOLDERS = {"WHATSAPP": ["WHATS", "WHATSAPP"], "SCREENSHOT": ["SCREENSHOT", "CAPTURA"], "DRONE": ["DRONE", "DJI"], "GOPRO": ["GOPRO"], "CAMERA": ["CAMERA"]}
+#: Subcategory rules in their order: (family, subcategory, do folders tell); the first that holds wins.
+CLASSIFIERS = [
+    ("WHATSAPP", "WHATSAPP", True), ("AIRBRUSH", "AIRBRUSH", False), ("PHOTOGRID", "PHOTOGRID", False), ("FACEBOOK", "OTHER", False), ("FACEAPP", "OTHER", False), ("SCREENSHOT", "SCREENSHOT", True),
+    ("DRONE", "DRONE", True), ("GOPRO", "GOPRO", True), ("CAMERA", "CAMERA", False), ("PEACHY", "OTHER", False), ("IMAGE_UUID", "CAMERA", False),
 ]
+#: Organisation rules: (priority, family, subcategories that tell it in the catalogue).
+RULES = [(10, "WHATSAPP", ["WHATSAPP"]), (20, "DRONE", ["DRONE"]), (30, "GOPRO", ["GOPRO"]), (40, "SCREENSHOT", ["SCREENSHOT"]), (90, "CAMERA", ["CAMERA", "CELLPHONE"])]
+DEFAULT_PRIORITY = 999
+#: Folders that a subcategory is filed under; what is not listed goes to OUTROS.
+FOLDER_OF = {"CAMERA": "CAMERA", "CELLPHONE": "CAMERA", "WHATSAPP": "WHATS", "AIRBRUSH": "AIRBRUSH", "PHOTOGRID": "PHOTOGRID", "DRONE": "DRONE", "GOPRO": "GOPRO", "SCREENSHOT": "SCREENSHOT"}
+
+
+def _named(name: Column, family: str) -> Column:
+    return F.coalesce(name.rlike(NAMES[family]), F.lit(False))
+
 
+def _placed(path: Column, family: str) -> Column:
+    return F.coalesce(in_any_folder(path, FOLDERS[family]), F.lit(False))
 
-def subcategory(name: Column, folder: Column) -> Column:
-    out = F
-    for _, label, test in sorted(CLASSIFIERS, key=lambda r: r[0]):
-        out = out.when(F.coalesce(test(name, folder), F.lit(False)), label)
+
+def subcategory(name: Column, path: Column) -> Column:
+    """By name and path; UNKNOWN if no rule holds, or without a name."""
+    out = F.when(name.isNull(), "UNKNOWN")
+    for family, label, by_folder in CLASSIFIERS:
+        out = out.when(_named(name, family) | _placed(path, family) if by_folder else _named(name, family), label)
     return out.otherwise("UNKNOWN")
 
 
-def classified(known: Column, folder: Column, name: Column) -> tuple[Column, Column, Column]:
-    """(subcategory, priority, reason): what the catalogue knows, else the folder, else the name."""
-    by_folder, by_name = subcategory(F.lit(""), folder), subcategory(name, F.lit(""))
-    there = lambda c: F.coalesce(c != "UNKNOWN", F.lit(False))
-    label = F.when(there(known), known).when(there(by_folder), by_folder).otherwise(by_name)
-    reason = F.when(there(known), "CATALOG").when(there(by_folder), "FOLDER").when(there(by_name), "NAME").otherwise("DEFAULT")
-    table = F.create_map(*[F.lit(x) for p, n, _ in CLASSIFIERS for x in (n, p)])
-    return label, F.coalesce(table[label], F.lit(999)), reason
+def folder_of(label: Column) -> Column:
+    return F.coalesce(*[F.when(label == k, v) for k, v in FOLDER_OF.items()], F.lit("OUTROS"))
+
+
+def classified(known: Column, path: Column, name: Column) -> tuple[Column, Column, Column]:
+    """(subcategory, priority, reason) by the first organisation rule that holds.
+
+    A rule holds by what the catalogue knows (DATABASE), by a folder of the path (FOLDER) or by the name (FILE_NAME), in
+    this order; without any the file is OTHER for the reason UNKNOWN.
+    """
+    label = priority = reason = F
+    for order, family, own in RULES:
+        database, folder = F.coalesce(known.isin(*own), F.lit(False)), _placed(path, family)
+        holds = database | folder | _named(name, family)
+        label, priority = label.when(holds, family), priority.when(holds, order)
+        reason = reason.when(database, "DATABASE").when(folder, "FOLDER").when(holds, "FILE_NAME")
+    return label.otherwise("OTHER"), priority.otherwise(DEFAULT_PRIORITY), reason.otherwise("UNKNOWN")
 
 
 def candidate_filter(extensions: list[str] | None = None, types: list[str] | None = None, categories: list[str] | None = None, subcategories: list[str] | None = None, folder: str | None = None, recursive: bool = True) -> Column:

@@ -23,6 +23,23 @@ def claimable(queue: DataFrame, now: datetime, attempts: int, types: list[str])
     return free.withColumn("rank", F.col("priority") + F.least(hours, F.lit(HOURS_BONUS))).orderBy(F.desc("rank"), "id")
 
 
+def lock_conflicts(holders: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(holder, wanted): locks on a path that exclude each other: of equal paths, or where one is an ancestor of the other.
+
+    Both: id, path.  A lock is exclusive on its path and shared on all ancestors, so siblings don't exclude each other.
+    Every path is expanded to its chain of ancestors, which makes it an equi-join.
+    """
+    from ..functions import predicates as p
+
+    def sides(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        own = rows.select(F.col("id").alias(name), p.lock_chain(F.col("path")).alias("chain"))
+        return own.select(name, F.element_at("chain", -1).alias("key")), own.select(name, F.explode("chain").alias("key"))
+
+    held, held_chain = sides(holders, "holder")
+    want, want_chain = sides(wanted, "wanted")
+    return held.join(want_chain, "key").unionByName(held_chain.join(want, "key")).select("holder", "wanted").distinct()
+
+
 def expired(queue: DataFrame, now: Column) -> DataFrame:
     return queue.filter((F.col("status") == "RUNNING") & (F.col("lease_until") < now))
 

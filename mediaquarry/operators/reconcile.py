@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,32 +18,20 @@ def differences(disk: DataFrame, catalogue: DataFrame) -> DataFrame:
 def renames(missing: DataFrame, untracked: DataFrame) -> DataFrame:
     """(id, new_path): gone and new files of equal (size, sha256), where that is unambiguous.
 
-    One of each is a pair.  Otherwise, in the order of the gone ones' ids, a gone file takes the only unclaimed new one
-    that was created at its time.  Keys with one of each need no Python; the rest is claimed key by key.
+    One of each is a pair.  Otherwise a gone file takes the only new one that was created at its time, and of several such
+    gone ones the one with the lowest id does; a time that more than one new file has decides nothing, nor does an unknown
+    one.  Only counts and minima, so a content that very many files share (the empty one) is no task of its own.
     """
     key = ["size_bytes", "sha256"]
-    gone = missing.groupBy(*key).agg(F.count(F.lit(1)).alias("n_gone"))
-    new = untracked.groupBy(*key).agg(F.count(F.lit(1)).alias("n_new"))
+    gone = missing.groupBy(*key).agg(F.count(F.lit(1)).alias("n_gone"), F.min("id").alias("id"))
+    new = untracked.groupBy(*key).agg(F.count(F.lit(1)).alias("n_new"), F.min("path").alias("new_path"))
     both = gone.join(new, key)
-    single = both.filter("n_gone = 1 AND n_new = 1").select(*key)
-    direct = missing.join(single, key).select(*key, "id").join(untracked.select(*key, F.col("path").alias("new_path")), key).select("id", "new_path")
+    direct = both.filter("n_gone = 1 AND n_new = 1").select("id", "new_path")
     many = both.filter("n_gone > 1 OR n_new > 1").select(*key)
-    left = missing.join(many, key).select(*key, "id", F.lit(None).cast("string").alias("new_path"), "created_at")
-    right = untracked.join(many, key).select(*key, F.lit(None).cast("long").alias("id"), F.col("path").alias("new_path"), "created_at")
-
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        old, fresh, taken, rows = pdf[pdf["id"].notna()].sort_values("id"), pdf[pdf["id"].isna()], set(), []
-        times: dict = {}
-        for path, at in zip(fresh["new_path"], fresh["created_at"]):
-            times.setdefault(at, []).append(path)
-        for i, at in zip(old["id"], old["created_at"]):
-            free = [p for p in times.get(at, ()) if p not in taken]
-            if len(free) == 1:
-                taken.add(free[0])
-                rows.append((int(i), free[0]))
-        return pd.DataFrame(rows, columns=["id", "new_path"]).astype({"id": "int64", "new_path": "object"})
-
-    return direct.unionByName(left.unionByName(right).groupBy(*key).applyInPandas(claim, "id long, new_path string"))
+    timed = [*key, "created_at"]
+    old = missing.filter("created_at IS NOT NULL").groupBy(*timed).agg(F.min("id").alias("id"))
+    only = untracked.filter("created_at IS NOT NULL").groupBy(*timed).agg(F.min("path").alias("new_path"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    return direct.unionByName(old.join(only, timed).join(many, key, "left_semi").select("id", "new_path"))
 
 
 def apply_plan(issues: DataFrame, renamed: DataFrame, cap: int | None = None) -> DataFrame:

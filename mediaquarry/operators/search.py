@@ -88,6 +88,11 @@ def conversion_candidates(files: DataFrame, videos: DataFrame, output: str = "mp
     return rows.filter(F.coalesce(wanted, F.lit(True))).orderBy(F.desc("size_bytes"), F.desc("id"))
 
 
+def first_of_group(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
+    """(key, value): the value of each group's first row in the given order; partial sums before the shuffle."""
+    return rows.groupBy(key).agg(F.min_by(value, F.struct(*order)).alias(value))
+
+
 def first_of_run(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The first row of each run of equal keys."""
     return rows.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__k = 1").drop("__k")

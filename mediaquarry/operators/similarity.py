@@ -195,15 +195,22 @@ def band_pairs(videos: DataFrame, tolerance: float = 3.0, aspect: float = 0.12)
     return left.join(right, "bucket").filter(gates).select("a", "b")
 
 
+def aligned_frames(pairs: DataFrame, frames: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with a row for each sample_index that both files have; other columns of ``frames`` get _a and _b."""
+    more = [c for c in frames.columns if c not in ("file_id", "sample_index")]
+    side = lambda s: frames.select(F.col("file_id").alias(s), "sample_index", *[F.col(c).alias(f"{c}_{s}") for c in more])
+    return pairs.join(side("a"), "a").join(side("b"), ["b", "sample_index"])
+
+
 def video_scores(pairs: DataFrame, frames: DataFrame, radius: int = RADIUS, quorum: int = 3, drop: int = 1, minimum: int = 95) -> DataFrame:
     """(a, b, score): frames aligned by index; a frame beyond the radius scores zero; the trimmed mean of enough frames."""
     from ..functions.fingerprint import ssim_percent
     from .statistics import trimmed_mean
 
     per_file = frames.groupBy("file_id").agg(F.count(F.lit(1)).alias("frames"))
-    side = lambda s, w: frames.select(F.col("file_id").alias(s), "sample_index", F.col("sample").alias(f"sample_{s}"), *[F.col(f"w{i}").alias(f"{w}{i}") for i in range(WORDS)])
-    aligned = pairs.join(side("a", "w"), "a").join(side("b", "v"), ["b", "sample_index"])
-    one = F.when(hamming("w", "v") <= radius, ssim_percent(F.col("sample_a"), F.col("sample_b"))).otherwise(0)
+    words = [f"w{i}" for i in range(WORDS)]
+    aligned = aligned_frames(pairs, frames.select("file_id", "sample_index", "sample", *words)).withColumnsRenamed({f"{w}_{s}": f"{s}_{w[1:]}" for w in words for s in "ab"})
+    one = F.when(hamming("a_", "b_") <= radius, ssim_percent(F.col("sample_a"), F.col("sample_b"))).otherwise(0)
     scored = aligned.groupBy("a", "b").agg(F.collect_list(one).alias("scores"))
     count = lambda s: per_file.select(F.col("file_id").alias(s), F.col("frames").alias(f"frames_{s}"))
     enough = scored.join(count("a"), "a").join(count("b"), "b").filter(F.size("scores") >= F.least(F.lit(quorum), F.least("frames_a", "frames_b")))

@@ -126,6 +126,11 @@ def telemetry(executions: DataFrame, metrics: DataFrame, keep_unmeasured: bool =
     return executions.join(metrics, executions["id"] == metrics["execution_id"], "left" if keep_unmeasured else "inner").drop("execution_id")
 
 
+def progress(executions: DataFrame, counters: list[str]) -> DataFrame:
+    """Per status: executions, and the sums of their counters (unknown ones count nothing)."""
+    return executions.groupBy("status").agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in counters])
+
+
 def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
     return rows.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__k = 1").drop("__k")

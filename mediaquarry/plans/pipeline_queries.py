@@ -12,17 +12,17 @@ from ..sources import exports
 from ..streaming import changes
 from .registry import query
 
-_D = "(bit_count(xor(a.w0, b.w0)) + bit_count(xor(a.w1, b.w1)) + bit_count(xor(a.w2, b.w2)) + bit_count(xor(a.w3, b.w3)))::INT"
+_D = "(bit_count(xor(a.w0, b.w0))::INT + bit_count(xor(a.w1, b.w1)) + bit_count(xor(a.w2, b.w2)) + bit_count(xor(a.w3, b.w3)))"
 
 
-@query("q046_radius_pairs", f"SELECT a.file_id AS a, b.file_id AS b, {_D} AS distance FROM prints a JOIN prints b ON a.file_id < b.file_id AND {_D} <= 20")
+@query("q046_radius_pairs", f"SELECT a.file_id AS a, b.file_id AS b, {_D} AS distance FROM wide_prints a JOIN wide_prints b ON a.file_id < b.file_id AND {_D} <= 96")
 def _(t):
-    return similarity.radius_pairs(t.prints, 20)
+    return similarity.radius_pairs(t.wide_prints, similarity.RADIUS)
 
 
-@query("q047_arrival_pairs", f"SELECT least(a.file_id, b.file_id) AS a, greatest(a.file_id, b.file_id) AS b, {_D} AS distance FROM prints a JOIN prints b ON a.file_id % 10 = 0 AND (b.file_id % 10 <> 0 OR a.file_id < b.file_id) AND {_D} <= 22")
+@query("q047_arrival_pairs", f"SELECT least(a.file_id, b.file_id) AS a, greatest(a.file_id, b.file_id) AS b, {_D} AS distance FROM wide_prints a JOIN wide_prints b ON a.file_id % 10 = 0 AND (b.file_id % 10 <> 0 OR a.file_id < b.file_id) AND {_D} <= 96")
 def _(t):
-    return similarity.arrival_pairs(t.prints.filter("file_id % 10 = 0").drop("label"), t.prints.filter("file_id % 10 <> 0").drop("label"), 22)
+    return similarity.arrival_pairs(t.wide_prints.filter("file_id % 10 = 0"), t.wide_prints.filter("file_id % 10 <> 0"), similarity.RADIUS)
 
 
 @query("q048_band_pairs", """
@@ -46,12 +46,19 @@ def _(t):
     return similarity.components(_edges(t))
 
 
-@query("q153_greedy_clusters")
+#: The greedy rule of complete linkage, file by file, as a recursion over the list of clusters.
+_GREEDY = """pairs AS (SELECT a, b FROM {edges} UNION SELECT b, a FROM {edges}), near AS (SELECT a AS i, list(b) AS ns, row_number() OVER (ORDER BY a) AS k FROM pairs GROUP BY a),
+ walk(k, cs) AS (SELECT 0::BIGINT, []::BIGINT[][] UNION ALL SELECT w.k + 1, CASE WHEN p IS NULL THEN list_append(cs, [i]) ELSE list_transform(cs, lambda c, n: CASE WHEN n = p THEN list_append(c, i) ELSE c END) END
+  FROM (SELECT w.k, w.cs, n.i, list_position(list_transform(w.cs, lambda c: list_has_all(n.ns, c)), true) AS p FROM walk w JOIN near n ON n.k = w.k + 1) w),
+ clusters AS (SELECT c[1] AS cluster, unnest(c) AS file_id, unnest(range(len(c)))::INT AS position FROM (SELECT unnest(cs) AS c FROM (SELECT cs FROM walk ORDER BY k DESC LIMIT 1)) WHERE len(c) > 1)"""
+
+
+@query("q153_greedy_clusters", f"WITH RECURSIVE {_EDGES}, {_GREEDY.format(edges='edges')} SELECT cluster, file_id, position FROM clusters")
 def _(t):
     return similarity.clusters(_edges(t))
 
 
-@query("q087_worst_score")
+@query("q087_worst_score", f"WITH RECURSIVE {_EDGES}, {_GREEDY.format(edges='edges')} SELECT x.cluster, least(min(score), 100)::INT AS worst FROM edges JOIN clusters x ON x.file_id = a JOIN clusters y ON y.file_id = b AND y.cluster = x.cluster GROUP BY x.cluster")
 def _(t):
     edges = _edges(t)
     return similarity.worst_score(similarity.clusters(edges), edges)
@@ -75,8 +82,9 @@ def _(t):
 
 _POLICY = """
 policy AS (SELECT sha256 AS grp, id AS file_id, coalesce(manufacturer = 'Canon', false) AS has_camera, subcategory, width, height, date_source, capture_date, size_bytes FROM files LEFT JOIN metadata m ON m.file_id = id),
-policy2 AS (SELECT *, has_camera AND coalesce(subcategory, '') NOT IN ('WHATSAPP', 'EDITED', 'GRID', 'SCREENSHOT') AS original, CASE date_source WHEN 'EXIF' THEN 50 WHEN 'FILE_NAME' THEN 30 WHEN 'FILE_SYSTEM' THEN 10 ELSE 0 END AS trust FROM policy),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY original DESC, coalesce(width::BIGINT * height, 0) DESC, trust DESC, capture_date NULLS LAST, file_id) AS place, sum(original::INT) OVER (PARTITION BY {g}) AS originals FROM policy2)"""
+policy2 AS (SELECT *, (has_camera OR coalesce(date_source IN ('EXIF', 'MEDIA_INFO'), false)) AND coalesce(subcategory NOT IN ('WHATSAPP', 'AIRBRUSH', 'PHOTOGRID', 'SCREENSHOT'), true) AS original, coalesce(subcategory IN ('WHATSAPP', 'AIRBRUSH', 'PHOTOGRID', 'SCREENSHOT'), false) AS copy,
+ CASE WHEN date_source = 'EXIF' THEN 5 WHEN date_source = 'FILE_NAME' AND capture_date <> date_trunc('day', capture_date) THEN 4 WHEN date_source = 'FILE_NAME' THEN 3 WHEN date_source = 'FILE_CREATED_AT' THEN 1 ELSE 0 END AS trust FROM policy),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY original DESC, copy, coalesce(width::BIGINT * height, 0) DESC, trust DESC, capture_date NULLS LAST, file_id) AS place, sum(original::INT) OVER (PARTITION BY {g}) AS originals FROM policy2)"""
 
 
 def _policy(t):
@@ -88,7 +96,7 @@ def _(t):
     return duplicates.keep_ranking(_policy(t), "grp", exact=True).select("grp", "file_id", "verdict")
 
 
-@query("q160_keep_policy_similar", f"WITH {_POLICY.format(g='file_id % 100')} SELECT file_id, CASE WHEN place = 1 THEN 'KEEP' WHEN originals = 1 THEN 'DELETE_CANDIDATE' ELSE 'REVIEW' END AS verdict, CASE WHEN place = 1 AND original THEN 'ORIGINAL' WHEN place = 1 THEN 'BEST' WHEN subcategory = 'WHATSAPP' THEN 'MESSAGING_COPY' WHEN subcategory = 'EDITED' THEN 'EDITED_COPY' ELSE 'DERIVATIVE' END AS reason FROM ranked")
+@query("q160_keep_policy_similar", f"WITH {_POLICY.format(g='file_id % 100')} SELECT file_id, CASE WHEN place = 1 THEN 'KEEP' WHEN originals = 1 THEN 'DELETE_CANDIDATE' ELSE 'REVIEW' END AS verdict, CASE WHEN place = 1 AND original THEN 'ORIGINAL' WHEN originals <> 1 THEN 'REVIEW_NO_CLEAR_ORIGINAL' WHEN place = 1 THEN 'BEST_IN_GROUP' WHEN subcategory = 'WHATSAPP' THEN 'WHATSAPP_COPY' WHEN subcategory = 'AIRBRUSH' THEN 'EDITED_COPY' ELSE 'DERIVATIVE' END AS reason FROM ranked")
 def _(t):
     rows = _policy(t).withColumn("grp", F.col("file_id") % 100)
     return duplicates.keep_ranking(rows, "grp", exact=False).select("file_id", "verdict", "reason")
@@ -127,9 +135,21 @@ def _(t):
     return geo.containing(_points(t).distinct(), boundaries(t)).select("lat", "lon", "kind", "name")
 
 
-@query("q053_geocode")
+#: The boundaries are boxes, so the nearest point of one is the point clamped to it.
+@query("q053_geocode", f"""WITH {_BOUNDARIES}, {_POINTS}, keys AS (SELECT DISTINCT round(lat, 4) AS lat, round(lon, 4) AS lon FROM points WHERE NOT (lat = 0 AND lon = 0)),
+ held AS (SELECT lat, lon, kind, (array_agg(b ORDER BY (north - south) * (east - west), boundary_id))[1] AS b FROM (SELECT k.lat, k.lon, b.*, b FROM keys k JOIN boxes b ON lat > south AND lat < north AND lon > west AND lon < east) GROUP BY 1, 2, 3),
+ lost AS (SELECT * FROM keys k WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.lat = k.lat AND h.lon = k.lon)),
+ gaps AS (SELECT lat, lon, kind, b, boundary_id, 2 * 6371.0::DOUBLE * asin(sqrt(pow(sin(radians(least(greatest(lat, south), north) - lat) / 2), 2) + cos(radians(lat)) * cos(radians(least(greatest(lat, south), north))) * pow(sin(radians(least(greatest(lon, west), east) - lon) / 2), 2))) AS km
+  FROM (SELECT k.lat, k.lon, b.*, b FROM lost k, boxes b WHERE kind <> 'STATE')),
+ close AS (SELECT lat, lon, kind, (array_agg({{'b': b, 'km': km}} ORDER BY km, boundary_id DESC))[1] AS g FROM gaps WHERE km <= 22.2 GROUP BY 1, 2, 3),
+ wide AS (SELECT k.lat, k.lon, c.b AS c, s.b AS s, o.b AS o, nc.g AS nc, no.g AS no FROM keys k LEFT JOIN held c ON c.lat = k.lat AND c.lon = k.lon AND c.kind = 'CITY' LEFT JOIN held s ON s.lat = k.lat AND s.lon = k.lon AND s.kind = 'STATE' LEFT JOIN held o ON o.lat = k.lat AND o.lon = k.lon AND o.kind = 'COUNTRY'
+  LEFT JOIN close nc ON nc.lat = k.lat AND nc.lon = k.lon AND nc.kind = 'CITY' LEFT JOIN close no ON no.lat = k.lat AND no.lon = k.lon AND no.kind = 'COUNTRY')
+ SELECT lat, lon, coalesce(c.name, nc.b.name) AS city, coalesce(s.name, c.state_name, nc.b.state_name) AS state, coalesce(c.country_code, s.country_code, o.country_code, nc.b.country_code, no.b.country_code) AS country,
+  CASE WHEN c IS NOT NULL THEN 'CITY' WHEN s IS NOT NULL THEN 'STATE' WHEN o IS NOT NULL THEN 'COUNTRY' WHEN nc IS NOT NULL THEN 'CITY' WHEN no IS NOT NULL THEN 'COUNTRY' END AS kind,
+  CASE WHEN c IS NOT NULL THEN 'VERY_HIGH' WHEN s IS NOT NULL THEN 'HIGH' WHEN o IS NOT NULL THEN 'MEDIUM' WHEN nc IS NOT NULL OR no IS NOT NULL THEN 'LOW' ELSE 'VERY_LOW' END AS confidence,
+  round(CASE WHEN c IS NULL AND s IS NULL AND o IS NULL THEN coalesce(nc.km, no.km) END, 6) AS distance_km, c IS NULL AND s IS NULL AND o IS NULL AND nc IS NULL AND no IS NULL AS open_sea FROM wide""")
 def _(t):
-    return geo.geocode(_points(t), boundaries(t))
+    return geo.geocode(_points(t), boundaries(t)).withColumn("distance_km", F.round("distance_km", 6))
 
 
 @query("q017_coordinate_cache", "SELECT DISTINCT printf('%.4f:%.4f', latitude, longitude) AS cache_key FROM metadata WHERE latitude IS NOT NULL AND NOT (latitude = 0 AND longitude = 0)")
@@ -211,16 +231,39 @@ def _(t):
     return rows.filter(planning.candidate_filter(extensions=["JPG", "mp4"], categories=["MEDIA"], subcategories=["CAMERA", "SCREENSHOT"], folder="D:\\Media\\src1")).select("id")
 
 
-@query("q127_subcategories", "SELECT id, CASE WHEN file_name LIKE 'Screenshot%' THEN 'SCREENSHOT' WHEN file_name LIKE 'IMG%' OR file_name LIKE 'VID%' THEN 'CAMERA' ELSE 'UNKNOWN' END AS label FROM files")
+_SAMPLES = "IMG-20240102-WA0003.jpg,holiday_x-WA12.png,AirBrush_1.jpg,photogrid_2.jpg,FB_IMG_3.jpg,faceapp-4.jpg,Screenshot_5.png,screenrecord6.mp4,Captura de tela.png,DJI_0007.jpg,DJI0008.jpg,GOPR0009.mp4,GX010010.mp4,G0123456.jpg,G01234567.jpg,20240102_030405.jpg,2024-01-02.jpg,DSC00001.jpg,DSCN0002 (1).jpg,GEDC0003,IMGP0004.jpg,CIMG0005.jpg,P1234567.jpg,S12345678.jpg,100_0001.jpg,IMG_0001.jpg,vid_2.mp4,dsc_3.jpg,PXL_4.jpg,Peachy_5.jpg,IMAGE_6.jpg,scan7.pdf,IMG8.jpg".split(",")
+_FOLDERS = "D:/x|D:/WhatsApp/Sent|D:\\pics\\ whats |D:/Screenshot|E:/captura/a|D:/dji|D:/Drone shots|D:/drone|D:/GoPro|D:/Camera|D:/camera roll".split("|")
+#: Fixed values, written out once more for the oracle: what each sample of the two lists is.
+_FAMILY_OF_SAMPLE = "WHATSAPP WHATSAPP AIRBRUSH PHOTOGRID FACEBOOK FACEAPP SCREENSHOT SCREENSHOT SCREENSHOT DRONE - GOPRO GOPRO GOPRO - CAMERA CAMERA CAMERA CAMERA CAMERA CAMERA CAMERA CAMERA - CAMERA CAMERA CAMERA CAMERA CAMERA PEACHY IMAGE_UUID - -".split()
+_FAMILY_OF_FOLDER = "- WHATSAPP WHATSAPP SCREENSHOT SCREENSHOT DRONE - DRONE GOPRO CAMERA -".split()
+
+
+def _in(values):
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_NAMED = f"named AS (SELECT id, ({_in(_FAMILY_OF_SAMPLE)})[id % {len(_SAMPLES)} + 1] AS n, ({_in(_FAMILY_OF_FOLDER)})[id % {len(_FOLDERS)} + 1] AS d, CASE id % 7 WHEN 0 THEN 'CELLPHONE' WHEN 1 THEN 'GOPRO' WHEN 2 THEN 'AIRBRUSH' WHEN 3 THEN 'WHATSAPP' END AS known FROM files)"
+
+
+def _named(t):
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("id") % len(values) + 1).cast("int"))
+    k = F.col("id") % 7
+    known = F.when(k == 0, "CELLPHONE").when(k == 1, "GOPRO").when(k == 2, "AIRBRUSH").when(k == 3, "WHATSAPP")
+    return t.files.select("id", pick(_SAMPLES).alias("name"), F.concat(pick(_FOLDERS), F.lit("/"), pick(_SAMPLES)).alias("path"), known.alias("known"))
+
+
+@query("q127_subcategories", f"""WITH {_NAMED} SELECT id, CASE WHEN n = 'WHATSAPP' OR d = 'WHATSAPP' THEN 'WHATSAPP' WHEN n IN ('AIRBRUSH', 'PHOTOGRID') THEN n WHEN n IN ('FACEBOOK', 'FACEAPP') THEN 'OTHER' WHEN n = 'SCREENSHOT' OR d = 'SCREENSHOT' THEN 'SCREENSHOT' WHEN n = 'DRONE' OR d = 'DRONE' THEN 'DRONE'
+ WHEN n = 'GOPRO' OR d = 'GOPRO' THEN 'GOPRO' WHEN n = 'CAMERA' THEN 'CAMERA' WHEN n = 'PEACHY' THEN 'OTHER' WHEN n = 'IMAGE_UUID' THEN 'CAMERA' ELSE 'UNKNOWN' END AS label FROM named""")
 def _(t):
-    return t.files.select("id", planning.subcategory(F.col("file_name"), F.lit("")).alias("label"))
+    return _named(t).select("id", planning.subcategory(F.col("name"), F.col("path")).alias("label"))
 
 
-@query("q141_rule_engine", "SELECT f.id, CASE WHEN f.id % 3 = 0 THEN 'EDITED' WHEN f.id % 5 = 0 THEN 'WHATSAPP' WHEN file_name LIKE 'Screenshot%' THEN 'SCREENSHOT' WHEN file_name LIKE 'IMG%' OR file_name LIKE 'VID%' THEN 'CAMERA' ELSE 'UNKNOWN' END AS label, CASE WHEN f.id % 3 = 0 THEN 'CATALOG' WHEN f.id % 5 = 0 THEN 'FOLDER' WHEN file_name LIKE 'Screenshot%' OR file_name LIKE 'IMG%' OR file_name LIKE 'VID%' THEN 'NAME' ELSE 'DEFAULT' END AS reason FROM files f")
+@query("q141_rule_engine", f"""WITH {_NAMED}, r(priority, family) AS (VALUES (10, 'WHATSAPP'), (20, 'DRONE'), (30, 'GOPRO'), (40, 'SCREENSHOT'), (90, 'CAMERA')),
+ hits AS (SELECT id, priority, family, CASE WHEN known = family OR known = 'CELLPHONE' AND family = 'CAMERA' THEN 'DATABASE' WHEN d = family THEN 'FOLDER' WHEN n = family THEN 'FILE_NAME' END AS reason FROM named, r)
+ SELECT f.id, coalesce(h.family, 'OTHER') AS label, coalesce(h.priority, 999) AS priority, coalesce(h.reason, 'UNKNOWN') AS reason FROM named f LEFT JOIN (SELECT DISTINCT ON (id) * FROM hits WHERE reason IS NOT NULL ORDER BY id, priority) h ON h.id = f.id""")
 def _(t):
-    i = F.col("id")
-    label, _, reason = planning.classified(F.when(i % 3 == 0, "EDITED"), F.when(i % 5 == 0, "D:/WhatsApp Images").otherwise("D:/x"), F.col("file_name"))
-    return t.files.select("id", label.alias("label"), reason.alias("reason"))
+    label, priority, reason = planning.classified(F.col("known"), F.col("path"), F.col("name"))
+    return _named(t).select("id", label.alias("label"), priority.alias("priority"), reason.alias("reason"))
 
 
 @query("q140_layouts", "SELECT file_id, coalesce(strftime(capture_date, '%Y/%m/%d'), 'NO_DATE') || '/' || subcategory AS by_day, CASE WHEN capture_date IS NULL THEN category || '/NO_DATE' ELSE category || strftime(capture_date, '/%Y/%m') END || '/Paris/' || subcategory AS by_category, '' AS flat FROM metadata")

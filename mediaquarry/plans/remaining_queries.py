@@ -62,19 +62,46 @@ def _(t):
     return geo.in_boxes(pq._points(t).distinct(), pq.boundaries(t), geo.NEAREST_KM).select("lat", "lon", "boundary_id")
 
 
+#: A pixel's place among the 64 values of an embedding: 32 x 32 luminances without symmetry, so that no two frequencies tie.
+_AT = "(y * y * 3 + x * 7 + y * x) % 64 + 1"
+_LEVELS = "levels AS (SELECT vec_id AS file_id, list_transform(embedding, lambda e: least(greatest(floor(e::DOUBLE * 60 + 128), 0), 255)::DOUBLE) AS v FROM embeddings)"
+
+
 def _samples(t):
-    """32 x 32 luminances from the embeddings: each of the 64 values fills 16 cells."""
-    level = F.transform("embedding", lambda x: F.least(F.greatest(F.floor(x * 60 + 128), F.lit(0)), F.lit(255)).cast("int"))
-    text = F.array_join(F.transform(level, lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), 16)), "")
-    return t.embeddings.select(F.col("vec_id").alias("file_id"), F.unhex(text).alias("sample"))
+    """Luminances from the embeddings."""
+    level = F.transform("embedding", lambda e: F.least(F.greatest(F.floor(e.cast("double") * 60 + 128), F.lit(0)), F.lit(255)).cast("int"))
+    rows = t.embeddings.select(F.col("vec_id").alias("file_id"), level.alias("v"))
+    pixels = F.expr(f"transform(sequence(0, 1023), i -> lpad(hex(element_at(v, CAST({_AT.replace('y', '(i DIV 32)').replace('x', '(i % 32)')} AS INT))), 2, '0'))")
+    return rows.select("file_id", F.unhex(F.array_join(pixels, "")).alias("sample"))
+
 
+#: bits: each file's hash as 256 digits.  The cosine basis, both passes of the transform, and the 128th of 255 terms.
+_BITS = f"""basis AS (SELECT k, n, CASE WHEN k = 0 THEN sqrt(1 / 32.0::DOUBLE) ELSE sqrt(2 / 32.0::DOUBLE) END * cos(pi() * (2 * n + 1) * k / 64) AS c FROM range(16) AS ks(k), range(32) AS ns(n)),
+ across AS (SELECT file_id, y, k AS l, sum(c * v[{_AT.replace("x", "n")}]) AS s FROM levels, range(32) AS ys(y), basis GROUP BY file_id, y, k),
+ coefficients AS (SELECT file_id, b.k, l, sum(c * s) AS f FROM across JOIN basis b ON b.n = y GROUP BY file_id, b.k, l),
+ middles AS (SELECT file_id, f AS m FROM (SELECT file_id, f, row_number() OVER (PARTITION BY file_id ORDER BY f) AS r FROM coefficients WHERE k + l > 0) WHERE r = 128),
+ bits AS (SELECT file_id, string_agg(CASE WHEN f > m THEN '1' ELSE '0' END, '' ORDER BY k, l) AS h FROM coefficients JOIN middles USING (file_id) GROUP BY file_id)"""
+#: alike: the structural similarity of the pairs (a, b) of ``wanted``.
+_SSIM = f"""pixels AS (SELECT a, b, y // 8 AS wy, x // 8 AS wx, p.v[{_AT}] AS u, q.v[{_AT}] AS w FROM (SELECT DISTINCT a, b FROM wanted) JOIN levels p ON p.file_id = a JOIN levels q ON q.file_id = b, range(32) AS ys(y), range(32) AS xs(x)),
+ windows AS (SELECT a, b, wy, wx, avg(u) AS mu, avg(w) AS mw, var_samp(u) AS vu, var_samp(w) AS vw, covar_samp(u, w) AS c FROM pixels GROUP BY ALL),
+ alike AS (SELECT a, b, floor(least(greatest(avg((2 * mu * mw + 6.5025::DOUBLE) * (2 * c + 58.5225::DOUBLE) / ((mu * mu + mw * mw + 6.5025::DOUBLE) * (vu + vw + 58.5225::DOUBLE))), 0), 1) * 100 + 0.5)::INT AS score FROM windows GROUP BY a, b)"""
+_FAR = "bit_count(xor(p.h::BIT, q.h::BIT))"
+_NEAR, _LIKE, _FRAME_RADIUS = 112, 45, 130  # for noise-like samples; real photos take the defaults
 
-@query("q142_perceptual_hash")
+
+@query("q142_perceptual_hash", f"WITH {_LEVELS}, {_BITS} SELECT file_id, string_agg(substr('0123456789ABCDEF', d + 1, 1), '' ORDER BY k) AS hash FROM (SELECT file_id, k, (substr(h, 4 * k + 1, 1)::INT * 8 + substr(h, 4 * k + 2, 1)::INT * 4 + substr(h, 4 * k + 3, 1)::INT * 2 + substr(h, 4 * k + 4, 1)::INT)::INT AS d FROM bits, range(64) AS r(k)) GROUP BY file_id")
 def _(t):
     return _samples(t).select("file_id", F.hex(fingerprint.perceptual_hash("sample")).alias("hash"))
 
 
-@query("q144_ssim_self", "SELECT vec_id AS file_id, 100::INT AS score FROM embeddings")
+@query("q144_ssim_of_neighbours", f"WITH {_LEVELS}, wanted AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON b.vec_id IN (a.vec_id, a.vec_id + 1)), {_SSIM} SELECT a, b, score FROM alike")
+def _(t):
+    one = _samples(t)
+    other = one.select(F.col("file_id").alias("b"), F.col("sample").alias("sample_b"), F.explode(F.array(F.col("file_id"), F.col("file_id") - 1)).alias("a"))
+    return one.join(other, F.col("file_id") == F.col("a")).select("a", "b", fingerprint.ssim_percent("sample", "sample_b").alias("score"))
+
+
+@query("q144_ssim_self", f"WITH {_LEVELS}, wanted AS (SELECT vec_id AS a, vec_id AS b FROM embeddings), {_SSIM} SELECT a AS file_id, score FROM alike")
 def _(t):
     return _samples(t).select("file_id", fingerprint.ssim_percent("sample", "sample").alias("score"))
 
@@ -84,16 +111,21 @@ def _hashed(t):
     return rows.select("file_id", *fingerprint.hash_words("h"))
 
 
-@query("q150_photo_rebuild")
+_APPROVED = f"{_LEVELS}, {_BITS}, wanted AS (SELECT p.file_id AS a, q.file_id AS b FROM bits p JOIN bits q ON p.file_id < q.file_id AND {_FAR} <= {_NEAR}), {_SSIM}, approved AS (SELECT a, b, score FROM alike WHERE score >= {_LIKE})"
+
+
+def _approved(t):
+    return similarity.approve(similarity.radius_pairs(_hashed(t), _NEAR), _samples(t), _LIKE)
+
+
+@query("q150_photo_rebuild", f"WITH RECURSIVE {_APPROVED}, {pq._GREEDY.format(edges='approved')} SELECT cluster, file_id, position FROM clusters")
 def _(t):
-    prints, samples = _hashed(t), _samples(t)
-    edges = similarity.approve(similarity.radius_pairs(prints, 110), samples, 70)
-    return similarity.clusters(edges)
+    return similarity.clusters(_approved(t))
 
 
-@query("q151_approved_pairs")
+@query("q151_approved_pairs", f"WITH {_APPROVED} SELECT a, b, score FROM approved")
 def _(t):
-    return similarity.approve(similarity.radius_pairs(_hashed(t), 110), _samples(t), 70)
+    return _approved(t)
 
 
 def _frames(t):
@@ -101,34 +133,50 @@ def _frames(t):
     return rows
 
 
-@query("q152_video_rebuild")
+_VIDEOS = "frames AS (SELECT file_id // 4 AS file_id, file_id % 4 AS k, file_id AS vec FROM levels), clips AS (SELECT file_id, count(*) AS n, file_id % 40 AS d FROM frames GROUP BY file_id), wanted AS (SELECT x.file_id AS fa, y.file_id AS fb, least(3, x.n, y.n) AS quorum, i.vec AS a, j.vec AS b FROM clips x JOIN clips y ON x.file_id < y.file_id AND abs(x.d - y.d) <= 3 JOIN frames i ON i.file_id = x.file_id JOIN frames j ON j.file_id = y.file_id AND j.k = i.k)"
+
+
+@query("q152_video_rebuild", f"""WITH {_LEVELS}, {_BITS}, {_VIDEOS}, {_SSIM},
+ scores AS (SELECT fa, fb, quorum, list_sort(list(CASE WHEN {_FAR} <= {_FRAME_RADIUS} THEN score ELSE 0 END)) AS s FROM wanted JOIN alike USING (a, b) JOIN bits p ON p.file_id = a JOIN bits q ON q.file_id = b GROUP BY fa, fb, quorum)
+ SELECT a, b, score FROM (SELECT fa AS a, fb AS b, floor(list_avg(CASE WHEN len(s) > 1 THEN s[2:] ELSE s END) + 0.5)::INT AS score FROM scores WHERE len(s) >= quorum) WHERE score >= 20""")
 def _(t):
     frames = _frames(t)
     files_ = frames.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).select("file_id", (F.col("file_id") % 40).cast("double").alias("duration"), F.lit(1920).alias("width"), F.lit(1080).alias("height"))
-    return similarity.video_scores(similarity.band_pairs(files_), frames, radius=140, minimum=1)
+    return similarity.video_scores(similarity.band_pairs(files_), frames, radius=_FRAME_RADIUS, minimum=20)
 
 
-@query("q056_aligned_frames", "SELECT a.vec_id // 4 AS a, b.vec_id // 4 AS b, count(*) AS frames FROM embeddings a JOIN embeddings b ON a.vec_id % 4 = b.vec_id % 4 AND b.vec_id // 4 = a.vec_id // 4 + 1 GROUP BY 1, 2")
+@query("q056_aligned_frames", "SELECT a.vec_id // 4 AS a, b.vec_id // 4 AS b, a.vec_id % 4 AS sample_index, a.vec_id AS vec_a, b.vec_id AS vec_b FROM embeddings a JOIN embeddings b ON a.vec_id % 4 = b.vec_id % 4 AND b.vec_id // 4 = a.vec_id // 4 + 1")
 def _(t):
-    one = t.embeddings.select(F.floor(F.col("vec_id") / 4).cast("long").alias("a"), (F.col("vec_id") % 4).alias("sample_index"))
-    two = one.select(F.col("a").alias("b"), "sample_index", (F.col("a") - 1).alias("k"))
-    return one.join(two.withColumnRenamed("sample_index", "s"), (F.col("a") == F.col("k")) & (F.col("sample_index") == F.col("s"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("frames"))
+    frames = t.embeddings.select(F.floor(F.col("vec_id") / 4).cast("long").alias("file_id"), (F.col("vec_id") % 4).alias("sample_index"), F.col("vec_id").alias("vec"))
+    pairs = frames.select(F.col("file_id").alias("a"), (F.col("file_id") + 1).alias("b")).distinct()
+    return similarity.aligned_frames(pairs, frames).select("a", "b", "sample_index", "vec_a", "vec_b")
+
+
+_REBUILT = f"{pq._EDGES.replace('edges AS', 'wanted AS')}, {_LEVELS}, {_SSIM} SELECT a, b, score FROM alike WHERE score >= {_LIKE}"
 
 
-@query("q155_add_arrivals", f"WITH {pq._EDGES.replace('edges AS', 'base AS')} SELECT a, b FROM base")
+@query("q155_add_arrivals", f"WITH {_REBUILT}")
 def _(t):
-    """Edges over covered rows, then those that arrivals bring: together the edges of a rebuild."""
-    prints = t.prints.drop("label")
-    old = prints.filter("file_id % 5 <> 0")
-    new = prints.filter("file_id % 5 = 0")
-    return similarity.radius_pairs(old, 21).unionByName(similarity.arrival_pairs(new, old, 21)).select("a", "b")
+    """Few newcomers meet what is covered: with the edges over covered rows these are the edges of a rebuild."""
+    prints, samples = t.prints.drop("label"), _samples(t)
+    covered = prints.filter("file_id % 5 <> 0")
+    edges = similarity.approve(similarity.radius_pairs(covered, 21), samples, _LIKE)
+    return similarity.add_arrivals(prints, samples, edges, covered.select("file_id"), 21, _LIKE)[0]
+
+
+@query("q155_rebuild_for_many_arrivals", f"WITH {_REBUILT}")
+def _(t):
+    """More newcomers than covered rows: everything anew, whatever the stored edges are."""
+    prints, samples = t.prints.drop("label"), _samples(t)
+    stored = t.spark.createDataFrame([(0, 1, 7)], "a long, b long, score int")
+    return similarity.add_arrivals(prints, samples, stored, prints.filter("file_id % 5 = 0").select("file_id"), 21, _LIKE)[0]
 
 
 @query("q157_published_version", "SELECT count(*) AS n FROM prints")
 def _(t):
-    from ..sources.tables import shared_dir
+    from ..sources.tables import new_path
 
-    table = files.Published(t.spark, f"{shared_dir(t.spark)}/published-{abs(hash(t.sf_dir))}")
+    table = files.Published(t.spark, new_path(t.spark, "published"))
     table.publish(t.prints)
     return table.read().agg(F.count(F.lit(1)).alias("n"))
 
@@ -157,9 +205,9 @@ def _(t):
     return t.orders.select("o_orderkey", F.round(F.col("o_custkey") / F.lit(8.0), 2).alias("v"))
 
 
-@query("q089_first_of_group", "SELECT folder, min(file_id) AS file_id FROM locations GROUP BY folder")
+@query("q089_first_of_group", "SELECT folder, (array_agg(file_id ORDER BY path, file_id))[1] AS file_id FROM locations GROUP BY folder")
 def _(t):
-    return t.locations.groupBy("folder").agg(F.min_by("file_id", F.struct("file_id")).alias("file_id"))
+    return search.first_of_group(t.locations, "folder", "file_id", "path", "file_id")
 
 
 @query("q091_first_of_run", "SELECT path, min(id) AS id FROM errors GROUP BY path")
@@ -174,17 +222,20 @@ def _(t):
     return t.files.select("sha256", "id", (F.row_number().over(Window.partitionBy("sha256").orderBy("id")) - 1).cast("long").alias("position"))
 
 
-@query("q093_duplicate_targets", "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_partkey, l_suppkey) > 1 AS duplicate FROM lineitem")
+@query("q093_duplicate_targets", "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_partkey, l_suppkey) > 1 AS duplicate_target, max((l_returnflag = 'A')::INT) OVER (PARTITION BY l_partkey, l_suppkey) = 1 AS target_exists FROM lineitem")
 def _(t):
-    from pyspark.sql import Window
+    target = F.concat_ws("/", F.lit("T"), "l_partkey", "l_suppkey")
+    items = t.lineitem.select("l_orderkey", "l_linenumber", F.concat_ws("/", F.lit("S"), "l_orderkey", "l_linenumber").alias("path"), target.alias("target"))
+    there = t.lineitem.filter("l_returnflag = 'A'").select(F.lower(target).alias("path"))
+    return planning.conflicts(items, there).select("l_orderkey", "l_linenumber", "duplicate_target", "target_exists")
 
-    return t.lineitem.select("l_orderkey", "l_linenumber", (F.count(F.lit(1)).over(Window.partitionBy("l_partkey", "l_suppkey")) > 1).alias("duplicate"))
 
-
-@query("q100_cursor_codec", "SELECT 7::BIGINT AS id, true AS same")
+@query("q100_cursor_codec", """SELECT o_orderkey AS id, stamp, rtrim(translate(base64(encode('{"k":"timeline","t":' || coalesce('"' || strftime(stamp, '%Y-%m-%dT%H:%M:%S') || '"', 'null') || ',"i":' || o_orderkey || '}')), '+/', '-_'), '=') AS cursor, true AS refused FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate::TIMESTAMP END AS stamp FROM orders)""")
 def _(t):
-    text = paging.encode_cursor("timeline", None, 7)
-    return t.spark.createDataFrame([(paging.decode_cursor(text, "timeline")[1], paging.decode_cursor(text, "timeline") == (None, 7))], "id long, same boolean")
+    at = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate").cast("timestamp_ntz"))
+    rows = t.orders.select(paging.cursor_column("timeline", at, F.col("o_orderkey")).alias("cursor"))
+    back = rows.select("cursor", paging.position_column(F.col("cursor"), "timeline").alias("p"), paging.position_column(F.col("cursor"), "map").alias("other"))
+    return back.select("p.id", F.col("p.at").alias("stamp"), "cursor", F.col("other").isNull().alias("refused"))
 
 
 @query("q102_limits", "SELECT v::BIGINT AS v, CASE WHEN v < 1 THEN 50 ELSE least(v, 250) END::BIGINT AS n FROM range(-2, 300) AS r(v)")
@@ -199,7 +250,7 @@ def _(t):
 
 @query("q158_abandoned_versions", "SELECT id FROM executions WHERE status = 'RUNNING' AND started_at < TIMESTAMP '1996-06-01' - INTERVAL 24 HOUR")
 def _(t):
-    return t.executions.filter((F.col("status") == "RUNNING") & (F.col("started_at") < F.expr("TIMESTAMP_NTZ'1996-06-01 00:00:00' - INTERVAL 24 HOURS"))).select("id")
+    return mutations.abandoned(t.executions, F.col("status") == "RUNNING", "started_at", F.expr("TIMESTAMP_NTZ'1996-06-01 00:00:00'")).select("id")
 
 
 @query("q186_recovery_reasons", "SELECT event_id, event_type = 'error' AS full_pass FROM events")
@@ -210,20 +261,42 @@ def _(t):
     return t.events.select("event_id", changes.needs_full_pass(reason).alias("full_pass"))
 
 
-@query("q184_offline_backlog", "SELECT event_id FROM events WHERE ts > (SELECT min(ts) + INTERVAL 1 DAY FROM events)")
+@query("q184_offline_backlog", "SELECT event_id FROM events e LEFT JOIN (SELECT user_id, (min(event_id) + max(event_id)) // 2 AS cursor FROM events WHERE event_type <> 'error' GROUP BY user_id HAVING count(*) > 2) c ON c.user_id = e.user_id WHERE cursor IS NULL OR event_id > cursor")
+def _(t):
+    from ..streaming import changes
+
+    cursors = t.events.filter("event_type <> 'error'").groupBy("user_id").agg(F.expr("(min(event_id) + max(event_id)) DIV 2").alias("cursor"), F.count(F.lit(1)).alias("n")).filter("n > 2")
+    return changes.backlog(t.events, cursors.select("user_id", "cursor"), "user_id", "event_id").select("event_id")
+
+
+@query("q188_cursor_advance", "SELECT user_id, greatest(c.cursor, w.captured) AS cursor FROM (SELECT user_id, min(event_id) + 100 AS cursor FROM events WHERE event_type = 'click' GROUP BY user_id) c FULL JOIN (SELECT user_id, max(event_id) AS captured FROM events WHERE event_type <> 'error' AND value < 60 GROUP BY user_id) w USING (user_id)")
 def _(t):
-    cursor = t.events.agg((F.min("ts") + F.expr("INTERVAL 1 DAY")).alias("cursor"))
-    return t.events.crossJoin(F.broadcast(cursor)).filter("ts > cursor").select("event_id")
+    from ..streaming import changes
+
+    cursors = t.events.filter("event_type = 'click'").groupBy("user_id").agg((F.min("event_id") + 100).alias("cursor"))
+    walks = t.events.select("user_id", F.col("event_id").alias("captured"), F.coalesce((F.col("event_type") != "error") & (F.col("value") < 60), F.lit(False)).alias("complete"))
+    return changes.advanced(cursors, walks, "user_id")
 
 
-@query("q188_cursor_advance", "SELECT user_id, max(event_id) AS cursor FROM events GROUP BY user_id")
+@query("q190_reconcile_due", "SELECT key, max(started_at) AS last FROM (SELECT coalesce(dedup_key, 'none') AS key, status, started_at FROM executions) GROUP BY key HAVING count(*) FILTER (status = 'RUNNING') = 0 AND max(started_at) <= TIMESTAMP '1998-06-01' - INTERVAL 5 MINUTE")
 def _(t):
-    return t.events.groupBy("user_id").agg(F.max("event_id").alias("cursor"))
+    from ..streaming import changes
+
+    runs = t.executions.select(F.coalesce("dedup_key", F.lit("none")).alias("key"), "started_at", F.when(F.col("status") != "RUNNING", F.col("started_at")).alias("finished_at"))
+    return changes.due(runs, "key", "started_at", "finished_at", F.expr("TIMESTAMP_NTZ'1998-06-01 00:00:00'"))
 
 
-@query("q191_progress", "SELECT status, count(*) AS n, sum(files_found)::BIGINT AS found, sum(files_moved)::BIGINT AS moved FROM executions GROUP BY status")
+@query("q182_lock_conflicts", "SELECT f.folder AS holder, l.file_id AS wanted FROM (SELECT DISTINCT folder FROM locations) f JOIN locations l ON starts_with(lower(l.path), lower(f.folder) || '/') OR lower(l.path) = lower(f.folder)")
 def _(t):
-    return t.executions.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("files_found").alias("found"), F.sum("files_moved").alias("moved"))
+    from ..operators import queue
+
+    held = t.locations.select(F.col("folder").alias("id"), F.col("folder").alias("path")).distinct()
+    return queue.lock_conflicts(held, t.locations.select(F.col("file_id").alias("id"), "path"))
+
+
+@query("q191_progress", "SELECT status, count(*) AS n, sum(files_found)::BIGINT AS files_found, sum(files_moved)::BIGINT AS files_moved FROM executions GROUP BY status")
+def _(t):
+    return statistics.progress(t.executions, ["files_found", "files_moved"])
 
 
 @query("q204_folder_properties", "SELECT count(*) AS files, count(DISTINCT folder) AS folders, coalesce(sum(size_bytes), 0)::BIGINT AS bytes, greatest(count(DISTINCT folder) - 1, 0) AS subfolders FROM files JOIN locations ON id = file_id WHERE lifecycle_status = 'ACTIVE' AND (lower(folder) = 'd:/media' OR starts_with(lower(folder), 'd:/media/'))")
@@ -238,12 +311,14 @@ def _(t):
     return rows.join(own(t.videos, "codec"), "id").join(own(t.locations, "path"), "id", "left").select("id", "codec", "path")
 
 
-@query("q217_pin_ids", "SELECT n_name, true AS same FROM nation")
+@query("q217_pin_ids", "SELECT c_custkey, rtrim(translate(base64(encode('BR' || chr(10) || coalesce(seg, '') || chr(10) || c_name || '?>~é')), '+/', '-_'), '=') AS pin, seg, c_name || '?>~é' AS name FROM (SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS seg FROM customer)")
 def _(t):
     from ..operators import maps
 
-    names_ = [r["n_name"] for r in t.nation.collect()]  # 25 names
-    return t.spark.createDataFrame([(n, maps.pin_parts(maps.pin_id("r", n, None)) == ["r", n, None]) for n in names_], "n_name string, same boolean")
+    segment = F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment"))
+    rows = t.customer.select("c_custkey", maps.pin_ids(F.lit("BR"), segment, F.concat("c_name", F.lit("?>~é"))).alias("pin"))
+    parts = maps.parts_of_pins(F.col("pin"))
+    return rows.select("c_custkey", "pin", parts[1].alias("seg"), parts[2].alias("name"))
 
 
 _PLANS = "SELECT id, status, o.started_at + INTERVAL 30 DAY AS expires_at FROM executions o"
@@ -272,16 +347,24 @@ def _(t):
     return pq._items(t).agg((F.count_if(~F.col("same") & (F.col("duplicate_target") | F.col("target_exists"))) > 0).alias("refused"))
 
 
-@query("q231_catalogue_tables", "SELECT count(*) AS n FROM (VALUES ('documents'), ('orders'), ('events')) AS v(name)")
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("q231_catalogue_tables", f"SELECT table_name AS name, count(DISTINCT column_name) AS columns FROM information_schema.columns WHERE table_name IN ({', '.join(repr(n) for n in _TABLES)}) GROUP BY table_name")
 def _(t):
-    for name in ("documents", "orders", "events"):
+    for name in _TABLES:
         getattr(t, name).createOrReplaceTempView(f"introspected_{name}")
-    return t.spark.createDataFrame([(sum(x.name.startswith("introspected_") for x in t.spark.catalog.listTables()),)], "n long")
+    return files.described(t.spark, "introspected_")
+
+
+@query("q231_schema_version", "SELECT (array_agg(version ORDER BY id DESC))[1] AS version FROM executions WHERE status = 'FINISHED'")
+def _(t):
+    return mutations.current_version(t.executions.withColumn("ok", F.col("status") == "FINISHED"), "id", "version", "ok")
 
 
-@query("q160_exact_reasons", "SELECT id, CASE WHEN coalesce(manufacturer = 'Canon', false) AND coalesce(subcategory, '') NOT IN ('WHATSAPP', 'EDITED', 'GRID', 'SCREENSHOT') THEN true ELSE false END AS original FROM files LEFT JOIN metadata ON id = file_id")
+@query("q160_exact_reasons", "SELECT id, coalesce(manufacturer = 'Canon' OR date_source IN ('EXIF', 'MEDIA_INFO'), false) AND coalesce(subcategory, '') NOT IN ('WHATSAPP', 'AIRBRUSH', 'PHOTOGRID', 'SCREENSHOT') AS original FROM files LEFT JOIN metadata ON id = file_id")
 def _(t):
-    return t.files.join(t.metadata, F.col("id") == F.col("file_id"), "left").select("id", duplicates.original_signals(F.col("manufacturer") == "Canon", F.col("subcategory")).alias("original"))
+    return t.files.join(t.metadata, F.col("id") == F.col("file_id"), "left").select("id", duplicates.original_signals(F.col("manufacturer") == "Canon", F.col("date_source"), F.col("subcategory")).alias("original"))
 
 
 @query("q232_search_two_columns", "SELECT c_custkey FROM customer WHERE contains(lower(c_name), '12') OR contains(lower(c_mktsegment), 'auto')")

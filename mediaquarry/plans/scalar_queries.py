@@ -28,9 +28,27 @@ def _(t):
     return rows.select("id", names.numbered(F.col("n"), [F.col("folder")], [F.col("id")]).alias("name"))
 
 
-@query("q117_file_type", "SELECT id, CASE WHEN extension IS NULL THEN 'OTHER' WHEN lower(extension) = 'jpg' THEN 'PHOTO' WHEN lower(extension) = 'mp4' THEN 'VIDEO' ELSE 'PDF' END AS type FROM files")
+_EXTENSIONS = "jpg,JPEG, .png,gif,bmp,webp,heic,heif,tif,tiff,mp4,mov,avi,mkv,wmv,flv,webm,mpeg,mpg,3gp,m4v,mp3,wav,flac,aac,ogg,m4a,wma,opus,amr,pdf,doc,docx,xls,xlsx,csv,ppt,pptx,txt,md,log,json,xml,yaml,yml,zip,rar,7z,raw,cr2,odt,rtf,mts,x,,".split(",")
+_MIMES = "image/png|Application/PDF|text/x-log|application/zip|application/x-7z-compressed|application/vnd.rar|application/x-rar-compressed|application/json|application/xml|application/yaml|application/msword|application/vnd.ms-excel.sheet|application/vnd.ms-powerpoint|application/vnd.openxmlformats-officedocument.wordprocessingml.document|application/vnd.openxmlformats-officedocument.spreadsheetml.sheet|application/vnd.openxmlformats-officedocument.presentationml.presentation|video/mp4|audio/ogg|application/octet-stream|".split("|")
+
+
+def _nth(values, index):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
+
+
+def _listed(values):
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@query("q117_file_type", f"""SELECT p_partkey, CASE WHEN e IN ('jpg', 'jpeg', 'png', 'gif', 'bmp', 'webp', 'heic', 'heif', 'tif', 'tiff') THEN 'PHOTO' WHEN e IN ('mp4', 'mov', 'avi', 'mkv', 'wmv', 'flv', 'webm', 'mpeg', 'mpg', '3gp', 'm4v') THEN 'VIDEO'
+ WHEN e IN ('mp3', 'wav', 'flac', 'aac', 'ogg', 'm4a', 'wma', 'opus', 'amr') THEN 'AUDIO' WHEN e = 'pdf' THEN 'PDF' WHEN e IN ('doc', 'docx') THEN 'WORD' WHEN e IN ('xls', 'xlsx', 'csv') THEN 'EXCEL' WHEN e IN ('ppt', 'pptx') THEN 'POWERPOINT'
+ WHEN e IN ('txt', 'md', 'log', 'json', 'xml', 'yaml', 'yml') THEN 'TEXT' WHEN e = 'zip' THEN 'ZIP' WHEN e = 'rar' THEN 'RAR' WHEN e = '7z' THEN 'SEVEN_Z'
+ WHEN m LIKE 'application/pdf%' THEN 'PDF' WHEN m LIKE 'application/msword%' OR m LIKE '%wordprocessingml.document%' THEN 'WORD' WHEN m LIKE 'application/vnd.ms-excel%' OR m LIKE '%spreadsheetml.sheet%' THEN 'EXCEL'
+ WHEN m LIKE 'application/vnd.ms-powerpoint%' OR m LIKE '%presentationml.presentation%' THEN 'POWERPOINT' WHEN m LIKE 'text/%' OR m IN ('application/json', 'application/xml', 'application/yaml') THEN 'TEXT' WHEN m = 'application/zip' THEN 'ZIP'
+ WHEN m IN ('application/vnd.rar', 'application/x-rar-compressed') THEN 'RAR' WHEN m = 'application/x-7z-compressed' THEN 'SEVEN_Z' ELSE 'OTHER' END AS type
+ FROM (SELECT p_partkey, regexp_replace(lower(trim(({_listed(_EXTENSIONS)})[p_partkey % {len(_EXTENSIONS)} + 1])), '^\\.', '') AS e, lower(({_listed(_MIMES)})[p_partkey % {len(_MIMES)} + 1]) AS m FROM part)""")
 def _(t):
-    return t.files.select("id", names.file_type(F.col("extension"), F.lit(None).cast("string")).alias("type"))
+    return t.part.select("p_partkey", names.file_type(_nth(_EXTENSIONS, F.col("p_partkey")), _nth(_MIMES, F.col("p_partkey"))).alias("type"))
 
 
 @query("q118_archive_as_media", "SELECT id FROM files WHERE lower(extension) IN ('jpg', 'mp4') AND file_type = 'PHOTO' AND id % 3 = 1")
@@ -105,12 +123,12 @@ def _(t):
 
 @query("q128_folder_dates", "SELECT id, CASE WHEN id % 2 = 0 THEN date_trunc('day', created_at)::TIMESTAMP END AS at FROM files")
 def _(t):
-    path = F.concat(F.lit("D:/x/"), F.date_format("created_at", "yyyyMM"), F.lit("/"), F.date_format("created_at", "dd"), F.when(F.col("id") % 2 == 0, "/camera/jpg/a.jpg").otherwise("/other/jpg/a.jpg"))
-    return t.files.select("id", dates.from_folders(path).alias("at"))
+    path = F.concat(F.lit("D:/x/"), F.date_format("created_at", "yyyyMM"), F.lit("/"), F.date_format("created_at", "dd"), F.when(F.col("id") % 4 == 0, "/camera/imagens/a.jpg").when(F.col("id") % 4 == 1, "/other/imagens/a.jpg").when(F.col("id") % 4 == 2, "/Whats/Videos/a.mp4").otherwise("/camera/jpg/a.jpg"))
+    return t.files.select("id", dates.from_folders(path, _NOW).alias("at"))
 
 
-@query("q129_capture_precedence", f"""WITH {_STAMPS} SELECT id, coalesce(exif, nd, fs) AS at, CASE WHEN exif IS NOT NULL THEN 'EXIF' WHEN nd IS NOT NULL THEN 'FILE_NAME' ELSE 'FILE_SYSTEM' END AS source FROM
- (SELECT id, CASE WHEN id % 9 = 0 THEN created_at END AS exif, {_NAME_DATE}::TIMESTAMP AS nd, CASE WHEN modified_at < created_at THEN modified_at ELSE created_at END AS fs FROM stamps)""")
+@query("q129_capture_precedence", f"""WITH {_STAMPS} SELECT id, coalesce(exif, nd, fs) AS at, CASE WHEN exif IS NOT NULL THEN 'EXIF' WHEN nd IS NOT NULL THEN 'FILE_NAME' WHEN modified_at < created_at THEN 'FILE_MODIFIED_AT' ELSE 'FILE_CREATED_AT' END AS source FROM
+ (SELECT id, CASE WHEN id % 9 = 0 THEN created_at END AS exif, {_NAME_DATE}::TIMESTAMP AS nd, CASE WHEN modified_at < created_at THEN modified_at ELSE created_at END AS fs, modified_at, created_at FROM stamps)""")
 def _(t):
     exif, none = F.when(F.col("id") % 9 == 0, F.col("created_at")), F.lit(None).cast("timestamp_ntz")
     at, source = dates.capture_date(exif, none, dates.from_file_name(F.col("name"), _NOW), none, F.col("created_at"), F.col("modified_at"))
@@ -128,9 +146,13 @@ def _(t):
     return t.metadata.select("file_id", dates.valid_capture(F.col("capture_date"), datetime(2020, 6, 1)).alias("at"))
 
 
-@query("q132_trust", "SELECT file_id, CASE WHEN date_source = 'EXIF' THEN 5 WHEN date_source = 'FILE_NAME' AND capture_date <> date_trunc('day', capture_date) THEN 4 WHEN date_source = 'FILE_NAME' THEN 3 ELSE 1 END AS trust FROM metadata")
+_SOURCES = ["EXIF", "MEDIA_INFO", "FILE_NAME_CONFIRMED", "FILE_NAME", "FOLDER_LAYOUT", "FILE_MODIFIED_AT", "FILE_CREATED_AT", "UNKNOWN"]
+
+
+@query("q132_trust", f"""SELECT file_id, CASE WHEN s IN ('EXIF', 'MEDIA_INFO') THEN 5 WHEN s = 'FILE_NAME_CONFIRMED' OR s = 'FILE_NAME' AND capture_date <> date_trunc('day', capture_date) THEN 4 WHEN s IN ('FILE_NAME', 'FOLDER_LAYOUT') THEN 3
+ WHEN s = 'FILE_MODIFIED_AT' THEN 2 WHEN s = 'FILE_CREATED_AT' THEN 1 ELSE 0 END AS trust FROM (SELECT file_id, capture_date, ({_listed(_SOURCES)})[file_id % 8 + 1] AS s FROM metadata)""")
 def _(t):
-    return t.metadata.select("file_id", dates.trust(F.col("date_source"), F.col("capture_date")).alias("trust"))
+    return t.metadata.select("file_id", dates.trust(_nth(_SOURCES, F.col("file_id")), F.col("capture_date")).alias("trust"))
 
 
 @query("q139_plan_date", "SELECT file_id, coalesce(strftime(capture_date, '%Y-%m-%d'), CASE WHEN file_id % 2 = 0 THEN '2019-03-' || printf('%02d', 1 + file_id % 28) END, 'NO_DATE') AS d FROM metadata")
@@ -216,11 +238,15 @@ def _(t):
     return t.metadata.select("file_id", media.exif_size(F.when(F.col("file_id") % 2 == 0, F.col("width")).otherwise(0), F.lit(0), F.col("height")).alias("w"), media.exif_text(F.lit("Canon\x00\x00")).alias("maker"))
 
 
-@query("q147_failure_classes", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ARCHIVE' WHEN 1 THEN 'HTML' WHEN 2 THEN 'DECODE_ERROR' ELSE 'EMPTY' END AS reason FROM documents")
+_CONTENTS = ["", "00" * 40, "FFD8FFE000104A46", "89504E470D0A1A0A00", "89504E4700", "47494638", "424D36", "524946460000000057454250565038580A", "52494646000000005745425056503820", "5249464600000000574156", "3C68746D6C3E", "504B030414", "00" * 600 + "FF", "FF"]
+
+
+@query("q147_failure_classes", """SELECT doc_id, CASE doc_id % 15 WHEN 0 THEN 'CORRUPTED_FILE' WHEN 1 THEN 'CORRUPTED_FILE' WHEN 2 THEN 'DECODER_REFUSED' WHEN 3 THEN 'DECODER_REFUSED' WHEN 5 THEN 'DECODER_REFUSED' WHEN 6 THEN 'DECODER_REFUSED' WHEN 7 THEN 'UNSUPPORTED_FORMAT'
+ WHEN 8 THEN 'DECODER_REFUSED' WHEN 12 THEN 'CORRUPTED_FILE' WHEN 14 THEN 'UNKNOWN' ELSE 'NOT_AN_IMAGE' END AS reason, doc_id % 15 <> 14 AS terminal FROM documents""")
 def _(t):
-    d = F.col("doc_id") % 4
-    content = F.when(d == 0, F.unhex(F.lit("504B030414000000"))).when(d == 1, F.encode(F.lit("<html><body>"), "utf-8")).when(d == 2, F.unhex(F.lit("FFD8FFE000104A46"))).otherwise(F.unhex(F.lit("")))
-    return t.documents.select("doc_id", media.failure_of_bytes(content).alias("reason"))
+    content = F.when(F.col("doc_id") % 15 < 14, F.unhex(_nth([*_CONTENTS, ""], F.col("doc_id"))))
+    reason = media.failure_of_bytes(content)
+    return t.documents.select("doc_id", reason.alias("reason"), media.is_terminal(reason).alias("terminal"))
 
 
 def _family(name: str, spark_name, sql_date: str):
@@ -229,8 +255,10 @@ def _family(name: str, spark_name, sql_date: str):
 
 
 _SECOND, _DAY = "modified_at", "date_trunc('day', modified_at)"
-_family("q123_messaging_names", lambda m: F.concat(F.lit("WhatsApp Image "), F.date_format(m, "yyyy-MM-dd"), F.lit(" at "), F.date_format(m, "HH.mm.ss"), F.lit(".jpeg")), _SECOND)
-_family("q124_epoch_names", lambda m: F.concat(F.lit("PhotoGrid_"), (F.unix_timestamp(m.cast("timestamp")) * 1000).cast("string"), F.lit(".jpg")), _SECOND)
+_family("q123_messaging_names", lambda m: F.concat(F.lit("IMG-"), F.date_format(m, "yyyyMMdd"), F.lit("-WA0007.jpg")), _DAY)
+_family("q124_epoch_names", lambda m: F.concat(_nth(["PhotoGrid_", "fb_img_", "FaceApp-"], F.day(m)), (F.unix_timestamp(m.cast("timestamp")) * 1000).cast("string"), F.lit(".jpg")), _SECOND)
+_family("q126_month_first_names", lambda m: F.concat(F.date_format(m, "MMddyyHHmmss"), F.lit("_x.mp4")), "CASE WHEN day(modified_at) > 12 THEN modified_at END")
+_family("q126_day_of_next_month_names", lambda m: F.concat(F.lit("IMG_"), F.date_format(m, "yyyyMM"), F.lit("31.jpg")), "last_day(modified_at)")
 _family("q125_screenshot_names", lambda m: F.concat(F.lit("Screenshot_"), F.date_format(m, "yyyyMMdd-HHmmss"), F.lit("_app.png")), _SECOND)
 _family("q126_dotted_names", lambda m: F.concat(F.lit("03. "), F.date_format(m, "yyyy.MM.dd"), F.lit(". report.pdf")), _DAY)
 

@@ -298,15 +298,15 @@ def _(t):
     return t.file_exclusions.select(F.lit("file").alias("kind"), F.col("public_id").alias("name")).union(t.folder_exclusions.select(F.lit("folder"), "folder"))
 
 
-@query("q224_executions_by_status", "SELECT id, status FROM executions WHERE status = 'RUNNING' ORDER BY started_at DESC, id DESC LIMIT 100")
+@query("q224_executions_by_status", "SELECT id, row_number() OVER (ORDER BY started_at DESC, id DESC) AS k FROM executions WHERE status = 'RUNNING'")
 def _(t):
-    return t.executions.filter("status = 'RUNNING'").orderBy(F.desc("started_at"), F.desc("id")).limit(100).select("id", "status")
+    return mutations.with_ids(t.executions.filter("status = 'RUNNING'").select("id", "started_at"), [F.desc("started_at"), F.desc("id")], 1, "k").select("id", "k")
 
 
-@query("q225_activity_order", "SELECT id, row_number() OVER (ORDER BY (status = 'RUNNING') DESC, priority DESC NULLS LAST, started_at NULLS LAST, id) AS k FROM executions WHERE status <> 'FINISHED' ORDER BY k LIMIT 200")
+@query("q225_activity_order", "SELECT id, row_number() OVER (ORDER BY (status = 'RUNNING') DESC, priority DESC NULLS LAST, started_at NULLS LAST, id) AS k FROM executions WHERE status <> 'FINISHED'")
 def _(t):
-    rows = t.executions.filter("status <> 'FINISHED'").orderBy(F.desc(F.col("status") == "RUNNING"), F.desc_nulls_last("priority"), F.asc_nulls_last("started_at"), "id").limit(200)
-    return mutations.with_ids(rows.select("id").withColumn("__o", F.monotonically_increasing_id()), [F.col("__o")], 1, "k").select("id", "k")
+    rows = t.executions.filter("status <> 'FINISHED'").select("id", "status", "priority", "started_at")
+    return mutations.with_ids(rows, [F.desc(F.col("status") == "RUNNING"), F.desc_nulls_last("priority"), F.asc_nulls_last("started_at"), F.asc("id")], 1, "k").select("id", "k")
 
 
 @query("q226_live_workers", "SELECT user_id, max(ts) AS seen FROM events GROUP BY user_id HAVING max(ts) > (SELECT max(ts) - INTERVAL 6 HOUR FROM events)")

@@ -11,11 +11,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 _DIALECTS = {
-    "spark": {"sha": r"sha2(\1, 256)", "hours": r"(TIMESTAMP_NTZ'2020-01-01 00:00:00' + make_dt_interval(0, CAST(\1 AS INT)))", "words": r"aggregate(sequence(0, 15), 0L, (a, i) -> a + CASE WHEN embedding[\1 * 16 + i] > 0 THEN shiftleft(1L, i) ELSE 0L END)"},
-    "duckdb": {"sha": r"sha256(\1)", "hours": r"(TIMESTAMP '2020-01-01 00:00:00' + to_hours(CAST(\1 AS BIGINT)))", "words": r"CAST(list_sum(list_transform(range(16), lambda i: CASE WHEN embedding[\1 * 16 + i + 1] > 0 THEN (1::BIGINT << CAST(i AS INTEGER)) ELSE 0 END)) AS BIGINT)"},
+    "spark": {"sha": r"sha2(\1, 256)", "hours": r"(TIMESTAMP_NTZ'2020-01-01 00:00:00' + make_dt_interval(0, CAST(\1 AS INT)))", "words": r"aggregate(sequence(0, 15), 0L, (a, i) -> a + CASE WHEN embedding[\1 * 16 + i] > 0 THEN shiftleft(1L, i) ELSE 0L END)", "wide": r"aggregate(sequence(0, 63), 0L, (a, i) -> a | CASE WHEN embedding[i] > embedding[(i * 7 + 3 + 11 * \1) % 64] THEN shiftleft(1L, i) ELSE 0L END)"},
+    "duckdb": {"sha": r"sha256(\1)", "hours": r"(TIMESTAMP '2020-01-01 00:00:00' + to_hours(CAST(\1 AS BIGINT)))", "words": r"CAST(list_sum(list_transform(range(16), lambda i: CASE WHEN embedding[\1 * 16 + i + 1] > 0 THEN (1::BIGINT << CAST(i AS INTEGER)) ELSE 0 END)) AS BIGINT)", "wide": r"CAST(list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > embedding[(i * 7 + 3 + 11 * \1) % 64 + 1] THEN (1::UBIGINT << CAST(i AS UBIGINT)) ELSE 0 END)) AS UBIGINT)"},
 }
 
-# SHA(x), HOURS(x) and WORD(n) are the spellings that differ
+# SHA(x), HOURS(x), WORD(n) and WIDE(n) are the spellings that differ
 _SELECTS = {
     "files": """
         SELECT doc_id AS id, concat('p', CAST(doc_id AS STRING)) AS public_id,
@@ -33,9 +33,9 @@ _SELECTS = {
         FROM documents WHERE doc_id % 13 <> 0""",
     "metadata": """
         SELECT doc_id AS file_id, CASE WHEN doc_id % 2 = 0 THEN 'MEDIA' ELSE 'DOCUMENT' END AS category,
-          CASE doc_id % 4 WHEN 0 THEN 'CAMERA' WHEN 1 THEN 'WHATSAPP' WHEN 2 THEN 'SCREENSHOT' ELSE 'EDITED' END AS subcategory,
+          CASE doc_id % 4 WHEN 0 THEN 'CAMERA' WHEN 1 THEN 'WHATSAPP' WHEN 2 THEN 'SCREENSHOT' ELSE 'AIRBRUSH' END AS subcategory,
           CASE WHEN doc_id % 7 = 0 THEN NULL ELSE HOURS((doc_id * 11) % 20000) END AS capture_date,
-          CASE WHEN doc_id % 3 = 0 THEN 'EXIF' WHEN doc_id % 3 = 1 THEN 'FILE_NAME' ELSE 'FILE_SYSTEM' END AS date_source,
+          CASE WHEN doc_id % 3 = 0 THEN 'EXIF' WHEN doc_id % 3 = 1 THEN 'FILE_NAME' ELSE 'FILE_CREATED_AT' END AS date_source,
           CASE WHEN doc_id % 9 = 0 THEN NULL ELSE CAST(640 + doc_id % 4000 AS INT) END AS width, CASE WHEN doc_id % 19 = 0 THEN NULL ELSE CAST(480 + (doc_id * 3) % 3000 AS INT) END AS height,
           CASE WHEN doc_id % 3 = 0 THEN 'Canon' WHEN doc_id % 3 = 1 THEN 'Nikon' ELSE NULL END AS manufacturer,
           CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST((doc_id * 37) % 1700 - 850 AS DOUBLE) / CAST(10 AS DOUBLE) END AS latitude,
@@ -54,6 +54,7 @@ _SELECTS = {
     "file_exclusions": "SELECT concat('p', CAST(doc_id AS STRING)) AS public_id FROM documents WHERE doc_id % 29 = 0",
     "folder_exclusions": "SELECT DISTINCT CASE WHEN source LIKE '%1' THEN concat('D:\\\\Media\\\\', source) ELSE concat('D:/Media/', source, '/Sub_a') END AS folder FROM documents WHERE source LIKE '%1' OR source LIKE '%2'",
     "prints": "SELECT vec_id AS file_id, WORD(0) AS w0, WORD(1) AS w1, WORD(2) AS w2, WORD(3) AS w3, label FROM embeddings",
+    "wide_prints": "SELECT vec_id AS file_id, WIDE(0) AS w0, WIDE(1) AS w1, WIDE(2) AS w2, WIDE(3) AS w3 FROM embeddings",
     "errors": "SELECT event_id AS id, user_id % 50 AS execution_id, concat('D:/Media/u', CAST(user_id % 97 AS STRING)) AS path, CASE WHEN value < 10 THEN 'IO' WHEN value < 50 THEN 'DECODE' ELSE NULL END AS error_type, ts AS happened_at FROM events WHERE event_type = 'error'",
     "executions": """
         SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'INVENTORY' WHEN 1 THEN 'RECONCILE' WHEN 2 THEN 'ORGANIZE' ELSE 'SIMILARITY' END AS type,
@@ -72,6 +73,7 @@ def text(name: str, dialect: str) -> str:
     spelt = _DIALECTS[dialect]
     out = re.sub(r"SHA\((\w+)\)", spelt["sha"], out)
     out = re.sub(r"WORD\((\d)\)", spelt["words"], out)
+    out = re.sub(r"WIDE\((\d)\)", spelt["wide"], out)
     out = re.sub(r"HOURS\(((?:[^()]|\([^()]*\))*)\)", spelt["hours"], out)
     return out.replace("\\\\", "\\") if dialect == "duckdb" else out
 

@@ -81,6 +81,12 @@ def missing_countries(offered: DataFrame, have: DataFrame) -> DataFrame:
     return offered.join(have.select("country_code").distinct(), "country_code", "left_anti")
 
 
+def described(spark: SparkSession, prefix: str = "") -> DataFrame:
+    """(name, columns): the session's tables and views of a prefix, with the number of their columns."""
+    names = [t.name for t in spark.catalog.listTables() if t.name.startswith(prefix)]
+    return spark.createDataFrame([(n.removeprefix(prefix), len(spark.table(n).columns)) for n in sorted(names)], "name string, columns long")
+
+
 class Published:
     """Versions of a table under one folder.  A version is written first; then a small pointer file makes it the active
     one.  A publication that was based on another version than the active one is refused."""

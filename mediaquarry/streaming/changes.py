@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.mutations import upsert
+from ..sources.tables import written
 
 # The journal's reason flags that matter.
 CREATED, DELETED, OVERWRITTEN, EXTENDED, RENAMED_OLD, RENAMED_NEW = 0x100, 0x200, 0x1, 0x2, 0x1000, 0x2000
@@ -67,13 +68,57 @@ def interpreted(journal: DataFrame, root: str) -> DataFrame:
     return rows.select(F.explode(F.array_compact(actions)).alias("a")).select("a.path", "a.action").distinct()
 
 
-def upsert_into(folder: str, keys: list[str], newest: list[str]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink: at-least-once batches, each merged into a published table; a repeated batch changes nothing."""
-    from ..sources.files import Published
+def backlog(changes: DataFrame, cursors: DataFrame, key: str, seq: str) -> DataFrame:
+    """The changes of each source (``key``) that came after its cursor; a source without one has all of them."""
+    known = cursors.select(F.col(key).alias("__key"), F.col("cursor").alias("__cursor"))
+    return changes.join(known, F.col(key) == F.col("__key"), "left").filter(F.col("__cursor").isNull() | (F.col(seq) > F.col("__cursor"))).drop("__key", "__cursor")
+
+
+def advanced(cursors: DataFrame, walks: DataFrame, key: str) -> DataFrame:
+    """(key, cursor) after some walks (key, captured, complete): the highest position captured before a complete walk.
+
+    An incomplete walk leaves its source's cursor as it is, and no cursor goes back.
+    """
+    done = walks.filter("complete").groupBy(key).agg(F.max("captured").alias("captured"))
+    both = cursors.join(done, key, "full_outer")
+    return both.select(key, F.greatest("cursor", "captured").alias("cursor"))
+
+
+def due(runs: DataFrame, root: str, started: str, finished: str, now: Column, every: str = "5 minutes") -> DataFrame:
+    """(root, last): roots whose timer is up: no run is under way and the last one began so long ago."""
+    each = runs.groupBy(root).agg(F.max(started).alias("last"), F.bool_or(F.col(finished).isNull()).alias("__runs"))
+    return each.filter(~F.col("__runs") & (F.col("last") + F.expr(f"INTERVAL {every}") <= now)).select(root, "last")
+
+
+def on_timer(ticks: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, every: str = "5 minutes"):
+    """A started query that calls ``work`` on what a stream brought, every so often (a full reconciliation, say)."""
+    return ticks.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+BUCKETS = 256
+
+
+def upsert_into(folder: str, keys: list[str], newest: list[str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink: at-least-once batches merged into a table of buckets by a hash of the key.
+
+    A batch rewrites only the buckets that it touches, each of which Spark replaces as a whole, and old versions don't pile
+    up; a repeated batch changes nothing.  ``read_upserted`` reads the table.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        table = Published(batch.sparkSession, folder)
-        rows = batch if table.active() is None else upsert(table.read(), batch, keys, newest)
-        table.publish(upsert(rows.limit(0), rows, keys, newest))
+        spark = batch.sparkSession
+        rows = batch.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            touched = [r["__bucket"] for r in rows.select("__bucket").distinct().collect()]  # at most ``buckets`` numbers
+            old = spark.read.schema(rows.schema).parquet(folder).filter(F.col("__bucket").isin(touched))
+        else:
+            old = rows.limit(0)
+        merged = written(upsert(old.select(*rows.columns), upsert(rows.limit(0), rows, keys, newest), keys, newest), "merged")
+        merged.repartition("__bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__bucket").parquet(folder)
 
     return run
+
+
+def read_upserted(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder).drop("__bucket")

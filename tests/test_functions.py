@@ -20,14 +20,19 @@ def at(*parts):
     return datetime(*parts)
 
 
+#: One or two names for each rule and for what it refuses, made up from the rules' descriptions.
 NAMES = [
-    ("Screenshot_20240102_103045.png", at(2024, 1, 2, 10, 30, 45)), ("Screenshot_20240102.png", at(2024, 1, 2)), ("PhotoGrid_1443567518248.jpg", at(2015, 9, 29, 22, 58, 38, 248000)),
-    ("AirBrush_20240102_103045.jpg", at(2024, 1, 2, 10, 30, 45)), ("Peachy_20240102_103045.jpg", at(2024, 1, 2, 10, 30, 45)), ("IMAGE_20240102_103045.jpg", at(2024, 1, 2, 10, 30, 45)),
-    ("AirBrush_20150524054234.jpg", at(2015, 5, 24, 5, 42, 34)), ("20150524054234.jpg", at(2015, 5, 24, 5, 42, 34)), ("2024-01-02 10.30.45.jpg", at(2024, 1, 2, 10, 30, 45)), ("2024-01-02_10-30-45.jpg", at(2024, 1, 2, 10, 30, 45)),
-    ("2024-01-02.jpg", None), ("01. 2024.03.03. Limpeza.pdf", at(2024, 3, 3)), ("2024.07.18. Edital 30.07.2024.pdf", at(2024, 7, 18)), ("2024.13.40 report.pdf", None), ("report v1.2.3.pdf", None),
-    ("IMG_18991231.jpg", None), ("IMG_20241340.jpg", None), ("lv_7556956620933156149_20260704132915.mp4", at(2026, 7, 4, 13, 29, 15)), ("lv_7556956620933156149.mp4", None),
-    ("012708165237_H265.mp4", at(2008, 1, 27, 16, 52, 37)), ("020208222901_H265.mp4", at(2008, 2, 2, 22, 29, 1)), ("121507213458.jpg", at(2007, 12, 15, 21, 34, 58)),
-    ("031120081613 - 01.bmp", None), ("100620121090.jpg", None), ("012708256237.jpg", None), ("808501710986.jpg", None), ("123456789012345.jpg", None), ("20240230.jpg", None), ("IMG-20240102-WA0003.jpg", at(2024, 1, 2)),
+    ("img-20210304-wa0012.jpeg", at(2021, 3, 4)), ("VID_x-20191231-WA7.mp4", at(2019, 12, 31)), ("trip 20210304-WA0012.jpg", at(2021, 3, 4)), ("doc-nodate-WA5.pdf", None),
+    ("airbrush-20180706-050403.png", at(2018, 7, 6, 5, 4, 3)), ("AirBrush20180706050403x.png", at(2018, 7, 6, 5, 4, 3)), ("AIRBRUSH 20180706.png", at(2018, 7, 6)),
+    ("PhotoGrid_1500000000123.png", at(2017, 7, 14, 2, 40, 0, 123000)), ("photogrid-20170102_030405.png", at(2017, 1, 2, 3, 4, 5)), ("PhotoGrid_2999999999999.png", None),
+    ("FB_IMG_1600000000000.jpg", at(2020, 9, 13, 12, 26, 40)), ("FaceApp_1600000000000.jpg", at(2020, 9, 13, 12, 26, 40)), ("fb_img_x.jpg", None),
+    ("screenrecord-20220228-235959.mp4", at(2022, 2, 28, 23, 59, 59)), ("Captura 20220301.png", at(2022, 3, 1)), ("Screenshot_20220301_250000.png", at(2022, 3, 1)),
+    ("peachy_20160229_111213.jpg", at(2016, 2, 29, 11, 12, 13)), ("image_20160229_111213_a.jpg", at(2016, 2, 29, 11, 12, 13)),
+    ("2013-06-05 04.03.02.mp4", at(2013, 6, 5, 4, 3, 2)), ("2013-06-05_04-03-02 b.mp4", at(2013, 6, 5, 4, 3, 2)), ("2013-06-05 b.mp4", None),
+    ("minutes 2012.11.10 final.odt", at(2012, 11, 10)), ("99. 2011.02.03 and 2012.02.03.txt", at(2011, 2, 3)), ("2012.00.10.txt", None), ("release 4.10.11.zip", None),
+    ("051423101112 cam.avi", at(2023, 5, 14, 10, 11, 12)), ("0514231011.avi", None), ("051020201112.avi", None), ("133023101112.avi", None),
+    ("a20140708b.tif", at(2014, 7, 8)), ("dsc 20140708_091011.tif", at(2014, 7, 8, 9, 10, 11)), ("20140708091011.tif", at(2014, 7, 8, 9, 10, 11)), ("x18500101.tif", None), ("x29990101.tif", None), ("x20141301.tif", None),
+    ("x99999999 then 20140708.tif", at(2014, 7, 8)), ("x20150231.tif", at(2015, 2, 28)), ("x20160230.tif", at(2016, 2, 29)), ("x20140732.tif", None), ("plain.tif", None),
 ]
 
 
@@ -36,6 +41,25 @@ def test_file_name_dates(spark):
     assert {r["name"]: r["at"] for r in rows} == dict(NAMES)
 
 
+def test_folder_dates(spark):
+    cases = [("D:/a/202105/09/camera/imagens/x.jpg", at(2021, 5, 9)), ("D:\\a\\202105\\09\\WHATS\\Videos\\x.mp4", at(2021, 5, 9)), ("D:/202105/31/gopro/outros/x", at(2021, 5, 31)), ("D:/202106/31/gopro/outros/x", None), ("D:/202105/9/camera/imagens/x", None), ("D:/202105/09/mine/imagens/x", None), ("D:/202105/09/camera/jpg/x", None), ("x.jpg", None), ("D:/999912/01/camera/imagens/x", None)]
+    rows = spark.createDataFrame([(c[0],) for c in cases], "p string").select("p", dates.from_folders(F.col("p"), NOW).alias("at")).collect()
+    assert {r["p"]: r["at"] for r in rows} == dict(cases)
+
+
+def test_file_types(spark):
+    cases = [("jpg", None, "PHOTO"), (" .JPEG ", "application/pdf", "PHOTO"), ("yaml", None, "TEXT"), ("amr", "", "AUDIO"), ("7z", None, "SEVEN_Z"), ("odt", None, "OTHER"), (None, "image/png", "OTHER"), ("x", "VIDEO/mp4", "OTHER"), ("", "text/html; charset=x", "TEXT"), ("", "Application/XML", "TEXT"), ("", "application/vnd.ms-excel.x", "EXCEL"), (None, None, "OTHER")]
+    rows = spark.createDataFrame(cases, "e string, m string, t string").select("e", "m", "t", names.file_type(F.col("e"), F.col("m")).alias("got"), names.category_of(F.col("t")).alias("c")).collect()
+    assert [r["got"] for r in rows] == [c[2] for c in cases]
+    assert {r["t"]: r["c"] for r in rows} == {"PHOTO": "MEDIA", "TEXT": "DOCUMENT", "AUDIO": "MEDIA", "SEVEN_Z": "ARCHIVE", "OTHER": "OTHER", "EXCEL": "DOCUMENT"}
+
+
+def test_failure_reasons(spark):
+    cases = [(b"", "CORRUPTED_FILE"), (bytes(700), "CORRUPTED_FILE"), (b"\xff\xd8x", "DECODER_REFUSED"), (b"RIFF0000WEBPVP8X", "UNSUPPORTED_FORMAT"), (b"RIFF0000WEBPVP8 ", "DECODER_REFUSED"), (b"RIFF0000WAVE", "NOT_AN_IMAGE"), (b"<html>", "NOT_AN_IMAGE"), (b"BM", "DECODER_REFUSED"), (None, "UNKNOWN")]
+    rows = spark.createDataFrame([(None if c is None else bytearray(c), r) for c, r in cases], "c binary, r string").select("r", media.failure_of_bytes(F.col("c")).alias("got"), media.is_terminal(F.col("r")).alias("last")).collect()
+    assert [r["got"] for r in rows] == [r for _, r in cases] and all(r["last"] == (r["r"] != "UNKNOWN") for r in rows)
+
+
 def _one(spark, column, **values):
     row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
     return row.select(column.alias("x")).first()["x"]
@@ -51,17 +75,19 @@ def test_names(spark):
 
 
 def test_paths(spark):
-    rows = spark.createDataFrame([(x,) for x in ("D:\\Media\\a.jpg", "D:\\Media\\sub\\x.jpg", "D:\\top.jpg", "D:\\MediaOther\\a.jpg", "d:/media/IMG_2026.jpg")], "path string")
-    assert rows.filter(p.under(F.col("path"), "D:\\Media")).count() == 3
+    rows = spark.createDataFrame([(x,) for x in ("D:\\Pictures\\one.png", "D:\\Pictures\\old\\two.png", "D:\\three.png", "D:\\Pictures2\\four.png", "d:/pictures/five_5.png")], "path string")
+    assert rows.filter(p.under(F.col("path"), "D:\\Pictures")).count() == 3
     assert rows.filter(p.under(F.col("path"), "D:\\")).count() == 5
-    assert rows.filter(p.under(F.col("path"), "D:\\Medi_")).count() == 0
+    assert rows.filter(p.under(F.col("path"), "D:\\Picture_")).count() == 0
 
 
 def test_excluded_folders(spark):
-    rows = spark.createDataFrame([(x,) for x in ("C:/Media/a", "C:/Media/a/sub", "C:/Media/ab", "C:/Media/a_b/sub", "C:/Media/aXb/sub", "C:\\Media\\a", None)], "folder string")
+    rows = spark.createDataFrame([(x,) for x in ("E:/Arc/k", "E:/Arc/k/deep/er", "E:/Arc/kk", "E:/Arc/k_k/deep", "E:/Arc/k-k/deep", "E:\\Arc\\k", "E:/Arc/k%", None)], "folder string")
     gone = lambda f: {r["folder"] for r in p.without_excluded_folders(rows, spark.createDataFrame([(f,)], "f string"), "folder", "f").collect()}
-    assert gone("C:/Media/a") == {"C:/Media/ab", "C:/Media/a_b/sub", "C:/Media/aXb/sub", None}
-    assert gone("C:\\Media\\a_b") == {"C:/Media/a", "C:/Media/a/sub", "C:/Media/ab", "C:/Media/aXb/sub", "C:\\Media\\a", None}
+    everything = {r["folder"] for r in rows.collect()}
+    assert everything - gone("E:/Arc/k") == {"E:/Arc/k", "E:/Arc/k/deep/er", "E:\\Arc\\k"}
+    assert everything - gone("E:\\Arc\\k_k") == {"E:/Arc/k_k/deep"}
+    assert everything - gone("E:/Arc/k%") == {"E:/Arc/k%"}
 
 
 def test_cursors():
@@ -74,6 +100,15 @@ def test_cursors():
         paging.decode_cursor(text, "map")
 
 
+def test_cursors_as_columns(spark):
+    rows = [(at(2024, 1, 2, 3), 7), (None, -5), (at(1999, 12, 31, 23, 59, 59), 2**62)]
+    frame = spark.createDataFrame(rows, "at timestamp_ntz, id long").select("*", paging.cursor_column("timeline", F.col("at"), F.col("id")).alias("c"))
+    found = frame.select("*", paging.position_column(F.col("c"), "timeline").alias("p"), paging.position_column(F.col("c"), "map").alias("q")).collect()
+    assert [(r["p"]["at"], r["p"]["id"], r["q"]) for r in found] == [(*r, None) for r in rows]
+    assert [r["c"] for r in found] == [paging.encode_cursor("timeline", *r) for r in rows]
+    assert spark.range(1).select(paging.position_column(F.lit("?!"), "map").alias("p")).first()["p"] is None
+
+
 def test_probe_details(spark):
     assert _one(spark, media.iso6709(F.lit("+48.8577+002.295/")))["longitude"] == 2.295
     for bad in ("+0+0/", "91+10", "+95.0+010.0/", "x" * 80):

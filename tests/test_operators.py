@@ -103,11 +103,17 @@ def test_video_scores(spark):
 def test_keep_policy(spark):
     fields = "grp long, file_id long, has_camera boolean, subcategory string, width int, height int, date_source string, capture_date timestamp_ntz"
     day = datetime(2020, 1, 1)
-    rows = [(1, 1, True, "CAMERA", 100, 100, "EXIF", day), (1, 2, False, "WHATSAPP", 400, 400, "EXIF", day), (2, 3, True, None, 10, 10, "EXIF", day), (2, 4, True, None, 20, 20, "EXIF", day), (3, 5, False, None, None, 10, "EXIF", None), (3, 6, False, None, None, None, "EXIF", day)]
-    got = {r["file_id"]: r["verdict"] for r in duplicates.keep_ranking(spark.createDataFrame(rows, fields), "grp", exact=False).collect()}
-    assert got == {1: "KEEP", 2: "DELETE_CANDIDATE", 4: "KEEP", 3: "REVIEW", 6: "KEEP", 5: "REVIEW"}
-    sure = {r["file_id"]: r["verdict"] for r in duplicates.keep_ranking(spark.createDataFrame(rows, fields), "grp", exact=True).collect()}
-    assert sure[3] == "DELETE_CANDIDATE" and sure[5] == "DELETE_CANDIDATE"
+    rows = [
+        (1, 1, True, "CAMERA", 100, 100, "EXIF", day), (1, 2, False, "WHATSAPP", 400, 400, "EXIF", day),  # an original before a larger copy
+        (2, 3, True, None, 10, 10, "EXIF", day), (2, 4, False, None, 20, 20, "MEDIA_INFO", day),  # two originals: no clear one
+        (3, 5, False, None, None, 10, "FILE_NAME", None), (3, 6, False, None, None, None, "FILE_NAME", day),  # none at all
+        (4, 7, False, "PHOTOGRID", 900, 900, "FILE_NAME", day), (4, 8, False, "DRONE", 9, 9, "UNKNOWN", None),  # no copy's subcategory comes before pixels
+    ]
+    got = {r["file_id"]: (r["verdict"], r["reason"]) for r in duplicates.keep_ranking(spark.createDataFrame(rows, fields), "grp", exact=False).collect()}
+    unclear = "REVIEW_NO_CLEAR_ORIGINAL"
+    assert got == {1: ("KEEP", "ORIGINAL"), 2: ("DELETE_CANDIDATE", "WHATSAPP_COPY"), 4: ("KEEP", "ORIGINAL"), 3: ("REVIEW", unclear), 6: ("KEEP", unclear), 5: ("REVIEW", unclear), 8: ("KEEP", unclear), 7: ("REVIEW", unclear)}
+    sure = {r["file_id"]: (r["verdict"], r["reason"]) for r in duplicates.keep_ranking(spark.createDataFrame(rows, fields), "grp", exact=True).collect()}
+    assert sure[3] == ("DELETE_CANDIDATE", "IDENTICAL_COPY") and sure[6] == ("KEEP", "BEST_IN_GROUP") and sure[7] == ("DELETE_CANDIDATE", "EDITED_COPY")
 
 
 def _square(w, s, e, n):
@@ -164,6 +170,61 @@ def test_rename_ambiguity(spark):
     assert {tuple(r) for r in reconcile.renames(gone, new).collect()} == {(1, "/1"), (2, "/3"), (3, "/2")}
 
 
+def test_renames_within_a_hot_content(spark):
+    """Very many empty files: times that only one new file has decide, all others stay."""
+    t = lambda k: datetime(2020, 1, 1, k // 60, k % 60)
+    gone = spark.createDataFrame([(k, 0, "e", t(k % 300)) for k in range(600)] + [(1000, 0, "e", None)], "id long, size_bytes long, sha256 string, created_at timestamp_ntz")
+    new = spark.createDataFrame([(f"/{k}", 0, "e", t(k)) for k in range(200)] + [(f"/again{k}", 0, "e", t(k)) for k in range(50)] + [("/none", 0, "e", None)], "path string, size_bytes long, sha256 string, created_at timestamp_ntz")
+    assert {tuple(r) for r in reconcile.renames(gone, new).collect()} == {(k, f"/{k}") for k in range(50, 200)}
+
+
+def test_upsert_of_ties(spark):
+    """Equal stamps: the new row, and of several new ones always the same, however they are dealt."""
+    old = spark.createDataFrame([(1, 5, "old"), (2, 5, "old"), (3, 9, "old")], "id long, at long, v string")
+    new = spark.createDataFrame([(1, 5, "x"), (1, 5, "y"), (1, 5, "z"), (3, 8, "new"), (4, None, "new")], "id long, at long, v string")
+    found = [sorted(map(tuple, mutations.upsert(old, n, ["id"], ["at"]).collect())) for n in (new, new.repartition(5), new.orderBy(F.desc("v")))]
+    assert found[0] == found[1] == found[2]
+    assert [r[0] for r in found[0]] == [1, 2, 3, 4] and found[0][0][2] in "xyz" and found[0][2][2] == "old"
+
+
+def test_cursors_and_timers(spark):
+    cursors = spark.createDataFrame([("a", 5), ("b", 9)], "k string, cursor long")
+    rows = spark.createDataFrame([("a", 5), ("a", 6), ("b", 1), ("c", 1)], "k string, seq long")
+    assert sorted(map(tuple, changes.backlog(rows, cursors, "k", "seq").collect())) == [("a", 6), ("c", 1)]
+    walks = spark.createDataFrame([("a", 7, True), ("a", 8, False), ("b", 3, True), ("c", 2, True), ("d", 1, False)], "k string, captured long, complete boolean")
+    assert sorted(map(tuple, changes.advanced(cursors, walks, "k").collect())) == [("a", 7), ("b", 9), ("c", 2)]
+    t = lambda m: datetime(2024, 1, 1, 0, m)
+    runs = spark.createDataFrame([("x", t(0), t(1)), ("y", t(0), None), ("z", t(3), t(4))], "root string, s timestamp_ntz, f timestamp_ntz")
+    assert [r["root"] for r in changes.due(runs, "root", "s", "f", F.lit(t(6)).cast("timestamp_ntz")).collect()] == ["x"]
+
+
+def test_timer_runs_a_full_pass(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    seen = []
+    ticks = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    run = changes.on_timer(ticks, lambda batch, n: seen.append(batch.count()), str(tmp_path / "c"), "1 second")
+    run.processAllAvailable()
+    run.stop()
+    assert seen == [3]
+
+
+def test_locks(spark):
+    from mediaquarry.operators import queue
+
+    held = spark.createDataFrame([(1, "D:/a/b"), (2, "D:/c")], "id long, path string")
+    want = spark.createDataFrame([(10, "D:/a"), (11, "d:/A/B"), (12, "D:/a/b/c"), (13, "D:/a/bb"), (14, "D:/c/x"), (15, "E:/c")], "id long, path string")
+    assert sorted(map(tuple, queue.lock_conflicts(held, want).collect())) == [(1, 10), (1, 11), (1, 12), (2, 14)]
+
+
+def test_organisation_rules(spark):
+    cases = [("CELLPHONE", "D:/x/a.jpg", "a.jpg", "CAMERA", 90, "DATABASE"), (None, "D:/DJI/a.jpg", "IMG_1.jpg", "DRONE", 20, "FOLDER"), ("AIRBRUSH", "D:/x/a", "GOPR1.mp4", "GOPRO", 30, "FILE_NAME"), ("CAMERA", "D:/x/a", "IMG-1-WA2.jpg", "WHATSAPP", 10, "FILE_NAME"), ("AIRBRUSH", "D:/x/a", "a", "OTHER", 999, "UNKNOWN"), (None, None, None, "OTHER", 999, "UNKNOWN")]
+    frame = spark.createDataFrame(cases, "known string, path string, name string, label string, priority int, reason string")
+    got = frame.select(*planning.classified(F.col("known"), F.col("path"), F.col("name"))).collect()
+    assert [tuple(r) for r in got] == [c[3:] for c in cases]
+    labels = frame.select(planning.subcategory(F.col("name"), F.col("path"))).collect()
+    assert [r[0] for r in labels] == ["UNKNOWN", "DRONE", "GOPRO", "WHATSAPP", "UNKNOWN", "UNKNOWN"]
+
+
 def test_conflicts_must_be_allowed(spark):
     items = spark.createDataFrame([(1, "a", "X/1", 3), (2, "b", "x/1", 3), (3, "c", "c", 3)], "id long, path string, target string, size_bytes long")
     marked = planning.conflicts(items, spark.createDataFrame([], "path string"))
@@ -250,7 +311,12 @@ def test_stream_of_changes(spark, tmp_path):
     stream = changes.source(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
     run = stream.writeStream.foreachBatch(changes.upsert_into(str(tmp_path / "table"), ["path"], ["ts"])).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     run.awaitTermination(120)
-    assert {(r["path"], r["size"]) for r in files.Published(spark, str(tmp_path / "table")).read().collect()} == {("a", 3), ("b", 1)}
+    assert {(r["path"], r["size"]) for r in changes.read_upserted(spark, str(tmp_path / "table")).collect()} == {("a", 3), ("b", 1)}
+    # a batch again changes nothing, a later one only what it touches
+    sink = changes.upsert_into(str(tmp_path / "table"), ["path"], ["ts"])
+    sink(spark.read.parquet(str(tmp_path / "in")), 0)
+    sink(spark.createDataFrame([("b", t(40), 9), ("c", t(2), 5), ("a", t(3), 8)], fields), 1)
+    assert sorted((r["path"], r["size"]) for r in changes.read_upserted(spark, str(tmp_path / "table")).collect()) == [("a", 3), ("b", 9), ("c", 5)]
     bursts = changes.debounced(stream, "ts", "path").writeStream.format("memory").queryName("bursts").option("checkpointLocation", str(tmp_path / "c2")).outputMode("append").trigger(availableNow=True).start()
     bursts.awaitTermination(120)
     batch = changes.debounced(spark.read.parquet(str(tmp_path / "in")), "ts", "path").collect()
