@@ -22,11 +22,11 @@ from .common import fresh, row_place, stored, table, text_bytes, written
 WINDOW = 10
 BLOCK_BYTES = 4 << 20  # of benchmark text in one broadcast set: some hundred MB of windows on a worker at most
 #: Lower-cases A-Z and turns every ASCII byte that is neither digit nor letter into a space; bytes from 0x80 stay.
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return text.encode().translate(_FOLD).split() if text else []
+    return text.encode().translate(FOLD).split() if text else []
 
 
 class WindowSet:
@@ -241,7 +241,7 @@ def _cut(shared, text_col: str):
 def _without(windows: WindowSet, text: str | None) -> str | None:
     while text:
         raw = text.encode()
-        folded = raw.translate(_FOLD)
+        folded = raw.translate(FOLD)
         words = folded.split()
         hit, _ = windows.scan(words)
         if not hit.any():

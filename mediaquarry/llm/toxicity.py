@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc32_of, fresh, table, written
-from .decontaminate import words_of
+from .decontaminate import FOLD, words_of
 
 FIT_ROWS = 12_000  # the bound of the labelled sample
 STEMS = range(4, 9)
@@ -70,10 +70,26 @@ class FuzzyTrie:
                 at = self.children[at][c]
                 self.reach[at] = max(self.reach[at], most)
             self.ends[at].append(number)
-        self.start = self._closed([(0, 0, "")])
-        self.moves: dict[tuple[frozenset, str], frozenset] = {}
+        self._forget()
         self.memo: dict[bytes, tuple[tuple[int, int], ...]] = {}
 
+    def _forget(self) -> None:
+        """Only the start is left of the deterministic automaton: its states, their numbers, and the moves known so far."""
+        self.states = [self._closed([(0, 0, "")])]
+        self.number = {self.states[0]: 0}
+        self.moves: list[dict[str, int]] = [{}]
+
+    def _after(self, state: int, letter: str) -> int:
+        """The number of the state after a letter, made if it is new; -1 if no term can follow."""
+        found = self._move(self.states[state], letter)
+        if not found:
+            return self.moves[state].setdefault(letter, -1)
+        if found not in self.number:
+            self.number[found] = len(self.states)
+            self.states.append(found)
+            self.moves.append({})
+        return self.moves[state].setdefault(letter, self.number[found])
+
     def _closed(self, states: Iterable[tuple[int, int, str]]) -> frozenset:
         """With the trie's letters that the word leaves out; a negative node -1 - n is the accepted stem n."""
         found = set(states)
@@ -116,19 +132,16 @@ class FuzzyTrie:
         known = self.memo.get(word)
         if known is not None:
             return known
-        state = self.start
+        if len(self.states) > 200_000:
+            self._forget()
+        state, moves = 0, self.moves
         for letter in word.decode("utf-8", "replace").lower():
-            key = (state, letter)
-            after = self.moves.get(key)
-            if after is None:
-                if len(self.moves) > 500_000:
-                    self.moves.clear()
-                after = self.moves[key] = self._move(state, letter)
-            state = after
-            if not state:
+            after = moves[state].get(letter)
+            state = self._after(state, letter) if after is None else after
+            if state < 0:
                 break
         found: dict[int, int] = {}
-        for node, edits, awaited in state:
+        for node, edits, awaited in self.states[state] if state >= 0 else ():
             numbers = () if awaited else [-1 - node] if node < 0 else [n for n in self.ends[node] if edits <= self.most[n]]
             for n in numbers:
                 found[n] = min(edits, found.get(n, 9))
@@ -154,11 +167,11 @@ class Model:
         self.words = np.zeros(WORD_BUCKETS) + (np.asarray(list(words)) if len(list(words)) else 0.0)
         self.weight = [(exact.get(t, 0.9), inexact.get((t, 1), 0.6), inexact.get((t, 2), 0.5)) for t in self.trie.terms]
 
-    def hits(self, text: str | None) -> dict[bytes, tuple[int, int]]:
-        """The hit words of a text, with the term that weighs most and its edits."""
+    def hits(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, int]]:
+        """The words that some term is within reach of, with the term that weighs most and its edits."""
         look, memo = self.trie.look_up, self.trie.memo
         out = {}
-        for w in set(words_of(text)):
+        for w in set(words):
             found = memo.get(w)
             if found is None:
                 found = look(w)
@@ -172,11 +185,12 @@ class Model:
         return 1 / (1 + math.exp(-(_logit(weight) + said)))
 
     def score(self, text: str | None) -> float:
-        hits = self.hits(text)
-        if not hits:
+        raw = (text or "").encode()
+        spaced = _spaced(raw)
+        weights = {w: self.weight[n][e] for w, (n, e) in self.hits(spaced.split()).items()}
+        if not weights:
             return self.rate
-        weights = {w.decode("utf-8", "replace"): self.weight[n][e] for w, (n, e) in hits.items()}
-        values = sorted((self.in_context(weights[w], flags, near) for w, flags, near in contexts(text, set(weights))), reverse=True) or [max(weights.values())]
+        values = sorted((self.in_context(weights[w], flags, near) for w, flags, near in contexts(raw, spaced, weights)), reverse=True)
         top = max(values[0], self.rate)
         return min(1.0, top + (1 - top) * 0.05 * (1 - 1 / len(values)))
 
@@ -193,29 +207,57 @@ def _bucket(word: str) -> int:
     return zlib.crc32(word.encode()) % WORD_BUCKETS
 
 
-_WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
-_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_MARKS = sorted({m.encode() for pair in QUOTES.items() for m in pair if ord(m) > 127})
+_RUN = re.compile(rb"[^ \t\n\r\f\v]+")
+_TAIL = 4  # bytes after a window's last word, where a closing mark may stand
+
+
+def _spaced(raw: bytes) -> bytes:
+    """The text with A-Z in lower case and a space for each byte that is of no word; places stay as they are."""
+    out = raw.translate(FOLD)
+    for mark in _MARKS:
+        if mark in out:
+            out = out.replace(mark, b" " * len(mark))
+    return out
 
 
-def _positions(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), m[0].translate(_FOLD)) for m in _WORD.finditer(text)]
+def _around(spaced: bytes, start: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Where the WINDOW words before and after a place are (fewer at the text's ends)."""
+    size = 128
+    while True:  # one word more than needed, as the first may be cut
+        low = max(0, start - size)
+        before = [(low + m.start(), low + m.end()) for m in _RUN.finditer(spaced[low:start])]
+        if len(before) > WINDOW or not low:
+            break
+        size *= 4
+    size = 128
+    while True:
+        after = [(end + m.start(), end + m.end()) for m in _RUN.finditer(spaced[end : end + size])]
+        if len(after) > WINDOW or end + size >= len(spaced):
+            break
+        size *= 4
+    return before[-WINDOW:], after[:WINDOW]
 
 
-def _in_marks(text: str, words: list[tuple[int, int, str]], i: int) -> bool:
-    first, last = words[max(0, i - WINDOW)], words[min(len(words) - 1, i + WINDOW)]
-    return _quoted(text[first[0] if i >= WINDOW else 0 : words[i][0]], text[words[i][1] : last[1] + 2])
+def _marked(raw: bytes, before: list[tuple[int, int]], start: int, end: int, after: list[tuple[int, int]]) -> bool:
+    """Whether the window has an opening mark before the place and its closing mark after."""
+    left = raw[before[0][0] if len(before) == WINDOW else 0 : start]
+    return _quoted(left.decode("utf-8", "ignore"), raw[end : (after[-1][1] if after else end) + _TAIL].decode("utf-8", "ignore"))
 
 
-def contexts(text: str, wanted: set[str]) -> list[tuple[str, tuple[bool, bool, bool], set[int]]]:
+def contexts(raw: bytes, spaced: bytes, wanted: Iterable[bytes]) -> list[tuple[bytes, tuple[bool, bool, bool], set[int]]]:
     """Each occurrence of the wanted words: the word, its flags, and the buckets of the words in its window."""
-    words = _positions(text)
-    out = []
-    for i, (_, _, word) in enumerate(words):
-        if word not in wanted:
-            continue
-        near = {w.lower() for _, _, w in words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]}
-        quoted = _in_marks(text, words, i)
-        out.append((word, (quoted, quoted and bool(near & REPORTS), quoted and bool(near & ADDRESS) and not near & REPORTS), {_bucket(w) for w in near}))
+    padded, out = b" " + spaced + b" ", []
+    for word in wanted:
+        alone = b" " + word + b" "
+        start = padded.find(alone)
+        while start >= 0:
+            end = start + len(word)
+            before, after = _around(spaced, start, end)
+            near = {spaced[a:b].decode("utf-8", "replace").lower() for a, b in before + after}
+            quoted = _marked(raw, before, start, end, after)
+            out.append((word, (quoted, quoted and bool(near & REPORTS), quoted and bool(near & ADDRESS) and not near & REPORTS), {_bucket(w) for w in near}))
+            start = padded.find(alone, end + 1)
     return out
 
 
@@ -242,14 +284,15 @@ def _candidates(batches):
 
 def _terms_of(text: str | None) -> set[str]:
     """Whole words (ending in a blank) and stems, of the words that stand outside quotation marks at least once."""
-    if text and any(q in text for q in QUOTES):
-        words = _positions(text)
-        plain = {w for i, (_, _, w) in enumerate(words) if not _in_marks(text, words, i)}
-    else:
-        plain = {w.decode("utf-8", "replace") for w in words_of(text)}
+    raw = (text or "").encode()
+    spaced = _spaced(raw)
+    plain = set(spaced.split())
+    if any(q in text for q in QUOTES) if text else False:
+        spans = [m.span() for m in _RUN.finditer(spaced)]
+        plain = {spaced[a:b] for i, (a, b) in enumerate(spans) if not _marked(raw, spans[max(0, i - WINDOW) : i], a, b, spans[i + 1 : i + 1 + WINDOW])}
     out = set()
     for word in plain:
-        low = word.lower()
+        low = word.decode("utf-8", "replace").lower()
         out.add(low + " ")
         out.update(low[:n] for n in STEMS if n < len(low))
     return out
@@ -394,7 +437,7 @@ def _inexact(shared):
         for batch in batches:
             terms, edits, exact = [], [], []
             for text in batch.column("text"):
-                hits = set(model.hits(text.as_py()).values())
+                hits = set(model.hits(_spaced((text.as_py() or "").encode()).split()).values())
                 exact.append(any(e == 0 for _, e in hits))
                 near = sorted((n, e) for n, e in hits if e)
                 terms.append([n for n, _ in near])
@@ -413,9 +456,11 @@ def _surroundings(shared):
         for batch in batches:
             rows = []
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-                hits = {w.decode("utf-8", "replace"): model.weight[n][e] for w, (n, e) in model.hits(text).items()}
+                raw = (text or "").encode()
+                spaced = _spaced(raw)
+                hits = {w: model.weight[n][e] for w, (n, e) in model.hits(spaced.split()).items()}
                 top = max(hits.values(), default=0.0)
-                found = contexts(text, {w for w, x in hits.items() if x == top}) if hits else []
+                found = contexts(raw, spaced, [w for w, x in hits.items() if x == top])
                 if found:
                     shares: dict[int, float] = {}
                     for _, _, near in found:

@@ -187,7 +187,7 @@ def _writer(folder: str, archive_bytes: int, date: str):
 
 
 def decide(pages: DataFrame, minimum: int = 0, id_col: str = "page_id") -> DataFrame:
-    """page_id, url, payload, revisit, refers_to, refers_url.
+    """page_id, url, payload, revisit, refers_to, refers_url.  Ids are whole numbers; a null one stays null.
 
     Of rows with equal payloads of at least ``minimum`` bytes that with the largest id is the response (rows that repeat
     this id all are); smaller payloads are all responses.  Digests decide equality (SHA-256 with the length).

@@ -436,7 +436,8 @@ def test_automaton_is_edit_distance():
 
 def _brute_score(model, text):
     """The score by trying every term on every word and looking at every window."""
-    words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010FFFF]+", text or "")]
+    marks = "".join(set("".join(toxicity.QUOTES)) | set("".join(toxicity.QUOTES.values())))
+    words = [(m.start(), m.end(), m[0]) for m in re.finditer(rf"[0-9A-Za-z\x80-\U0010FFFF](?<![{marks}])(?:[0-9A-Za-z\x80-\U0010FFFF](?<![{marks}]))*", text or "")]
     values = []
     for i, (start, end, word) in enumerate(words):
         found = _brute_terms(model.trie, word.lower())
@@ -446,7 +447,8 @@ def _brute_score(model, text):
         logit = math.log(weight / (1 - weight))
         near = {w.lower() for k, (_, _, w) in enumerate(words) if 0 < abs(k - i) <= 8}
         left = text[words[i - 8][0] if i >= 8 else 0 : start]
-        right = text[end : words[min(len(words) - 1, i + 8)][1] + 2]
+        last = words[min(len(words) - 1, i + 8)][1]
+        right = text[end:last] + text[last:].encode()[:4].decode("utf-8", "ignore")
         quoted = any(b in right and (left.count(a) % 2 if a == b else left.rfind(a) > left.rfind(b)) for a, b in toxicity.QUOTES.items())
         reported, addressed = bool(near & toxicity.REPORTS), bool(near & toxicity.ADDRESS)
         if quoted:
