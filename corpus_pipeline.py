@@ -25,7 +25,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: fingerprints three bits apart, or 0.8 of the five-word shingles shared."""
+    """One document of each group of near copies stays.
+
+    Near copies: fingerprints of five-word shingles at most three bits apart; or texts whose MinHash sketches agree in 14 of
+    24 values and that are within seven bits or share 0.8 of their shingles.
+    """
     return simhash.keep_one(docs, shingle=5)
 
 
