@@ -282,14 +282,31 @@ def _candidates(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c for c, _ in counts.values()], pa.int64()), pa.array([t for _, t in counts.values()], pa.int64())], names=["term", "clean", "toxic"])
 
 
+_ANY_MARK = re.compile("|".join(map(re.escape, sorted({m for pair in QUOTES.items() for m in pair}))).encode())
+
+
+def _quoted_only(raw: bytes, spaced: bytes) -> set[bytes]:
+    """The words that occur in quotation marks and nowhere else."""
+    marks = np.array([m.start() for m in _ANY_MARK.finditer(raw)], np.int64)
+    if len(marks) < 2:
+        return set()
+    spans = np.array([m.span() for m in _RUN.finditer(spaced)], np.int64).reshape(-1, 2)
+    starts, ends = spans.T
+    low = np.concatenate((np.zeros(min(WINDOW, len(spans)), np.int64), starts[:-WINDOW] if len(spans) > WINDOW else []))[: len(spans)].astype(np.int64)
+    high = np.append(ends[WINDOW:], np.full(min(WINDOW, len(spans)), ends[-1] if len(spans) else 0)) + _TAIL
+    # only words with a mark on either side in their window can be quoted
+    between = (np.searchsorted(marks, starts) > np.searchsorted(marks, low)) & (np.searchsorted(marks, high) > np.searchsorted(marks, ends))
+    where = spans.tolist()
+    quoted = {i for i in np.flatnonzero(between).tolist() if _marked(raw, where[max(0, i - WINDOW) : i], *where[i], where[i + 1 : i + 1 + WINDOW])}
+    plain = {spaced[a:b] for i, (a, b) in enumerate(where) if i not in quoted} if quoted else set()
+    return {spaced[where[i][0] : where[i][1]] for i in quoted} - plain
+
+
 def _terms_of(text: str | None) -> set[str]:
     """Whole words (ending in a blank) and stems, of the words that stand outside quotation marks at least once."""
     raw = (text or "").encode()
     spaced = _spaced(raw)
-    plain = set(spaced.split())
-    if any(q in text for q in QUOTES) if text else False:
-        spans = [m.span() for m in _RUN.finditer(spaced)]
-        plain = {spaced[a:b] for i, (a, b) in enumerate(spans) if not _marked(raw, spans[max(0, i - WINDOW) : i], a, b, spans[i + 1 : i + 1 + WINDOW])}
+    plain = set(spaced.split()) - (_quoted_only(raw, spaced) if text else set())
     out = set()
     for word in plain:
         low = word.decode("utf-8", "replace").lower()

@@ -473,6 +473,20 @@ def test_scores_are_those_of_brute_force():
     assert model.score(None) == model.score("") == 0.03
 
 
+def test_words_that_are_only_quoted():
+    draw = random.Random(13)
+    pool = ["a", "bb", "ccc", "ddd'd", "é", "漢"]
+    for _ in range(800):
+        text = "".join(draw.choice(['"', "“", "”", " ", " ", " ", " ", "«", "» ", "‘", "’ "]) + draw.choice(pool) + " " for _ in range(draw.randint(0, 40)))
+        raw = text.encode()
+        spaced = toxicity._spaced(raw)
+        spans = [m.span() for m in toxicity._RUN.finditer(spaced)]
+        seen: dict = {}
+        for i, (a, b) in enumerate(spans):
+            seen.setdefault(spaced[a:b], set()).add(toxicity._marked(raw, spans[max(0, i - 8) : i], a, b, spans[i + 1 : i + 9]))
+        assert toxicity._quoted_only(raw, spaced) == {w for w, how in seen.items() if how == {True}}
+
+
 def _quoting_corpus(quotes_are_abuse):
     draw = random.Random(8)
     word = lambda: "".join(draw.choice("abdeilnorstu") for _ in range(draw.randint(3, 8)))
