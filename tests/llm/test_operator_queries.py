@@ -28,9 +28,9 @@ def _rows():
     bench = [(k, prose(draw.choice([6, 14, 30]))) for k in range(12)] + [(50, None), (51, ""), (52, prose(40))]
     passage = [prose(draw.randint(4, 9)) for _ in range(12)]
     docs, labels = [], []
-    for i in range(160):
+    for i in range(260):
         lines = [prose(draw.randint(1, 12)) for _ in range(draw.randint(1, 8))]
-        if i % 9 == 0:
+        if i % 5 == 0:
             lines[-1] += f" {draw.choice(['Blockhead', 'nincompoop', 'blokhead'])} " + prose(2)
         if i % 11 == 0:
             lines += passage
@@ -38,9 +38,9 @@ def _rows():
             lines.insert(0, f"{prose(3)} {bench[i % 12][1].upper()} {prose(2)}")
         docs.append((i, "\n".join(lines)))
         if i % 3 != 2:
-            labels.append((i, i % 2, int(i % 9 == 0)))
-    docs += [(200 + k, docs[7][1].replace(" ", "  ", 1)) for k in range(9)] + [(300 + k, None) for k in range(3)] + [(310, ""), (311, " \t\n"), (312, "x"), (313, "x y"), (314, prose(6000)), (315, "<|endoftext|> 漢字 'll 12")]
-    docs += [(400 + k, docs[20][1] + f" end{k}") for k in range(3)]
+            labels.append((i, i % 2, int(i % 5 == 0)))
+    docs += [(1200 + k, docs[7][1].replace(" ", "  ", 1)) for k in range(9)] + [(1300 + k, None) for k in range(3)] + [(1310, ""), (1311, " \t\n"), (1312, "x"), (1313, "x y"), (1314, prose(6000)), (1315, "<|endoftext|> 漢字 'll 12")]
+    docs += [(1400 + k, docs[20][1] + f" end{k}") for k in range(3)]
     pages = [(k, f"http://e/{k % 20}", html_main.training_page(90_000 + k % 20).replace(" data-keep=1", "").replace(" data-drop=1", "")) for k in range(30)] + [(100, None, None), (101, "http://x y", ""), (102, "u", "<p>ü")]
     turns = [(c, t, ["user", "assistant"][t % 2] if c else "system", draw.choice([None, "", "<|im_end|>\\ a", prose(5)])) for c in range(12) for t in range(c % 5)] + [(3, 1, "assistant", "tie")]
     return {"documents": [(i, t, "en", "s", len(t or "")) for i, t in docs], "labels": labels, "benchmark": bench, "pages": pages, "conversations": turns}
