@@ -22,14 +22,22 @@ def hamming(left: str, right: str) -> Column:
     return total.cast("int")
 
 
-def radius_pairs(prints: DataFrame, radius: int, block_rows: int = 4096) -> DataFrame:
+def block_count(rows: int, block_rows: int | None = None) -> int:
+    """Blocks of a grid: their rows are copied as often as there are blocks, so that a large table takes large ones.
+
+    About 32 blocks of 4,096 rows (100 KB of hashes) and more, up to 65,536 rows (some MB); the result is the same.
+    """
+    return max(1, -(-rows // (block_rows or min(65_536, max(4096, rows // 32)))))
+
+
+def radius_pairs(prints: DataFrame, radius: int, block_rows: int | None = None) -> DataFrame:
     """(a, b, distance) with a < b: exact at any size.
 
-    At a wide radius no part of a hash has to agree, so every pair must be looked at.  Rows are dealt to blocks of about
-    ``block_rows``, every two blocks meet in one task that compares them as vectors, and only pairs inside the radius leave.
+    At a wide radius no part of a hash has to agree, so every pair must be looked at.  Rows are dealt to blocks, every two
+    blocks meet in one task that compares them as vectors, and only pairs inside the radius leave.
     """
     rows = prints.select("file_id", *[f"w{i}" for i in range(WORDS)])
-    n = max(1, -(-rows.count() // block_rows))
+    n = block_count(rows.count(), block_rows)
     mine = F.pmod(F.xxhash64("file_id"), F.lit(n)).cast("int")
     cell = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (F.least(k, F.col("mine")) * n + F.greatest(k, F.col("mine"))).cast("int"))
     dealt = rows.withColumn("mine", mine).withColumn("cell", F.explode(cell))
@@ -67,7 +75,7 @@ def _near(table: pa.Table, left: np.ndarray, right: np.ndarray, radius: int, wit
     return pa.table({"a": joined[0].astype(np.int64), "b": joined[1].astype(np.int64), "distance": joined[2].astype(np.int32)})
 
 
-def arrival_pairs(newcomers: DataFrame, covered: DataFrame, radius: int, block_rows: int = 4096) -> DataFrame:
+def arrival_pairs(newcomers: DataFrame, covered: DataFrame, radius: int, block_rows: int | None = None) -> DataFrame:
     """Pairs of newcomers with covered rows and among themselves, each once; covered rows never meet each other.
 
     The same grid of blocks as for all pairs, with the newcomers' blocks on one side.
@@ -75,8 +83,7 @@ def arrival_pairs(newcomers: DataFrame, covered: DataFrame, radius: int, block_r
     fields = ["file_id", *[f"w{i}" for i in range(WORDS)]]
     new = newcomers.select(*fields)
     old = covered.select(*fields).join(new.select("file_id"), "file_id", "left_anti")
-    n_old = max(1, -(-old.count() // block_rows))
-    n_new = max(1, -(-new.count() // block_rows))
+    n_old, n_new = block_count(old.count(), block_rows), block_count(new.count(), block_rows)
     block = lambda n: F.pmod(F.xxhash64("file_id"), F.lit(n)).cast("int")
     against = new.withColumn("new", F.lit(True)).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_old - 1)), lambda k: block(n_new) * n_old + k)))
     held = old.withColumn("new", F.lit(False)).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_new - 1)), lambda k: k * n_old + block(n_old))))
