@@ -142,6 +142,7 @@ def clusters(edges: DataFrame) -> DataFrame:
     A cluster's members are all neighbours, so it lies inside one component, and "earliest" only needs that component's
     order.  The rule itself is sequential within a component.
     """
+    edges = written(edges.select("a", "b"), "edges")  # read twice
     rooted = edges.join(components(edges), F.col("a") == F.col("node")).select("root", "a", "b")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -8,6 +8,7 @@ from ..functions import fingerprint, names
 from ..functions import predicates as p
 from ..operators import duplicates, geo, mutations, paging, planning, search, similarity, statistics
 from ..sources import exports, files
+from ..sources.tables import new_path, written
 from . import pipeline_queries as pq
 from .registry import query
 
@@ -72,7 +73,7 @@ def _samples(t):
     level = F.transform("embedding", lambda e: F.least(F.greatest(F.floor(e.cast("double") * 60 + 128), F.lit(0)), F.lit(255)).cast("int"))
     rows = t.embeddings.select(F.col("vec_id").alias("file_id"), level.alias("v"))
     pixels = F.expr(f"transform(sequence(0, 1023), i -> lpad(hex(element_at(v, CAST({_AT.replace('y', '(i DIV 32)').replace('x', '(i % 32)')} AS INT))), 2, '0'))")
-    return rows.select("file_id", F.unhex(F.array_join(pixels, "")).alias("sample"))
+    return written(rows.select("file_id", F.unhex(F.array_join(pixels, "")).alias("sample")), "samples")
 
 
 #: bits: each file's hash as 256 digits.  The cosine basis, both passes of the transform, and the 128th of 255 terms.
@@ -106,8 +107,8 @@ def _(t):
     return _samples(t).select("file_id", fingerprint.ssim_percent("sample", "sample").alias("score"))
 
 
-def _hashed(t):
-    rows = _samples(t).withColumn("h", fingerprint.perceptual_hash("sample"))
+def _hashed(samples):
+    rows = samples.withColumn("h", fingerprint.perceptual_hash("sample"))
     return rows.select("file_id", *fingerprint.hash_words("h"))
 
 
@@ -115,7 +116,8 @@ _APPROVED = f"{_LEVELS}, {_BITS}, wanted AS (SELECT p.file_id AS a, q.file_id AS
 
 
 def _approved(t):
-    return similarity.approve(similarity.radius_pairs(_hashed(t), _NEAR), _samples(t), _LIKE)
+    samples = _samples(t)
+    return similarity.approve(similarity.radius_pairs(_hashed(samples), _NEAR), samples, _LIKE)
 
 
 @query("q150_photo_rebuild", f"WITH RECURSIVE {_APPROVED}, {pq._GREEDY.format(edges='approved')} SELECT cluster, file_id, position FROM clusters")
@@ -130,7 +132,7 @@ def _(t):
 
 def _frames(t):
     rows = _samples(t).withColumn("h", fingerprint.perceptual_hash("sample")).select((F.floor(F.col("file_id") / 4)).cast("long").alias("file_id"), (F.col("file_id") % 4).cast("int").alias("sample_index"), "sample", *fingerprint.hash_words("h"))
-    return rows
+    return written(rows, "frames")
 
 
 _VIDEOS = "frames AS (SELECT file_id // 4 AS file_id, file_id % 4 AS k, file_id AS vec FROM levels), clips AS (SELECT file_id, count(*) AS n, file_id % 40 AS d FROM frames GROUP BY file_id), wanted AS (SELECT x.file_id AS fa, y.file_id AS fb, least(3, x.n, y.n) AS quorum, i.vec AS a, j.vec AS b FROM clips x JOIN clips y ON x.file_id < y.file_id AND abs(x.d - y.d) <= 3 JOIN frames i ON i.file_id = x.file_id JOIN frames j ON j.file_id = y.file_id AND j.k = i.k)"
@@ -174,8 +176,6 @@ def _(t):
 
 @query("q157_published_version", "SELECT count(*) AS n FROM prints")
 def _(t):
-    from ..sources.tables import new_path
-
     table = files.Published(t.spark, new_path(t.spark, "published"))
     table.publish(t.prints)
     return table.read().agg(F.count(F.lit(1)).alias("n"))
