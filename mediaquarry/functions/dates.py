@@ -77,11 +77,9 @@ def _stamp(digits: Column) -> Column:
 
 
 def from_file_name(name: Column, now: datetime, rules: list[str] | None = None) -> Column:
-    found = []
-    for rule in rules or sorted(RULES):
-        applies, patterns = RULES[rule]
-        found.append(F.when(name.rlike(applies), F.coalesce(*[_found(name, how, regex, now.year + 1) for how, regex in patterns])))
-    return _stamp(F.coalesce(*found))
+    chosen = [RULES[rule] for rule in rules or sorted(RULES)]
+    columns = {p: _found(name, *p, now.year + 1) for _, patterns in chosen for p in patterns}  # rules share patterns
+    return _stamp(F.coalesce(*[F.when(name.rlike(applies), F.coalesce(*[columns[p] for p in patterns])) for applies, patterns in chosen]))
 
 
 # The folder names of the date layout.
