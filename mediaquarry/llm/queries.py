@@ -1,8 +1,8 @@
-"""The queries of the ten operators and their SQL, by name."""
+"""The queries of the operators and their SQL, by name."""
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, hmm, html_main, line_dedup, simhash, toxicity, warc
+from . import bpe, chat, decontaminate, exact_dedup, fim, hmm, html_main, line_dedup, simhash, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_lm_scoring": hmm.op1_lm_scoring,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_html_extraction": html_main.op10_html_extraction,
+    "op11_url_filters": url_filters.op11_url_filters,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
 }
 SQL = {
     "op2_warc": warc.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op8_benchmark_decontamination": decontaminate.OP8_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
+    "op12_fill_in_middle": fim.OP12_SQL,
 }
