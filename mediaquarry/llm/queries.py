@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, fim, hmm, html_main, line_dedup, simhash, toxicity, url_filters, warc
+from . import bpe, chat, decontaminate, exact_dedup, fim, hmm, html_main, line_dedup, merkle, simhash, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_lm_scoring": hmm.op1_lm_scoring,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_html_extraction": html_main.op10_html_extraction,
     "op11_url_filters": url_filters.op11_url_filters,
     "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 SQL = {
     "op2_warc": warc.OP2_SQL,
@@ -24,4 +25,5 @@ SQL = {
     "op8_benchmark_decontamination": decontaminate.OP8_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
     "op12_fill_in_middle": fim.OP12_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
 }
