@@ -14,6 +14,11 @@ that are worked on side by side; each also reads the ``CONTEXT`` symbols before
 backward vectors at its borders are those of the whole text but for what a state remembers over that many words (tests
 hold the counts against whole texts), and every transition is counted once, those over borders too.  Scoring runs the
 scaled forward recursion over each whole text.
+
+How much the states' emissions are drawn to the symbols' shares of the corpus (the prior, in tokens: multiples of the number
+of symbols in use) and how many passes are good is told by a fold of the training texts, one in ``FOLD``, that is left out
+of the counts: of all passes and weights looked at, the model under which the fold is likeliest is kept.  With the largest
+weight all states are alike, so a corpus too small to learn states from is left with its words' shares.
 """
 
 from __future__ import annotations
@@ -32,6 +37,9 @@ from .common import crc32_of, stored, table, with_groups, written
 
 STATES, BUCKETS, PASSES, TRAIN_WINDOW, CONTEXT = 8, 1 << 15, 6, 384, 32
 BLOCK_BYTES, SCORED_AT_ONCE = 8 << 20, 1 << 20
+FOLD, WEIGHTS = 12, (1 / 512, 0.5, 64.0, 65_536.0)
+#: Partial sums of a pass are added up in steps: this many tables, then so many, then one.
+STEPS = (4096, 64)
 END, RARE, FIRST = 0, 1, 2
 _FACTS = "held_out boolean, n_tokens long, n_known long, base_sum double, word_sum double, symbols binary"
 
@@ -140,7 +148,7 @@ class Hmm:
         return cls(np.full(states, 1 / states), move, emit / emit.sum(0))
 
     @classmethod
-    def from_counts(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndarray, weight: float = 20.0) -> Hmm:
+    def from_counts(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndarray, weight: float) -> Hmm:
         """Maximum a posteriori: the states' emissions share the symbols' frequencies as a prior worth ``weight`` tokens."""
         emit = emit + weight * prior[:, None]
         return cls((start + 0.1) / (start + 0.1).sum(), (move + 0.1) / (move + 0.1).sum(1, keepdims=True), emit / emit.sum(0))
@@ -259,23 +267,52 @@ def _add(rows: pa.Table) -> pa.Table:
 _SUMS = "state int, small binary, emit binary, total double"
 
 
-def one_pass(encoded: DataFrame, model: Hmm, train_window: int, prior: np.ndarray) -> tuple[Hmm, float]:
-    """One Baum-Welch pass over all training rows; the model's log10 of the windows tells its progress."""
+def one_pass(encoded: DataFrame, model: Hmm, train_window: int, size: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], float]:
+    """Expected counts (starts, moves, emissions) of all rows under the model, and the model's log10 of the windows."""
     spark, k = encoded.sparkSession, len(model.start)
     shared = spark.sparkContext.broadcast(model)
-    counts = encoded.filter("NOT held_out").select("symbols").mapInArrow(_count(shared, train_window, len(prior)), _SUMS)
-    # sums in two steps, so that no task gets every partition's table
-    part = counts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)))
-    half = part.groupBy("state", "part").applyInArrow(lambda t: _add(t.drop_columns(["part"])), _SUMS)
-    rows = half.groupBy("state").applyInArrow(_add, _SUMS).collect()
+    counts = encoded.select("symbols").mapInArrow(_count(shared, train_window, size), _SUMS)
+    # added up in steps, so that no task gets every partition's table
+    part = counts.withColumn("part", F.spark_partition_id())
+    for fewer in STEPS:
+        part = part.groupBy("state", F.pmod("part", F.lit(fewer)).alias("group")).applyInArrow(_added, f"{_SUMS}, part int")
+    rows = part.drop("part").groupBy("state").applyInArrow(_add, _SUMS).collect()
     shared.unpersist()
-    if not rows:
-        return model, 0.0
-    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((len(prior), k))
+    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
     for r in rows:
         small = np.frombuffer(bytes(r["small"]), np.float64)
         start[r["state"]], move[r["state"]], emit[:, r["state"]] = small[0], small[1:], np.frombuffer(bytes(r["emit"]), np.float32)
-    return Hmm.from_counts(start, move, emit, prior), sum(r["total"] for r in rows)
+    return (start, move, emit), sum(r["total"] for r in rows)
+
+
+def _added(key: tuple, rows: pa.Table) -> pa.Table:
+    return _add(rows.drop_columns(["part"])).append_column("part", pa.array([key[1].as_py()], pa.int32()))
+
+
+def likelihoods(encoded: DataFrame, models: list[Hmm]) -> list[float]:
+    """The log10 probability of all symbols of ``encoded`` under each model."""
+    shared = encoded.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches):
+        sums = np.zeros(len(shared.value))
+        for batch in batches:
+            for part in _parts(batch.column("symbols")):
+                sums += [m.log10(part).sum() for m in shared.value]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums)], names=["model", "total"])
+
+    found = encoded.select("symbols").mapInArrow(run, "model int, total double").groupBy("model").agg(F.sum("total").alias("total")).collect()
+    shared.unpersist()
+    told = {r["model"]: r["total"] for r in found}
+    return [told.get(i, 0.0) for i in range(len(models))]
+
+
+def _parts(symbols: pa.Array) -> Iterator[list[np.ndarray]]:
+    """A batch's sequences, a bounded number of symbols (or one sequence) at a time."""
+    ends = np.cumsum(pc.binary_length(symbols).to_numpy()) // 2
+    groups = np.flatnonzero(np.diff(ends // SCORED_AT_ONCE, prepend=0, append=-1))  # where a new part of the batch begins
+    for a, b in zip([0, *groups.tolist()], [*groups.tolist(), len(symbols)]):
+        if a < b:
+            yield [np.frombuffer(s.as_buffer(), np.uint16) for s in symbols.slice(a, b - a)]
 
 
 def encode(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, dict, np.ndarray]:
@@ -304,14 +341,25 @@ def encode(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
     return written(blocks.per_block(dealt, answers, work, schema), "symbols"), totals, frequencies
 
 
-def train(encoded: DataFrame, frequencies: np.ndarray, states: int = STATES, passes: int = PASSES, train_window: int = TRAIN_WINDOW) -> tuple[Hmm, list[float]]:
-    total = frequencies.sum()
+def train(encoded: DataFrame, frequencies: np.ndarray, states: int = STATES, passes: int = PASSES, train_window: int = TRAIN_WINDOW, weights: tuple[float, ...] = WEIGHTS) -> tuple[Hmm, list[float]]:
+    """The likeliest model on the fold, and the log10 of the counted windows before each pass.
+
+    The passes go on from the lightest prior; every second one, and the last, is also tried with the heavier ones.
+    """
+    total, used = frequencies.sum(), int(np.count_nonzero(frequencies))
     prior = (frequencies + 1e-3) / (total + 1e-3 * len(frequencies))
-    model, progress = Hmm.first(prior, states), []
-    for _ in range(passes):
-        model, reached = one_pass(encoded, model, train_window, prior)
+    kept = F.pmod(F.xxhash64("doc_id", "symbols"), F.lit(FOLD)) != 0
+    rows = encoded.filter("NOT held_out")
+    counted, fold = rows.filter(kept), rows.filter(~kept)
+    model, progress, best = Hmm.first(prior, states), [], (-math.inf, None)
+    for n in range(passes):
+        sums, reached = one_pass(counted, model, train_window, len(prior))
         progress.append(reached)
-    return model, progress
+        models = [Hmm.from_counts(*sums, prior, w * used) for w in weights]
+        model = models[0]
+        if n % 2 or n == passes - 1:
+            best = max(best, *zip(likelihoods(fold, models[::-1]), models[::-1]), key=lambda x: x[0])  # no fold, no trust in states
+    return best[1] or model, progress
 
 
 def score(encoded: DataFrame, model: Hmm, totals: dict) -> DataFrame:
@@ -321,13 +369,7 @@ def score(encoded: DataFrame, model: Hmm, totals: dict) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            symbols = batch.column("symbols")
-            ends = np.cumsum(pc.binary_length(symbols).to_numpy()) // 2
-            groups = np.flatnonzero(np.diff(ends // SCORED_AT_ONCE, prepend=0, append=-1))  # where a new part of the batch begins
-            found = [
-                shared.value.log10([np.frombuffer(s.as_buffer(), np.uint16) for s in symbols.slice(a, b - a)])
-                for a, b in zip([0, *groups.tolist()], [*groups.tolist(), len(batch)]) if a < b
-            ]
+            found = [shared.value.log10(part) for part in _parts(batch.column("symbols"))]
             score = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), batch.column("n_tokens"), batch.column("n_known"), pa.array(np.full(len(batch), tokens, np.int64)), batch.column("base_sum"), pa.array(score + batch.column("word_sum").to_numpy())],
