@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import fresh, table, with_groups, written
 
 MIN_WORDS = 50
+_FOUND = "gone array<int>, stays array<boolean>"
 
 
 def running(df: DataFrame, order: list[str], size: str, out: str, label: str) -> DataFrame:
@@ -86,7 +87,8 @@ def _ranked(groups: DataFrame, keys: list[str], label: str) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, gone): the line numbers (from 0) to delete in each document that has any; th: xxhash64 of the text."""
+    """(id, th, gone, stays) of each document that has lines to delete: their numbers (from 0), and for each line up to the
+    last of them whether it stays; th: xxhash64 of the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.split(text, "\n", -1).alias("lines"))
     words = F.transform("lines", lambda s: F.size(F.filter(F.split(s, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")))
@@ -112,7 +114,7 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asked = written(asked.withColumn("level", F.floor(F.log2("length")).cast("int")), "runs")
     top = asked.agg(F.max("level").alias("top")).first()["top"]
     if top is None:
-        return docs.sparkSession.createDataFrame([], f"id {docs.schema[id_col].dataType.simpleString()}, th long, gone array<int>")
+        return docs.sparkSession.createDataFrame([], f"id {docs.schema[id_col].dataType.simpleString()}, th long, {_FOUND}")
 
     ranks, found = repeated.select("pos", "rank"), []
     for level in range(top + 1):
@@ -139,36 +141,39 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # a document has two shortest runs a line at most, so this list is no longer than its text
     each = copies.groupBy("start").agg(F.collect_list(F.struct((F.col("first") - F.col("start")).cast("int").alias("at"), F.col("length").cast("int").alias("length"))).alias("runs"))
     held = each.join(placed.select("start", "id", "th", "numbers"), "start").select("id", "th", "numbers", F.col("runs.at").alias("at"), F.col("runs.length").alias("length"))
-    return written(held.mapInArrow(_merged, f"id {docs.schema[id_col].dataType.simpleString()}, th long, gone array<int>"), "gone")
+    return written(held.mapInArrow(_merged, f"id {docs.schema[id_col].dataType.simpleString()}, th long, {_FOUND}"), "gone")
 
 
 def _merged(batches):
-    """Per document: its copied runs in one, as the numbers of the lines that go."""
+    """Per document: its copied runs in one, as the numbers of the lines that go and a flag a line."""
     for batch in batches:
-        gone = []
+        gone, stays = [], []
         for numbers, at, length in zip(batch.column("numbers"), batch.column("at"), batch.column("length")):
             own, first = numbers.values.to_numpy(), at.values.to_numpy()
             change = np.zeros(len(own) + 1, np.int64)
             np.add.at(change, first, 1)
             np.add.at(change, first + length.values.to_numpy(), -1)
             gone.append(own[np.cumsum(change[:-1]) > 0])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(gone, pa.list_(pa.int32()))], names=["id", "th", "gone"])
+            flags = np.ones(int(gone[-1][-1]) + 1, bool)
+            flags[gone[-1]] = False
+            stays.append(flags)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(gone, pa.list_(pa.int32())), pa.array(stays, pa.list_(pa.bool_()))], names=["id", "th", "gone", "stays"])
 
 
-def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, out: str = "gone") -> DataFrame:
-    """``docs`` with the numbers of the lines to delete (null: none)."""
-    th, id2, th2 = (fresh([*docs.columns, out], n) for n in ("th", "__id2", "__th2"))
-    found = later_copies(docs, id_col, text_col, min_words).select(F.col("id").alias(id2), F.col("th").alias(th2), F.col("gone").alias(out))
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, out: str = "gone", flags: str = "stays") -> DataFrame:
+    """``docs`` with the numbers of the lines to delete (null: none), and for each line up to the last of them whether it stays."""
+    th, id2, th2 = (fresh([*docs.columns, out, flags], n) for n in ("th", "__id2", "__th2"))
+    found = later_copies(docs, id_col, text_col, min_words).select(F.col("id").alias(id2), F.col("th").alias(th2), F.col("gone").alias(out), F.col("stays").alias(flags))
     keyed = docs.withColumn(th, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     # at every size by shuffle, so that a small run tells what a large one costs
     joined = keyed.join(found.hint("merge"), (F.col(th) == F.col(th2)) & F.col(id_col).eqNullSafe(F.col(id2)), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], out)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], out, flags)
 
 
-def _kept(text, gone):
-    """The text without the lines of these numbers."""
-    lines = F.split(text, "\n", -1)
-    return F.array_join(F.filter(lines, lambda s, i: ~F.array_contains(gone, i)), "\n")
+def _kept(text, stays):
+    """The text without the lines whose flag is false, in one walk; lines after the last flag stay."""
+    lines = F.zip_with(F.split(text, "\n", -1), stays, lambda line, flag: F.when(F.coalesce(flag, F.lit(True)), line))
+    return F.array_join(F.array_compact(lines), "\n")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -178,9 +183,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     then text hash, then line, stays.  A document of which nothing but blank lines is left goes as a whole; one without words from the start stays as it is, as do null and empty texts.  Rows that
     repeat an id and its text count as one document and are treated alike.  Lines are compared whole, by two 64-bit hashes.
     """
-    gone = fresh(docs.columns, "gone")
-    found = marked(docs, id_col, text_col, min_words, gone)
-    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(_kept(F.col(text_col), F.col(gone)))
+    gone, stays = fresh(docs.columns, "gone"), fresh(docs.columns, "stays")
+    found = marked(docs, id_col, text_col, min_words, gone, stays)
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(_kept(F.col(text_col), F.col(stays)))
     cleaned = found.withColumn(text_col, text)
     return cleaned.filter(F.col(gone).isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -189,7 +194,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, lines deleted, and the digest and length of what is left."""
     found = marked(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    left = F.when(F.col("gone").isNull(), text).otherwise(_kept(text, F.col("gone")))
+    left = F.when(F.col("gone").isNull(), text).otherwise(_kept(text, F.col("stays")))
     return found.select(
         "doc_id", F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"),
         F.length(left).cast("long").alias("n_chars_left"), F.sha2(left, 256).alias("left_sha256"),
