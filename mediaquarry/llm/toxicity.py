@@ -221,24 +221,6 @@ def _spaced(raw: bytes) -> bytes:
     return out
 
 
-def _around(spaced: bytes, start: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Where the WINDOW words before and after a place are (fewer at the text's ends)."""
-    size = 128
-    while True:  # one word more than needed, as the first may be cut
-        low = max(0, start - size)
-        before = [(low + m.start(), low + m.end()) for m in _RUN.finditer(spaced[low:start])]
-        if len(before) > WINDOW or not low:
-            break
-        size *= 4
-    size = 128
-    while True:
-        after = [(end + m.start(), end + m.end()) for m in _RUN.finditer(spaced[end : end + size])]
-        if len(after) > WINDOW or end + size >= len(spaced):
-            break
-        size *= 4
-    return before[-WINDOW:], after[:WINDOW]
-
-
 def _marked(raw: bytes, before: list[tuple[int, int]], start: int, end: int, after: list[tuple[int, int]]) -> bool:
     """Whether the window has an opening mark before the place and its closing mark after."""
     left = raw[before[0][0] if len(before) == WINDOW else 0 : start]
@@ -246,18 +228,23 @@ def _marked(raw: bytes, before: list[tuple[int, int]], start: int, end: int, aft
 
 
 def contexts(raw: bytes, spaced: bytes, wanted: Iterable[bytes]) -> list[tuple[bytes, tuple[bool, bool, bool], set[int]]]:
-    """Each occurrence of the wanted words: the word, its flags, and the buckets of the words in its window."""
-    padded, out = b" " + spaced + b" ", []
-    for word in wanted:
-        alone = b" " + word + b" "
-        start = padded.find(alone)
-        while start >= 0:
-            end = start + len(word)
-            before, after = _around(spaced, start, end)
-            near = {spaced[a:b].decode("utf-8", "replace").lower() for a, b in before + after}
-            quoted = _marked(raw, before, start, end, after)
-            out.append((word, (quoted, quoted and bool(near & REPORTS), quoted and bool(near & ADDRESS) and not near & REPORTS), {_bucket(w) for w in near}))
-            start = padded.find(alone, end + 1)
+    """Each occurrence of the wanted words: the word, its flags, and the buckets of the words in its window.
+
+    The text's words are walked once, however many are wanted.
+    """
+    wanted, out = frozenset(wanted), []
+    blank = np.frombuffer(b" " + spaced + b" ", np.uint8) == 32
+    starts, ends = (np.flatnonzero(x).tolist() for x in (blank[:-1] & ~blank[1:], ~blank[:-1] & blank[1:]))
+    ends = [e - 1 for e in ends]
+    for i, (start, end) in enumerate(zip(starts, ends)):
+        word = spaced[start:end]
+        if word not in wanted:
+            continue
+        low = max(0, i - WINDOW)
+        before, after = list(zip(starts[low:i], ends[low:i])), list(zip(starts[i + 1 : i + 1 + WINDOW], ends[i + 1 : i + 1 + WINDOW]))
+        near = {spaced[a:b].decode("utf-8", "replace").lower() for a, b in before + after}
+        quoted = _marked(raw, before, start, end, after)
+        out.append((word, (quoted, quoted and bool(near & REPORTS), quoted and bool(near & ADDRESS) and not near & REPORTS), {_bucket(w) for w in near}))
     return out
 
 
