@@ -25,10 +25,12 @@ _SKIPPED = (
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
     rf"|<({'|'.join(RAW)})(?=[\s/>])[^>]*+>(?:.*?</\1(?=[\s/>])[^>]*+(?:>|\Z)|.*\Z)"
 )
-#: Tags end at the first > outside quotes; and, for a tag whose quotes never close, at the first > of all.
-_QUOTED = re.compile(_SKIPPED + r"|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S | re.I)
-_PLAIN = re.compile(_SKIPPED + r"|<(/?)([a-z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S | re.I)
-UNCLOSED = 32  # tags with quotes that never close, after which a page's quotes have no say: each costs a look to its end
+_SKIP = re.compile(_SKIPPED, re.S | re.I)
+_NAME = re.compile(r"<(/?)([a-z][^\s/>]*+)", re.I)
+#: Attributes up to the first > in which every quote opens or ends a value.
+_CLEAN = re.compile(r"(?:\s++[^\s\"'/=]++(?:=(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'=]++))?+)*+\s*+/?+")
+#: The next thing in a tag: its end, or an attribute with an unquoted value, none, or (group 2) the quote that opens one.
+_STEP = re.compile(r"[\s/]*+(?:(>)|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:([\"'])|[^\s>\"'][^\s>]*+)?+)?+)")
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|type|data-keep|data-drop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"[ \t\n\r\f\v ]+")
@@ -96,19 +98,47 @@ class _Open:
         return min(found, default=None)
 
 
+def _tag_end(page: str, at: int, lost: set[int]) -> int:
+    """Where the tag ends whose name ends at ``at``: after the first > outside quoted values.
+
+    A quote opens a value only straight after = and white space.  If a value's quote never comes again, or no > after the
+    values, the tag ends at the first > of all, or at the page's end.  ``lost``: where values begin after which no end was
+    found, so that no part of a page is searched again and again.
+    """
+    first = page.find(">", at)
+    if first < 0 or _CLEAN.fullmatch(page, at, first):
+        return first + 1 or len(page)
+    opened, here = [], at
+    while m := _STEP.match(page, here):
+        here = m.end()
+        if m[1]:
+            return here
+        if m[2]:
+            if here in lost:
+                break
+            opened.append(here)
+            here = page.find(m[2], here) + 1
+            if not here:
+                break
+    lost.update(opened)
+    return first + 1
+
+
 def _tokens(page: str):
     """(start, end, tag, is an end tag, attributes) of the markup in page order; comments and the like have no tag."""
-    at, unclosed = page.find("<"), 0
+    at, lost = page.find("<"), set()
     while at >= 0:
-        m = _QUOTED.match(page, at) if unclosed < UNCLOSED else None
-        if m is None:
-            m = _PLAIN.match(page, at)
-            unclosed += m is not None
-        if m is None:  # a lone <
-            at = page.find("<", at + 1)
-            continue
-        yield m.start(), m.end(), (m[3] or "").lower(), bool(m[2]), m[4] or ""
-        at = page.find("<", m.end())
+        skipped = _SKIP.match(page, at)
+        name = None if skipped else _NAME.match(page, at)
+        if skipped:
+            end = skipped.end()
+            yield at, end, "", False, ""
+        elif name:
+            end = _tag_end(page, name.end(), lost)
+            yield at, end, name[2].lower(), bool(name[1]), page[name.end() : end].removesuffix(">")
+        else:  # a lone <
+            end = at + 1
+        at = page.find("<", end)
 
 
 def parse(page: str) -> list[Node]:
