@@ -17,8 +17,9 @@ scaled forward recursion over each whole text.
 
 How much the states' emissions are drawn to the symbols' shares of the corpus (the prior, in tokens: multiples of the number
 of symbols in use) and how many passes are good is told by a fold of the training texts, one in ``FOLD``, that is left out
-of the counts: of all passes and weights looked at, the model under which the fold is likeliest is kept.  With the largest
-weight all states are alike, so a corpus too small to learn states from is left with its words' shares.
+of the counts: of all passes and weights looked at, the model under which the fold is likeliest is kept.  The model that
+scores has one state more, which a text enters at its start or never, doesn't leave, and which emits symbols by their shares of
+the corpus: so what the states learnt is of no harm to a text that is not like what they were learnt from.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ from .common import crc32_of, stored, table, with_groups, written
 
 STATES, BUCKETS, PASSES, TRAIN_WINDOW, CONTEXT = 8, 1 << 15, 6, 384, 32
 BLOCK_BYTES, SCORED_AT_ONCE = 8 << 20, 1 << 20
-FOLD, WEIGHTS = 12, (1 / 512, 0.5, 64.0, 65_536.0)
+FOLD, WEIGHTS = 12, (1 / 512, 0.5, 64.0)
+BACKGROUND = 0.5  # the chance that a text is one of the state that is never left
 #: Partial sums of a pass are added up in steps: this many tables, then so many, then one.
 STEPS = (4096, 64)
 END, RARE, FIRST = 0, 1, 2
@@ -153,6 +155,13 @@ class Hmm:
         emit = emit + weight * prior[:, None]
         return cls((start + 0.1) / (start + 0.1).sum(), (move + 0.1) / (move + 0.1).sum(1, keepdims=True), emit / emit.sum(0))
 
+    def with_background(self, prior: np.ndarray, chance: float = BACKGROUND) -> Hmm:
+        """With a further, last state that is entered at the start only, never left, and emits by the symbols' shares."""
+        k = len(self.start)
+        move = np.eye(k + 1)
+        move[:k, :k] = self.move
+        return Hmm(np.append(self.start * (1 - chance), chance), move, np.column_stack((self.emit, prior)))
+
     def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Exact log10 probability of each symbol sequence, by the scaled forward recursion over sequences in step."""
         order = np.argsort([-len(s) for s in sequences], kind="stable")
@@ -346,7 +355,7 @@ def train(encoded: DataFrame, frequencies: np.ndarray, states: int = STATES, pas
 
     The passes go on from the lightest prior; every second one, and the last, is also tried with the heavier ones.
     """
-    total, used = frequencies.sum(), int(np.count_nonzero(frequencies))
+    total, used = frequencies.sum(), max(1, int(np.count_nonzero(frequencies)))
     prior = (frequencies + 1e-3) / (total + 1e-3 * len(frequencies))
     kept = F.pmod(F.xxhash64("doc_id", "symbols"), F.lit(FOLD)) != 0
     rows = encoded.filter("NOT held_out")
@@ -358,8 +367,9 @@ def train(encoded: DataFrame, frequencies: np.ndarray, states: int = STATES, pas
         models = [Hmm.from_counts(*sums, prior, w * used) for w in weights]
         model = models[0]
         if n % 2 or n == passes - 1:
-            best = max(best, *zip(likelihoods(fold, models[::-1]), models[::-1]), key=lambda x: x[0])  # no fold, no trust in states
-    return best[1] or model, progress
+            tried = [m.with_background(prior) for m in models[::-1]]  # without a fold the heaviest prior is the safest
+            best = max(best, *zip(likelihoods(fold, tried), tried), key=lambda x: x[0])
+    return best[1] or model.with_background(prior), progress
 
 
 def score(encoded: DataFrame, model: Hmm, totals: dict) -> DataFrame:

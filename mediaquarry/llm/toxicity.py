@@ -235,7 +235,6 @@ def contexts(raw: bytes, spaced: bytes, wanted: Iterable[bytes]) -> list[tuple[b
     wanted, out = frozenset(wanted), []
     blank = np.frombuffer(b" " + spaced + b" ", np.uint8) == 32
     starts, ends = (np.flatnonzero(x).tolist() for x in (blank[:-1] & ~blank[1:], ~blank[:-1] & blank[1:]))
-    ends = [e - 1 for e in ends]
     for i, (start, end) in enumerate(zip(starts, ends)):
         word = spaced[start:end]
         if word not in wanted:
