@@ -200,3 +200,49 @@ def test_extract(spark):
     assert {r["text"] for r in got.filter("page_id IN (2, 3, 4)").collect()} == {""}
     assert html_main.extract(frame.limit(0)).count() == 0
     assert hashlib.sha256(first.encode()).hexdigest()
+
+
+@pytest.mark.parametrize(("page", "texts"), [
+    ("<p>One <a href=/it's>two</a> three isn't <a href=/x>four</a> five</p>", ["One two three isn't four five"]),
+    ("<p>a <b title=Don't>keep</b> this, it's text</p>", ["a keep this, it's text"]),
+    ("<p it's>name with one</p><p>isn't lost</p>", ["name with one", "isn't lost"]),
+    ("<p title='a'b'c>after a value</p><p>isn't lost</p>", ["after a value", "isn't lost"]),
+    ('<p title="a > b">quoted</p><p title = \'c > d\'>spaced</p>', ["quoted", "spaced"]),
+    ('<p title="never closed>still</p><p>text</p>', ["still", "text"]),
+    ("<p title='x>one's</p><p>two</p>", ["two"]),
+    ('<p>x<br/>y<img src=a/b alt=it\'s>z</p><p a=\'1\'b="2">q</p><p =x>r</p><p a=>s', ["x yz", "q", "r", "s"]),
+    ("<p>a < b and c > d</p><", ["a < b and c > d", "<"]),
+    ("<p>open tag at the end <b title='", ["open tag at the end"]),
+])
+def test_quotes_in_tags(page, texts):
+    got = [n.text for n in parse(page) if n.tag == "#text"]
+    assert got == texts
+
+
+def test_quotes_beside_another_parser():
+    """Tags with stray quotes in names, unquoted values and texts: the same text as the standard library's parser finds."""
+    from html.parser import HTMLParser
+
+    class Texts(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.found = []
+
+        def handle_data(self, data):
+            self.found.append(data)
+
+    draw = random.Random(17)
+    values = ["=it's", "='a > b'", '="c > d"', "=x\"y", "", " = 'e'", "=/p?q=1", '="it\'s"']
+    for _ in range(400):
+        page = "".join(f"<{draw.choice('bi')} k{draw.choice(values)} m{draw.choice(values)}>{draw.choice(['isn`t', 'no \" end', 'it`s', 'plain'])}</b> ".replace("`", "'") for _ in range(8))
+        other = Texts()
+        other.feed(page)
+        other.close()
+        assert "".join(n.text for n in parse(page) if n.tag == "#text") == " ".join("".join(other.found).split()), page
+
+
+@pytest.mark.parametrize("piece", ["<a b='x> t ", '<a b="> " ', "<a x=\"> ' <b y='> \" ", "<a ", "<p title=it's>a isn't ", "<a b=\"'>\" c='\"' ", "<p a='b' c>'\"=' "])
+def test_stray_quotes_are_linear(piece):
+    began = time.monotonic()
+    parse(piece * (5_000_000 // len(piece)))
+    assert time.monotonic() - began < 60

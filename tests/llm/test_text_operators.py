@@ -672,3 +672,70 @@ def test_decontamination_of_equal_rows_in_blocks(spark):
     assert cut[0] == cut[1]
     kept = [decontaminate.decontaminate(docs, bench, block_bytes=n).count() for n in (1 << 20, 30)]
     assert kept == [4, 4]
+
+
+def test_scores_by_brute_force(spark):
+    """Scores are the forward recursion over words: each from its symbol's emission and its share of the symbol."""
+    draw = random.Random(12)
+    docs = [(i, " ".join(f"{'ab'[(i + k // 9) % 2]}{draw.randint(0, 30)}" for k in range(draw.randint(0, 40)))) for i in range(120)] + [(500, None), (501, "once twice twice never-seen"), (502, "Twice")]
+    held = F.col("doc_id") % 5 == 0
+    encoded, totals, frequencies = hmm.encode(spark.createDataFrame(docs, SCHEMA), held)
+    model, _ = hmm.train(encoded, frequencies, states=3, passes=3)
+    got = {r["doc_id"]: r["score"] for r in hmm.score(encoded, model, totals).collect()}
+    counts: dict = {}
+    for i, t in docs:
+        for w in hmm.words_of(t) if i % 5 else ():
+            counts[w] = counts.get(w, 0) + 1
+    symbol = lambda w: zlib.crc32(w) % hmm.BUCKETS + hmm.FIRST
+    mass: dict = {}
+    for w, c in counts.items():
+        if c >= 2:
+            mass[symbol(w)] = mass.get(symbol(w), 0) + c
+    once, twice = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+    unseen = once / (once + 2 * twice)
+    for i, t in docs:
+        alpha, total = model.start, 0.0
+        for k, w in enumerate([*hmm.words_of(t), None]):
+            c = counts.get(w, 0)
+            s, share = (hmm.END, 1.0) if w is None else (symbol(w), c / mass[symbol(w)]) if c >= 2 else (hmm.RARE, (1 - unseen) / once if c else unseen)
+            alpha = (alpha @ model.move if k else alpha) * model.emit[s] * share
+            total += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        assert math.isclose(got[i], total, rel_tol=1e-9), i
+
+
+def test_states_are_not_trusted_where_the_fold_does_not_confirm_them(spark):
+    """Words drawn at random teach no states: the kept model is as good as the words' shares; alternating words do teach them."""
+    draw = random.Random(3)
+    noise = [(i, " ".join(f"n{draw.randint(0, 400)}" for _ in range(20))) for i in range(200)]
+    order = [(i, " ".join(f"{'abc'[k % 3]}{draw.randint(0, 6)}" for k in range(30))) for i in range(200)]
+    gains = []
+    for docs in (noise, order):
+        encoded, totals, frequencies = hmm.encode(spark.createDataFrame(docs, SCHEMA), F.col("doc_id") % 5 == 0)
+        model, _ = hmm.train(encoded, frequencies, states=4, passes=6)
+        shares = hmm.Hmm(np.ones(1), np.ones((1, 1)), (frequencies / frequencies.sum())[:, None])
+        out = encoded.filter("held_out")
+        gains.append(np.subtract(*hmm.likelihoods(out, [model, shares])) / out.count())
+    assert gains[0] > -0.2 and gains[1] > 5
+
+
+def test_many_lines_go_in_one_walk(spark):
+    """400,000 repeated lines of one text, and of two."""
+    lines = "\n".join(f"line {k} of it" for k in range(100_000))
+    docs = spark.createDataFrame([(1, lines), (2, lines + "\nown"), (3, "\n".join([lines] * 4))], SCHEMA)
+    left = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(docs).collect()}
+    assert left == {1: lines, 2: "own"}
+    flags = F.transform(F.sequence(F.lit(1), F.lit(400_000)), lambda i: i % 2 == 0)
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(400_001)), lambda i: i.cast("string")), "\n")
+    kept = spark.range(1).select(line_dedup._kept(text, flags).alias("t")).first()["t"]
+    assert kept.split("\n") == [*map(str, range(2, 400_001, 2)), "400001"]
+
+
+def test_many_words_hit_in_one_walk():
+    """400,000 distinct hit words in one text, all of them looked at once."""
+    words = [f"blockhead{k}".encode() for k in range(400_000)]
+    raw = b" ".join(words)
+    found = toxicity.contexts(raw, raw, words)
+    assert [w for w, _, _ in found] == words
+    raw = b'he said "oaf" and oaf oaf'
+    assert [(w, f[0]) for w, f, _ in toxicity.contexts(raw, toxicity._spaced(raw), [b"oaf"])] == [(b"oaf", True), (b"oaf", False), (b"oaf", False)]
