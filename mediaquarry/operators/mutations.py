@@ -80,11 +80,11 @@ def current_version(history: DataFrame, rank: str, version: str, succeeded: str)
     return history.filter(F.col(succeeded)).agg(F.max_by(version, rank).alias("version"))
 
 
-def with_ids(rows: DataFrame, order: list[Column], start: int = 0, out: str = "id") -> DataFrame:
-    """Deterministic consecutive ids in the given order.
+def running(rows: DataFrame, size: str, out: str, label: str) -> tuple[DataFrame, int]:
+    """Adds the sum of ``size`` over all rows before each row, in the order in which they lie; and the sum over all.
 
-    Sorted range partitions number their own rows; the partitions' counts (one small row each) say where each begins.  No
-    task sees all rows.
+    Partitions sum up their own rows in a written table; their sums (one small row each) say where each begins.  No task
+    sees all rows.
     """
 
     def run(batches):
@@ -92,18 +92,25 @@ def with_ids(rows: DataFrame, order: list[Column], start: int = 0, out: str = "i
 
         part, so_far = TaskContext.get().partitionId(), 0
         for batch in batches:
-            own = np.arange(so_far, so_far + len(batch))
-            so_far += len(batch)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(np.full(len(batch), part, np.int32))], names=[*batch.schema.names, out, "__part"])
+            ends = np.cumsum(batch.column(size).to_numpy(zero_copy_only=False).astype(np.int64)) + so_far
+            before = np.concatenate(([so_far], ends[:-1])) if len(ends) else ends
+            so_far = int(ends[-1]) if len(ends) else so_far
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before), pa.array(np.full(len(batch), part, np.int32))], names=[*batch.schema.names, out, "__part"])
 
     schema = rows.withColumn(out, F.lit(0).cast("long")).withColumn("__part", F.lit(0)).schema
-    local = written(rows.orderBy(*order).mapInArrow(run, schema), "numbered")
-    offsets, total = [], start
-    for part, n in sorted((r["__part"], r["count"]) for r in local.groupBy("__part").count().collect()):
+    local = written(rows.mapInArrow(run, schema), label)
+    offsets, total = [], 0
+    for part, n in sorted((r["__part"], r["n"]) for r in local.groupBy("__part").agg(F.sum(size).alias("n")).collect()):
         offsets.append((part, total))
-        total += n
-    before = rows.sparkSession.createDataFrame(offsets or [(0, start)], "__part int, __before long")
-    return local.join(F.broadcast(before), "__part").withColumn(out, F.col(out) + F.col("__before")).drop("__part", "__before")
+        total += int(n)
+    before = rows.sparkSession.createDataFrame(offsets or [(0, 0)], "__part int, __before long")
+    return local.join(F.broadcast(before), "__part").withColumn(out, F.col(out) + F.col("__before")).drop("__part", "__before"), total
+
+
+def with_ids(rows: DataFrame, order: list[Column], start: int = 0, out: str = "id") -> DataFrame:
+    """Deterministic consecutive ids in the given order: places in sorted range partitions."""
+    placed, _ = running(rows.orderBy(*order).withColumn("__one", F.lit(1)), "__one", out, "numbered")
+    return placed.withColumn(out, F.col(out) + start).drop("__one")
 
 
 def retyped(files: DataFrame, types: dict[str, str]) -> DataFrame:

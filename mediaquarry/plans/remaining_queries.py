@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import fingerprint, names
 from ..functions import predicates as p
 from ..operators import duplicates, geo, mutations, paging, planning, search, similarity, statistics
-from ..sources import exports, files
+from ..sources import exports, files, walk
 from ..sources.tables import new_path, written
 from . import pipeline_queries as pq
 from .registry import query
 
 
-@query("q001_file_scan", "SELECT file_id, path FROM locations WHERE NOT (path LIKE '%/Sub_a/%') AND path NOT LIKE '%/src9/%' AND lower(path) LIKE '%.jpg'")
+def _tree(t) -> str:
+    """A folder of files, one for each document: its text, below its source, some hidden, some in folders to skip."""
+    k = F.col("doc_id") % 10
+    inner = F.when(k == 0, ".hidden/").when(k == 1, F.concat("source", F.lit("/Sub_a/"))).when(k == 2, F.concat("source", F.lit("/deep/er/"))).otherwise(F.concat("source", F.lit("/")))
+    name = F.when(k == 3, F.concat(F.lit(".f"), "doc_id", F.lit(".jpg"))).when(k == 4, F.concat(F.lit("f"), "doc_id", F.lit(".jpg.lnk"))).when(k == 5, F.concat(F.lit("f"), "doc_id", F.lit(".tmp"))).when(k == 6, F.concat(F.lit("f"), "doc_id")).otherwise(F.concat(F.lit("F"), "doc_id", F.lit(".JPG")))
+    root = new_path(t.spark, "tree")
+    walk.stored(t.documents.select(F.concat(inner, name).alias("path"), "text"), "path", "text", root).agg(F.sum("length")).collect()
+    return root
+
+
+def _below(root: str) -> Column:
+    return F.substring("path", len(root) + 2, 1 << 20)
+
+
+@query("q001_file_scan", "SELECT source || CASE WHEN doc_id % 10 = 2 THEN '/deep/er/F' ELSE '/F' END || doc_id || '.JPG' AS path, coalesce(strlen(text), 0) AS length FROM documents WHERE doc_id % 10 IN (2, 7, 8, 9) AND source <> 'src9'")
 def _(t):
-    allowed = p.scan_allowed(F.col("path"), ["tmp"], ["sub_?", "src9"]) & names.extension(F.col("path")).isin("jpg") & files.processable(F.col("path"))
-    return t.locations.filter(allowed).select("file_id", "path")
+    root = _tree(t)
+    found = files.scan(t.spark, root, include=["jpg"], exclude=["tmp"], folders=["sub_?", "src9"])
+    return found.select(_below(root).alias("path"), "length")
 
 
 @query("q002_scan_count", "SELECT count(*) AS n FROM locations WHERE path NOT LIKE '%/src9/%'")
@@ -30,6 +46,12 @@ def _(t):
     return t.locations.filter(files.processable(name)).select("file_id")
 
 
+@query("q006_content_hash", "SELECT doc_id, coalesce(strlen(text), 0) AS length, sha256(coalesce(text, '')) AS sha256, md5(coalesce(text, '')) AS md5 FROM documents")
+def _(t):
+    hashes = files.with_hashes(t.spark, _tree(t))
+    return hashes.select(F.regexp_extract("path", r"[fF](\d+)[^/]*$", 1).cast("long").alias("doc_id"), "length", "sha256", "md5")
+
+
 @query("q007_boundary_rings", f"WITH {pq._BOUNDARIES} SELECT boundary_id, 5::BIGINT AS points, round((north - south) * (east - west), 6) AS area FROM boxes")
 def _(t):
     return pq.boundaries(t).select("boundary_id", F.size(F.flatten("rings")).cast("long").alias("points"), F.round(geo.ring_area("rings"), 6).alias("area"))

@@ -194,11 +194,6 @@ def _(t):
     return t.locations.filter(p.scan_allowed(F.col("path"), [".tmp", "part"], ["SRC7", "sub*"])).select("file_id", "path")
 
 
-@query("q006_content_hash", "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5 FROM documents")
-def _(t):
-    return t.documents.select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"))
-
-
 @query("q143_hamming", "SELECT a.file_id AS a, b.file_id AS b, (bit_count(xor(a.w0, b.w0)) + bit_count(xor(a.w1, b.w1)) + bit_count(xor(a.w2, b.w2)) + bit_count(xor(a.w3, b.w3)))::INT AS d FROM prints a JOIN prints b ON b.file_id = a.file_id + 1")
 def _(t):
     from ..operators import similarity

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates as p
+from . import walk
 
 _GEOMETRY = "struct<type: string, coordinates: string>"
 _FEATURES = f"features array<struct<properties: map<string, string>, geometry: {_GEOMETRY}>>"
@@ -17,29 +18,23 @@ POLYGON, MULTI = "array<array<array<double>>>", "array<array<array<array<double>
 
 def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, folders: list[str] | None = None) -> DataFrame:
     """Regular files below a root: path, length, modified_at.  Hidden files, links and shortcuts are left out; folder
-    patterns look at the parts below the root only."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", F.col("modificationTime").cast("timestamp_ntz").alias("modified_at"))
-    inner = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + _quoted(root.rstrip("/")) + "/", "")
-    parts = F.split(inner, "/")
-    keep = processable(F.col("path")) & ~F.exists(parts, lambda s: s.startswith(".")) & p.scan_allowed(inner, exclude or [], folders or [])
+    patterns look at the parts below the root only, and what they name is not entered."""
+    found = walk.tree(spark, root, folders or [])
+    inner = F.substring("path", len(root.rstrip("/")) + 2, 1 << 20)
+    keep = processable(F.col("path")) & p.scan_allowed(inner, exclude or [], folders or [])
     if include:
         keep = keep & F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin([e.lower().lstrip(".") for e in include])
     return found.filter(keep)
 
 
-def _quoted(text: str) -> str:
-    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-
-
 def processable(path: Column) -> Column:
     """No shortcut; links are not followed by the reader."""
     return path.isNotNull() & ~F.lower(path).endswith(".lnk")
 
 
 def with_hashes(spark: SparkSession, root: str) -> DataFrame:
-    """SHA-256 and MD5 of whole files, read once."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return found.select("path", "length", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+    """SHA-256 and MD5 of whole files of any size, hidden ones too, read once in chunks; null for those that can't be read."""
+    return walk.hashed(walk.tree(spark, root, hidden=True).select("path", "length"), root).select("path", "length", "sha256", "md5")
 
 
 def read_boundaries(spark: SparkSession, path: str, kind: str, codes: dict[str, str]) -> DataFrame:

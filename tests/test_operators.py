@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediaquarry.operators import duplicates, geo, maps, mutations, planning, reconcile, similarity, statistics
-from mediaquarry.sources import exports, files
+from mediaquarry.sources import exports, files, walk
 from mediaquarry.streaming import changes
 
 WORDS = "file_id long, w0 long, w1 long, w2 long, w3 long"
@@ -259,6 +259,62 @@ def test_file_scan(spark, tmp_path):
     assert hashes["a.jpg"] == hashlib.sha256(b"a.jpg").hexdigest()
 
 
+def test_walk_of_a_tree(spark, tmp_path):
+    """The same files however many folders the driver opens; links, hidden and excluded folders are not entered."""
+    import os
+
+    want = set()
+    for k in range(60):
+        path = tmp_path / f"d{k % 3}" / f"Sub{k % 4}" / ("x" * (k % 2)) / f"f{k}.bin"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"z" * k)
+        if k % 4 != 3:
+            want.add((str(path), k))
+    (tmp_path / "empty").mkdir()
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git" / "hidden").write_bytes(b"")
+    os.symlink(tmp_path / "d0", tmp_path / "linked")
+    os.symlink(tmp_path / "d0" / "Sub0" / "f0.bin", tmp_path / "link.bin")
+    for splits in (1, 4, 300):
+        found = walk.tree(spark, str(tmp_path), ["SUB3"], splits=splits)
+        assert {(r["path"], r["length"]) for r in found.collect()} == want
+    assert walk.tree(spark, f"file://{tmp_path}", ["sub3"]).count() == len(want)
+    assert walk.tree(spark, str(tmp_path / "empty")).count() == 0
+    with pytest.raises(Exception, match="absent"):
+        walk.tree(spark, str(tmp_path / "absent")).count()
+
+
+def test_hashes_of_large_and_lost_files(spark, tmp_path):
+    """Above 2 GB, in bounded memory; tasks are planned by bytes; a file that is gone has nulls."""
+    import hashlib
+    import tracemalloc
+
+    sizes = {"large": (1 << 31) + 5, "empty": 0, **{f"s{k}": 1000 * k for k in range(1, 40)}}
+    for name, size in sizes.items():
+        with open(tmp_path / name, "wb") as f:
+            f.truncate(size)
+    zeros, sha = bytes(1 << 24), hashlib.sha256()
+    for at in range(0, sizes["large"], len(zeros)):
+        sha.update(zeros[: sizes["large"] - at])
+    rows = walk.tree(spark, str(tmp_path)).select("path", "length").unionByName(spark.createDataFrame([(f"{tmp_path}/gone", 5), (None, None)], "path string, length long"))
+    got = {r["path"] and r["path"].rsplit("/", 1)[1]: r for r in walk.hashed(rows, str(tmp_path), task_bytes=1 << 19).withColumn("part", F.spark_partition_id()).collect()}
+    assert got["large"]["sha256"] == sha.hexdigest() and got["large"]["read_bytes"] == sizes["large"]
+    assert got["gone"]["sha256"] is None and got[None]["md5"] is None
+    assert all(got[n]["md5"] == hashlib.md5(bytes(s)).hexdigest() for n, s in sizes.items() if n != "large")
+    loads: dict = {}
+    for r in got.values():
+        loads[r["part"]] = loads.get(r["part"], 0) + (r["length"] or 0) + walk.OPEN_BYTES
+    assert len(loads) > 3 and all(n <= (1 << 19) + sizes["large"] * (got["large"]["part"] == p) + 100_000 for p, n in loads.items())
+    with open(tmp_path / "s1", "wb") as f:
+        f.truncate(400 << 20)
+    tracemalloc.start()
+    walk.digests(walk.Store(str(tmp_path)), f"{tmp_path}/s1")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * walk.CHUNK
+    assert walk.hashed(rows.limit(0), str(tmp_path)).count() == 0
+
+
 def test_boundaries_from_geojson(spark, tmp_path):
     square = _square(-200.0, 0.0, 10.0, 10.0)
     features = [{"type": "Feature", "properties": {"shapeName": "ParanÃ¡  x", "shapeGroup": "bra"}, "geometry": {"type": "Polygon", "coordinates": square}}, {"type": "Feature", "properties": {"shapeName": "two", "shapeGroup": "BRA"}, "geometry": {"type": "MultiPolygon", "coordinates": [square, _square(20.0, 0.0, 30.0, 95.0)]}}, {"type": "Feature", "properties": {"shapeName": "pt", "shapeGroup": "BRA"}, "geometry": {"type": "Point", "coordinates": [1, 2]}}, {"type": "Feature", "properties": {"shapeName": "who", "shapeGroup": "ZZZ"}, "geometry": {"type": "Polygon", "coordinates": square}}]
