@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import duplicates, geo, mutations, planning, queue, reconcile, similarity
 from ..sources import exports
-from ..streaming import changes
+from ..sources.tables import new_path
+from ..streaming import changes, journal, state
 from .registry import query
 
 _D = "(bit_count(xor(a.w0, b.w0))::INT + bit_count(xor(a.w1, b.w1)) + bit_count(xor(a.w2, b.w2)) + bit_count(xor(a.w3, b.w3)))"
@@ -420,9 +421,9 @@ def _queue(t):
     return t.executions.select("id", "type", "status", "priority", "dedup_key", "claim_count", at.alias("created_at"), at.alias("available_at"), F.when(F.col("status") == "RUNNING", at + F.expr("INTERVAL 1 DAY")).alias("lease_until"))
 
 
-@query("q178_claim_order", f"WITH {_QUEUE} SELECT id, (priority + least(5, greatest(0, floor(date_diff('second', created_at, TIMESTAMP '1997-01-01') / 3600.0))))::BIGINT AS rank FROM queue q WHERE status = 'PENDING' AND available_at <= TIMESTAMP '1997-01-01' AND claim_count < 3 AND type IN ('INVENTORY', 'RECONCILE') AND NOT EXISTS (SELECT 1 FROM queue r WHERE r.status = 'RUNNING' AND r.dedup_key = q.dedup_key) ORDER BY rank DESC, id LIMIT 100")
+@query("q178_claim_order", f"WITH {_QUEUE} SELECT id, (priority + least(5, greatest(0, floor(date_diff('second', created_at, TIMESTAMP '1997-01-01') / 3600.0))))::BIGINT AS rank FROM queue q WHERE status = 'PENDING' AND available_at <= TIMESTAMP '1997-01-01' AND claim_count < 3 AND type IN ('INVENTORY', 'RECONCILE') AND NOT EXISTS (SELECT 1 FROM queue r WHERE r.status = 'RUNNING' AND r.dedup_key = q.dedup_key)")
 def _(t):
-    return queue.claimable(_queue(t), datetime(1997, 1, 1), 3, ["INVENTORY", "RECONCILE"]).limit(100).select("id", F.col("rank").cast("long").alias("rank"))
+    return queue.claimable(_queue(t), datetime(1997, 1, 1), 3, ["INVENTORY", "RECONCILE"]).select("id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("q179_requeue", f"WITH {_QUEUE} SELECT id, CASE WHEN status = 'RUNNING' AND lease_until < TIMESTAMP '1996-01-01' THEN CASE WHEN claim_count < 3 AND NOT EXISTS (SELECT 1 FROM queue w WHERE w.status = 'PENDING' AND w.dedup_key = q.dedup_key) THEN 'PENDING' ELSE 'FAILED' END ELSE status END AS status FROM queue q")
@@ -478,11 +479,87 @@ def _(t):
     return changes.foreign(t.events.withColumn("p", F.col("user_id").cast("string")), own, running, "p", "ts").select("event_id")
 
 
-@query("q187_journal", "SELECT DISTINCT 'D:/Media/u' || user_id AS path, 'CHECK' AS action FROM events WHERE event_type IN ('click', 'error') AND user_id % 2 = 0")
+@query("q189_foreign_stream", "SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events a WHERE a.event_type = 'purchase' AND a.user_id = e.user_id AND a.ts + INTERVAL 5 MINUTE >= e.ts AND a.ts - INTERVAL 10 SECOND <= e.ts)")
 def _(t):
-    flags = F.when(F.col("event_type") == "click", changes.CREATED).when(F.col("event_type") == "error", changes.DELETED).otherwise(0x8000)
-    journal = t.events.select(F.col("event_id").alias("seq"), F.col("event_id").alias("file_ref"), F.concat(F.when(F.col("user_id") % 2 == 0, "D:/Media/u").otherwise("E:/u"), F.col("user_id").cast("string")).alias("path"), flags.alias("reason_flags"), F.lit(False).alias("directory"))
-    return changes.interpreted(journal, "D:/Media")
+    """The suppression between two streams: both halves of ``events``, in files, and a row far ahead that ends them."""
+    at = F.col("ts").cast("timestamp")
+    end = t.events.agg(F.max(at).alias("at")).select(F.lit("end").alias("path"), (F.col("at") + F.expr("INTERVAL 30 DAYS")).alias("at"), F.lit(None).cast("long").alias("id"))
+    rows = t.events.select(F.col("user_id").cast("string").alias("path"), at.alias("at"), F.col("event_id").alias("id"))
+    own = t.events.filter("event_type = 'purchase'").select(F.col("user_id").cast("string").alias("path"), at.alias("at"), F.lit(None).cast("long").alias("id"))
+    streams = [_files_of(t, [part, end], "path string, at timestamp, id long") for part in (rows, own)]
+    # the end is in both; it is no change
+    made = state.foreign(streams[0].withColumn("id", F.coalesce("id", F.lit(-1).cast("long"))), streams[1].select("path", "at"), late="1 day")
+    return _run_through(t, made).filter("id >= 0").select(F.col("id").alias("event_id"))
+
+
+def _files_of(t, parts, schema):
+    """A stream of tables, one after the other."""
+    folder = new_path(t.spark, "stream")
+    for k, part in enumerate(parts):
+        part.write.parquet(f"{folder}/{k}")
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/*")
+
+
+def _run_through(t, stream):
+    """What a stream gives when it has read all there is."""
+    state.use_state_store(t.spark)
+    out = new_path(t.spark, "out")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(t.spark, "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(out)
+
+
+_JOURNAL = """
+j AS (SELECT event_id, event_id // 2 AS k, event_id % 2 AS half FROM events),
+r AS (SELECT event_id, k, half, k % 7 AS kind,
+  CASE WHEN k % 7 IN (0, 4, 6) OR (k % 7 = 1 AND half = 0) OR (k % 7 = 2 AND half = 1) THEN 'D:/Media/' ELSE 'E:/' END || CASE WHEN half = 0 THEN 'old' ELSE 'new' END || k AS path FROM j WHERE NOT (k % 11 = 0 AND half = 1))
+SELECT DISTINCT CASE WHEN kind IN (4, 5) THEN 'D:/Media' ELSE path END AS path, CASE WHEN kind IN (4, 5) THEN 'RECONCILE' ELSE 'CHECK' END AS action
+FROM r WHERE path LIKE 'D:/Media/%' AND NOT (kind = 6 AND half = 1)"""
+
+
+def _journal(t):
+    """Renames within the root (0), out of it (1), into it (2), outside (3), of folders (4, 5), and creations (6); of every
+    eleventh pair the new name never comes."""
+    k, half = F.expr("event_id DIV 2"), F.col("event_id") % 2
+    kind = k % 7
+    inside = kind.isin(0, 4, 6) | ((kind == 1) & (half == 0)) | ((kind == 2) & (half == 1))
+    path = F.concat(F.when(inside, "D:/Media/").otherwise("E:/"), F.when(half == 0, "old").otherwise("new"), k.cast("string"))
+    flags = F.when(kind == 6, F.when(half == 0, changes.CREATED).otherwise(0x8000)).when(half == 0, changes.RENAMED_OLD).otherwise(changes.RENAMED_NEW)
+    rows = t.events.filter(~((k % 11 == 0) & (half == 1)))
+    return rows.select(F.col("event_id").alias("seq"), k.alias("file_ref"), path.alias("path"), flags.alias("reason_flags"), kind.isin(4, 5).alias("directory"), F.timestamp_millis(F.col("event_id") * 10 + 10**12).alias("happened_at"))
+
+
+@query("q187_journal", f"WITH {_JOURNAL}")
+def _(t):
+    return changes.interpreted(_journal(t), "D:/Media")
+
+
+@query("q187_journal_stream", f"WITH {_JOURNAL}")
+def _(t):
+    """The same journal from its source, cut into segments and two runs between which renames are split."""
+    folder, out, cp = (new_path(t.spark, label) for label in ("journal", "out", "cp"))
+    state.use_state_store(t.spark)
+    journal.create(folder, "events")
+    half = t.events.agg((F.expr("percentile_approx(event_id, 0.5) DIV 2") * 2).alias("n")).first()["n"] or 0
+    rows = _journal(t)
+    last = t.events.agg(F.max("event_id").alias("seq")).select((F.col("seq") + 1).alias("seq"), F.lit(-1).cast("long").alias("file_ref"), F.lit("E:/end").alias("path"), F.lit(changes.CREATED).alias("reason_flags"), F.lit(False).alias("directory"), F.expr("timestamp_millis(seq * 10 + 1000000000000) + INTERVAL 1 DAY").alias("happened_at"))
+    # the watermark of a batch holds from the next one on, so the end comes twice
+    for part in (rows.filter(F.col("seq") <= half), rows.filter(F.col("seq") > half), last, last):
+        journal.append(part, folder, 1 << 18)
+        made = state.interpreted(journal.stream(t.spark, folder).filter("recovery IS NULL"), "D:/Media")
+        made.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("path string, action string").parquet(out).distinct()
+
+
+@query("q184_journal_backlog", "SELECT event_id - (SELECT min(event_id) FROM events) AS seq FROM events WHERE event_id > (SELECT (min(event_id) + max(event_id)) // 2 FROM events)")
+def _(t):
+    """What the journal recorded after a walk whose end the cursor holds (events are numbered without gaps)."""
+    folder = new_path(t.spark, "journal")
+    journal.create(folder, "events")
+    middle = t.events.agg(F.expr("(min(event_id) + max(event_id)) DIV 2").alias("n")).first()["n"] or 0
+    rows = t.events.select(F.col("event_id").alias("seq"), F.col("user_id").alias("file_ref"), F.lit("D:/Media/x").alias("path"), F.lit(changes.CREATED).alias("reason_flags"), F.lit(False).alias("directory"), F.col("ts").alias("happened_at"))
+    journal.append(rows.filter(F.col("seq") <= middle), folder)
+    journal.walked(folder, f"{folder}/cursor/at.json", lambda: journal.append(rows.filter(F.col("seq") > middle), folder) >= 0)
+    return journal.offline_backlog(t.spark, folder, f"{folder}/cursor/at.json").select("seq")
 
 
 @query("q_windowed_counts", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS started, count(*) AS changes FROM events GROUP BY 1, 2")

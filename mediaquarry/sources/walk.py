@@ -63,7 +63,13 @@ class Store:
                     yield f"{folder.rstrip('/')}/{x.name}", stat.S_ISDIR(kind.st_mode), kind.st_size, datetime.fromtimestamp(kind.st_mtime, timezone.utc).replace(tzinfo=None)
 
     def open(self, path: str):
-        return self.fs.open_input_stream(self._plain(path)) if self.fs else open(self._plain(path), "rb", buffering=0)
+        return self.fs.open_input_file(self._plain(path)) if self.fs else open(self._plain(path), "rb", buffering=0)
+
+    def delete(self, path: str) -> None:
+        if self.fs:
+            self.fs.delete_file(self._plain(path))
+        else:
+            os.unlink(self._plain(path))
 
     def write(self, path: str, content: bytes) -> None:
         """Whole or not at all: under another name first."""

@@ -11,8 +11,8 @@ from ..operators.mutations import upsert
 from ..sources.tables import written
 
 # The journal's reason flags that matter.
-CREATED, DELETED, OVERWRITTEN, EXTENDED, RENAMED_OLD, RENAMED_NEW = 0x100, 0x200, 0x1, 0x2, 0x1000, 0x2000
-MATERIAL = CREATED | DELETED | OVERWRITTEN | EXTENDED | RENAMED_OLD | RENAMED_NEW
+CREATED, DELETED, OVERWRITTEN, EXTENDED, TRUNCATED, RENAMED_OLD, RENAMED_NEW = 0x100, 0x200, 0x1, 0x2, 0x4, 0x1000, 0x2000
+MATERIAL = CREATED | DELETED | OVERWRITTEN | EXTENDED | TRUNCATED | RENAMED_OLD | RENAMED_NEW
 
 
 def source(spark: SparkSession, path: str, schema, files_at_once: int = 16) -> DataFrame:
@@ -33,11 +33,17 @@ def windowed(changes: DataFrame, at: str, key: str, width: str, slide: str | Non
     return timed.groupBy(window.alias("w"), key).agg(F.count(F.lit(1)).alias("changes")).select(key, F.col("w.start").alias("started"), "changes")
 
 
-def foreign(changes: DataFrame, announced: DataFrame, running: DataFrame, path: str, at: str, expiry: str = "5 minutes") -> DataFrame:
-    """Changes that this system did not make itself: no announcement of the path that is fresh or whose writer still runs."""
+def foreign(changes: DataFrame, announced: DataFrame, running: DataFrame, path: str, at: str, expiry: str = "5 minutes", ahead: str | None = None) -> DataFrame:
+    """Changes that this system did not make itself: no announcement of the path that is fresh or whose writer still runs.
+
+    ``ahead``: how long before its announcement a change may be (unset: any time).  ``state.foreign`` is the form for streams.
+    """
     live = announced.join(running.select(F.col("execution_id").alias("__e"), F.lit(True).alias("__runs")), F.col("execution_id") == F.col("__e"), "left")
     own = live.select(F.col("path").alias("__p"), F.col("announced_at").alias("__a"), F.coalesce("__runs", F.lit(False)).alias("__live"))
-    return changes.join(own, (F.col(path) == F.col("__p")) & (F.col("__live") | (F.col("__a") + F.expr(f"INTERVAL {expiry}") >= F.col(at))), "left_anti")
+    fresh = F.col("__a") + F.expr(f"INTERVAL {expiry}") >= F.col(at)
+    if ahead:
+        fresh = fresh & (F.col("__a") - F.expr(f"INTERVAL {ahead}") <= F.col(at))
+    return changes.join(own, (F.col(path) == F.col("__p")) & (F.col("__live") | fresh), "left_anti")
 
 
 def needs_full_pass(reason: Column) -> Column:
@@ -47,25 +53,25 @@ def needs_full_pass(reason: Column) -> Column:
 def interpreted(journal: DataFrame, root: str) -> DataFrame:
     """(path, action) out of a journal batch: seq, file_ref, path, reason_flags, directory.
 
-    Old and new names of a rename pair by file, in order; a move out of the root reports the old path, a move into it the
-    new one, within it both; an old name without a new one is reported as gone.  A directory's rename asks for a full
-    reconciliation, its creation and deletion for nothing.
+    Old and new names of a rename pair by file, in order, whatever else happens to the file between them; a move out of the
+    root reports the old path, a move into it the new one, within it both; an old name without a new one is reported as
+    gone.  A directory's rename asks for a full reconciliation if either name is below the root, its creation and deletion
+    for nothing.  ``state.interpreted`` is the form for streams, where the halves of a rename may be batches apart.
     """
     has = lambda flag: F.col("reason_flags").bitwiseAND(F.lit(flag)) != 0
     below = lambda c: F.coalesce(F.lower(c).startswith(root.lower().rstrip("/\\") + "/"), F.lit(False))
+    old, moved = has(RENAMED_OLD), has(RENAMED_OLD | RENAMED_NEW)
+    rows = journal.withColumn("directory", F.coalesce("directory", F.lit(False)))
     order = Window.partitionBy("file_ref").orderBy("seq")
-    rows = journal.filter(has(MATERIAL)).withColumn("next_new", F.lead(has(RENAMED_NEW)).over(order)).withColumn("next_path", F.lead("path").over(order)).withColumn("before_old", F.lag(has(RENAMED_OLD)).over(order))
-    old, new = has(RENAMED_OLD), has(RENAMED_NEW)
-    paired_new = new & F.coalesce("before_old", F.lit(False))
-    folder = F.col("directory")
-    target = F.when(old & F.coalesce("next_new", F.lit(False)), F.col("next_path"))
-    actions = (
-        F.when(folder & (old | new), F.when(below(F.col("path")) | below(target), F.array(F.struct(F.lit(root).alias("path"), F.lit("RECONCILE").alias("action")))))
-        .when(folder | paired_new, None)
-        .when(old, F.array(F.when(below(F.col("path")), F.struct(F.col("path").alias("path"), F.lit("CHECK").alias("action"))), F.when(below(target), F.struct(target.alias("path"), F.lit("CHECK").alias("action")))))
-        .otherwise(F.array(F.when(below(F.col("path")), F.struct(F.col("path").alias("path"), F.lit("CHECK").alias("action")))))
-    )
-    return rows.select(F.explode(F.array_compact(actions)).alias("a")).select("a.path", "a.action").distinct()
+    # a pair is an old name and the new one that is the next half of a rename
+    halves = rows.filter(moved).withColumn("old_path", F.when(F.lag(old).over(order) & ~old, F.lag("path").over(order))).withColumn("old_directory", F.coalesce(F.lag("directory").over(order) & F.lag(old).over(order) & ~old, F.lit(False)))
+    single = rows.filter(has(MATERIAL) & ~moved & ~F.col("directory") & below(F.col("path"))).select("path", F.lit("CHECK").alias("action"))
+    halves = halves.withColumn("new_directory", F.coalesce(F.lead("directory").over(order) & ~F.lead(old).over(order) & old, F.lit(False)))
+    folder = F.col("directory") | F.col("old_directory") | F.col("new_directory")
+    whole = halves.filter(folder & (below(F.col("path")) | below(F.col("old_path")))).select(F.lit(root).alias("path"), F.lit("RECONCILE").alias("action"))
+    # of files each half reports its own path
+    named = halves.filter(~folder & below(F.col("path"))).select("path", F.lit("CHECK").alias("action"))
+    return single.unionByName(whole).unionByName(named).distinct()
 
 
 def backlog(changes: DataFrame, cursors: DataFrame, key: str, seq: str) -> DataFrame:
