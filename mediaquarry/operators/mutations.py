@@ -58,6 +58,48 @@ def inventory(files: DataFrame, seen: DataFrame, key: str = "public_id") -> Data
     return joined.withColumn("action", F.when(F.col("__key").isNull(), "EXTRACT").when(F.col("__status") == "ACTIVE", "CACHED").otherwise("REACTIVATE")).drop("__key", "__status")
 
 
+def inventory_upsert(files: DataFrame, seen: DataFrame, extracted: DataFrame, now: Column, key: str = "public_id") -> DataFrame:
+    """The catalogue after an inventory run over the keys ``seen``: unknown and inactive ones take their row of ``extracted``, are
+    active and changed ``now``; active ones are cache hits and stay as they are, and so does what was not seen.
+
+    An inactive row keeps its id.  A key to extract of which there is no extracted row is left as it was.
+    """
+    todo = inventory(files, seen, key).filter("action <> 'CACHED'").select(key, "action").dropDuplicates([key])
+    new = extracted.dropDuplicates([key]).join(todo, key)
+    fresh = new.withColumn("lifecycle_status", F.lit("ACTIVE")).withColumn("lifecycle_changed_at", now)
+    ids = files.select(key, F.col("id").alias("__id"))
+    rows = fresh.join(ids, key, "left").withColumn("id", F.coalesce("__id", "id")).select(*files.columns)
+    return files.join(rows.select(key), key, "left_anti").select(*files.columns).unionByName(rows)
+
+
+def undo(movements: DataFrame, present: DataFrame) -> DataFrame:
+    """(id, status, reason): what taking movements (id, source, target, status) back comes to, the latest first.
+
+    A movement that is undone already is SKIPPED.  The target must be there and known (else ERROR, SOURCE_NOT_FOUND) and the source must
+    be free (else ERROR, TARGET_EXISTS); what is UNDONE moves the file, which later decisions on the same paths see.
+    ``present`` (path) is what is on disk before.  A round decides every movement that is the latest undecided one on both its
+    paths, so there are as many rounds as the longest chain of moves has links.
+    """
+    open_ = movements.filter("status IS NULL OR status <> 'UNDONE'")
+    whole = "source IS NOT NULL AND target IS NOT NULL"
+    todo = written(open_.filter(whole).select("id", "source", "target"), "undo")
+    state = written(present.select("path").distinct(), "present")
+    done = movements.filter("status = 'UNDONE'").select("id", F.lit("SKIPPED").alias("status"), F.lit(None).cast("string").alias("reason"))
+    done = done.union(open_.filter(f"NOT ({whole})").select("id", F.lit("ERROR"), F.lit("SOURCE_NOT_FOUND")))
+    while not todo.isEmpty():
+        latest = todo.select("id", F.explode(F.array("source", "target")).alias("path")).groupBy("path").agg(F.max("id").alias("last"))
+        on = lambda side: latest.select(F.col("path").alias(side), F.col("last").alias(f"last_{side}"))
+        there = lambda side: state.select(F.col("path").alias(side), F.lit(True).alias(f"has_{side}"))
+        ready = todo.join(on("source"), "source").join(on("target"), "target").filter("last_source = id AND last_target = id")
+        reason = F.when(F.col("has_target").isNull(), "SOURCE_NOT_FOUND").when(F.col("has_source").isNotNull(), "TARGET_EXISTS")
+        decided = written(ready.join(there("source"), "source", "left").join(there("target"), "target", "left").select("id", "source", "target", reason.alias("reason")), "undone")
+        moved = decided.filter("reason IS NULL")
+        state = written(state.join(moved.select(F.col("target").alias("path")), "path", "left_anti").union(moved.select("source")), "present")
+        done = done.union(decided.select("id", F.when(F.col("reason").isNull(), "UNDONE").otherwise("ERROR"), "reason"))
+        todo = written(todo.join(decided.select("id"), "id", "left_anti"), "undo")
+    return done
+
+
 def beyond_latest(rows: DataFrame, keep: int, order: list[str]) -> DataFrame:
     """All but the latest ``keep`` rows: those before the last one that stays (an ordinary top-k, then a comparison)."""
     last = rows.orderBy(*[F.desc(c) for c in order]).limit(keep).agg(F.min(F.struct(*order)).alias("__last"), F.count(F.lit(1)).alias("__n"))

@@ -90,13 +90,19 @@ def target_folder(layout: str, date: Column, category: Column, label: Column, pl
 
 
 def conflicts(items: DataFrame, existing: DataFrame) -> DataFrame:
-    """Adds ``same``, ``duplicate_target`` and ``target_exists``; items that stay where they are take part in none."""
-    moving = F.col("target") != F.col("path")
-    key = F.when(moving, F.lower("target"))
-    counted = items.withColumn("same", ~moving).withColumn("__key", key).withColumn("__n", F.when(moving, F.count(F.lit(1)).over(Window.partitionBy("__key"))))
-    there = existing.select(F.lower("path").alias("__there")).distinct()
-    joined = counted.join(there, F.col("__key") == F.col("__there"), "left")
-    return joined.withColumn("duplicate_target", F.coalesce(F.col("__n") > 1, F.lit(False))).withColumn("target_exists", F.col("__there").isNotNull()).drop("__key", "__n", "__there")
+    """Adds ``same``, ``duplicate_target`` and ``target_exists``; items that stay where they are take part in none.
+
+    Only what moves is counted and joined, so that a library in order costs a scan; many items of one target meet one row
+    that tells so.
+    """
+    moves = F.coalesce(F.col("target") != F.col("path"), F.lit(False))
+    rows = items.withColumn("same", F.col("target") == F.col("path"))
+    moving = rows.filter(moves).withColumn("__key", F.lower("target"))
+    wanted = moving.groupBy("__key").agg((F.count(F.lit(1)) > 1).alias("duplicate_target"))
+    there = existing.select(F.lower("path").alias("__key")).distinct().withColumn("target_exists", F.lit(True))
+    told = wanted.join(there, "__key", "left").select("__key", "duplicate_target", F.coalesce("target_exists", F.lit(False)).alias("target_exists"))
+    stay = rows.filter(~moves).withColumns({"duplicate_target": F.lit(False), "target_exists": F.lit(False)})
+    return moving.join(told, "__key").drop("__key").unionByName(stay)
 
 
 def plan_statistics(items: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import new_path, written
+from . import mutations
 
 WORDS = 4
 RADIUS, MINIMUM = 96, 95
@@ -108,52 +109,170 @@ def approve(pairs: DataFrame, samples: DataFrame, minimum: int = MINIMUM) -> Dat
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): minimum labels with pointer jumping over written tables, for any size of component."""
-    both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "edges")
+    """(node, root): the smallest node of each component, for any size and shape of component.
+
+    In a round every node points to its smallest neighbour, pointers are followed to their ends by doubling, and each tree
+    becomes one node.  A node that is left had a neighbour that is not, so rounds are logarithmic in the nodes and
+    doublings in a tree's depth: long chains too.  All tables are written.
+    """
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct()
+    both = written(both, "edges")
     labels = written(both.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node")), "labels")
-    while True:
-        offered = both.join(labels, both["u"] == labels["node"]).select(F.col("v").alias("node"), "root")
-        nearer = written(offered.union(labels).groupBy("node").agg(F.min("root").alias("root")), "labels")
-        jump = nearer.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        after = written(nearer.join(jump, "root").select("node", F.col("next").alias("root")), "labels")
-        moved = after.join(labels.withColumnRenamed("root", "old"), "node").filter("root <> old").limit(1).count()
-        labels = after
-        if not moved:
-            return labels
-
-
-def greedy_clusters(ids: list[int], neighbours: dict[int, set[int]]) -> list[list[int]]:
-    """First-fit complete linkage: each id joins the earliest cluster whose every member is its neighbour."""
-    clusters: list[list[int]] = []
+    left = both.filter("u <> v")
+    while not left.isEmpty():
+        parents = written(left.groupBy("u").agg(F.least("u", F.min("v")).alias("p")), "parents")
+        moved = True
+        while moved:
+            up = parents.select(F.col("u").alias("p"), F.col("p").alias("next"))
+            jumped = written(parents.select("u", "p").join(up, "p").select("u", F.col("next").alias("p"), (F.col("next") != F.col("p")).alias("moved")), "parents")
+            parents, moved = jumped.select("u", "p"), not jumped.filter("moved").isEmpty()
+        to = parents.select(F.col("u").alias("root"), F.col("p").alias("above"))
+        labels = written(labels.join(to, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "labels")
+        ends = left.join(parents, "u").select(F.col("p").alias("pu"), "v").join(parents.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
+        left = written(ends.filter("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct(), "contracted")
+    return labels
+
+
+#: Edges (to smaller files) that one task of the greedy rule is handed, and what the stored relations are dealt to.
+EDGES_AT_ONCE, BUCKETS = 500_000, 256
+
+
+def first_fit(ids: list[int], near: dict[int, set[int]], fitting: dict[int, dict[int, int]]) -> list[tuple[int, int, int]]:
+    """(cluster, file, position) of files in order of id: each joins the earliest cluster whose every member is its neighbour.
+
+    ``near``: a file's smaller neighbours among ``ids``.  ``fitting``: for each file the clusters of smaller files, all of
+    whose members are its neighbours, with their sizes then.  A cluster's number is its first file's id.
+    """
+    out: list[tuple[int, int, int]] = []
+    joined: dict[int, list[int]] = {}  # who has joined each cluster here
+    at: dict[int, int] = {}
     for i in sorted(ids):
-        near = neighbours.get(i, set())
-        for cluster in clusters:
-            if all(m in near for m in cluster):
-                cluster.append(i)
+        mine, older = near.get(i, set()), fitting.get(i, {})
+        offered = sorted({*older, *(at[m] for m in mine)})
+        for cluster in offered:
+            here = joined.get(cluster, [])
+            # a cluster that was there before must have fitted as it was; who has joined since must be a neighbour too
+            if (cluster in older or (here and here[0] == cluster)) and all(m in mine for m in here):
                 break
         else:
-            clusters.append([i])
-    return [c for c in clusters if len(c) > 1]
-
-
-def clusters(edges: DataFrame) -> DataFrame:
-    """(cluster, file_id, position): the greedy rule inside each component; cluster is its first file's id.
-
-    A cluster's members are all neighbours, so it lies inside one component, and "earliest" only needs that component's
-    order.  The rule itself is sequential within a component.
+            cluster = i
+        before = older.get(cluster, 0)
+        out.append((cluster, i, before + len(joined.setdefault(cluster, []))))
+        joined[cluster].append(i)
+        at[i] = cluster
+    return out
+
+
+def clusters(edges: DataFrame, edges_at_once: int = EDGES_AT_ONCE) -> DataFrame:
+    """(cluster, file_id, position): greedy complete linkage in order of id; cluster is its first file's id.
+
+    A file's place depends on smaller files of its component only.  So the files of each component are cut, in order of
+    id, into blocks of about ``edges_at_once`` edges to smaller files, and round k places the k-th block of every component: a task
+    gets the edges inside one block, and for its files the clusters of earlier blocks of which they know all members
+    (counted by a join).  Components below the bound, which is nearly all, take one round; one of any size takes as many rounds
+    as it has blocks, and no task holds it.  Each edge is read in one round.  A file with more smaller neighbours than the
+    bound is a block of its own.
     """
-    edges = written(edges.select("a", "b"), "edges")  # read twice
-    rooted = edges.join(components(edges), F.col("a") == F.col("node")).select("root", "a", "b")
+    pairs = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
+    rooted = components(pairs)
+    smaller = pairs.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("edges"))
+    weighed = rooted.join(smaller, "node", "left").select("root", "node", (F.coalesce("edges", F.lit(0)) + 1).alias("weight"))
+    placed, _ = mutations.running(weighed.orderBy("root", "node"), "weight", "before", "weights")
+    starts = placed.groupBy("root").agg(F.min("before").alias("start"), F.max(F.col("before") + F.col("weight")).alias("end"))
+    large = starts.filter(F.col("end") - F.col("start") > edges_at_once)
+    block = F.when(F.col("start").isNull(), F.lit(0)).otherwise(F.floor((F.col("before") - F.col("start")) / edges_at_once)).cast("int")
+    # components above the bound are few: their number times the bound is at most the number of edges
+    files = written(placed.join(F.broadcast(large), "root", "left").select("root", "node", block.alias("block")), "blocks")
+    one = lambda side: files.select(F.col("node").alias(side), F.col("block").alias(f"block_{side}"))
+    known = written(pairs.join(files.withColumnRenamed("node", "b"), "b").join(one("a"), "a").select("root", "a", "b", "block", "block_a"), "rooted")
+    rounds = files.agg(F.max("block").alias("n")).first()["n"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, set[int]] = {}
-        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        rows = [(c[0], m, k) for c in greedy_clusters(list(near), near) for k, m in enumerate(c)]
-        return pd.DataFrame(rows, columns=["cluster", "file_id", "position"]).astype({"cluster": "int64", "file_id": "int64", "position": "int32"})
+        fitting: dict[int, dict[int, int]] = {}
+        ids = pdf.loc[pdf["kind"] == 0, "b"].tolist()
+        for kind, a, b, size in zip(pdf["kind"].tolist(), pdf["a"].tolist(), pdf["b"].tolist(), pdf["size"].tolist()):
+            if kind == 1:
+                near.setdefault(b, set()).add(a)
+            elif kind == 2:
+                fitting.setdefault(b, {})[a] = size
+        return pd.DataFrame(first_fit(ids, near, fitting), columns=["cluster", "file_id", "position"]).astype({"cluster": "int64", "file_id": "int64", "position": "int32"})
+
+    none = F.lit(0).cast("long")
+    made: DataFrame | None = None
+    for k in range((-1 if rounds is None else rounds) + 1):
+        rows = files.filter(F.col("block") == k).select("root", F.lit(0).alias("kind"), none.alias("a"), F.col("node").alias("b"), none.alias("size"))
+        here = known.filter(F.col("block") == k)
+        rows = rows.union(here.filter(F.col("block_a") == k).select("root", F.lit(1), "a", "b", none))
+        if made is not None:
+            sizes = made.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+            met = here.filter(F.col("block_a") < k).join(made.select(F.col("file_id").alias("a"), "cluster"), "a").groupBy("root", "b", "cluster").agg(F.count(F.lit(1)).alias("n"))
+            fits = met.join(sizes, "cluster").filter("n = size").select("root", F.lit(2), F.col("cluster").alias("a"), "b", "size")
+            rows = rows.union(fits)
+        new = written(rows.groupBy("root").applyInPandas(run, "cluster long, file_id long, position int"), "placed")
+        made = new if made is None else made.union(new)
+        if k % 16 == 15:
+            made = written(made, "placed")
+    if made is None:
+        return edges.sparkSession.createDataFrame([], "cluster long, file_id long, position int")
+    lone = made.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("cluster")
+    return made.join(lone, "cluster", "left_anti")
+
+
+def ranked_groups(members: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(place, cluster, files, wasted): groups by the bytes of their candidates for deletion, most first, then by id.
+
+    ``verdicts`` (file_id, size_bytes, verdict) are those of ``duplicates.keep_ranking`` over the groups.
+    """
+    told = members.join(verdicts.select("file_id", "size_bytes", "verdict"), "file_id")
+    groups = told.groupBy("cluster").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.when(F.col("verdict") == "DELETE_CANDIDATE", F.col("size_bytes"))), F.lit(0)).alias("wasted"))
+    return mutations.with_ids(groups, [F.desc("wasted"), F.col("cluster")], start=1, out="place").select("place", "cluster", "files", "wasted")
 
-    return rooted.groupBy("root").applyInPandas(run, "cluster long, file_id long, position int")
+
+class Relations:
+    """Stored edges with their components and clusters, regrouped where something changed and nowhere else.
+
+    A version is three tables, all dealt to buckets by the component: edges (root, a, b, score), nodes (root, node) and
+    members (root, cluster, file_id, position).  A change reads and clusters the components that it touches, whose buckets alone
+    are opened; the others' rows are those of the version before.
+    """
+
+    def __init__(self, edges: DataFrame, nodes: DataFrame, members: DataFrame):
+        self.edges, self.nodes, self.members = edges, nodes, members
+
+    @classmethod
+    def over(cls, edges: DataFrame, edges_at_once: int = EDGES_AT_ONCE) -> Relations:
+        """Everything anew: edges (a, b, score) with a < b, no pair twice."""
+        pairs = written(edges.select("a", "b", "score"), "relations")
+        rooted = written(components(pairs.select("a", "b")), "roots")
+        found = clusters(pairs, edges_at_once)
+        by = lambda rows, key: _dealt(rows.join(rooted.select(F.col("node").alias(key), "root"), key))
+        return cls(by(pairs, "a"), _dealt(rooted), by(found, "file_id"))
+
+    def changed(self, added: DataFrame, removed: DataFrame, edges_at_once: int = EDGES_AT_ONCE) -> Relations:
+        """After ``removed`` (a, b) have gone and ``added`` (a, b, score) have come; an added pair that is there already gets its
+        new score."""
+        ends = lambda rows: rows.select(F.explode(F.array("a", "b")).alias("node"))
+        touched = written(ends(added).union(ends(removed)).distinct(), "touched")
+        roots = written(self.nodes.join(touched, "node", "left_semi").select("root", "bucket").distinct(), "touched_roots")
+        buckets = [r["bucket"] for r in roots.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+        near = lambda rows: rows.filter(F.col("bucket").isin(buckets)).join(roots.select("root"), "root", "left_semi")
+        gone = removed.select("a", "b").union(added.select("a", "b")).distinct()
+        left = near(self.edges).select("a", "b", "score").join(gone, ["a", "b"], "left_anti")
+        anew = Relations.over(left.union(added.select("a", "b", "score")), edges_at_once)
+        rest = lambda rows: rows.join(roots.select("root"), "root", "left_anti")
+        return Relations(*(_dealt(rest(old).drop("bucket").unionByName(new.drop("bucket"))) for old, new in ((self.edges, anew.edges), (self.nodes, anew.nodes), (self.members, anew.members))))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """A written table in folders by a hash of the component."""
+    spark = rows.sparkSession
+    path = new_path(spark, "dealt")
+    bucket = F.pmod(F.xxhash64("root"), F.lit(BUCKETS)).cast("int")
+    keyed = rows.withColumn("bucket", bucket)
+    # a component's rows may be a third of all: within a bucket they are spread
+    keyed.repartition("bucket", F.pmod(F.xxhash64(*rows.columns), F.lit(8))).write.partitionBy("bucket").parquet(path)
+    return spark.read.schema(keyed.schema).parquet(path)
 
 
 def worst_score(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -189,18 +308,37 @@ def add_arrivals(prints: DataFrame, samples: DataFrame, edges: DataFrame, covera
 # videos ---------------------------------------------------------------------------------------------------------------
 
 
-def band_pairs(videos: DataFrame, tolerance: float = 3.0, aspect: float = 0.12) -> DataFrame:
+#: Rows of a bucket that meet those of its neighbours in one task; more are dealt to a grid of tasks.
+CELL_ROWS = 4096
+
+
+def band_pairs(videos: DataFrame, tolerance: float = 3.0, aspect: float = 0.12, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(a, b): videos of about the same duration and shape.
 
     Duration buckets as wide as the tolerance, each row also in its neighbours, make an equi-join; the gates are checked
-    afterwards.  A video of unknown duration only meets its like; unknown shapes pass.
+    afterwards.  A video of unknown duration only meets its like; unknown shapes pass.  A bucket with more than ``cell_rows`` rows
+    on a side (durations that are popular, or unknown) is dealt to a grid: each row goes to a line of cells, and no cell has
+    more than about ``cell_rows`` of either side.  Such buckets are fewer than the rows divided by that.
     """
-    bucket = F.floor(F.col("duration") / tolerance).cast("long")
-    left = videos.select(F.col("file_id").alias("a"), F.col("duration").alias("da"), (F.col("width") / F.col("height")).alias("ra"), F.coalesce(bucket, F.lit(-(1 << 40))).alias("bucket"))
-    near = F.when(F.col("duration").isNull(), F.array(F.lit(-(1 << 40)))).otherwise(F.array(bucket - 1, bucket, bucket + 1))
-    right = videos.select(F.col("file_id").alias("b"), F.col("duration").alias("db"), (F.col("width") / F.col("height")).alias("rb"), F.explode(near).alias("bucket"))
+    unknown = F.lit(-(1 << 40)).cast("long")
+    bucket = F.coalesce(F.floor(F.col("duration") / tolerance).cast("long"), unknown)
+    rows = videos.select(F.col("file_id").alias("id"), F.col("duration").alias("d"), (F.col("width") / F.col("height")).alias("r"), bucket.alias("bucket"))
+    near = F.when(F.col("bucket") == unknown, F.array("bucket")).otherwise(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1))
+    wide = rows.select("id", "d", "r", F.explode(near).alias("bucket"))
+    own = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("lefts"))
+    met = wide.groupBy("bucket").agg(F.count(F.lit(1)).alias("rights"))
+    cells = lambda n: F.ceil(F.col(n) / cell_rows).cast("int")
+    heavy = own.join(met, "bucket").filter(F.greatest("lefts", "rights") > cell_rows).select("bucket", cells("lefts").alias("m"), cells("rights").alias("n"))
+
+    def dealt(side: DataFrame, lines: str, others: str, place: str, other: str, s: str) -> DataFrame:
+        told = side.join(F.broadcast(heavy), "bucket", "left")
+        here = F.pmod(F.xxhash64("id"), F.coalesce(lines, F.lit(1))).cast("int")
+        along = F.sequence(F.lit(0), F.coalesce(others, F.lit(1)) - 1)
+        return told.select(F.col("id").alias(s), F.col("d").alias(f"d{s}"), F.col("r").alias(f"r{s}"), "bucket", here.alias(place), F.explode(along).alias(other))
+
+    left, right = dealt(rows, "m", "n", "i", "j", "a"), dealt(wide, "n", "m", "j", "i", "b")
     gates = (F.col("a") < F.col("b")) & F.coalesce(F.abs(F.col("da") - F.col("db")) <= tolerance, F.lit(True)) & F.coalesce(F.abs(F.col("ra") - F.col("rb")) / F.greatest("ra", "rb") <= aspect, F.lit(True))
-    return left.join(right, "bucket").filter(gates).select("a", "b")
+    return left.join(right, ["bucket", "i", "j"]).filter(gates).select("a", "b")
 
 
 def aligned_frames(pairs: DataFrame, frames: DataFrame) -> DataFrame:

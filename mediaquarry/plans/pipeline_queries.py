@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import duplicates, geo, mutations, planning, queue, reconcile, similarity
 from ..sources import exports
-from ..sources.tables import new_path
+from ..sources.tables import new_path, written
 from ..streaming import changes, journal, state
 from .registry import query
 
@@ -103,6 +103,16 @@ def _(t):
     return duplicates.keep_ranking(rows, "grp", exact=False).select("file_id", "verdict", "reason")
 
 
+_BY_CLUSTER = _POLICY.format(g="cluster").replace("FROM policy2)", "FROM policy2 JOIN clusters USING (file_id))")
+
+
+@query("q150_ranked_groups", f"WITH RECURSIVE {_EDGES}, {_GREEDY.format(edges='edges')}, {_BY_CLUSTER} SELECT row_number() OVER (ORDER BY wasted DESC, cluster) AS place, cluster, files, wasted FROM (SELECT cluster, count(*) AS files, coalesce(sum(size_bytes) FILTER (place > 1 AND originals = 1), 0)::BIGINT AS wasted FROM ranked GROUP BY cluster)")
+def _(t):
+    members = written(similarity.clusters(_edges(t)), "members")
+    verdicts = duplicates.keep_ranking(_policy(t).drop("grp").join(members.select("file_id", "cluster"), "file_id"), "cluster", exact=False)
+    return similarity.ranked_groups(members, verdicts)
+
+
 @query("q160_wasted", f"WITH {_POLICY.format(g='grp')} SELECT grp, coalesce(sum(size_bytes) FILTER (place > 1), 0)::BIGINT AS wasted FROM ranked GROUP BY grp")
 def _(t):
     return duplicates.wasted_bytes(duplicates.keep_ranking(_policy(t), "grp", exact=True), "grp")
@@ -294,11 +304,19 @@ def _(t):
     return _issues(t)
 
 
-@query("q055_rename_pairs", "SELECT id, '/new/' || id AS new_path FROM files f WHERE id % 4 = 0 AND (SELECT count(*) FROM files g WHERE g.sha256 = f.sha256 AND g.size_bytes = f.size_bytes AND g.id % 4 = 0) = 1")
+@query("q055_rename_pairs", """
+WITH g AS (SELECT id, CASE WHEN id % 8 = 0 THEN 1 ELSE size_bytes END AS size_bytes, CASE WHEN id % 8 = 0 THEN 'shared' || (id % 40) ELSE sha256 END AS sha256, created_at FROM files WHERE id % 4 = 0),
+n AS (SELECT '/new/' || id AS path, size_bytes, sha256, CASE WHEN id % 24 = 0 THEN created_at ELSE TIMESTAMP '2019-01-01' END AS created_at FROM g),
+c AS (SELECT size_bytes, sha256, count(*) AS k FROM g GROUP BY ALL)
+SELECT g.id, n.path AS new_path FROM g JOIN n USING (size_bytes, sha256) JOIN c USING (size_bytes, sha256) WHERE k = 1
+UNION ALL SELECT min(g.id), min(n.path) FROM g JOIN n USING (size_bytes, sha256, created_at) JOIN c USING (size_bytes, sha256) WHERE k > 1 GROUP BY size_bytes, sha256, created_at HAVING count(DISTINCT n.path) = 1""")
 def _(t):
-    gone = t.files.filter("id % 4 = 0").select("id", "size_bytes", "sha256", "created_at")
-    new = gone.select(F.concat(F.lit("/new/"), F.col("id").cast("string")).alias("path"), "size_bytes", "sha256", F.lit(datetime(2019, 1, 1)).cast("timestamp_ntz").alias("created_at"))
-    return reconcile.renames(gone, new)
+    """Every eighth file shares its content with others, and a third of those are told apart by their times."""
+    shared = F.col("id") % 8 == 0
+    size, sha = F.when(shared, F.lit(1)).otherwise(F.col("size_bytes")), F.when(shared, F.concat(F.lit("shared"), (F.col("id") % 40).cast("string"))).otherwise(F.col("sha256"))
+    gone = t.files.filter("id % 4 = 0").select("id", size.alias("size_bytes"), sha.alias("sha256"), "created_at")
+    later = F.when(F.col("id") % 24 == 0, F.col("created_at")).otherwise(F.lit(datetime(2019, 1, 1)).cast("timestamp_ntz"))
+    return reconcile.renames(gone, gone.select(F.concat(F.lit("/new/"), F.col("id").cast("string")).alias("path"), "size_bytes", "sha256", later.alias("created_at")))
 
 
 @query("q169_reconcile_apply", f"WITH {_DISK}, i AS (SELECT id, CASE WHEN disk.path IS NULL THEN 'MISSING' WHEN disk.size_bytes <> known.size_bytes THEN 'STALE' END AS issue FROM known LEFT JOIN disk ON disk.path = known.path) SELECT id, CASE WHEN id % 8 = 0 THEN 'RENAME' WHEN issue = 'STALE' THEN 'REFRESH' ELSE 'MARK_MISSING' END AS action FROM i WHERE issue IS NOT NULL")
@@ -383,6 +401,36 @@ def _(t):
     return t.metadata.select("file_id", F.col("capture_date").alias("old"), new.alias("new")).filter(~F.col("old").eqNullSafe(F.col("new")))
 
 
+_UNDO = """
+p AS (SELECT k, CASE WHEN k % 13 = 0 THEN 'SKIPPED' WHEN k % 5 = 0 OR k % 11 = 0 THEN 'ERROR' ELSE 'UNDONE' END AS last FROM (SELECT DISTINCT doc_id // 2 AS k FROM documents WHERE doc_id % 2 = 1))
+SELECT k * 2 + 1 AS id, last AS status, CASE WHEN last = 'ERROR' THEN CASE WHEN k % 5 = 0 THEN 'SOURCE_NOT_FOUND' ELSE 'TARGET_EXISTS' END END AS reason FROM p
+UNION ALL SELECT doc_id, CASE WHEN NOT (coalesce(last, '') = 'UNDONE' OR k % 11 = 0) OR k % 7 = 0 THEN 'ERROR' ELSE 'UNDONE' END,
+  CASE WHEN NOT (coalesce(last, '') = 'UNDONE' OR k % 11 = 0) THEN 'SOURCE_NOT_FOUND' WHEN k % 7 = 0 THEN 'TARGET_EXISTS' END FROM (SELECT doc_id, doc_id // 2 AS k FROM documents WHERE doc_id % 2 = 0) LEFT JOIN p USING (k)"""
+
+
+@query("q174_undo", f"WITH {_UNDO}")
+def _(t):
+    """Files moved twice, a to b and b to c: the later move goes back first, and what comes of it decides about the earlier."""
+    k = F.expr("doc_id DIV 2")
+    name = lambda c: F.concat(F.lit(c), k.cast("string"))
+    odd = F.col("doc_id") % 2 == 1
+    moves = t.documents.select(F.col("doc_id").alias("id"), F.when(odd, name("b")).otherwise(name("a")).alias("source"), F.when(odd, name("c")).otherwise(name("b")).alias("target"), F.when(odd & (k % 13 == 0), "UNDONE").otherwise("MOVED").alias("status"))
+    here = t.documents.select(F.explode(F.array_compact(F.array(F.when(k % 5 != 0, name("c")), F.when(k % 7 == 0, name("a")), F.when(k % 11 == 0, name("b"))))).alias("path"))
+    return mutations.undo(moves, here)
+
+
+@query("q165_inventory_upsert", """
+WITH s AS (SELECT doc_id * 2 AS k FROM documents)
+SELECT f.id, f.public_id, CASE WHEN s.k IS NOT NULL AND lifecycle_status <> 'ACTIVE' THEN -1 ELSE size_bytes END AS size_bytes, CASE WHEN s.k IS NOT NULL THEN 'ACTIVE' ELSE lifecycle_status END AS lifecycle_status FROM files f LEFT JOIN s ON s.k = f.id
+UNION ALL SELECT -k, 'p' || k, -1, 'ACTIVE' FROM s WHERE k NOT IN (SELECT id FROM files)""")
+def _(t):
+    """Every second key is seen: unknown ones are new rows, inactive ones come back with what was extracted, active ones stay."""
+    seen = t.documents.select(F.concat(F.lit("p"), (F.col("doc_id") * 2).cast("string")).alias("public_id"), (F.col("doc_id") * -2).alias("new_id"))
+    files = t.files
+    filled = [F.col("new_id").alias(c) if c == "id" else F.col(c) if c == "public_id" else F.lit(-1).cast(kind).alias(c) if c == "size_bytes" else F.lit(None).cast(kind).alias(c) for c, kind in files.dtypes]
+    return mutations.inventory_upsert(files, seen.select("public_id"), seen.select(*filled), F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'")).select("id", "public_id", "size_bytes", "lifecycle_status")
+
+
 @query("q174_undo_order", "SELECT id, row_number() OVER (ORDER BY id DESC) AS k FROM movements WHERE status = 'MOVED'")
 def _(t):
     return mutations.with_ids(t.movements.filter("status = 'MOVED'").select("id"), [F.desc("id")], 1, "k")

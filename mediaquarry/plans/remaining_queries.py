@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -196,11 +198,15 @@ def _(t):
     return similarity.add_arrivals(prints, samples, stored, prints.filter("file_id % 5 = 0").select("file_id"), 21, _LIKE)[0]
 
 
-@query("q157_published_version", "SELECT count(*) AS n FROM prints")
+@query("q157_published_version", "SELECT file_id, w0 FROM prints WHERE file_id % 2 = 0")
 def _(t):
+    """A whole version, one based on it, and one that is refused as it is based on what is no longer active."""
     table = files.Published(t.spark, new_path(t.spark, "published"))
-    table.publish(t.prints)
-    return table.read().agg(F.count(F.lit(1)).alias("n"))
+    first = table.publish(t.prints)
+    table.publish(t.prints.filter("file_id % 2 = 0"), based_on=first, incremental=True)
+    with suppress(RuntimeError):
+        table.publish(t.prints.filter("file_id % 3 = 0"), based_on=first, incremental=True)
+    return table.read().select("file_id", "w0")
 
 
 @query("q159_published_page", f"WITH {pq._EDGES.replace('edges AS', 'base AS')} SELECT b.a AS file_id, f.id IS NOT NULL AS actionable FROM (SELECT DISTINCT a FROM base) b LEFT JOIN files f ON f.id = b.a AND f.lifecycle_status = 'ACTIVE'")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,39 +84,68 @@ def described(spark: SparkSession, prefix: str = "") -> DataFrame:
 
 
 class Published:
-    """Versions of a table under one folder.  A version is written first; then a small pointer file makes it the active
-    one.  A publication that was based on another version than the active one is refused."""
+    """Versions of a table under one folder.  A version is written first; then a small pointer file makes it the active one.
+
+    Pointers are numbered, and the highest is the active one.  A pointer is written aside and gets its number by a rename that
+    fails where the number is taken: readers never meet half a pointer, and of two publishers that saw the same active
+    version one is refused.  (The shared file system must rename so; HDFS does.)
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self.store = self.hadoop.Path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _latest(self) -> tuple[int, str | None]:
+        """(number, version) of the highest pointer; (0, None) before the first."""
+        root = self.hadoop.Path(self.folder)
+        names = [s.getPath().getName() for s in self.store.listStatus(root)] if self.store.exists(root) else []
+        numbers = [int(n[7:-5]) for n in names if n.startswith("ACTIVE-") and n.endswith(".json")]
+        if not numbers:
+            return 0, None
+        stream = self.store.open(self._pointer(max(numbers)))
+        try:
+            return max(numbers), json.loads(bytes(stream.readAllBytes()).decode())["version"]
+        finally:
+            stream.close()
 
-    def _pointer(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/ACTIVE.json")
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _pointer(self, number: int):
+        return self.hadoop.Path(f"{self.folder}/ACTIVE-{number:012d}.json")
 
     def active(self) -> str | None:
-        path, store = self._pointer()
-        if not store.exists(path):
-            return None
-        stream = store.open(path)
+        return self._latest()[1]
+
+    def _point(self, number: int, version: str) -> bool:
+        """Whether the pointer of this number is now to the version; false if the number was taken."""
+        aside = self.hadoop.Path(f"{self.folder}/{version}.pointer")
+        stream = self.store.create(aside, True)
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())["version"]
+            stream.write(bytearray(json.dumps({"version": version}).encode()))
         finally:
             stream.close()
+        context = self.hadoop.FileContext.getFileContext(self.store.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        keep = self.spark.sparkContext._gateway.new_array(self.hadoop.Options.Rename, 1)
+        keep[0] = self.hadoop.Options.Rename.NONE
+        try:
+            context.rename(aside, self._pointer(number), keep)
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
+            self.store.delete(aside, False)
+            return False
+        return True
 
     def publish(self, df: DataFrame, based_on: str | None = None, incremental: bool = False) -> str:
+        """Writes a version and makes it active.  An incremental one is refused if ``based_on`` isn't the active version any more,
+        also if that changes at the last moment; a whole one then takes the next number."""
         version = uuid.uuid4().hex
         df.write.parquet(f"{self.folder}/{version}")
-        if incremental and self.active() != based_on:
-            raise RuntimeError("the version this was based on is no longer the active one")
-        path, store = self._pointer()
-        stream = store.create(path, True)
-        try:
-            stream.write(bytearray(json.dumps({"version": version}).encode()))
-        finally:
-            stream.close()
-        return version
+        while True:
+            number, active = self._latest()
+            if incremental and active != based_on:
+                raise RuntimeError("the version this was based on is no longer the active one")
+            if self._point(number + 1, version):
+                return version
 
     def read(self) -> DataFrame:
         version = self.active()
@@ -124,12 +154,13 @@ class Published:
         return self.spark.read.parquet(f"{self.folder}/{version}")
 
     def sweep(self, older_than_millis: int, now_millis: int) -> list[str]:
-        """Removes versions that are not active and have not changed for so long."""
-        path, store = self._pointer()
-        kept, gone = self.active(), []
-        for s in store.listStatus(path.getParent()):
+        """Removes versions that are not active and have not changed for so long, and all pointers but the last."""
+        (number, kept), gone = self._latest(), []
+        for s in self.store.listStatus(self.hadoop.Path(self.folder)):
             name = s.getPath().getName()
             if s.isDirectory() and name != kept and now_millis - s.getModificationTime() > older_than_millis:
-                store.delete(s.getPath(), True)
+                self.store.delete(s.getPath(), True)
                 gone.append(name)
+            elif name.startswith("ACTIVE-") and name != self._pointer(number).getName():
+                self.store.delete(s.getPath(), False)
         return gone

@@ -42,27 +42,87 @@ def test_radius_pairs(spark, block_rows):
     assert got == want
 
 
-def test_greedy_rule():
-    near = {1: {2, 3}, 2: {1}, 3: {1}}
-    assert similarity.greedy_clusters([1, 2, 3], near) == [[1, 2]]
-    full = {i: {j for j in range(5) if j != i} for i in range(5)}
-    assert similarity.greedy_clusters(range(5), full) == [[0, 1, 2, 3, 4]]
-    assert similarity.greedy_clusters([], {}) == []
-
-
-@pytest.mark.parametrize("seed", range(2))
-def test_clusters(spark, seed):
-    draw = random.Random(seed)
-    edges = sorted({tuple(sorted(draw.sample(range(40), 2))) for _ in range(70)})
+def _greedy(near):
+    """The sequential rule: each file joins the earliest cluster whose every member is its neighbour."""
+    found: list = []
+    for i in sorted(near):
+        for cluster in found:
+            if all(m in near[i] for m in cluster):
+                cluster.append(i)
+                break
+        else:
+            found.append([i])
+    return sorted(c for c in found if len(c) > 1)
+
+
+def _near(edges):
     near: dict = {}
     for a, b in edges:
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
-    frame = spark.createDataFrame([(a, b, 97) for a, b in edges], "a long, b long, score int")
+    return near
+
+
+def _members(frame):
     got: dict = {}
-    for r in similarity.clusters(frame).orderBy("position").collect():
+    for r in frame.orderBy("position").collect():
         got.setdefault(r["cluster"], []).append(r["file_id"])
-    assert sorted(got.values()) == sorted(similarity.greedy_clusters(list(near), near))
+        assert r["position"] == len(got[r["cluster"]]) - 1
+    assert all(c == members[0] for c, members in got.items())
+    return sorted(got.values())
+
+
+def _edge_frame(spark, edges):
+    return spark.createDataFrame([(a, b, 97) for a, b in edges], "a long, b long, score int")
+
+
+@pytest.mark.parametrize(("seed", "bound"), [(0, 500_000), (1, 12), (2, 60), (3, 25)])
+def test_clusters(spark, seed, bound):
+    """However few edges a task is handed, the clusters are those of the sequential rule."""
+    draw = random.Random(seed)
+    edges = {tuple(sorted(draw.sample(range(40), 2))) for _ in range(70 if seed % 2 else 220)} | {(50, 51), (50, 52), (51, 52), (60, 61)}
+    doubled = [*edges, *[(b, a) for a, b in list(edges)[:9]]]
+    assert _members(similarity.clusters(_edge_frame(spark, doubled), bound)) == _greedy(_near(edges))
+    assert similarity.clusters(_edge_frame(spark, [])).count() == 0
+
+
+def test_clusters_of_a_long_chain_and_a_large_clique(spark):
+    """Both are one component that no task is handed whole."""
+    draw = random.Random(5)
+    ids = draw.sample(range(10**6), 4000)
+    chain = list(zip(ids, ids[1:]))
+    clique = [(2 * 10**6 + a, 2 * 10**6 + b) for b in range(150) for a in range(b)]
+    got = _members(similarity.clusters(_edge_frame(spark, [*chain, *clique]), 4000))
+    assert got == _greedy(_near([*chain, *clique]))
+
+
+def test_regrouping_what_changed(spark, monkeypatch):
+    """After random changes the stored version is the one of everything anew, and untouched components are not opened."""
+    draw = random.Random(8)
+    edges = {tuple(sorted(draw.sample(range(30 * c, 30 * c + 12), 2))): 97 for c in range(8) for _ in range(14)}
+    kept = similarity.Relations.over(spark.createDataFrame([(*e, s) for e, s in edges.items()], "a long, b long, score int"))
+    seen = []
+    whole = similarity.Relations.over.__func__
+    monkeypatch.setattr(similarity.Relations, "over", classmethod(lambda cls, rows, n=similarity.EDGES_AT_ONCE: (seen.append(rows.count()), whole(cls, rows, n))[1]))
+    for step in range(2):
+        gone = draw.sample(sorted(e for e in edges if e[0] < 90), 3)
+        new = {tuple(sorted((draw.randrange(30), 30 * step + draw.randrange(12)))): 98 for _ in range(2)}
+        new = {e: s for e, s in new.items() if e[0] != e[1]}
+        for e in gone:
+            del edges[e]
+        edges |= new
+        kept = kept.changed(spark.createDataFrame([(*e, s) for e, s in new.items()], "a long, b long, score int"), spark.createDataFrame(gone, "a long, b long"))
+        assert {(r["a"], r["b"]): r["score"] for r in kept.edges.collect()} == edges
+        assert _members(kept.members) == _greedy(_near(edges))
+        roots = {r["node"]: r["root"] for r in kept.nodes.collect()}
+        assert roots.keys() == _near(edges).keys() and all(roots[a] == roots[b] for a, b in edges)
+    assert max(seen) < len(edges) * 0.7
+
+
+def test_groups_by_wasted_bytes(spark):
+    members = spark.createDataFrame([(1, 1), (1, 2), (5, 5), (5, 6), (7, 7), (7, 8)], "cluster long, file_id long")
+    verdicts = spark.createDataFrame([(1, 9, "KEEP"), (2, 10, "DELETE_CANDIDATE"), (5, 9, "KEEP"), (6, 90, "REVIEW"), (7, 1, "KEEP"), (8, 30, "DELETE_CANDIDATE"), (9, 9, "KEEP")], "file_id long, size_bytes long, verdict string")
+    assert [tuple(r) for r in similarity.ranked_groups(members, verdicts).orderBy("place").collect()] == [(1, 7, 2, 30), (2, 1, 2, 10), (3, 5, 2, 0)]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -338,6 +398,51 @@ def test_publishing(spark, tmp_path):
     assert first in table.sweep(0, 1 << 50) and table.read().count() == 5
 
 
+def test_lost_races_of_publishers(spark, tmp_path, monkeypatch):
+    """Two publishers that saw the same active version: the second is refused; of two whole versions the later one counts."""
+    one, two = (files.Published(spark, str(tmp_path / "p")) for _ in range(2))
+    first = one.publish(spark.range(1))
+    stale = two._latest()
+    won = one.publish(spark.range(2), based_on=first, incremental=True)
+    calls = iter([stale])
+    monkeypatch.setattr(two, "_latest", lambda: next(calls, None) or files.Published._latest(two))
+    with pytest.raises(RuntimeError):
+        two.publish(spark.range(3), based_on=first, incremental=True)
+    assert one.active() == won and one.read().count() == 2
+    calls = iter([stale])
+    last = two.publish(spark.range(4))
+    assert one.active() == last and one.read().count() == 4
+    one.sweep(1 << 50, 0)
+    assert one.active() == last and sum(p.name.startswith("ACTIVE-") and p.name.endswith(".json") for p in (tmp_path / "p").iterdir()) == 1
+
+
+def test_undo_follows_chains(spark):
+    """Against a walk over the movements, latest first."""
+    draw = random.Random(4)
+    names = [f"p{k}" for k in range(12)] + [None]
+    moves = [(k, draw.choice(names[:12]) if k % 17 else None, draw.choice(names[:12]), draw.choice(["MOVED", "MOVED", "UNDONE", None])) for k in range(60)]
+    here = set(draw.sample(names[:12], 6))
+    frame = spark.createDataFrame(moves, "id long, source string, target string, status string")
+    got = mutations.undo(frame.filter("id < 24"), spark.createDataFrame([(p,) for p in here], "path string"))
+    short, disk = [], set(here)
+    for i, source, target, status in sorted((m for m in moves if m[0] < 24), reverse=True):
+        good = status != "UNDONE" and source is not None and target in disk and source not in disk
+        disk = disk - {target} | {source} if good else disk
+        short.append((i, "SKIPPED" if status == "UNDONE" else "UNDONE" if good else "ERROR"))
+    assert sorted((r["id"], r["status"]) for r in got.collect()) == sorted(short)
+
+
+@pytest.mark.parametrize("cell_rows", [4096, 7])
+def test_band_pairs_of_popular_and_unknown_durations(spark, cell_rows):
+    draw = random.Random(6)
+    rows = [(k, draw.choice([None, None, 60.0, 60.0, draw.uniform(0, 90)]), draw.choice([1920, 1900, 1080, None]), 1080) for k in range(160)]
+    like = lambda a, b: a is None or b is None or abs(a - b) / max(a, b) <= 0.12
+    shape = lambda r: r[2] / r[3] if r[2] else None
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and (a[1] is None) == (b[1] is None) and (a[1] is None or abs(a[1] - b[1]) <= 3) and like(shape(a), shape(b))}
+    got = [tuple(r) for r in similarity.band_pairs(spark.createDataFrame(rows, "file_id long, duration double, width int, height int"), cell_rows=cell_rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_exports(spark, tmp_path):
     rows = spark.createDataFrame([(1, 'a,"b"\n'), (2, None)], "id long, name string")
     assert [r["value"] for r in exports.csv_lines(rows, ["id", "name"]).collect()] == ['1,"a,""b""\n"', "2,"]
