@@ -697,7 +697,7 @@ def test_scores_by_brute_force(spark):
         alpha, total = model.start, 0.0
         for k, w in enumerate([*hmm.words_of(t), None]):
             c = counts.get(w, 0)
-            s, share = (hmm.END, 1.0) if w is None else (symbol(w), c / mass[symbol(w)]) if c >= 2 else (hmm.RARE, (1 - unseen) / once if c else unseen)
+            s, share = (hmm.END, 1.0) if w is None else (symbol(w), c / mass[symbol(w)]) if c >= 2 else (hmm.RARE, (1 - unseen) / once if c and twice else unseen)
             alpha = (alpha @ model.move if k else alpha) * model.emit[s] * share
             total += math.log10(alpha.sum())
             alpha = alpha / alpha.sum()
@@ -705,10 +705,10 @@ def test_scores_by_brute_force(spark):
 
 
 def test_states_are_not_trusted_where_the_fold_does_not_confirm_them(spark):
-    """Words drawn at random teach no states: the kept model is as good as the words' shares; alternating words do teach them."""
+    """Words drawn at random teach no states: the kept model is as good as the words' shares; runs of words do teach them."""
     draw = random.Random(3)
     noise = [(i, " ".join(f"n{draw.randint(0, 400)}" for _ in range(20))) for i in range(200)]
-    order = [(i, " ".join(f"{'abc'[k % 3]}{draw.randint(0, 6)}" for k in range(30))) for i in range(200)]
+    order = [(i, " ".join(f"{'ab'[(i + k // 10) % 2]}{draw.randint(0, 6)}" for k in range(30))) for i in range(200)]
     gains = []
     for docs in (noise, order):
         encoded, totals, frequencies = hmm.encode(spark.createDataFrame(docs, SCHEMA), F.col("doc_id") % 5 == 0)
@@ -716,7 +716,7 @@ def test_states_are_not_trusted_where_the_fold_does_not_confirm_them(spark):
         shares = hmm.Hmm(np.ones(1), np.ones((1, 1)), (frequencies / frequencies.sum())[:, None])
         out = encoded.filter("held_out")
         gains.append(np.subtract(*hmm.likelihoods(out, [model, shares])) / out.count())
-    assert gains[0] > -0.2 and gains[1] > 5
+    assert gains[0] > -0.2 and gains[1] > 2
 
 
 def test_many_lines_go_in_one_walk(spark):
