@@ -16,6 +16,11 @@ def cell_for_zoom(zoom: int) -> float:
     return max(0.0001, 90 / 2 ** max(0, zoom))
 
 
+def cell_of(zoom: Column) -> Column:
+    """``cell_for_zoom`` of each row's zoom."""
+    return F.greatest(F.lit(0.0001), F.lit(90.0) / F.pow(F.lit(2.0), F.greatest(F.lit(0), zoom)))
+
+
 def centre(value: Column, cell: float) -> Column:
     return (F.floor(value / F.lit(cell)) + F.lit(0.5)) * F.lit(cell)
 

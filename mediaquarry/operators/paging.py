@@ -17,6 +17,11 @@ def limited(value: int | None, default: int = DEFAULT_LIMIT, most: int = MAX_LIM
     return default if value is None or value < 1 else min(value, most)
 
 
+def limit_of(value: Column, default: int = DEFAULT_LIMIT, most: int = MAX_LIMIT) -> Column:
+    """``limited`` of each row's wish."""
+    return F.when(value.isNull() | (value < 1), F.lit(default)).otherwise(F.least(value, F.lit(most)))
+
+
 def after(date_column: Column, id_column: Column, at: datetime, last_id: int) -> Column:
     """Rows that come after (at, last_id) in descending order."""
     when = F.lit(at).cast("timestamp_ntz")

@@ -266,9 +266,9 @@ def _(t):
     return back.select("p.id", F.col("p.at").alias("stamp"), "cursor", F.col("other").isNull().alias("refused"))
 
 
-@query("q102_limits", "SELECT v::BIGINT AS v, CASE WHEN v < 1 THEN 50 ELSE least(v, 250) END::BIGINT AS n FROM range(-2, 300) AS r(v)")
+@query("q102_limits", "SELECT doc_id, CASE WHEN n_chars IS NULL OR n_chars - 300 < 1 THEN 50 ELSE least(n_chars - 300, 250) END::BIGINT AS n FROM documents")
 def _(t):
-    return t.spark.createDataFrame([(v, paging.limited(v)) for v in range(-2, 300)], "v long, n long")
+    return t.documents.select("doc_id", paging.limit_of(F.col("n_chars") - 300).cast("long").alias("n"))
 
 
 @query("q106_by_size", "SELECT id, row_number() OVER (ORDER BY size_bytes DESC, id DESC) AS k FROM files LEFT JOIN videos ON id = file_id WHERE lifecycle_status = 'ACTIVE' AND file_type = 'VIDEO' AND (lower(extension) IS DISTINCT FROM 'mp4' OR codec IS NULL OR upper(trim(codec)) NOT IN ('HEVC', 'H265', 'AV1'))")

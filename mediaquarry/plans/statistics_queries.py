@@ -93,9 +93,9 @@ def _(t):
     return maps.region_pins(maps.located(t.files, t.metadata, t.places))
 
 
-@query("q069_zoom_cells", "SELECT z::BIGINT AS zoom, greatest(0.0001::DOUBLE, 90.0::DOUBLE / (2 ** greatest(0, z))) AS cell FROM range(-2, 22) AS r(z)")
+@query("q069_zoom_cells", "SELECT doc_id, greatest(0.0001::DOUBLE, 90.0::DOUBLE / (2 ** greatest(0, doc_id % 24 - 2))) AS cell FROM documents")
 def _(t):
-    return t.spark.createDataFrame([(z, maps.cell_for_zoom(z)) for z in range(-2, 22)], "zoom long, cell double")
+    return t.documents.select("doc_id", maps.cell_of(F.col("doc_id") % 24 - 2).alias("cell"))
 
 
 @query("q109_all_pins", f"WITH {_PIN_ROWS}, g AS ({_grid('latitude IS NOT NULL AND longitude IS NOT NULL')}) SELECT lat, lon, country_name, state_name, city_name, total, cover FROM g UNION ALL SELECT NULL, NULL, country_name, state_name, city_name, count(*), {_COVER} FROM pins WHERE latitude IS NULL AND country_name IS NOT NULL GROUP BY 3, 4, 5")
