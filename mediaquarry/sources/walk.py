@@ -71,6 +71,21 @@ class Store:
         else:
             os.unlink(self._plain(path))
 
+    def gather(self, path: str, front: bytes, parts: list[str], back: bytes, chunk: int = CHUNK) -> None:
+        """Writes other files in a row into one, chunk by chunk; whole or not at all.  Parts may lie in another store."""
+        inner = self._plain(path)
+        other = f"{inner}.{os.getpid()}.part"
+        if not self.fs:
+            os.makedirs(os.path.dirname(inner), exist_ok=True)
+        with self.fs.open_output_stream(other) if self.fs else open(other, "wb") as out:
+            out.write(front)
+            for part in parts:
+                with Store(part).open(part) as f:
+                    while piece := f.read(chunk):
+                        out.write(piece)
+            out.write(back)
+        self.fs.move(other, inner) if self.fs else os.replace(other, inner)
+
     def write(self, path: str, content: bytes) -> None:
         """Whole or not at all: under another name first."""
         inner = self._plain(path)

@@ -443,12 +443,30 @@ def test_band_pairs_of_popular_and_unknown_durations(spark, cell_rows):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize(("n", "piece"), [(0, 100), (5000, 700), (5000, 1 << 20)])
+def test_zip_of_many_pieces(spark, tmp_path, n, piece):
+    """However it is cut into pieces, the document and its checksum are right, and items are in order."""
+    rows = spark.range(n).select((n - F.col("id")).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("ü")).repartition(5)
+    size = exports.write_zip('{"name":"é"}', rows, ["k"], f"{tmp_path}/in/plan.zip", piece_bytes=piece)
+    with zipfile.ZipFile(tmp_path / "in" / "plan.zip") as z:
+        assert z.testzip() is None and z.namelist() == ["plan.json"] and z.getinfo("plan.json").file_size == size
+        told = json.loads(z.read("plan.json"))
+    assert told["plan"] == {"name": "é"} and [x["k"] for x in told["items"]] == list(range(1, n + 1))
+
+
+def test_checksums_of_texts_in_a_row():
+    import zlib
+
+    for a, b in ((b"", b""), (b"a", b""), (b"", b"b"), (b"one", b"two" * 1000), (bytes(70000), bytes(range(256)))):
+        assert exports.crc_of_both(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
 def test_exports(spark, tmp_path):
     rows = spark.createDataFrame([(1, 'a,"b"\n'), (2, None)], "id long, name string")
     assert [r["value"] for r in exports.csv_lines(rows, ["id", "name"]).collect()] == ['1,"a,""b""\n"', "2,"]
-    data = exports.zip_document('{"id":9}', rows, ["id"])
-    (tmp_path / "x.zip").write_bytes(data)
+    size = exports.write_zip('{"id":9}', rows, ["id"], str(tmp_path / "x.zip"))
     with zipfile.ZipFile(tmp_path / "x.zip") as z:
+        assert len(z.read("plan.json")) == size
         assert json.loads(z.read("plan.json")) == {"plan": {"id": 9}, "items": [{"id": 1, "name": 'a,"b"\n'}, {"id": 2, "name": None}]}
     exports.write_csv(rows, ["id", "name"], str(tmp_path / "c"))
     exports.write_json(rows, str(tmp_path / "j"))
