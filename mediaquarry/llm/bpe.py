@@ -311,4 +311,5 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", ou
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and round trip of all ``documents``; null texts are empty and have no ids."""
     return encode(table(spark, sf_dir, "documents"), digest=True)

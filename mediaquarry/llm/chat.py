@@ -97,6 +97,7 @@ PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``conversations`` and the probe, formatted and read back; null roles and texts are empty, equal turns are ordered by role and text."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),

@@ -266,6 +266,7 @@ def _without(windows: WindowSet, text: str | None) -> str | None:
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words and items of all ``documents``; null texts have no words, items without words hit nothing, repeated items each count by their id."""
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

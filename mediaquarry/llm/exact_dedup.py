@@ -59,6 +59,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over all ``documents``; null is empty, white space runs are one space, the smallest doc_id stays."""
     return exact_groups(table(spark, sf_dir, "documents"))
 
 

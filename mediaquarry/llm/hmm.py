@@ -403,4 +403,5 @@ def language_model(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents``, learnt from those whose id's CRC-32 leaves no 2 by 7; null texts are the end token alone, repeated rows score alike."""
     return language_model(table(spark, sf_dir, "documents"), F.pmod(crc32_of("doc_id"), F.lit(7)) == 2)

@@ -304,5 +304,6 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "text", chars_a
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all ``pages``; null html gives an empty text, repeated rows the same one."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("html"))
     return extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

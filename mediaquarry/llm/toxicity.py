@@ -525,6 +525,7 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFr
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents`` by a model fitted to the labelled ones that are not held out; empty and null texts get the score of a text without a hit."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, training_labels(table(spark, sf_dir, "labels")))
     found = scored(docs, model)

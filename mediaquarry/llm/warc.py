@@ -248,6 +248,7 @@ def _reader(folder: str, payloads: bool):
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages`` written as archives and read back; null html is an empty payload, and of equal payloads the largest page_id is the response."""
     folder, manifest = write(table(spark, sf_dir, "pages"))
     return read(spark, folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
