@@ -14,12 +14,19 @@ from mediaquarry.llm.common import table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go; the lexicon is learnt from the labels of this stage's own documents."""
+    """Documents that score as toxic go; the lexicon is learnt from the labels of this stage's own documents.
+
+    Null and empty texts have no hit and stay; repeated rows are judged alike, and without labels nothing goes.
+    """
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs of 50 words and more go, and documents of which nothing is left; n_chars follows."""
+    """Later copies of line runs of 50 words and more go, and documents of which nothing is left; n_chars follows.
+
+    Null and empty texts stay as they are; of equal runs the one with the lowest id, text hash and line stays, and rows that repeat an
+    id and its text are treated alike.
+    """
     cleaned = line_dedup.deduplicate(docs)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
@@ -39,7 +46,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text."""
+    """Token counts and digests of ids and decoded text; null texts are empty, repeated rows give equal rows."""
     return bpe.encode(docs, digest=True)
 
 
