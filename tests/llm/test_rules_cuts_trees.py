@@ -278,3 +278,25 @@ def test_awkward_texts_are_leaves(spark):
     frame = spark.createDataFrame(AWKWARD, SCHEMA)
     got = sorted((r[0], r[1]) for r in frame.select(F.coalesce("text", F.lit("\0null")), merkle.leaf_of(F.col("doc_id"), F.col("text"))).collect())
     assert got == sorted(("\0null" if t is None else t, H(_field(i) + _field(t))) for i, t in AWKWARD)
+
+
+CLASH = ["fp", "salt", "g", "pos", "digest", "n", "kept", "keep_id", "members", "h1", "token", "entries"]
+
+
+def test_clashing_names_do_no_harm(spark):
+    """Extra columns with the names that operators use inside leave the results as they are."""
+    from mediaquarry.llm import exact_dedup, simhash
+
+    plain = spark.createDataFrame(AWKWARD, SCHEMA)
+    extra = plain.withColumns({c: F.lit("clash") for c in CLASH})
+    rows = lambda df, *columns: sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+    for run, columns in (
+        (lambda d: exact_dedup.exact_groups(d), ("doc_id", "text_sha256", "group_size")),
+        (lambda d: simhash.near_groups(d), ("doc_id", "fp", "component_id")),
+        (lambda d: fim.transform(d), ("doc_id", "form", "output")),
+        (lambda d: merkle.prove(d, merkle.leaf_of(F.col("doc_id"), F.col("text"))), ("doc_id", "leaf", "root")),
+    ):
+        assert rows(run(extra), *columns) == rows(run(plain), *columns)
+    pages = spark.createDataFrame([(1, "http://a.example.net/en/1"), (2, None)], "page_id long, url string")
+    clashing = pages.withColumns({c: F.lit("clash") for c in CLASH})
+    assert rows(url_filters.judge(clashing), "page_id", "host", "rule", "verdict") == rows(url_filters.judge(pages), "page_id", "host", "rule", "verdict")
