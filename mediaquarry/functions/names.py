@@ -71,12 +71,12 @@ def archive_as_media(ext: Column, mime: Column) -> Column:
     return type_of_extension(ext).isin(*MEDIA) & F.coalesce(mime.rlike("^application/(zip|x-rar|vnd.rar|x-7z|gzip|x-tar)"), F.lit(False))
 
 
-def human_size(size: Column) -> Column:
-    """Bytes below 1024, else two decimals in steps of 1024."""
+def human_size(size: Column, units: tuple[str, ...] = ("KB", "MB", "GB", "TB", "PB", "EB")) -> Column:
+    """Bytes below 1024, else two decimals (rounded half up) in steps of 1024; the last unit has no upper bound."""
     out = F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
-    units = ["KB", "MB", "GB", "TB"]
     for k, unit in enumerate(units, 1):
-        value = F.format_string(f"%.2f {unit}", size / F.lit(float(1024**k)))
+        rounded = F.floor(size / F.lit(float(1024**k)) * 100 + 0.5) / 100
+        value = F.format_string(f"%.2f {unit}", rounded)
         out = out.when(size < 1024 ** (k + 1), value) if k < len(units) else out.otherwise(value)
     return out
 

@@ -74,6 +74,12 @@ def test_names(spark):
     assert _one(spark, names.coordinate_key(F.lit(0.0), F.lit(0.0))) is None
 
 
+def test_sizes_of_terabytes(spark):
+    cases = [(1024**4 - 1, "1024.00 GB"), (1024**4, "1.00 TB"), (3 * 1024**5, "3.00 PB"), (2**62, "4.00 EB"), (1157, "1.13 KB")]
+    assert [_one(spark, names.human_size(F.lit(v))) for v, _ in cases] == [label for _, label in cases]
+    assert _one(spark, names.human_size(F.lit(2514 * 1024**3), ("KB", "MB", "GB"))) == "2514.00 GB"
+
+
 def test_paths(spark):
     rows = spark.createDataFrame([(x,) for x in ("D:\\Pictures\\one.png", "D:\\Pictures\\old\\two.png", "D:\\three.png", "D:\\Pictures2\\four.png", "d:/pictures/five_5.png")], "path string")
     assert rows.filter(p.under(F.col("path"), "D:\\Pictures")).count() == 3
