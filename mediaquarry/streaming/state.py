@@ -1,8 +1,8 @@
 """Operators with state across micro-batches: renames whose halves come apart, and changes that the system made itself.
 
-Both keep their state per key in the state store, in event time: what waits is decided when the watermark has passed it, so
-the result doesn't depend on how rows are dealt to batches.  They need a provider that knows timers
-(``use_state_store``).
+Both keep their state in the state store, in event time: what waits is decided when the watermark has passed it, so the result
+doesn't depend on how rows are dealt to batches.  Renames need a provider that knows timers; for a join's state, one that
+need not hold it in memory is wanted too (``use_state_store``).
 """
 
 from __future__ import annotations
@@ -93,63 +93,24 @@ def interpreted(journal: DataFrame, root: str, late: str = "10 seconds", wait_ms
     return rows.withWatermark("happened_at", late).groupBy("file_ref").transformWithState(Renames(root, wait_ms), "path string, action string", "append", "eventTime")
 
 
-class OwnWrites(StatefulProcessor):
-    """Per path: changes wait until all announcements that may concern them are in.  Output: the foreign changes."""
-
-    def __init__(self, expiry_ms: int, ahead_ms: int):
-        self.expiry, self.ahead = expiry_ms * 1000, ahead_ms * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.announced = handle.getListState("announced", "at long")
-        self.waiting = handle.getListState("waiting", "at long, id long")
-
-    def _wake(self, at: int, timerValues) -> None:
-        """A timer for when no row up to ``at`` can come any more."""
-        self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs(), at // 1000) + 1)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for x in rows:
-            at = _micros(x.at)
-            if x.id is None:
-                self.announced.appendValue((at,))
-                self._wake(at + self.expiry + self.ahead, timerValues)
-            else:
-                self.waiting.appendValue((at, x.id))
-                self._wake(at + self.ahead, timerValues)
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        own = [a for (a,) in self.announced.get()]
-        waiting = list(self.waiting.get())
-        for at, number in waiting:
-            if at + self.ahead < now and not any(a - self.ahead <= at <= a + self.expiry for a in own):
-                yield Row(path=key[0], at=datetime.fromtimestamp(at / 1_000_000), id=number)
-        left = [(at, number) for at, number in waiting if at + self.ahead >= now]
-        kept = [(a,) for a in own if a + self.expiry + self.ahead >= now]
-        for state, values, before in ((self.announced, kept, len(own)), (self.waiting, left, len(waiting))):
-            if len(values) != before:
-                state.clear()
-                if values:
-                    state.put(values)
-
-    def close(self) -> None:
-        pass
-
-
 def foreign(changes: DataFrame, announced: DataFrame, expiry_ms: int = 300_000, ahead_ms: int = 10_000, late: str = "1 minute") -> DataFrame:
     """(path, at, id) of the streaming changes (id long, path, at) that no announcement (path, at) of another stream covers.
 
     An announcement covers changes from ``ahead_ms`` before it to ``expiry_ms`` after it; a writer that still runs announces
     its paths again (``prolonged``).  A change is decided when the watermark has passed it by ``ahead_ms``: rows may come
     in any order within ``late``, and the result is that of ``changes.foreign`` on all rows at once.
+
+    An outer join of the streams.  Its key is the path and a slot of time as long as what an announcement covers, so that a change
+    only meets announcements of about its time, however many its path has.
     """
-    told = [
-        rows.select("path", F.col("at").cast("timestamp").alias("at"), number.cast("long").alias("id")).withWatermark("at", late)
-        for rows, number in ((changes, F.col("id")), (announced, F.lit(None)))
-    ]
-    return told[0].unionByName(told[1]).groupBy("path").transformWithState(OwnWrites(expiry_ms, ahead_ms), "path string, at timestamp, id long", "append", "eventTime")
+    slot = lambda micros: F.floor(micros / F.lit(max(1, expiry_ms + ahead_ms) * 1000))
+    told = changes.select("path", F.col("at").cast("timestamp").alias("at"), F.col("id").cast("long").alias("id")).withWatermark("at", late)
+    own = announced.select(F.col("path").alias("own_path"), F.col("at").cast("timestamp").alias("own_at")).withWatermark("own_at", late)
+    micros = F.unix_micros("own_at")
+    own = own.withColumn("own_slot", F.explode(F.sequence(slot(micros - F.lit(ahead_ms * 1000)), slot(micros + F.lit(expiry_ms * 1000)))))
+    span = lambda ms: F.expr(f"INTERVAL '{ms / 1000:.3f}' SECOND")
+    covered = (F.col("own_path") == F.col("path")) & (F.col("own_slot") == F.col("slot")) & (F.col("at") >= F.col("own_at") - span(ahead_ms)) & (F.col("at") <= F.col("own_at") + span(expiry_ms))
+    return told.withColumn("slot", slot(F.unix_micros("at"))).join(own, covered, "left_outer").filter("own_path IS NULL").select("path", "at", "id")
 
 
 def prolonged(heartbeats: DataFrame, plans: DataFrame) -> DataFrame:

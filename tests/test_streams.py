@@ -181,3 +181,20 @@ def test_cursor_moves_with_complete_walks(spark, tmp_path):
     assert sorted(r["seq"] for r in journal.offline_backlog(spark, folder, cursor).collect()) == list(range(10, 15))
     assert journal.commit_cursor(cursor, {"journal": "one", "next": 3}) == {"journal": "one", "next": 10}
     assert journal.append(_changes(spark, []), folder) == 0 and journal.Journal(folder).end()["next"] == 15
+
+
+def test_own_writes_of_a_busy_path(spark, tmp_path):
+    """Thousands of changes and announcements of one path: each change only meets the announcements of about its time."""
+    made = [("p", START + timedelta(seconds=7 * k), k) for k in range(4000)]
+    own = [("p", START + timedelta(seconds=900 * k)) for k in range(30)]
+    covered = lambda at: any(a - timedelta(seconds=10) <= at <= a + timedelta(seconds=300) for _, a in own)
+    end = START + timedelta(days=3)
+    spark.createDataFrame([*made, ("end", end, 10_000)], "path string, at timestamp, id long").write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([*own, ("end2", end)], "path string, at timestamp").write.parquet(str(tmp_path / "b"))
+    streams = spark.readStream.schema("path string, at timestamp, id long").parquet(str(tmp_path / "a")), spark.readStream.schema("path string, at timestamp").parquet(str(tmp_path / "b"))
+    made_foreign = state.foreign(*streams, late="2 hours")
+    # no row goes through a Python worker, and a path is dealt by slots of time
+    plan = made_foreign._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "slot" in plan
+    got = [r[2] for r in _collected(made_foreign, tmp_path, "cp") if r[2] < 10_000]
+    assert sorted(got) == [k for _, at, k in made if not covered(at)]
