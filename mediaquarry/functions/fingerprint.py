@@ -44,6 +44,48 @@ def ssim(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.floor(np.clip(each.mean(1), 0, 1) * 100 + 0.5).astype(np.int32)
 
 
+class Windows:
+    """The 16 windows of n samples by window: pixels, means and variances.
+
+    Pixels are whole numbers, and sums of 64 products of two are below 2 ** 24: single precision holds them exactly.
+    """
+
+    def __init__(self, samples: np.ndarray):
+        side = SIDE // WINDOW
+        cut = samples.reshape(-1, side, WINDOW, side, WINDOW).transpose(1, 3, 0, 2, 4)
+        self.pixels = np.ascontiguousarray(cut.astype(np.float32)).reshape(side * side, -1, WINDOW * WINDOW)
+        total = self.pixels.sum(2).astype(np.float64)
+        squares = np.einsum("wnp,wnp->wn", self.pixels, self.pixels).astype(np.float64)
+        self.mean, n = total / (WINDOW * WINDOW), WINDOW * WINDOW
+        self.variance = (squares - total * total / n) / (n - 1)
+
+
+#: From this share of wanted pairs on, products of all rows with all others (a matrix product) cost less than those of the wanted.
+DENSE = 0.02
+
+
+def percents(a: Windows, b: Windows, rows, others, i: np.ndarray, j: np.ndarray, dense: float = DENSE, at_once: int = 1 << 15) -> np.ndarray:
+    """``ssim`` of the i-th of ``rows`` of a with the j-th of ``others`` of b (rows, others: indices or slices)."""
+    n = WINDOW * WINDOW
+    total = np.zeros(len(i))
+    width, height = len(b.mean[0][others]), len(a.mean[0][rows])
+    full = len(i) > dense * width * height
+    flat = i * width + j if full else None
+    for w in range(len(a.pixels)):
+        left, right = a.pixels[w][rows], b.pixels[w][others]
+        ma, mb, va, vb = a.mean[w][rows], b.mean[w][others], a.variance[w][rows], b.variance[w][others]
+        product = (left @ right.T).ravel() if full else None
+        for k in range(0, len(i), at_once):
+            x, y = i[k : k + at_once], j[k : k + at_once]
+            sums = product.take(flat[k : k + at_once]) if full else np.einsum("kp,kp->k", left[x], right[y])
+            mx, my = ma.take(x), mb.take(y)
+            both = mx * my
+            cov = (sums.astype(np.float64) - both * n) / (n - 1)
+            top = (both * 2 + _C1) * (cov * 2 + _C2)
+            total[k : k + at_once] += top / ((mx * mx + my * my + _C1) * (va.take(x) + vb.take(y) + _C2))
+    return np.floor(np.clip(total / len(a.pixels), 0, 1) * 100 + 0.5).astype(np.int32)
+
+
 def _stack(column: pd.Series) -> np.ndarray:
     wrong = [len(s) for s in column if len(s) != SIDE * SIDE]
     if wrong:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from contextlib import suppress
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fingerprint, names
 from ..functions import predicates as p
@@ -95,9 +98,14 @@ _LEVELS = "levels AS (SELECT vec_id AS file_id, list_transform(embedding, lambda
 def _samples(t):
     """Luminances from the embeddings."""
     level = F.transform("embedding", lambda e: F.least(F.greatest(F.floor(e.cast("double") * 60 + 128), F.lit(0)), F.lit(255)).cast("int"))
-    rows = t.embeddings.select(F.col("vec_id").alias("file_id"), level.alias("v"))
-    pixels = F.expr(f"transform(sequence(0, 1023), i -> lpad(hex(element_at(v, CAST({_AT.replace('y', '(i DIV 32)').replace('x', '(i % 32)')} AS INT))), 2, '0'))")
-    return written(rows.select("file_id", F.unhex(F.array_join(pixels, "")).alias("sample")), "samples")
+    return written(t.embeddings.select(F.col("vec_id").alias("file_id"), _pixels(level).alias("sample")), "samples")
+
+
+@F.pandas_udf(T.BinaryType())
+def _pixels(levels: pd.Series) -> pd.Series:
+    y, x = np.divmod(np.arange(1024), 32)
+    at = (y * y * 3 + x * 7 + y * x) % 64  # _AT from 0
+    return pd.Series([np.asarray(v, np.uint8)[at].tobytes() for v in levels], dtype=object)
 
 
 #: bits: each file's hash as 256 digits.  The cosine basis, both passes of the transform, and the 128th of 255 terms.
@@ -168,7 +176,7 @@ _VIDEOS = "frames AS (SELECT file_id // 4 AS file_id, file_id % 4 AS k, file_id
 def _(t):
     frames = _frames(t)
     files_ = frames.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).select("file_id", (F.col("file_id") % 40).cast("double").alias("duration"), F.lit(1920).alias("width"), F.lit(1080).alias("height"))
-    return similarity.video_scores(similarity.band_pairs(files_), frames, radius=_FRAME_RADIUS, minimum=20)
+    return similarity.approved_videos(files_, frames, radius=_FRAME_RADIUS, minimum=20)
 
 
 @query("q056_aligned_frames", "SELECT a.vec_id // 4 AS a, b.vec_id // 4 AS b, a.vec_id % 4 AS sample_index, a.vec_id AS vec_a, b.vec_id AS vec_b FROM embeddings a JOIN embeddings b ON a.vec_id % 4 = b.vec_id % 4 AND b.vec_id // 4 = a.vec_id // 4 + 1")

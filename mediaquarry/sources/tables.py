@@ -27,10 +27,10 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Written as Parquet and read again: cuts the lineage, and an executor's loss costs nothing."""
+def written(df: DataFrame, label: str, **options: object) -> DataFrame:
+    """Written as Parquet (with a writer's options) and read again: cuts the lineage, and an executor's loss costs nothing."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -23,3 +23,11 @@ def test_human_size_beyond_a_terabyte(spark, tmp_path):
     assert any(float(label.split()[0]) > 1024 for _, label in want if label.endswith("GB"))
     got = catalog_queries.QUERIES["q119_human_size"](spark, str(tmp_path)).select("o_orderkey", "label").collect()
     assert sorted(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("name", ["q152_video_rebuild"])
+def test_compared_pairs_are_never_a_table(spark, name):
+    """Blocks meet and approved pairs leave: no pair is shuffled, sorted or joined to its samples."""
+    plan = catalog_queries.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "MapInArrow" in plan
+    assert not any(node in plan for node in ("Exchange", "SortMergeJoin", "HashJoin"))
