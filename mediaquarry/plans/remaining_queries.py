@@ -149,7 +149,7 @@ _APPROVED = f"{_LEVELS}, {_BITS}, wanted AS (SELECT p.file_id AS a, q.file_id AS
 
 def _approved(t):
     samples = _samples(t)
-    return similarity.approve(similarity.radius_pairs(_hashed(samples), _NEAR), samples, _LIKE)
+    return similarity.approved_pairs(_hashed(samples), samples, _NEAR, _LIKE)
 
 
 @query("q150_photo_rebuild", f"WITH RECURSIVE {_APPROVED}, {pq._GREEDY.format(edges='approved')} SELECT cluster, file_id, position FROM clusters")
