@@ -154,7 +154,8 @@ def _approved(t):
 
 @query("q150_photo_rebuild", f"WITH RECURSIVE {_APPROVED}, {pq._GREEDY.format(edges='approved')} SELECT cluster, file_id, position FROM clusters")
 def _(t):
-    return similarity.clusters(_approved(t))
+    samples = _samples(t)
+    return similarity.linked_clusters(_hashed(samples), _NEAR, samples, _LIKE)
 
 
 @query("q151_approved_pairs", f"WITH {_APPROVED} SELECT a, b, score FROM approved")

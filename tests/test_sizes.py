@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from mediaquarry.operators import similarity
 from mediaquarry.plans import catalog_queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -31,3 +32,13 @@ def test_compared_pairs_are_never_a_table(spark, name):
     plan = catalog_queries.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "MapInArrow" in plan
     assert not any(node in plan for node in ("Exchange", "SortMergeJoin", "HashJoin"))
+
+
+@pytest.mark.parametrize("name", ["q150_photo_rebuild"])
+def test_clusters_need_no_table_of_links(spark, monkeypatch, name):
+    def listed(*_, **__):
+        raise AssertionError("all links are listed")
+
+    for operator in ("radius_pairs", "approve", "clusters"):
+        monkeypatch.setattr(similarity, operator, listed)
+    assert catalog_queries.QUERIES[name](spark, FOLDER).count() > 0
