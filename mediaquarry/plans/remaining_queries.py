@@ -195,7 +195,7 @@ def _(t):
     """Few newcomers meet what is covered: with the edges over covered rows these are the edges of a rebuild."""
     prints, samples = t.prints.drop("label"), _samples(t)
     covered = prints.filter("file_id % 5 <> 0")
-    edges = similarity.approve(similarity.radius_pairs(covered, 21), samples, _LIKE)
+    edges = similarity.approved_pairs(covered, samples, 21, _LIKE)
     return similarity.add_arrivals(prints, samples, edges, covered.select("file_id"), 21, _LIKE)[0]
 
 
