@@ -26,7 +26,7 @@ def test_human_size_beyond_a_terabyte(spark, tmp_path):
     assert sorted(map(tuple, got)) == want
 
 
-@pytest.mark.parametrize("name", ["q152_video_rebuild", "q151_approved_pairs", "q155_add_arrivals"])
+@pytest.mark.parametrize("name", ["q152_video_rebuild", "q151_approved_pairs", "q155_add_arrivals", "q155_rebuild_for_many_arrivals"])
 def test_compared_pairs_are_never_a_table(spark, name):
     """Blocks meet and approved pairs leave: no pair is shuffled, sorted or joined to its samples."""
     plan = catalog_queries.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
