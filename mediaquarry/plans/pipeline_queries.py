@@ -56,7 +56,7 @@ _GREEDY = """pairs AS (SELECT a, b FROM {edges} UNION SELECT b, a FROM {edges}),
 
 @query("q153_greedy_clusters", f"WITH RECURSIVE {_EDGES}, {_GREEDY.format(edges='edges')} SELECT cluster, file_id, position FROM clusters")
 def _(t):
-    return similarity.clusters(_edges(t))
+    return similarity.linked_clusters(t.prints, 21)
 
 
 @query("q087_worst_score", f"WITH RECURSIVE {_EDGES}, {_GREEDY.format(edges='edges')} SELECT x.cluster, least(min(score), 100)::INT AS worst FROM edges JOIN clusters x ON x.file_id = a JOIN clusters y ON y.file_id = b AND y.cluster = x.cluster GROUP BY x.cluster")
