@@ -108,7 +108,7 @@ _BY_CLUSTER = _POLICY.format(g="cluster").replace("FROM policy2)", "FROM policy2
 
 @query("q150_ranked_groups", f"WITH RECURSIVE {_EDGES}, {_GREEDY.format(edges='edges')}, {_BY_CLUSTER} SELECT row_number() OVER (ORDER BY wasted DESC, cluster) AS place, cluster, files, wasted FROM (SELECT cluster, count(*) AS files, coalesce(sum(size_bytes) FILTER (place > 1 AND originals = 1), 0)::BIGINT AS wasted FROM ranked GROUP BY cluster)")
 def _(t):
-    members = written(similarity.clusters(_edges(t)), "members")
+    members = written(similarity.linked_clusters(t.prints, 21), "members")
     verdicts = duplicates.keep_ranking(_policy(t).drop("grp").join(members.select("file_id", "cluster"), "file_id"), "cluster", exact=False)
     return similarity.ranked_groups(members, verdicts)
 
