@@ -61,8 +61,9 @@ def _(t):
 
 @query("q087_worst_score", f"WITH RECURSIVE {_EDGES}, {_GREEDY.format(edges='edges')} SELECT x.cluster, least(min(score), 100)::INT AS worst FROM edges JOIN clusters x ON x.file_id = a JOIN clusters y ON y.file_id = b AND y.cluster = x.cluster GROUP BY x.cluster")
 def _(t):
-    edges = _edges(t)
-    return similarity.worst_score(similarity.clusters(edges), edges)
+    members = written(similarity.linked_clusters(t.prints, 21), "members")
+    inside = similarity.pairs_within(t.prints, members, "cluster").select("a", "b", (F.lit(100) - F.col("distance")).alias("score"))
+    return similarity.worst_score(members, inside)
 
 
 @query("q154_edges_among_eligible", f"WITH {_EDGES} SELECT a, b, score FROM edges WHERE a % 3 <> 0 AND b % 3 <> 0")
